@@ -1 +1 @@
-"""Package part."""
+"""Whole-capture jobs: every derived table from the raw logs."""
