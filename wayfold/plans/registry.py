@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import prepare
-from . import url_queries
+from . import event_queries, text_queries, url_queries
 
-MODULES = (url_queries,)
+MODULES = (url_queries, text_queries, event_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
