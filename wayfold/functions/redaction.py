@@ -63,18 +63,23 @@ def packs_for_origin(origin: Column | str, manual: Sequence[str] = ()) -> Column
     return F.array_distinct(F.array_compact(F.array(F.lit("generic"), *auto, *[F.lit(m) for m in manual])))
 
 
+def _only_where(packs: Column, name: str):
+    rules = [r for p in K.active_packs((name,)) if p.name == name for r in p.rules]
+
+    def choose(t: Column) -> Column:
+        scrubbed = t
+        for rule in rules:
+            scrubbed = apply_rule(scrubbed, rule)
+        return F.when(F.array_contains(packs, name), scrubbed).otherwise(t)
+
+    return choose
+
+
 def scrub_for_packs(c: Column | str, packs: Column, optional: Sequence[str] = ("india",)) -> Column:
     """Scrub with the packs named per row; each optional pack runs only where it is named."""
     out = scrub_expr(c, ("generic",))
     for name in optional:
-        only = [r for p in K.active_packs((name,)) if p.name == name for r in p.rules]
-
-        def run(t: Column, rules=only) -> Column:
-            for rule in rules:
-                t = apply_rule(t, rule)
-            return t
-
-        out = let(out, lambda t, run=run, name=name: F.when(F.array_contains(packs, name), run(t)).otherwise(t))
+        out = let(out, _only_where(packs, name))
     return out
 
 

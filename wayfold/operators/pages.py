@@ -19,6 +19,7 @@ from ..functions.html import html_nodes
 from ..functions.names import classify_id, is_danger, looks_random
 from ..functions.redaction import is_credential, redact_value, scrub_expr
 from ..functions.urls import clean_href, path_of
+from ..session import cut_lineage
 
 DOC = ("page_id",)
 
@@ -43,10 +44,15 @@ _DATE_HINT, _SEARCH_HINT = r"(?i)date|dob|calendar|picker", r"(?i)search|autocom
 _ICON_HINT = r"(?i)calendar|date|picker|search|lookup|dropdown|arrow|chevron|caret|clock|icon"
 
 
-def page_nodes(pages: DataFrame, *, html: str = "html", doc: Sequence[str] = DOC, keep: Sequence[str] = ()) -> DataFrame:
-    """Elements and text nodes of every page, in document order per page."""
+def page_nodes(pages: DataFrame, *, html: str = "html", doc: Sequence[str] = DOC, keep: Sequence[str] = (), write: bool = False) -> DataFrame:
+    """Elements and text nodes of every page, in document order per page.
+
+    ``write`` puts the rows into the checkpoint folder first: a page is then
+    parsed once however many extractors read it.
+    """
     slim = pages.select(*doc, *keep, F.col(html).alias("__html"))
-    return slim.lateralJoin(html_nodes()(F.col("__html").outer())).drop("__html")
+    nodes = slim.lateralJoin(html_nodes()(F.col("__html").outer())).drop("__html")
+    return cut_lineage(nodes) if write else nodes
 
 
 def attr(name: str) -> Column:
@@ -212,7 +218,8 @@ def nav_items(nodes: DataFrame, *, doc: Sequence[str] = DOC, url: str | None = N
     kept = items.drop("text").join(in_region, [*doc, "idx"]).join(out_of, [*doc, "idx"], "left_anti").filter(~F.col("__loose") | loose_ok).join(names, [*doc, "idx"]).filter(F.col("text") != "")
     # A wrapper that only repeats the item inside it is not an item of its own.
     repeats = kept.select(*doc, "text", F.explode("path").alias("idx")).distinct()
-    kept = kept.join(repeats, [*doc, "idx", "text"], "left_anti")
+    # The items of a page are few; writing them once keeps the path joins below short.
+    kept = cut_lineage(kept.join(repeats, [*doc, "idx", "text"], "left_anti"))
     sub = el.filter(F.col("tag").isin(*_SUBMENU_TAGS) | attr("role").isin("menu", "group") | attr("class").rlike(r"submenu|sub-menu|(^|\s)(dropdown-menu|collapse)(\s|$)")).select(*doc, F.col("idx").alias("sub"), F.col("parent").alias("wrap"), "sib")
     wrap = el.filter(F.col("tag").isin("li", "details") | attr("class").rlike(r"(^|\s)(dropdown|dropup|btn-group|nav-item)(\s|$)")).select(*doc, F.col("idx").alias("wrap"))
     levels = sub.join(wrap, [*doc, "wrap"])

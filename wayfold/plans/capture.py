@@ -1,8 +1,9 @@
 """One capture in, every derived table out.
 
 The order is catalog, site map, routes, coverage; each step reads the tables of
-the ones before it. Intermediate tables that several steps read are persisted by
-the caller (or written with :func:`wayfold.sources.package.write_package`).
+the ones before it. Tables that several steps read are written to the
+checkpoint folder once, so plans stay short, work is not repeated, and a lost
+executor costs a read.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from ..operators import routes as R
 from ..operators import shapes as S
 from ..operators import sitemap as M
 from ..operators import transitions as T
+from ..session import cut_lineage
 
 
 def derive(tables: dict[str, DataFrame], *, chunk=None, fold_variance: bool = True) -> dict[str, DataFrame]:
@@ -27,64 +29,64 @@ def derive(tables: dict[str, DataFrame], *, chunk=None, fold_variance: bool = Tr
     by = ["origin"]
     out: dict[str, DataFrame] = {}
 
-    edges = T.transitions(states, timeline, chunk=chunk)
-    claims = T.claim_actions(actions, states, timeline, chunk=chunk).persist()
-    edges = T.edge_causes(edges, claims).persist()
-    deps = T.distinct_dependencies(T.dependencies(edges, net))
-    outcomes = T.outcomes(actions, edges, claims, states)
+    claims = cut_lineage(T.claim_actions(actions, states, timeline, chunk=chunk))
+    edges = cut_lineage(T.edge_causes(T.transitions(states, timeline, chunk=chunk), claims))
+    deps = cut_lineage(T.distinct_dependencies(T.dependencies(edges, net)))
+    outcomes = cut_lineage(T.outcomes(actions, edges, claims, states))
     out |= {"transitions": edges, "action_states": claims, "dependencies": deps, "outcomes": outcomes}
 
     calls = net.withColumn("origin", origin_of("page_url"))
     visits = S.shape_visits(calls, body="response_body", owner=["origin", "id"])
-    nodes = S.shape_nodes(visits, owner=["origin", "id"]).persist()
+    nodes = cut_lineage(S.shape_nodes(cut_lineage(visits), owner=["origin", "id"]))
     leaves = S.leaf_paths(nodes, owner=["origin", "id"])
     evidence = leaves.groupBy("origin", "id").agg(F.array_sort(F.collect_set("leaf")).alias("response_paths"))
-    calls = calls.join(evidence, ["origin", "id"], "left")
+    calls = cut_lineage(calls.join(evidence, ["origin", "id"], "left"))
     catalog = E.api_catalog(calls, states, actions, by=by, base=F.col("origin"), fold_variance=fold_variance, chunk=chunk)
-    catalog = {k: v.persist() for k, v in catalog.items()}
+    catalog = {k: cut_lineage(v) for k, v in catalog.items()}
     out |= catalog
     status = calls.select("origin", F.col("id"), E.response_split("status").alias("kind"))
     shaped = nodes.join(status, ["origin", "id"]).join(catalog["endpoint_calls"].select("origin", F.col("net_id").alias("id"), "endpoint_id"), ["origin", "id"])
-    out["endpoint_shapes"] = S.merge_shapes(shaped, by=["origin", "endpoint_id", "kind"])
+    out["endpoint_shapes"] = cut_lineage(S.merge_shapes(cut_lineage(shaped), by=["origin", "endpoint_id", "kind"]))
     out["endpoint_lists"] = S.list_paths(out["endpoint_shapes"], by=["origin", "endpoint_id", "kind"])
 
-    fed = E.attribute_calls(calls, states, by=by, chunk=chunk).persist()
+    fed = E.attribute_calls(calls, states, by=by, chunk=chunk)
+    fed = cut_lineage(fed)
     slim = M.states_by_page(states)
-    pages = M.site_pages(slim).persist()
+    pages = cut_lineage(M.site_pages(slim))
     placed = M.actions_with_route(actions, states)
-    menu, clicks, leads = M.menu_visits(M.merge_menu(M.menu_sightings(states)), actions, outcomes, states, pages)
-    menu = menu.persist()
+    merged_menu = cut_lineage(M.merge_menu(M.menu_sightings(states)))
+    menu, clicks, leads = (cut_lineage(t) for t in M.menu_visits(merged_menu, actions, outcomes, states, pages))
     call_map = catalog["endpoint_calls"]
-    lengths = S.list_paths(nodes, by=["origin", "id"]).select("origin", F.col("id").alias("net_id"), "len")
-    options = M.view_options(states, placed)
-    lists = M.list_status(states, placed, outcomes, downloads)
-    page_dl = M.page_downloads(downloads, states, actions, pages)
-    labels = M.page_labels(pages, leads, menu)
+    lengths = cut_lineage(S.list_paths(nodes, by=["origin", "id"]).select("origin", F.col("id").alias("net_id"), "len"))
+    options = cut_lineage(M.view_options(states, placed))
+    lists = cut_lineage(M.list_status(states, placed, outcomes, downloads))
+    page_dl = cut_lineage(M.page_downloads(downloads, states, actions, pages))
+    labels = cut_lineage(M.page_labels(pages, leads, menu))
     out |= {
         "site_pages": pages, "page_views": M.page_views(slim), "site_menu": menu, "menu_clicks": clicks, "menu_leads_to": leads,
         "view_options": options, "site_lists": lists, "page_endpoints": M.page_endpoints(slim, fed, call_map),
         "list_feeds": M.list_feeds(states, fed, call_map, lengths), "page_downloads": page_dl, "page_labels": labels,
     }
 
-    hops, refused = R.click_graph(edges, actions, claims)
+    hops, refused = (cut_lineage(t) for t in R.click_graph(edges, actions, claims))
     entry = R.entry_nodes(states)
     reached = R.shortest_paths(hops, entry)
-    openers = R.branch_openers(reached, actions, claims, edges)
+    openers = cut_lineage(R.branch_openers(reached, actions, claims, edges))
     recipes = R.route_recipes(states, reached, refused, entry)
     out |= {"route_recipes": recipes, "route_steps": R.route_steps(reached, openers, states)}
 
-    covered = V.menu_covered(menu)
-    gaps = V.page_gaps(pages, labels, options, lists, page_dl, V.offers_download(states, actions))
+    covered = cut_lineage(V.menu_covered(menu))
+    gaps = cut_lineage(V.page_gaps(pages, labels, options, lists, page_dl, V.offers_download(states, actions)))
     out |= {
         "unvisited_menu": V.unvisited_menu(covered), "page_gaps": gaps, "page_coverage": V.page_coverage(pages, gaps, states, page_dl),
         "coverage_totals": V.coverage_totals(covered, pages, options, lists, downloads), "coverage_hints": V.coverage_hints(covered, gaps),
     }
 
     controls = C.controls_of(states)
-    effective = C.effective_controls(controls, C.varying_ids(controls)).persist()
-    merged = C.merge_controls(effective)
-    sightings = C.control_sightings(effective, merged)
-    merged = C.promote_widgets(merged, edges, sightings).persist()
+    effective = cut_lineage(C.effective_controls(controls, C.varying_ids(controls)))
+    merged = cut_lineage(C.merge_controls(effective))
+    sightings = cut_lineage(C.control_sightings(effective, merged))
+    merged = cut_lineage(C.promote_widgets(merged, edges, sightings))
     by_origin = deps.join(states.select("session", F.col("id").alias("state_id"), "origin"), ["session", "state_id"])
     out |= {
         "controls": merged, "control_states": sightings, "control_links": C.link_dependencies(by_origin, sightings), "lists": C.merge_lists(states),
