@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import shapes as S
 from ..functions.names import format_of
 from ..functions.exprs import strip
+from ..session import cut_lineage
 
 
 def shape_visits(
@@ -83,43 +84,42 @@ def shape_nodes(visits: DataFrame, *, owner: Sequence[str] = ("id",)) -> DataFra
     v = visits.withColumn(
         "format", F.when((F.col("type") == "string") & (strip("text") != ""), format_of("text"))
     ).withColumn("__choice", F.when((F.col("type") == "string") & (F.col("text") != "") & (F.length("text") <= S.ENUM_VALUE_CHARS), F.col("text")))
-    # Distinct texts per position are counted on their own rows, so a position
-    # with endless values never builds an endless set.
-    choices = (
-        v.filter(F.col("__choice").isNotNull())
-        .groupBy(*owner, "path", "__choice")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .groupBy(*owner, "path")
-        .agg(
-            F.count(F.lit(1)).alias("__distinct"),
-            F.max(F.length("__choice")).alias("longest"),
+    # Bodies are read once: equal values of a position are counted first, and
+    # everything else works on those counts. Distinct texts are counted as rows,
+    # so a position with endless values never builds an endless set.
+    pre = cut_lineage(
+        v.groupBy(*owner, "path", "parent", "key", "type", "format", "__choice").agg(
+            F.count(F.lit(1)).alias("n"), F.max("len").alias("len"),
+            F.max(F.when((F.col("type") == "string") & (F.length("text") > S.ENUM_VALUE_CHARS), 1).otherwise(0)).alias("__long"),
         )
-        .filter(F.col("__distinct") <= S.ENUM_MAX_DISTINCT)
     )
-    few = (
-        v.filter(F.col("__choice").isNotNull())
-        .join(choices.select(*owner, "path"), [*owner, "path"], "left_semi")
-        .groupBy(*owner, "path")
-        .agg(F.array_sort(F.collect_set("__choice")).alias("__values"))
-    )
-    merged = v.groupBy(*owner, "path").agg(
-        F.first("parent").alias("parent"),
-        F.first("key").alias("key"),
+    some = lambda kind: F.sum(F.when(F.col("type") == kind, F.col("n")).otherwise(0))
+    merged = pre.groupBy(*owner, "path").agg(
+        F.min("parent").alias("parent"),
+        F.min("key").alias("key"),
         _merge_type().alias("type"),
         F.coalesce(F.max(F.col("type") == "null"), F.lit(False)).alias("__null"),
         F.max("len").alias("len"),
         _merge_format().alias("format"),
-        F.count(F.lit(1)).alias("n"),
-        F.sum(F.when(F.col("type") == "string", 1).otherwise(0)).alias("__strings"),
-        F.sum(F.when(F.col("type") == "object", 1).otherwise(0)).alias("n_objects"),
-        F.max(F.when((F.col("type") == "string") & (F.length("text") > S.ENUM_VALUE_CHARS), 1).otherwise(0)).alias("__long"),
+        F.sum("n").alias("n"),
+        some("string").alias("__strings"),
+        some("object").alias("n_objects"),
+        F.max("__long").alias("__long"),
+        F.count("__choice").alias("__distinct"),
+        F.max(F.length("__choice")).alias("longest"),
     )
-    whole = merged.join(choices, [*owner, "path"], "left").join(few, [*owner, "path"], "left")
+    few = (
+        pre.filter(F.col("__choice").isNotNull())
+        .join(merged.filter(F.col("__distinct").between(1, S.ENUM_MAX_DISTINCT)).select(*owner, "path"), [*owner, "path"], "left_semi")
+        .groupBy(*owner, "path")
+        .agg(F.array_sort(F.collect_set("__choice")).alias("__values"))
+    )
+    whole = merged.join(few, [*owner, "path"], "left")
     enum = (
         (F.col("type") == "string") & (F.col("__strings") >= S.ENUM_MIN_SEEN) & (F.col("__long") == 0)
         & F.col("__values").isNotNull() & _enum_like()
     )
-    nodes = whole.select(
+    nodes = cut_lineage(whole.select(
         *owner, "path", "parent", "key", "type",
         (F.col("__null") & (F.col("type") != "null")).alias("nullable"),
         F.when(F.col("type").isin("string", "array"), F.col("len")).alias("len"),
@@ -127,7 +127,7 @@ def shape_nodes(visits: DataFrame, *, owner: Sequence[str] = ("id",)) -> DataFra
         F.when(enum, F.col("__values")).alias("values"),
         "n", "n_objects",
         _ancestors(F.col("path")).alias("above"),
-    )
+    ))
     return _with_optional(_drop_below_mixed(nodes, owner), owner)
 
 
@@ -148,10 +148,11 @@ def merge_shapes(nodes: DataFrame, *, by: Sequence[str]) -> DataFrame:
     different types make it mixed, and enum values survive only while every
     body had some and there are few in all.
     """
+    nodes = cut_lineage(nodes)
     n_texts = F.sum(F.when(F.col("type") == "string", 1).otherwise(0))
     merged = nodes.groupBy(*by, "path").agg(
-        F.first("parent").alias("parent"),
-        F.first("key").alias("key"),
+        F.min("parent").alias("parent"),
+        F.min("key").alias("key"),
         _merge_type().alias("type"),
         F.max(F.col("nullable") | (F.col("type") == "null")).alias("__null"),
         F.max("len").alias("len"),
@@ -172,7 +173,7 @@ def merge_shapes(nodes: DataFrame, *, by: Sequence[str]) -> DataFrame:
         .groupBy(*by, "path")
         .agg(F.array_sort(F.collect_set("__v")).alias("__values"))
     )
-    whole = merged.join(values, [*by, "path"], "left").select(
+    whole = cut_lineage(merged.join(values, [*by, "path"], "left").select(
         *by, "path", "parent", "key", "type",
         (F.col("__null") & (F.col("type") != "null")).alias("nullable"),
         F.when(F.col("type").isin("string", "array"), F.col("len")).alias("len"),
@@ -180,7 +181,7 @@ def merge_shapes(nodes: DataFrame, *, by: Sequence[str]) -> DataFrame:
         F.when((F.col("type") == "string") & F.col("__all_enum"), F.col("__values")).alias("values"),
         "n", "n_objects", "__optional",
         _ancestors(F.col("path")).alias("above"),
-    )
+    ))
     out = _with_optional(_drop_below_mixed(whole, by), by)
     return out.withColumn("optional", F.col("optional") | (F.col("key").isNotNull() & F.col("__optional"))).drop("__optional")
 

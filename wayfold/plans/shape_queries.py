@@ -226,7 +226,7 @@ CASE WHEN k = 0 THEN 'method PUT' WHEN k = 1 THEN 'path word "update"' WHEN k =
     "merged_controls": f"WITH {_CTL} SELECT CASE WHEN n > 1 THEN '/cart::' || key ELSE key END AS key, label, label_source, required, stability, n_states, CAST(n > 1 AS INTEGER) AS collides FROM mg JOIN nv USING (key)",
     "control_collisions": f"WITH {_CTL} SELECT '/cart::' || key AS key, n - 1 AS n_colliding FROM mg JOIN nv USING (key) WHERE n > 1",
     "session_bursts": f"SELECT user_id, epoch_us(s) AS started_us, n AS n_events FROM ({_GAPS})",
-    "gap_bursts": f"SELECT user_id, epoch_ms(s) AS started_ms, n AS n_events FROM ({_GAPS})",
+    "gap_bursts": f"SELECT user_id, epoch_us(s) // 1000 AS started_ms, n AS n_events FROM ({_GAPS})",
     "pause_gate": "SELECT 'act_' || c.event_id AS id FROM (SELECT * FROM events WHERE event_type = 'click') c ASOF LEFT JOIN (SELECT * FROM events WHERE event_type IN ('error', 'signup')) m ON c.user_id = m.user_id AND c.ts >= m.ts WHERE m.event_type IS DISTINCT FROM 'error'",
     "download_lifecycle": "SELECT l_orderkey AS id, CASE WHEN bool_or(l_linestatus = 'F') THEN 'complete' ELSE 'in_progress' END AS state, -1 AS size_bytes, epoch_us(max(l_shipdate)) AS updated_us FROM lineitem GROUP BY 1",
     "overlay_memory": """WITH s AS (SELECT user_id, event_id, event_type, ts FROM events), f AS (SELECT user_id, event_type AS item, min((ts, event_id)) AS first FROM s GROUP BY ALL)
