@@ -33,9 +33,11 @@ def rule_hits(c: Column, rule: K.TextRule) -> Column:
     return F.regexp_count(c, F.lit(rule.pattern))
 
 
-def scrub_expr(c: Column | str, packs: Sequence[str] = ("generic",)) -> Column:
-    """Every text rule of the packs, in order. NULL stays NULL."""
+def scrub_expr(c: Column | str, packs: Sequence[str] | None = ("generic",)) -> Column:
+    """Every text rule of the packs, in order; the text itself where ``packs`` is None. NULL stays NULL."""
     out = as_col(c)
+    if packs is None:
+        return out
     for rule in K.text_rules(packs):
         out = apply_rule(out, rule)
     return out

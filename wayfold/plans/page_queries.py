@@ -58,7 +58,8 @@ def link_counts(spark, sf):
 
 
 def page_outline(spark, sf):
-    return G.page_outline(nodes_of(spark, sf))
+    """Headings as written; the scrubbed form is what crawl states carry."""
+    return G.page_outline(nodes_of(spark, sf), packs=None)
 
 
 def page_titles(spark, sf):
@@ -66,7 +67,7 @@ def page_titles(spark, sf):
 
 
 def nav_items(spark, sf):
-    return G.nav_items(nodes_of(spark, sf, write=True), url="url").select("page_id", "text", "href", F.array_join("path", " > ").alias("path"))
+    return G.nav_items(nodes_of(spark, sf, write=True), url="url", packs=None).select("page_id", "text", "href", F.array_join("path", " > ").alias("path"))
 
 
 def repeats(spark, sf):

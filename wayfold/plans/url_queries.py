@@ -189,7 +189,7 @@ WHEN regexp_matches(v, '(?i)^(true|false|yes|no|y|n)$') THEN 'boolean' ELSE 'tex
 CAST(regexp_matches(i, '^[A-Za-z0-9]{8,}$') AND regexp_matches(regexp_replace(i, '[0-9]+$', ''), '[0-9]') AND regexp_matches(regexp_replace(i, '[0-9]+$', ''), '[A-Za-z]') AS INTEGER) AS random, count(*) AS n
 FROM (SELECT unnest(['mat-input-' || c_custkey, 'field_' || c_custkey, md5(CAST(c_custkey AS VARCHAR)), 'name' || c_custkey, '']) AS i FROM customer) GROUP BY ALL""",
     "packs_of_origins": "SELECT CASE WHEN page_id % 3 = 0 THEN 'generic,india' ELSE 'generic' END AS packs, count(*) AS n FROM pages GROUP BY 1",
-    "display_text": rf"""SELECT o_orderkey, CASE WHEN s < 1024 THEN s || ' B' WHEN s < 1048576 THEN CAST(floor(s / 1024 + 0.5) AS BIGINT) || ' KB' ELSE printf('%.1f', s / 1024 / 1024) || ' MB' END AS size,
+    "display_text": rf"""SELECT o_orderkey, CASE WHEN s < 1024 THEN s || ' B' WHEN s < 1048576 THEN CAST(floor(s / 1024 + 0.5) AS BIGINT) || ' KB' ELSE printf('%.1f', floor(s / 1024 / 1024 * 10 + 0.5) / 10) || ' MB' END AS size,
 CASE WHEN length(o_orderpriority) > 6 THEN left(o_orderpriority, 5) || '…' ELSE o_orderpriority END AS short, '"' || o_orderpriority || '"' AS quoted,
 CASE WHEN o_orderkey < 10000 THEN lpad(CAST(o_orderkey AS VARCHAR), 4, '0') ELSE CAST(o_orderkey AS VARCHAR) END || '-' || {_SLUG('o_orderpriority')} AS stem FROM (SELECT *, o_custkey * o_custkey * 97 AS s FROM orders)""",
     "page_ids": f"""WITH r AS (SELECT {_ORIGIN} AS origin, {_ROUTE} AS route, min(page_id) AS first_seen FROM pages GROUP BY ALL)
