@@ -56,8 +56,8 @@ def test_lists(nodes):
     assert (p["style"], p["has_next"], p["current"]) == ("numbered", True, "1")
     r = G.repeats(nodes)
     cards = r.filter("signature = 'div.card'")
-    assert [(x.n_items,) for x in cards.collect()] == [(3,)]
-    assert sorted((x.kind, x.sample, x.download) for x in G.repeat_slots(nodes, cards).collect()) == [("link", "<href>", True), ("text", "<3 chars>", False)]
+    assert [x.n_items for x in cards.collect()] == [3] and r.count() == 3
+    assert [(x.kind, x.sample, x.download) for x in G.repeat_slots(nodes, cards).collect()] == [("link", "<href>", True)]
     assert [(x.extension, x.kind) for x in G.download_links(nodes).collect()] == [("pdf", "direct")]
 
 

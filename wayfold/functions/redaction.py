@@ -54,7 +54,9 @@ def redaction_counts(df: DataFrame, column: str, packs: Sequence[str] = ("generi
     out = df.withColumn(work, F.coalesce(F.col(column), F.lit("")))
     for rule in K.text_rules(packs):
         name = "n_" + rule.name.replace("-", "_")
-        out = out.withColumns({name: rule_hits(F.col(work), rule), work: apply_rule(F.col(work), rule)})
+        out = out.withColumn(name, rule_hits(F.col(work), rule))
+        # Text a rule does not touch is not searched a second time.
+        out = out.withColumn(work, F.when(F.col(name) > 0, apply_rule(F.col(work), rule)).otherwise(F.col(work)))
     return out.drop(work)
 
 

@@ -329,7 +329,7 @@ def repeats(nodes: DataFrame, *, doc: Sequence[str] = DOC) -> DataFrame:
     lists inside an item of another list are left out, twenty largest stay.
     """
     el = nodes.filter((F.col("tag") != "#text") & ~F.col("tag").isin("script", "style", "template", "link", "br", "hr"))
-    skip = nodes.filter(F.col("tag").isin("table", "thead", "tbody", "tfoot", "tr", "select", "datalist", "optgroup", "head") | attr("role").isin("tablist", "listbox", "menu", "menubar", "radiogroup"))
+    skip = nodes.filter(F.col("tag").isin("table", "thead", "tbody", "tfoot", "tr", "select", "datalist", "optgroup", "head", "script", "style", "svg", "nav") | attr("role").isin("tablist", "listbox", "menu", "menubar", "radiogroup"))
     steady = F.slice(F.array_sort(F.filter(F.split(attr("class"), r"\s+"), lambda c: (c != "") & ~c.rlike(r"(?i)\d{3,}|[0-9a-f]{5,}|active|selected|odd|even|first|last|hover|focus"))), 1, 3)
     filled = el.filter((F.col("text_len") > 0) | (F.col("tag") == "img"))
     kinds = filled.filter(F.col("parent").isNotNull()).groupBy(*doc, F.col("parent").alias("idx"), F.concat_ws(".", F.col("tag"), F.array_join(steady, ".")).alias("signature")).agg(F.count(F.lit(1)).alias("n_items"), F.min("idx").alias("first_item"))
@@ -350,6 +350,8 @@ def repeat_slots(nodes: DataFrame, found: DataFrame, *, doc: Sequence[str] = DOC
     link = (F.col("tag") == "a") & has_attr("href")
     kind = F.when(link, "link").when((F.col("tag") == "img") | (attr("role") == "img"), "image").when(F.col("tag") == "#text", "text")
     sample = F.when(link, "<href>").when(F.col("tag") == "#text", redact_value(F.trim("text"))).otherwise("<img>")
+    linked = _within(nodes.filter(F.col("tag") == "#text"), nodes.filter(link), doc, "__a").select(*doc, "idx")
+    inside = inside.join(linked, [*doc, "idx"], "left_anti")
     rows = inside.withColumn("kind", kind).filter(F.col("kind").isNotNull()).select(*doc, "container", "idx", "kind", sample.alias("sample"), (link & (has_attr("download") | attr("href").rlike(_DOC_EXT))).alias("download"))
     rank = F.when(F.col("kind") == "link", 0).when(F.col("kind") == "image", 1).otherwise(2)
     return rows.withColumn("n", F.row_number().over(Window.partitionBy(*doc, "container").orderBy(rank, "idx"))).filter(F.col("n") <= CAPS["slots"])

@@ -12,14 +12,14 @@ from ..operators import redact as X
 from ..operators import sitemap as M
 from ..schemas import ACTIONS, STATES, TABLES
 from ..session import cut_lineage
-from .tables import _complete, table
+from .tables import _complete, table, text_table
 
 _OUTCOMES = "session string, action_id string, from_id string, to_id string, via_new_tab boolean"
 
 
 def nodes_of(spark, sf, write=False):
     """Page nodes with the address they were found at."""
-    return G.page_nodes(table(spark, sf, "pages"), keep=["url"], write=write)
+    return G.page_nodes(text_table(spark, sf, "pages"), keep=["url"], write=write)
 
 
 def crawl_states(spark, sf):

@@ -11,12 +11,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schemas import ACTIONS, NET, STATES
+from ..session import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def text_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table whose text is worked on row by row."""
+    return spread(table(spark, sf_dir, name))
+
+
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events with a real timestamp; the file holds times without a zone, read as UTC."""
     return table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))

@@ -9,7 +9,7 @@ from ..functions import packs as K
 from ..functions import pyrules as Y
 from ..functions import redaction as R
 from ..operators import redact as X
-from .tables import table
+from .tables import table, text_table
 
 #: The first five generic rules use no look-around, so SQL can say them too.
 TOKEN_RULES = 5
@@ -23,60 +23,60 @@ def _tokens(c):
 
 
 def scrub_tokens(spark, sf):
-    d = table(spark, sf, "documents")
+    d = text_table(spark, sf, "documents")
     return d.select("doc_id", F.md5(_tokens(F.col("text"))).alias("digest"), F.length(_tokens(F.col("text"))).alias("n_chars"))
 
 
 def scrub_text(spark, sf):
-    d = R.scrub_text(table(spark, sf, "documents"), ["text"], ("generic", "india"))
+    d = R.scrub_text(text_table(spark, sf, "documents"), ["text"], ("generic", "india"))
     return d.select("doc_id", "text", R.has_placeholder("text").alias("scrubbed"))
 
 
 def redaction_counts(spark, sf):
-    counted = R.redaction_counts(table(spark, sf, "documents"), "text", ("generic", "india"))
+    counted = R.redaction_counts(text_table(spark, sf, "documents"), "text", ("generic", "india"))
     names = [c for c in counted.columns if c.startswith("n_") and c != "n_chars"]
     return counted.groupBy("source").agg(*[F.sum(c).alias(c) for c in names])
 
 
 def token_counts(spark, sf):
-    counted = R.redaction_counts(table(spark, sf, "documents"), "text")
+    counted = R.redaction_counts(text_table(spark, sf, "documents"), "text")
     names = ["n_jwt", "n_bearer", "n_secret_key", "n_google_key", "n_email"]
     return counted.groupBy("source").agg(*[F.sum(c).cast("bigint").alias(c) for c in names])
 
 
 def placeholder_report(spark, sf):
-    d = table(spark, sf, "documents")
+    d = text_table(spark, sf, "documents")
     return d.select("lang", R.has_placeholder(_tokens(F.col("text"))).alias("hit")).groupBy("lang").agg(F.sum(F.col("hit").cast("int")).cast("bigint").alias("n_docs"))
 
 
 def leak_audit(spark, sf):
     """Known secrets before and after the token rules."""
-    d = table(spark, sf, "documents")
+    d = text_table(spark, sf, "documents")
     audit = X.leak_audit({"raw": (d, ["text"]), "clean": (d.select(_tokens(F.col("text")).alias("text")), ["text"])}, PROBES)
     return audit.select("source", "probe", F.col("n_rows").cast("bigint").alias("n_rows"), F.col("n_hits").cast("bigint").alias("n_hits"))
 
 
 def leak_audit_conversations(spark, sf):
-    c = table(spark, sf, "conversations")
+    c = text_table(spark, sf, "conversations")
     audit = X.leak_audit({"conversations": (R.scrub_text(c, ["text"]), ["text"])}, PROBES)
     return audit.select("source", "probe", F.col("n_rows").cast("bigint").alias("n_rows"), F.col("n_hits").cast("bigint").alias("n_hits"))
 
 
 def scrub_by_language(spark, sf):
     """Packs named per row: the India pack runs for English text only."""
-    d = table(spark, sf, "documents")
+    d = text_table(spark, sf, "documents")
     packs = F.when(F.col("lang") == "en", F.array(F.lit("generic"), F.lit("india"))).otherwise(F.array(F.lit("generic")))
     return d.select("doc_id", R.scrub_for_packs("text", packs).alias("text"))
 
 
 def danger_words(spark, sf):
-    c = table(spark, sf, "conversations")
+    c = text_table(spark, sf, "conversations")
     return c.select("role", N.is_danger("text", words=("que", "the", "pour", "und")).alias("hit")).groupBy("role").agg(F.sum(F.col("hit").cast("int")).alias("n_hits"), F.count(F.lit(1)).alias("n"))
 
 
 def danger_words_ascii(spark, sf):
     """Whole-word hits where SQL can say them: words parted by blanks."""
-    c = table(spark, sf, "conversations")
+    c = text_table(spark, sf, "conversations")
     padded = F.concat(F.lit(" "), F.regexp_replace(F.lower("text"), "[^a-z]+", " "), F.lit(" "))
     return c.select("role", N.is_danger(padded, words=("the", "and")).alias("hit")).groupBy("role").agg(F.sum(F.col("hit").cast("int")).cast("bigint").alias("n_hits"))
 
@@ -102,7 +102,7 @@ def learned_values(spark, sf):
 
 
 def sanitised_pages(spark, sf):
-    p = table(spark, sf, "pages")
+    p = text_table(spark, sf, "pages")
     clean = p.select("page_id", Y.sanitise_html("html").alias("html"))
     return clean.select("page_id", F.length("html").alias("n_chars"), F.col("html").contains("<!--").alias("has_comment"), F.col("html").contains("track(0)").alias("has_script"))
 

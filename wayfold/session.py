@@ -73,3 +73,14 @@ def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     """Write ``df`` to the checkpoint folder and carry on from the files."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=eager)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores before costly per-row work, only where the input is too coarse.
+
+    A small file with one row group lands in one task. Inputs that already have
+    more pieces than cores, as any large table has, are returned as they are, so
+    nothing is shuffled at scale.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() <= cores else df
