@@ -56,14 +56,17 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The reliable folder loops cut their lineage in.
 
-    The cluster names it in ``spark.checkpoint.dir``; a temporary folder is used
-    only where nothing is set, as in tests.
+    The cluster names it in ``spark.checkpoint.dir``. Where nothing is set, a session
+    in one process makes a temporary folder; any other master is refused, for its
+    executors could not share one.
     """
     context = spark.sparkContext
     current = context.getCheckpointDir()
     if current:
         return current
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if not named and not context.master.split("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     folder = named or tempfile.mkdtemp(prefix="wayfold-ckpt-")
     context.setCheckpointDir(folder)
     return folder
