@@ -105,3 +105,25 @@ def test_json_bodies(spark):
 def test_column_functions_stay_in_the_jvm(spark, expr):
     plan = spark.createDataFrame([("x",)], "v string").select(expr())._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "ArrowEval" not in plan
+
+
+def test_hostile_bodies_are_read_to_the_end():
+    s = Y.Scrubber(("generic",))
+    deep = "[" * 100_000 + '{"fullName":"Asha Rao"}' + "]" * 100_000
+    assert "Asha" not in s.body(deep) and len(s.body(deep)) > 200_000
+    nested = '{"a":' * 70 + '{"fullName":"Asha Rao","x":1}' + "}" * 70
+    assert s.body(nested) == '{"a":' * 70 + '{"fullName":"<NAME>","x":1}' + "}" * 70
+    assert s.body('{"n":' + "7" * 400 + "}").startswith('{"n":') and s.body('{"n":1e999,"m":1.5,"k":2.0}') == '{"n":null,"m":1.5,"k":2}'
+    assert s.body('{"n":' + "7" * 9000 + ',"mail":"a@b.co"}').endswith('"<EMAIL>"}')
+    assert s.body('{"a":NaN,"fullName":"B C"}') == '{"a":NaN,"fullName":"<NAME>"}' and s.body('{"x":"\\ud800","fullName":"B C"}').endswith('"<NAME>"}')
+    big = '{"items":[' + ",".join(f'{{"fullName":"P{i}"}}' for i in range(60_000)) + "]" + " " * (5 << 20) + "}"
+    assert '"P' not in s.body(big)
+
+
+def test_cut_bodies_teach_names():
+    s, learned = Y.Scrubber(("generic",)), []
+    s.body('{"fullName":"Asha Rao","file":"a b.pdf","rows":[{"customerName":"Bina', learned)
+    assert learned == [("Asha Rao", "<NAME>")]
+    learned.clear()
+    s.body('{"fullName":"Asha Rao","list":[{"customerName":"Bina K"}]}', learned)
+    assert sorted(learned) == [("Asha Rao", "<NAME>"), ("Bina K", "<NAME>")]

@@ -14,7 +14,7 @@ from ..functions.redaction import hint_rule, label_rule, scrub_expr
 from .ordered import previous_row
 
 # ---- fixed values: what may be learned ---------------------------------------
-LEARN_MIN, LEARN_MAX = 4, 200
+LEARN_MIN = 4
 VALUE_MAX, HINT_TEXT_MAX = 200, 200
 
 
@@ -24,35 +24,44 @@ def learnable(value: Column) -> Column:
     return (F.length(v) >= LEARN_MIN) & ~v.startswith("<") & v.rlike(r"\p{L}") & ~v.rlike(r"^[a-z0-9_-]+\z")
 
 
-def learned_values(df: DataFrame, body: str, *, doc: Sequence[str] = ("session",), order: str = "seq", packs=("generic",), keep: int = LEARN_MAX) -> DataFrame:
-    """``(doc…, value, replacement)`` from JSON bodies, the latest ``keep`` per document."""
+def learned_values(df: DataFrame, body: str, *, doc: Sequence[str] = ("session",), order: str = "seq", packs=("generic",), keep: int | None = None) -> DataFrame:
+    """``(doc…, value, replacement)`` from JSON bodies; all of them, or the latest ``keep`` per document if asked."""
     found = df.select(*doc, order, F.explode(learn_from_json(F.col(body), packs)).alias("l")).select(*doc, order, "l.*")
     return latest_learned(found, doc=doc, order=order, keep=keep)
 
 
-def latest_learned(found: DataFrame, *, doc: Sequence[str], order: str, keep: int = LEARN_MAX) -> DataFrame:
+def latest_learned(found: DataFrame, *, doc: Sequence[str], order: str, keep: int | None = None) -> DataFrame:
     good = found.filter(learnable(F.col("value"))).withColumn("value", squeeze("value"))
     first = good.groupBy(*doc, F.lower("value").alias("__k")).agg(
-        F.min_by(F.struct("value", "replacement"), order).alias("v"), F.min(order).alias("__at")
+        F.min_by(F.struct("value", "replacement"), F.struct(order, "replacement", "value")).alias("v"), F.min(order).alias("__at")
     )
-    # A small row_number limit is applied on the map side before any shuffle.
-    recent = Window.partitionBy(*doc).orderBy(F.col("__at").desc(), "__k")
-    return first.withColumn("__n", F.row_number().over(recent)).filter(F.col("__n") <= keep).select(*doc, "v.value", "v.replacement")
+    if keep is not None:
+        # A small row_number limit is applied on the map side before any shuffle.
+        recent = Window.partitionBy(*doc).orderBy(F.col("__at").desc(), "__k")
+        first = first.withColumn("__n", F.row_number().over(recent)).filter(F.col("__n") <= keep)
+    return first.select(*doc, "v.value", "v.replacement")
 
 
 def scrub_learned(df: DataFrame, column: str, learned: DataFrame, *, doc: Sequence[str] = ("session",), packs=("generic",)) -> DataFrame:
     """Learned values removed everywhere in their document, longest first, then the pattern rules.
 
-    The list of a document is bounded (see :func:`latest_learned`), so it rides
-    on one row per document and the text is folded over it in the JVM.
+    A document may have any number of values. Distinct texts are joined to those
+    values alone whose first letters they hold, so the list that is folded over a text
+    is one of values found in it. Keys are (document, letters); no list per
+    document is made.
     """
     quoted = lambda v: F.replace(F.regexp_replace(v, r"([.*+?^${}()|\[\]\\])", r"\\$1"), F.lit(" "), F.lit(r"\s+"))
-    lists = learned.groupBy(*doc).agg(
+    shown = df.filter(F.length(column) >= LEARN_MIN).select(*doc, F.md5(column).alias("__h"), F.lower(squeeze(column)).alias("__t")).dropDuplicates([*doc, "__h"])
+    heads = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("__t") - LEARN_MIN + 1), lambda i: F.substring("__t", i, LEARN_MIN)))
+    at = shown.filter(F.length("__t") >= LEARN_MIN).join(learned.select(*doc).distinct(), list(doc), "left_semi").select(*doc, "__h", "__t", F.explode(heads).alias("__head"))
+    known = learned.select(*doc, "value", "replacement", F.lower(squeeze("value")).alias("__v")).withColumn("__head", F.substring("__v", 1, LEARN_MIN))
+    held = at.join(known, [*doc, "__head"]).filter(F.contains("__t", F.col("__v")))
+    lists = held.groupBy(*doc, "__h").agg(
         F.array_sort(F.collect_list(F.struct((-F.length("value")).alias("n"), F.concat(F.lit("(?iu)"), quoted(F.col("value"))).alias("p"), "replacement"))).alias("__learned")
     )
-    joined = df.join(lists, list(doc), "left")
+    joined = df.withColumn("__h", F.md5(column)).join(lists, [*doc, "__h"], "left")
     folded = F.aggregate(F.coalesce("__learned", F.array().cast(lists.schema["__learned"].dataType)), F.col(column), lambda t, r: F.regexp_replace(t, r["p"], r["replacement"]))
-    return joined.withColumn(column, scrub_expr(folded, packs)).drop("__learned")
+    return joined.withColumn(column, scrub_expr(folded, packs)).select(*df.columns)
 
 
 def scrub_labelled(nodes: DataFrame, *, doc: Sequence[str], packs=("generic",)) -> DataFrame:

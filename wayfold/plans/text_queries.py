@@ -142,5 +142,7 @@ ORACLE = {
     "danger_words_ascii": "SELECT role, CAST(sum(CASE WHEN regexp_matches(' ' || regexp_replace(lower(text), '[^a-z]+', ' ', 'g') || ' ', ' (the|and) ') THEN 1 ELSE 0 END) AS BIGINT) AS n_hits FROM conversations GROUP BY 1",
     "scrub_bodies": """SELECT c_custkey, '{"customerName":"<NAME>","id":' || c_custkey || ',"segmentName":"<NAME>"}' AS body FROM customer""",
     "credential_controls": "SELECT label, label NOT IN ('pinCode', 'address') AS credential, count(*) AS n FROM (SELECT unnest(['userPin', 'pinCode', 'Enter the OTP ', 'address']) AS label FROM customer) GROUP BY ALL",
+    # 1 500 names a nation at sf 0.1: each is learned, none is left in a note
+    "learned_values": "SELECT c_custkey, 'order for <NAME>.' AS note FROM customer",
     "sanitised_marks": "SELECT page_id, 0 AS has_comment, 0 AS has_script FROM pages",
 }
