@@ -26,8 +26,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import new_folder, text_bytes, written
-from .tokens import encoder
+from .common import new_folder, written
+from .tokens import encoder, utf8
 
 #: Longest code in bits; the table of the decoder has two to this power entries.
 LIMIT = 18
@@ -47,7 +47,7 @@ def token_rows(docs: DataFrame, path: str, end_id: int) -> DataFrame:
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(path, False)
         for batch in batches:
-            rows = [np.append(coder.ids(t), coder.dtype(end_id)) for t in text_bytes(batch.column(1))]
+            rows = [np.append(ids, coder.dtype(end_id)) for ids in coder.ids_of(utf8(batch.column(1)))]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0), pa.array([len(r) for r in rows], pa.int64()), pa.array([zlib.crc32(r.astype("<u4").tobytes()) for r in rows], pa.int64()),

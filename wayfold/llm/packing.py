@@ -27,8 +27,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .common import text_bytes, written
-from .tokens import encoder
+from .common import written
+from .tokens import encoder, utf8
 
 CAPACITY = 2048
 #: Length classes of the linear program, at most.
@@ -48,8 +48,8 @@ def token_pieces(docs: DataFrame, path: str, end_id: int, capacity: int = CAPACI
         encode = encoder(path, True)
         for batch in batches:
             out: dict[str, list] = {n: [] for n in names}
-            for doc_id, text in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1))):
-                ids = np.append(encode.ids(text).astype("<u4"), np.uint32(end_id)).astype("<u4")
+            for doc_id, found in zip(batch.column(0).to_pylist(), encode.ids_of(utf8(batch.column(1)))):
+                ids = np.append(found.astype("<u4"), np.uint32(end_id)).astype("<u4")
                 for at in range(0, len(ids), capacity):
                     piece = ids[at : at + capacity].tobytes()
                     row = (doc_id, at, len(piece) // 4, zlib.crc32(piece), len(ids)) + (piece,) * with_ids

@@ -16,7 +16,6 @@ Other columns are not used.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,14 +23,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_bytes
-from .tokens import ChunkStore
+from .tokens import ChunkStore, utf8
 
 SPACE = "▁"
-#: Characters of texts whose new words are merged together, about.
-TOGETHER = 1 << 20
-
-_WORDS = re.compile(" [ ]*[^ ]*")
 _NONE = np.iinfo(np.int32).max
 
 
@@ -89,24 +83,13 @@ class PieceModel(ChunkStore):
         self.leads = np.array([not any(k) and p.startswith(SPACE) for p, k in zip(pieces, kinds)])
         super().__init__(np.uint16 if n <= 1 << 16 else np.uint32)
 
-    def words(self, text: str) -> list[str]:
-        """Words of a text; the first space of each is left out, and a line break stands before those that follow one."""
-        out: list[str] = []
-        if not text:
-            return out
-        text = text.replace(SPACE, " ")
-        for i, line in enumerate(text.split("\n")):
-            if i == 0:
-                out.extend(w[1:] for w in _WORDS.findall(" " + line)) if "  " in line or line.startswith(" ") else out.extend(line.split(" "))
-            elif "  " in line:
-                head = re.match("[^ ]*", line)[0]
-                out.append("\n" + head)
-                out.extend(w[1:] for w in _WORDS.findall(line[len(head) :]))
-            else:
-                head, *rest = line.split(" ")
-                out.append("\n" + head)
-                out.extend(rest)
-        return out
+    def cuts(self, data: np.ndarray, begins: np.ndarray) -> np.ndarray:
+        """At every line break and before every run of spaces; the space that the model puts before a text is its start."""
+        data[begins] = 0x20
+        space = data == 0x20
+        at = (data == 0x0A) | (space & ~np.concatenate([[False], space[:-1]]))
+        at[begins] = True
+        return np.flatnonzero(at)
 
     def _pairs(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The piece each pair merges to; n where there is none."""
@@ -115,8 +98,7 @@ class PieceModel(ChunkStore):
         return np.where(self.keys[at] == key, self.merged[at], self.n).astype(np.int32)
 
     def encode_new(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        whole = [w if w[:1] == "\n" else SPACE + w for w in new]
-        whole = [w.replace(" ", SPACE) for w in whole]
+        whole = [w.replace(" ", SPACE) for w in new]
         sizes = np.fromiter(map(len, whole), np.int64, len(whole))
         points = np.frombuffer("".join(whole).encode("utf-32-le"), "<u4").astype(np.int64)
         word = np.repeat(np.arange(len(whole)), sizes)
@@ -181,8 +163,11 @@ class PieceModel(ChunkStore):
             ids[np.repeat(sym >= self.n, count)] = self.byte[raw]
         return ids.astype(self.dtype), np.bincount(word, minlength=len(new))
 
-    def encode(self, text: str) -> np.ndarray:
-        return np.concatenate([[self.begin], self.look_up(self.words(text)), [self.end]]).astype("<u4")
+    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
+        """Ids of every text, with the begin and end ids."""
+        mark = SPACE.encode()
+        texts = [t.replace(mark, b" ") if mark in t else t for t in texts]
+        return [np.concatenate([[self.begin], ids, [self.end]]).astype("<u4") for ids in self.ids_of(texts)]
 
     def decode(self, ids: np.ndarray) -> str:
         sizes = self.text_size[ids]
@@ -211,16 +196,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = model_of(path)
         for batch in batches:
-            texts = text_bytes(batch.column(1))
-            held, size = [], 0
-            for t in texts:
-                held += model.words(t)
-                size += len(t)
-                if size > TOGETHER:
-                    model.learn(held)
-                    held, size = [], 0
-            model.learn(held)
-            rows = [model.encode(t) for t in texts]
+            rows = model.encode(utf8(batch.column(1)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(r) for r in rows], pa.int64()), pa.array([r.tobytes() for r in rows], pa.binary())], names=["doc_id", "n_tokens", "ids"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_tokens long, ids binary")

@@ -1,10 +1,14 @@
 """Whole texts to token ids in Arrow batches, each distinct chunk encoded once.
 
-A text is cut before white space that stands alone between two other characters.
-Neither vocabulary has a token that reaches over such a place, so the ids of the
-chunks, one after another, are the ids of the text. Chunks repeat far more than
-texts; a worker keeps the ids of those it has seen and calls the tokenizer for
-new ones alone. The store is emptied when it is full, which changes no result.
+A text is cut before runs of white space. No vocabulary here has a token that
+reaches over such a place from the left, so the ids of the chunks, one after
+another, are the ids of the text. Chunks repeat far more than texts: a worker keeps
+the ids of those it has seen and gives only new ones to the tokenizer.
+
+Chunks are found and looked up for a whole batch at once: up to 15 bytes and the
+length make an exact key of 128 bits, and a two-way table of such keys leads to the
+ids. Longer chunks and those that the table has no room for take a dictionary. The
+store is emptied when it is full, which changes no result.
 """
 
 from __future__ import annotations
@@ -13,16 +17,23 @@ import os
 import re
 
 import numpy as np
-
-#: Chunks whose ids a worker keeps at a time.
-STORE = 1_000_000
-#: Characters of the chunks that a worker keeps at a time.
-LETTERS = 20_000_000
-
-_ALONE = re.compile(r"(?<=\S)(?=\s\S)")
-_DOUBLE = re.compile(r"\s\s|^\s|\s$")
+import pyarrow as pa
+
+#: Chunks whose ids a worker keeps at a time, and their bytes.
+STORE, LETTERS = 1_000_000, 24_000_000
+#: Slots of the table.
+SLOT_BITS = 21
+#: Bytes of texts worked on together, about.
+TOGETHER = 1 << 22
+
+_START, _SPACE, _LINE = 0xFF, 0x20, 0x0A
+_KEY = 16
+#: White space of more than one byte.
+_WIDE_SPACE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
+_IS_SPACE = np.zeros(256, bool)
+_IS_SPACE[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True
 #: A word of Latin letters that no normal form changes, with the white space before and a stop after it: most chunks.
-_PLAIN = re.compile(r"([ \n]?)([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,]?)")
+_PLAIN = re.compile(r"([ \n]?)([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)")
 
 
 def _byte_letters() -> dict[int, str]:
@@ -38,73 +49,114 @@ def _byte_letters() -> dict[int, str]:
 _LETTERS = _byte_letters()
 
 
-def byte_level_chunks(text: str) -> list[str]:
-    """Chunks for a vocabulary whose tokens take the space before a word."""
-    if not text:
-        return []
-    if _DOUBLE.search(text):
-        return _ALONE.split(text)
-    return text.replace("\n", " \n").replace(" ", "\x00 ").replace("\x00 \n", "\x00\n").split("\x00") if "\x00" not in text else _ALONE.split(text)
-
-
-def word_chunks(text: str) -> list[str]:
-    """Chunks for a vocabulary that drops white space."""
-    return text.replace("\n", " ").split(" ")
-
-
 class ChunkStore:
-    """Ids of chunks, learned when first seen."""
+    """Ids of chunks, learned when first seen. A subclass says where texts are cut and encodes chunks."""
 
     def __init__(self, dtype: type):
         self.dtype = dtype
         self.empty()
 
     def empty(self) -> None:
-        self.at: dict[str, int] = {}
+        self.at: dict[bytes, int] = {}
         self.flat = np.empty(1 << 16, self.dtype)
         self.used = self.letters = 0
         self.starts = np.zeros(1 << 12, np.int64)
         self.sizes = np.zeros(1 << 12, np.int64)
+        self.slot_keys = np.zeros((1 << SLOT_BITS, 2), np.uint64)
+        self.slot_places = np.full(1 << SLOT_BITS, -1, np.int32)
+
+    # ---- what a subclass says
+
+    def cuts(self, data: np.ndarray, begins: np.ndarray) -> np.ndarray:
+        """Where chunks begin in ``data``, in which every text begins with a start byte at ``begins``."""
+        raise NotImplementedError
 
     def encode_new(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the chunks and how many each has."""
         raise NotImplementedError
 
-    def learn(self, chunks: list[str]) -> None:
-        """Ids of those chunks that are not known; the store is emptied first when they do not fit."""
+    def whole(self, text: bytes) -> np.ndarray | None:
+        """Ids of a text that cannot be cut; None for all others."""
+        return None
+
+    # ---- the store
+
+    def _learn(self, chunks: list[bytes]) -> np.ndarray:
+        """Places of chunks that the table did not have."""
         new = [c for c in dict.fromkeys(chunks) if c not in self.at]
-        if len(self.at) + len(new) > STORE or self.letters > LETTERS:
-            self.empty()
-            new = list(dict.fromkeys(chunks))
-        if not new:
-            return
-        ids, sizes = self.encode_new(new)
-        total, have = len(ids), len(self.at)
-        while self.used + total > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
-        while have + len(new) > len(self.starts):
-            self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
-            self.sizes = np.concatenate([self.sizes, np.zeros_like(self.sizes)])
-        self.flat[self.used : self.used + total] = ids
-        self.starts[have : have + len(new)] = self.used + np.cumsum(sizes) - sizes
-        self.sizes[have : have + len(new)] = sizes
-        self.at.update(zip(new, range(have, have + len(new))))
-        self.used += total
-        self.letters += sum(map(len, new))
-
-    def look_up(self, chunks: list[str]) -> np.ndarray:
-        """Ids of the chunks, one after another."""
-        if not chunks:
-            return np.empty(0, self.dtype)
-        try:
-            at = [self.at[c] for c in chunks]
-        except KeyError:
-            self.learn(chunks)
-            at = [self.at[c] for c in chunks]
-        at = np.array(at)
-        sizes = self.sizes[at]
+        if new:
+            ids, sizes = self.encode_new([c.lstrip(b"\xff").decode(errors="replace") for c in new])
+            total, have = len(ids), len(self.at)
+            while self.used + total > len(self.flat):
+                self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
+            while have + len(new) > len(self.starts):
+                self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
+                self.sizes = np.concatenate([self.sizes, np.zeros_like(self.sizes)])
+            self.flat[self.used : self.used + total] = ids
+            self.starts[have : have + len(new)] = self.used + np.cumsum(sizes) - sizes
+            self.sizes[have : have + len(new)] = sizes
+            self.at.update(zip(new, range(have, have + len(new))))
+            self.used += total
+            self.letters += sum(map(len, new))
+        return np.array([self.at[c] for c in chunks], np.int32)
+
+    def _places(self, data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The place of each chunk in the store."""
+        sizes = ends - begins
+        raw = data[np.minimum(begins[:, None] + np.arange(_KEY), len(data) - 1)]
+        raw[np.arange(_KEY) >= sizes[:, None]] = 0
+        raw[:, -1] = np.minimum(sizes, 255)
+        key = raw.view("<u8").astype(np.uint64, copy=False)
+        mixed = key[:, 0] * np.uint64(0x9E3779B97F4A7C15) ^ key[:, 1] * np.uint64(0xC2B2AE3D27D4EB4F)
+        mixed ^= mixed >> np.uint64(32)
+        mixed *= np.uint64(0xD6E8FEB86659FD93)
+        first = (mixed >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+        short = sizes < _KEY
+        place = np.full(len(begins), -1, np.int32)
+        for slot in (first, first ^ 1):
+            open_ = np.flatnonzero((place < 0) & short)
+            s = slot[open_]
+            hit = (self.slot_keys[s] == key[open_]).all(axis=1)
+            place[open_[hit]] = self.slot_places[s[hit]]
+        miss = np.flatnonzero(place < 0)
+        if len(miss):
+            buffer = data.tobytes()
+            place[miss] = self._learn([buffer[a:b] for a, b in zip(begins[miss].tolist(), ends[miss].tolist())])
+            kept = miss[short[miss]]
+            s = first[kept]
+            s = np.where(self.slot_places[s] < 0, s, s ^ 1)  # the second one, full or not, when the first is taken
+            s, one = np.unique(s, return_index=True)  # two new chunks may want one slot: one has it
+            self.slot_keys[s], self.slot_places[s] = key[kept[one]], place[kept[one]]
+        return place
+
+    def _some(self, data: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts in ``data`` and how many each text has."""
+        at = self.cuts(data, begins)
+        place = self._places(data, at, np.append(at[1:], len(data)))
+        sizes = self.sizes[place]
         ends = np.cumsum(sizes)
-        return self.flat[np.repeat(self.starts[at] - ends + sizes, sizes) + np.arange(ends[-1])]
+        total = int(ends[-1]) if len(ends) else 0
+        ids = self.flat[np.repeat(self.starts[place] - ends + sizes, sizes) + np.arange(total)]
+        counts = np.add.reduceat(sizes, np.searchsorted(at, begins)) if len(begins) else np.zeros(0, np.int64)
+        if len(self.at) > STORE or self.letters > LETTERS:
+            self.empty()
+        return ids, counts
+
+    def ids_of(self, texts: list[bytes]) -> list[np.ndarray]:
+        """Ids of every text, none added."""
+        out: list[np.ndarray | None] = [self.whole(t) if t else np.empty(0, self.dtype) for t in texts]
+        todo = [i for i, x in enumerate(out) if x is None]
+        while todo:
+            size, n = 0, 0
+            while n < len(todo) and (n == 0 or size < TOGETHER):
+                size, n = size + len(texts[todo[n]]) + 1, n + 1
+            now, todo = todo[:n], todo[n:]
+            data = np.frombuffer(b"\xff" + b"\xff".join(texts[i] for i in now), np.uint8).copy()
+            sizes = np.array([len(texts[i]) + 1 for i in now])
+            ids, counts = self._some(data, np.cumsum(sizes) - sizes)
+            for i, part in zip(now, np.split(ids, np.cumsum(counts)[:-1])):
+                out[i] = part
+        return out
 
 
 class ChunkEncoder(ChunkStore):
@@ -117,11 +169,27 @@ class ChunkEncoder(ChunkStore):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenize, self.word_ends = self.tokenizer.model.tokenize, word_ends
         self.small = {c: self.tokenizer.encode(c, add_special_tokens=False).ids for c in ".,\n"}
-        self.chunks = word_chunks if word_ends else byte_level_chunks
         #: strings that the tokenizer takes out of a text before all else
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         super().__init__(np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32)
 
+    def whole(self, text: bytes) -> np.ndarray | None:
+        if not any(s in text for s in self.special):
+            return None
+        return np.asarray(self.tokenizer.encode(text.decode(errors="replace"), add_special_tokens=False).ids, self.dtype)
+
+    def cuts(self, data: np.ndarray, begins: np.ndarray) -> np.ndarray:
+        if self.word_ends:  # white space is dropped: any place will do, and what stood there does not matter
+            at = (data == _SPACE) | (data == _LINE) | (data == _START)
+            data[at] = _SPACE
+            return np.flatnonzero(at)
+        at = ((data == _SPACE) | (data == _LINE)) & ~np.concatenate([[True], _IS_SPACE[data[:-1]]])
+        if (data >= 0x80).any():
+            for wide in _WIDE_SPACE.finditer(data.tobytes()):
+                at[wide.end() : wide.end() + 1] = False
+        at[begins] = True
+        return np.flatnonzero(at)
+
     def _word(self, text: str) -> list[int]:
         return [t.id for t in self.tokenize(text if text.isascii() else text.encode().decode("latin-1").translate(_LETTERS))]
 
@@ -144,12 +212,6 @@ class ChunkEncoder(ChunkStore):
         sizes = np.fromiter(map(len, got), np.int64, len(got))
         return np.fromiter((i for g in got for i in g), self.dtype, int(sizes.sum())), sizes
 
-    def ids(self, text: str) -> np.ndarray:
-        """Ids of one text, none appended."""
-        if any(s in text for s in self.special):
-            return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype)
-        return self.look_up(self.chunks(text))
-
 
 _made: dict[tuple[str, bool], ChunkEncoder] = {}
 
@@ -159,3 +221,8 @@ def encoder(path: str, word_ends: bool) -> ChunkEncoder:
     if (path, word_ends) not in _made:
         _made[path, word_ends] = ChunkEncoder(path, word_ends)
     return _made[path, word_ends]
+
+
+def utf8(column: pa.Array) -> list[bytes]:
+    """Texts of an Arrow column as bytes, null as empty."""
+    return [t or b"" for t in column.cast(pa.binary()).to_pylist()]
