@@ -98,7 +98,7 @@ def test_clusters_in_rounds_equal_clusters_in_a_task(spark):
     rng = random.Random(3)
     kinds = [("b", f"k{i}", sorted(rng.sample("abcdefgh", rng.randint(1, 5))) if rng.random() < 0.8 else None, rng.random() < 0.5, i) for i in range(40)]
     df = spark.createDataFrame([k for k in kinds if k[2] is not None or k[3]], "bucket string, kind string, evidence array<string>, like boolean, seen long")
-    task = df.groupBy("bucket").applyInPandas(E._cluster_in_task, "bucket string, kind string, cluster long")
+    task = df.groupBy("bucket").applyInPandas(E._cluster_in_task, "bucket string, kind string, cluster string")
     assert rows(task, "kind", "cluster") == rows(E._cluster_by_rounds(df), "kind", "cluster")
 
 
@@ -166,3 +166,10 @@ def test_timedelta_chunks_do_not_change_results(spark, portal):
     a = J.action_before_call(portal["net"], portal["actions"], chunk=timedelta(seconds=1))
     b = J.action_before_call(portal["net"], portal["actions"], chunk=timedelta(days=1))
     assert rows(a.select("id", F.coalesce("action_id", F.lit("")).alias("a")), "id", "a") == rows(b.select("id", F.coalesce("action_id", F.lit("")).alias("a")), "id", "a")
+
+
+def test_nothing_in_a_body_is_left_out(spark):
+    body = '{"rows":[' + ",".join(f'{{"k{i}":{i}}}' for i in range(100)) + "]}"
+    deep = '{"a":' * 12 + "1" + "}" * 12
+    n = S.shape_nodes(S.shape_visits(spark.createDataFrame([("x", body), ("y", deep), ("z", "[" * 5000)], "id string, response_body string"))).cache()
+    assert n.filter("id = 'x' and key is not null and key <> 'rows'").count() == 100 and n.filter("id = 'y' and type = 'number'").count() == 1 and n.filter("id = 'z'").count() == 0

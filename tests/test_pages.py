@@ -111,3 +111,11 @@ def test_har_there_and_back(spark, tmp_path):
     assert sum(len(d["log"]["entries"]) for d in docs) == 10 and all(d["log"]["pages"] for d in docs)
     back = {r.id: r for r in H.read_har(spark, f"{tmp_path}/har/*/*/*.txt").collect()}
     assert len(back) == 10 and back["net_0001"].url.endswith("/api/returns?page=1&size=10") and back["net_0010"].is_download and back["net_0001"].page_url == "https://portal.example.in/portal/"
+
+
+def test_long_cells_and_fields_keep_their_length(spark):
+    page = f"<table><tr><th>H</th></tr><tr><td>{'x' * 5000}</td></tr></table><textarea id='t'>{'y' * 3000}</textarea><h1>{'z' * 400}</h1><h2>{'z' * 400}!</h2>"
+    nodes = G.page_nodes(spark.createDataFrame([(1, page)], "page_id long, html string")).cache()
+    assert G.tables(nodes).first().first_row == ["<5000 chars>"]
+    assert [r.value for r in G.controls(nodes).collect()] == ["<3000 chars>"]
+    assert sorted(len(r.heading) for r in G.page_outline(nodes).collect()) == [400, 401]

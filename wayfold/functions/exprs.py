@@ -74,3 +74,21 @@ def rank_of(c: Column, order: Sequence[str]) -> Column:
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Bind a costly expression once and use it several times in ``body``."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+# ------------------------------------------------- limits that a caller may ask for
+
+
+def shortened(c: Column, chars: int | None) -> Column:
+    """The first ``chars`` characters, or all of them."""
+    return c if chars is None else F.substring(c, 1, chars)
+
+
+def first_of(items: Column, n: int | None) -> Column:
+    """The first ``n`` items of an array, or all of them."""
+    return items if n is None else F.slice(items, 1, n)
+
+
+def at_most(number: Column, n: int | None) -> Column:
+    """Whether a row number is within ``n``; always without a limit."""
+    return F.lit(True) if n is None else number <= n

@@ -23,8 +23,11 @@ NODE_SCHEMA = (
     "idx int, parent int, tag string, attrs map<string,string>, text string, text_len int, path array<int>, depth int, sib int, n_kids int"
 )
 
-#: Names are cut far below this, so longer text is never compared in full.
-NAME_TEXT = 1000
+#: Elements that hold a page rather than say something: unless a class or role says otherwise,
+#: they carry the beginning of what is in them, so that memory stays linear in the page.
+HOLDERS = frozenset("html head body main article section aside div nav header footer form fieldset ul ol dl table thead tbody tfoot tr".split())
+SAYS = re.compile(r"title|heading|error|invalid|danger|alert|info|note|step|wizard|button|option|tab\b", re.I)
+HOLDER_TEXT = 1000
 
 
 class _Walk(HTMLParser):
@@ -93,7 +96,8 @@ class HtmlNodes:
         for row in walk.rows:
             own = row["own"]
             text = own if own is not None else re.sub(r"\s+", " ", " ".join(heard[row["idx"]])).strip()
-            shown = text if own is not None else text[:NAME_TEXT]
+            holds = row["tag"] in HOLDERS and not SAYS.search(f"{row['attrs'].get('class', '')} {row['attrs'].get('role', '')}")
+            shown = text[:HOLDER_TEXT] if holds else text
             yield row["idx"], row["parent"], row["tag"], row["attrs"], shown, len(text), row["path"], len(row["path"]), row["sib"], row["kids"]
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import patterns as P
-from .exprs import as_col, decode_percent, literal_array, squeeze, strip, text, word_tokens
+from .exprs import as_col, decode_percent, first_of, literal_array, squeeze, strip, text, word_tokens
 from .redaction import scrub_expr
 
 ID = "{id}"
@@ -112,15 +112,15 @@ def route_or_path(route: Column | str, pathname: Column | str) -> Column:
     return F.coalesce(F.nullif(as_col(route), F.lit("")), F.nullif(as_col(pathname), F.lit("")), F.lit("/"))
 
 
-def query_keys(url: Column | str, packs: Sequence[str] | None = ("generic",), limit: int = 40) -> Column:
-    """Names from the query and from a fragment query, sorted, at most ``limit``."""
+def query_keys(url: Column | str, packs: Sequence[str] | None = ("generic",), limit: int | None = None) -> Column:
+    """Names from the query and from a fragment query, sorted, ``limit`` of them if asked."""
     u = text(url)
     frag = _fragment(u)
     frag_query = F.when(frag.contains("?"), F.substring(frag, F.instr(frag, "?") + 1, F.length(frag))).otherwise("")
     names = F.concat(parameter_names(F.regexp_extract(u, P.URL, 4)), parameter_names(frag_query))
     if packs:
         names = F.filter(F.transform(names, lambda n: scrub_expr(n, packs)), lambda n: n != "")
-    return F.slice(F.array_sort(F.array_distinct(names)), 1, limit)
+    return first_of(F.array_sort(F.array_distinct(names)), limit)
 
 
 def _fold_dots(path: Column) -> Column:

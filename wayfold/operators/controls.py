@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
-from ..functions.exprs import norm, rank_of, text
+from ..functions.exprs import first_of, norm, rank_of, text
 from ..functions.urls import route_or_path
 from .records import first_of_key
 
@@ -17,12 +17,18 @@ _STABLE_ATTRIBUTE = r"^\[(data-testid|data-test|data-cy|data-qa|data-test-id|dat
 _LIKELY_ATTRIBUTE = r"^\[(formcontrolname|name)=|aria-label="
 
 
+def _ids(df: DataFrame, by: Sequence[str]) -> list[str]:
+    """What makes an id unique: the keys, and the session where there is one."""
+    return list(dict.fromkeys([*by, *(c for c in ("session",) if c in df.columns)]))
+
+
 def controls_of(states: DataFrame, *, by: Sequence[str] = ("origin",)) -> DataFrame:
     """One row per control per state, with the route it was seen on."""
+    ids = _ids(states, by)
     return states.select(
-        *by, F.col("id").alias("state_id"), F.col("seq").alias("state_seq"), route_or_path("route", "pathname").alias("route"),
+        *ids, F.col("id").alias("state_id"), F.col("seq").alias("state_seq"), route_or_path("route", "pathname").alias("route"),
         F.posexplode("controls").alias("pos", "c"),
-    ).select(*by, "state_id", "state_seq", "route", "pos", "c.*")
+    ).select(*ids, "state_id", "state_seq", "route", "pos", "c.*")
 
 
 def varying_ids(controls: DataFrame, *, by: Sequence[str] = ("origin",)) -> DataFrame:
@@ -54,7 +60,7 @@ def effective_controls(controls: DataFrame, varying: DataFrame, *, by: Sequence[
             "eff_key": key,
             "sel": F.struct(
                 primary.alias("primary"),
-                F.when(demote, F.slice(others, 2, 1000)).otherwise(F.col("selectors.fallbacks")).alias("fallbacks"),
+                F.when(demote, F.slice(others, F.lit(2), F.size(others))).otherwise(F.col("selectors.fallbacks")).alias("fallbacks"),
                 F.col("selectors.shadow_path").alias("shadow_path"),
                 F.when(demote, judged).otherwise(F.col("selectors.stability")).alias("stability"),
             ),
@@ -76,6 +82,7 @@ def merge_controls(controls: DataFrame, *, by: Sequence[str] = ("origin",)) -> D
     n_options = F.coalesce(F.size("options"), F.lit(-1))
     credential = F.coalesce("redacted_entirely", F.lit(False))
     known = F.coalesce(F.col("entry.mode"), F.lit("unknown")) != "unknown"
+    state = [c for c in ("session", "state_id") if c in controls.columns]
     rolled = controls.groupBy(*by, F.col("eff_key"), norm("label").alias("variant"), "type").agg(
         F.min(seen).alias("first_seen"),
         F.min_by("route", seen).alias("first_route"),
@@ -89,7 +96,7 @@ def merge_controls(controls: DataFrame, *, by: Sequence[str] = ("origin",)) -> D
         F.min_by("entry", when(F.col("entry").isNotNull(), F.struct(~known, seen))).alias("entry"),
         F.max(credential).alias("redacted_entirely"),
         F.max("id_varies").alias("id_varies"),
-        F.count_distinct("state_id").alias("n_states"),
+        F.count_distinct(*state).alias("n_states"),
     )
     variants = rolled.groupBy(*by, "eff_key").agg(F.count(F.lit(1)).alias("n_variants"))
     whole = rolled.join(variants, [*by, "eff_key"])
@@ -105,9 +112,10 @@ def merge_controls(controls: DataFrame, *, by: Sequence[str] = ("origin",)) -> D
 
 def control_sightings(controls: DataFrame, merged: DataFrame, *, by: Sequence[str] = ("origin",)) -> DataFrame:
     """``(by…, key, state_id)`` pairs, and through which state-level key each was found."""
-    slim = controls.select(*by, "state_id", "eff_key", F.col("key").alias("state_key"), norm("label").alias("variant"), "type")
+    ids = _ids(controls, by)
+    slim = controls.select(*ids, "state_id", "eff_key", F.col("key").alias("state_key"), norm("label").alias("variant"), "type")
     keys = merged.select(*by, "eff_key", "variant", F.col("type").alias("__type"), "key")
-    return slim.join(keys, [*by, "eff_key", "variant"]).filter(F.col("type").eqNullSafe(F.col("__type"))).select(*by, "key", "state_id", "state_key").distinct()
+    return slim.join(keys, [*by, "eff_key", "variant"]).filter(F.col("type").eqNullSafe(F.col("__type"))).select(*ids, "key", "state_id", "state_key").distinct()
 
 
 def alternate_keys(controls: DataFrame, merged: DataFrame, *, by: Sequence[str] = ("origin",)) -> DataFrame:
@@ -127,13 +135,14 @@ def collisions(merged: DataFrame, *, by: Sequence[str] = ("origin",)) -> DataFra
 
 def promote_widgets(merged: DataFrame, edges: DataFrame, sightings: DataFrame, *, by: Sequence[str] = ("origin",)) -> DataFrame:
     """Marks a control as a widget when clicking it made new controls appear."""
+    ids = _ids(sightings, by)
     clicks = edges.filter(F.col("trigger").startswith("click:") & (F.size("fields_added") > 0)).select(
-        *by, F.col("from_id").alias("state_id"), norm(F.substring(F.col("trigger"), F.lit(7), F.length("trigger"))).alias("__clicked"),
+        *ids, F.col("from_id").alias("state_id"), norm(F.substring(F.col("trigger"), F.lit(7), F.length("trigger"))).alias("__clicked"),
         F.size("fields_added").alias("__n"), F.col("to_id").alias("__to"),
     )
     spoken = merged.select(*by, "key", F.explode(F.array_distinct(F.array(F.substring(norm("label"), 1, 40), F.substring(norm("key"), 1, 40)))).alias("__clicked"))
     hits = (
-        sightings.select(*by, "key", "state_id").distinct().join(spoken, [*by, "key"]).join(clicks, [*by, "state_id", "__clicked"])
+        sightings.select(*ids, "key", "state_id").distinct().join(spoken, [*by, "key"]).join(clicks, [*ids, "state_id", "__clicked"])
         .groupBy(*by, "key").agg(F.min_by(F.concat(F.lit("click opened "), F.col("__n").cast("string"), F.lit(" new control(s) in "), "__to"), F.col("__to")).alias("__why"))
     )
     unknown = F.col("entry.mode") == "unknown"
@@ -144,19 +153,21 @@ def promote_widgets(merged: DataFrame, edges: DataFrame, sightings: DataFrame, *
 
 def link_dependencies(deps: DataFrame, sightings: DataFrame, *, by: Sequence[str] = ("origin",)) -> DataFrame:
     """``(by…, source, target, endpoint)``: which merged control drives which."""
-    look = sightings.select(*by, "state_id", F.col("state_key"), "key").distinct()
-    spread = deps.select(*by, "state_id", "source_key", "endpoint", F.explode_outer("target_keys").alias("target_key"))
+    ids = _ids(sightings, by)
+    look = sightings.select(*ids, "state_id", F.col("state_key"), "key").distinct()
+    spread = deps.select(*ids, "state_id", "source_key", "endpoint", F.explode_outer("target_keys").alias("target_key"))
     src = look.withColumnsRenamed({"state_key": "source_key", "key": "__src"})
     dst = look.withColumnsRenamed({"state_key": "target_key", "key": "__dst"})
-    joined = spread.join(src, [*by, "state_id", "source_key"], "left").join(dst, [*by, "state_id", "target_key"], "left")
+    joined = spread.join(src, [*ids, "state_id", "source_key"], "left").join(dst, [*ids, "state_id", "target_key"], "left")
     return joined.select(*by, F.coalesce("__src", "source_key").alias("source"), F.coalesce("__dst", "target_key").alias("target"), "endpoint").distinct()
 
 
 def merge_lists(states: DataFrame, *, by: Sequence[str] = ("origin",)) -> DataFrame:
     """Distinct list patterns by kind and selector: first state, number of states, longest header row."""
+    ids = _ids(states, by)
     part = lambda kind, col, sel, headers, size: states.select(
-        *by, F.col("id").alias("state_id"), F.col("seq").alias("state_seq"), F.explode(f"lists.{col}").alias("p")
-    ).select(*by, "state_id", "state_seq", F.lit(kind).alias("kind"), F.col(f"p.{sel}").alias("selector"),
+        *ids, F.col("id").alias("state_id"), F.col("seq").alias("state_seq"), F.explode(f"lists.{col}").alias("p")
+    ).select(*ids, "state_id", "state_seq", F.lit(kind).alias("kind"), F.col(f"p.{sel}").alias("selector"),
              (F.col("p.headers") if headers else F.lit(None).cast("array<string>")).alias("headers"),
              (F.col(f"p.{size}") if size else F.lit(None).cast("bigint")).alias("n_rows"))
     every = (
@@ -166,7 +177,7 @@ def merge_lists(states: DataFrame, *, by: Sequence[str] = ("origin",)) -> DataFr
         .unionByName(part("download", "downloads", "selector", False, None))
     )
     return every.filter(text("selector") != "").groupBy(*by, "kind", "selector").agg(
-        F.min_by("state_id", "state_seq").alias("first_state_id"), F.count_distinct("state_id").alias("n_states"),
+        F.min_by("state_id", "state_seq").alias("first_state_id"), F.count_distinct(*ids, "state_id").alias("n_states"),
         F.max_by("headers", F.struct(F.size("headers"), -F.col("state_seq"))).alias("headers"), F.max("n_rows").alias("n_rows"),
     )
 
@@ -175,11 +186,11 @@ def selectors_file(merged: DataFrame, *, by: Sequence[str] = ("origin",)) -> Dat
     return merged.select(*by, "key", F.col("selectors.primary").alias("primary"), F.col("selectors.fallbacks").alias("fallbacks"), F.col("selectors.shadow_path").alias("shadow_path"))
 
 
-def reference_data(merged: DataFrame, *, by: Sequence[str] = ("origin",), limit: int = 60) -> DataFrame:
-    """Option lists of controls, at most ``limit`` shown, with the real size."""
+def reference_data(merged: DataFrame, *, by: Sequence[str] = ("origin",), limit: int | None = None) -> DataFrame:
+    """Option lists of controls with their size; ``limit`` options are shown if asked."""
     return merged.filter(F.size("options") > 0).select(
         *by, "key", "label", F.size("options").alias("n_options"),
-        F.array_join(F.transform(F.slice("options", 1, limit), lambda o: F.concat_ws("=", o["v"], o["t"])), ", ").alias("options"),
+        F.array_join(F.transform(first_of(F.col("options"), limit), lambda o: F.concat_ws("=", o["v"], o["t"])), ", ").alias("options"),
     )
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import patterns as P
-from ..functions.exprs import squeeze, text
+from ..functions.exprs import at_most, squeeze, text
 from ..functions.names import cell, code, shorten, state_stem
 from ..functions.urls import menu_id, route_or_path
 from .sitemap import _prefixes
@@ -18,7 +18,6 @@ SITE = ("origin",)
 
 # ---- fixed values: order of hint classes and how many are shown --------------
 HINT_CLASSES = ("menu", "view", "paging", "open", "download")
-MAX_HINTS = 30
 
 
 def _plain(c: Column | str) -> Column:
@@ -116,8 +115,8 @@ def coverage_totals(covered: DataFrame, pages: DataFrame, options: DataFrame, li
     return out.select(*by, *names).fillna(0, names)
 
 
-def coverage_hints(covered: DataFrame, gaps: DataFrame, *, by: Sequence[str] = SITE, limit: int = MAX_HINTS) -> DataFrame:
-    """The most valuable findings per site: menu, views, paging, opening, downloads."""
+def coverage_hints(covered: DataFrame, gaps: DataFrame, *, by: Sequence[str] = SITE, limit: int | None = None) -> DataFrame:
+    """Findings per site, the most valuable first (``limit`` of them if asked): menu, views, paging, opening, downloads."""
     menu = covered.filter(~F.col("covered")).select(
         *by, F.lit("menu").alias("class"), F.lit(0).cast("bigint").alias("first_seq"), F.to_json("preorder").alias("place"),
         F.concat(F.lit('Menu item "'), _plain(F.array_join("path", " > ")), F.lit('" was seen but never opened.')).alias("sentence"),
@@ -126,7 +125,7 @@ def coverage_hints(covered: DataFrame, gaps: DataFrame, *, by: Sequence[str] = S
     rank = F.array_position(F.array(*[F.lit(c) for c in HINT_CLASSES]), F.col("class"))
     # A row_number under a small limit is cut down on the map side before the shuffle.
     order = Window.partitionBy(*by).orderBy(rank, "first_seq", "place", "sentence")
-    return every.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= limit).select(*by, "n", "class", "sentence")
+    return every.withColumn("n", F.row_number().over(order)).filter(at_most(F.col("n"), limit)).select(*by, "n", "class", "sentence")
 
 
 # ----------------------------------------------------------------- reports
@@ -166,12 +165,12 @@ def page_inventory(states: DataFrame) -> DataFrame:
     )
 
 
-def recent_states(states: DataFrame, edges: DataFrame, *, by: Sequence[str] = ("session",), keep: int = 60) -> DataFrame:
-    """The last ``keep`` states per session, flagged where new controls appeared."""
+def recent_states(states: DataFrame, edges: DataFrame, *, by: Sequence[str] = ("session",), keep: int | None = None) -> DataFrame:
+    """States per session (the last ``keep`` if asked), flagged where new controls appeared."""
     from .records import retain_latest
 
     fresh = edges.filter(F.size("fields_added") > 0).select("session", F.col("to_id").alias("id")).distinct().withColumn("new_controls", F.lit(True))
-    return retain_latest(states, keep, by=by).join(fresh, ["session", "id"], "left").fillna(False, ["new_controls"])
+    return (states if keep is None else retain_latest(states, keep, by=by)).join(fresh, ["session", "id"], "left").fillna(False, ["new_controls"])
 
 
 def attention_list(states: DataFrame, merged: DataFrame, sightings: DataFrame | None = None, *, by: Sequence[str] = SITE) -> DataFrame:

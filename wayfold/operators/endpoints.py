@@ -24,7 +24,6 @@ from .records import assign_ids
 
 # ---- fixed values: when two templates are one endpoint ----------------------
 SHAPE_MATCH = 0.7
-MAX_PASSES = 3
 #: Buckets with more distinct kinds of evidence than this are clustered by rounds of joins.
 KINDS_PER_TASK = 2000
 
@@ -89,9 +88,10 @@ def _same_kind(a_ev: Column, a_like: Column, b_ev: Column, b_like: Column) -> Co
 
 def _cluster_in_task(pdf: pd.DataFrame) -> pd.DataFrame:
     """First-come clusters of one bucket's kinds; the founder's evidence decides."""
-    founders: list[tuple[frozenset | None, bool, int]] = []
+    founders: list[tuple[frozenset | None, bool, str]] = []
     labels = []
-    for evidence, like, seen in pdf.sort_values("seen")[["evidence", "like", "seen"]].itertuples(index=False):
+    pdf = pdf.sort_values(["seen", "kind"])
+    for evidence, like, kind in pdf[["evidence", "like", "kind"]].itertuples(index=False):
         mine = None if evidence is None else frozenset(evidence)
         home = None
         for other, other_like, label in founders:
@@ -103,12 +103,10 @@ def _cluster_in_task(pdf: pd.DataFrame) -> pd.DataFrame:
                 home = label
                 break
         if home is None:
-            home = int(seen)
+            home = kind
             founders.append((mine, like, home))
         labels.append(home)
-    out = pdf.sort_values("seen").copy()
-    out["cluster"] = labels
-    return out[["bucket", "kind", "cluster"]]
+    return pdf.assign(cluster=labels)[["bucket", "kind", "cluster"]]
 
 
 def _cluster_by_rounds(kinds: DataFrame) -> DataFrame:
@@ -120,13 +118,13 @@ def _cluster_by_rounds(kinds: DataFrame) -> DataFrame:
     """
     done, left = None, cut_lineage(kinds)
     while True:
-        founder = left.groupBy("bucket").agg(F.min_by(F.struct("evidence", "like", "seen"), "seen").alias("f"))
+        founder = left.groupBy("bucket").agg(F.min_by(F.struct("evidence", "like", "seen", "kind"), F.struct("seen", "kind")).alias("f"))
         met = cut_lineage(
             left.join(founder, "bucket").withColumn(
-                "same", (F.col("seen") == F.col("f.seen")) | _same_kind(F.col("evidence"), F.col("like"), F.col("f.evidence"), F.col("f.like"))
+                "same", (F.col("kind") == F.col("f.kind")) | _same_kind(F.col("evidence"), F.col("like"), F.col("f.evidence"), F.col("f.like"))
             )
         )
-        part = met.filter("same").select("bucket", "kind", F.col("f.seen").alias("cluster"))
+        part = met.filter("same").select("bucket", "kind", F.col("f.kind").alias("cluster"))
         done = part if done is None else done.unionByName(part)
         left = met.filter(~F.col("same")).select(*kinds.columns)
         if left.limit(1).count() == 0:
@@ -136,7 +134,7 @@ def _cluster_by_rounds(kinds: DataFrame) -> DataFrame:
 def _clusters(kinds: DataFrame) -> DataFrame:
     sizes = kinds.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
     sized = kinds.join(sizes, "bucket")
-    schema = "bucket string, kind string, cluster long"
+    schema = "bucket string, kind string, cluster string"
     small = sized.filter(F.col("n") <= KINDS_PER_TASK).drop("n").groupBy("bucket").applyInPandas(_cluster_in_task, schema)
     large = sized.filter(F.col("n") > KINDS_PER_TASK).drop("n")
     if large.limit(1).count() == 0:
@@ -168,14 +166,14 @@ def _fold_position(templates: DataFrame, keys: Sequence[str], pos: int, with_evi
         kinds = values.groupBy("bucket", "kind").agg(F.first("evidence").alias("evidence"), F.first("like").alias("like"), F.min("seen").alias("seen"))
         member = values.join(_clusters(kinds), ["bucket", "kind"]).select("bucket", "value", "cluster")
     else:
-        member = marked.filter(F.col("bucket").isNotNull() & F.col("like")).select("bucket", "value").distinct().withColumn("cluster", F.lit(0).cast("long"))
+        member = marked.filter(F.col("bucket").isNotNull() & F.col("like")).select("bucket", "value").distinct().withColumn("cluster", F.lit("0"))
     shared = member.groupBy("bucket", "cluster").agg(
         F.min("value").alias("lo"), F.max("value").alias("hi"),
         F.min(_extension(F.col("value"))).alias("e_lo"), F.max(_extension(F.col("value"))).alias("e_hi"),
     ).filter(F.col("lo") != F.col("hi"))
     template = F.when((F.col("e_lo") == F.col("e_hi")) & (F.col("e_lo") != ""), F.concat(F.lit(ID + "."), F.col("e_lo"))).otherwise(ID)
     renamed = member.join(shared.select("bucket", "cluster", template.alias("__to")), ["bucket", "cluster"]).select("bucket", "value", "__to")
-    folded = marked.join(renamed, ["bucket", "value"], "left")
+    folded = marked.join(renamed, ["bucket", "value"], "left").withColumn("moved", F.coalesce(F.col("__to") != F.col("value"), F.lit(False)))
     return folded.withColumn(
         "segs",
         F.when(F.col("__to").isNull(), F.col("segs")).otherwise(F.transform("segs", lambda s, i: F.when(i == pos, F.col("__to")).otherwise(s))),
@@ -188,7 +186,8 @@ def template_by_variance(calls: DataFrame, *, by: Sequence[str] = ()) -> DataFra
     Works on distinct templates, not calls. Optional array columns
     ``response_paths`` / ``request_paths`` (leaf paths of each body) with
     ``status`` are the evidence that values belong together; without evidence
-    values have to carry a digit. Passes stop when nothing changes, at three.
+    values have to carry a digit. Passes stop when nothing changes: each folds at
+    least one template, so they end.
     """
     keys = [*by, "method", "host"]
     have = set(calls.columns)
@@ -204,29 +203,28 @@ def template_by_variance(calls: DataFrame, *, by: Sequence[str] = ()) -> DataFra
             pairs = shaped.select(*keys, "segs", F.explode_outer(source).alias("__p")).distinct()
             sets = pairs.groupBy(*keys, "segs").agg(F.array_sort(F.collect_set("__p")).alias(name))
             templates = templates.join(sets, [*keys, "segs"], "left")
-    templates = cut_lineage(templates.withColumn("raw", F.col("segs")))
-    for _ in range(MAX_PASSES):
+    templates = cut_lineage(templates.withColumn("raw", F.col("segs")).withColumn("moved", F.lit(False)))
+    while True:
         changed, pos = False, 0
         while True:
             ahead = _candidates(templates, keys, pos, with_evidence)
             if not ahead:
                 break
             pos = ahead[0]
-            before = templates
             templates = cut_lineage(_fold_position(templates, keys, pos, with_evidence))
-            moved = templates.select(*keys, "raw", "segs").exceptAll(before.select(*keys, "raw", "segs")).limit(1).count()
-            changed = changed or moved > 0
+            changed = changed or templates.filter("moved").limit(1).count() > 0
             pos += 1
         if not changed:
             break
     return templates.select(*keys, _path("raw").alias("raw_path"), _path("segs").alias("path"), "first_seq")
 
 
-def group_endpoints(calls: DataFrame, *, by: Sequence[str] = (), fold_variance: bool = True) -> tuple[DataFrame, DataFrame]:
+def group_endpoints(calls: DataFrame, *, by: Sequence[str] = (), fold_variance: bool = True, keep: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
     """``(endpoints, call_map)`` from :func:`parsed_calls`.
 
     Endpoints are numbered in order of first call; the scheme is that of the
-    first call.
+    first call. ``keep`` names columns that identify a call beside its id, as the
+    session does where ids begin anew in each.
     """
     keys = [*by, "method", "host"]
     routed = calls.withColumn("raw_path", _path("segs"))
@@ -240,7 +238,7 @@ def group_endpoints(calls: DataFrame, *, by: Sequence[str] = (), fold_variance:
     )
     named = assign_ids(groups, keys=["method", "host", "path"], first="first_seq", prefix="api_", by=by, out="endpoint_id").drop("first_seen")
     endpoints = groups.join(named, [*keys, "path"]).withColumn("url_template", F.concat("scheme", F.lit("://"), "host", "path"))
-    call_map = routed.join(named, [*keys, "path"]).select(*by, "net_id", "endpoint_id", "seq", "method", "path", "query_keys")
+    call_map = routed.join(named, [*keys, "path"]).select(*dict.fromkeys([*by, *keep]), "net_id", "endpoint_id", "seq", "method", "path", "query_keys")
     return endpoints, call_map
 
 
@@ -281,13 +279,14 @@ def attribute_calls(net: DataFrame, states: DataFrame, *, by: Sequence[str] = ("
 # ----------------------------------------------------------------- catalog
 
 
-def write_hints(endpoints: DataFrame, call_map: DataFrame, net: DataFrame, *, by: Sequence[str] = ()) -> DataFrame:
+def write_hints(endpoints: DataFrame, call_map: DataFrame, net: DataFrame, *, by: Sequence[str] = (), session: Sequence[str] = ()) -> DataFrame:
     """``(by…, endpoint_id, write_hint)``: why an endpoint may change data, NULL when it only reads."""
     word = F.get(F.filter(F.transform(F.split("path", "/"), write_verb), lambda w: w.isNotNull()), F.lit(0))
     by_name = F.when(F.col("method").isin(*P.WRITE_METHODS), F.concat(F.lit("method "), F.col("method"))).when(
         ~F.col("method").isin(*P.READ_METHODS) & word.isNotNull(), F.concat(F.lit('path word "'), word, F.lit('"'))
     )
-    bodies = net.select(*by, F.col("id").alias("net_id"), "request_body").filter(text("request_body").rlike(r"^\s*\{"))
+    ids = list(dict.fromkeys([*by, *session]))
+    bodies = net.select(*ids, F.col("id").alias("net_id"), "request_body").filter(text("request_body").rlike(r"^\s*\{"))
     fields = F.map_entries(F.from_json("request_body", "map<string,variant>"))
     value = lambda e: F.try_variant_get(e["value"], "$", "string")
     hit = F.filter(
@@ -298,7 +297,7 @@ def write_hints(endpoints: DataFrame, call_map: DataFrame, net: DataFrame, *, by
     spoken = (
         bodies.withColumn("__hint", named)
         .filter(F.col("__hint").isNotNull())
-        .join(call_map.filter(~F.col("method").isin(*P.READ_METHODS)).select(*by, "net_id", "endpoint_id", "seq"), [*by, "net_id"])
+        .join(call_map.filter(~F.col("method").isin(*P.READ_METHODS)).select(*ids, "net_id", "endpoint_id", "seq"), [*ids, "net_id"])
         .groupBy(*by, "endpoint_id")
         .agg(F.min_by("__hint", F.struct("seq", "net_id")).alias("__spoken"))
     )
@@ -323,23 +322,28 @@ def response_split(status: Column | str = "status") -> Column:
 
 
 def api_catalog(net: DataFrame, states: DataFrame, actions: DataFrame, *, by: Sequence[str] = ("session",), base: Column | None = None,
-                fold_variance: bool = True, chunk=None) -> dict[str, DataFrame]:
+                fold_variance: bool = True, chunk=None, session: Sequence[str] = ("session",)) -> dict[str, DataFrame]:
     """The catalog as a parent table and child tables.
 
+    Endpoints are those of ``by``; ids are joined within ``session``, where they are
+    unique, and child tables of ids carry it.
+
     ``endpoints`` has one row per endpoint; ``endpoint_params`` its query keys,
     ``endpoint_calls``, ``endpoint_states``, ``endpoint_actions`` and
     ``endpoint_routes`` the pairs; ``endpoint_statuses`` the status counts.
     """
     have = set(net.columns)
-    calls = parsed_calls(net, by=by, base=base, keep=["status", "response_paths", "request_paths"])
-    endpoints, call_map = group_endpoints(calls, by=by, fold_variance=fold_variance)
+    ids = list(dict.fromkeys([*by, *session]))
+    calls = parsed_calls(net, by=ids, base=base, keep=["status", "response_paths", "request_paths"])
+    endpoints, call_map = group_endpoints(calls, by=by, fold_variance=fold_variance, keep=session)
     ek = [*by, "endpoint_id"]
+    ik = list(dict.fromkeys([*ek, *session]))
     facts = call_map.join(
-        net.select(*by, F.col("id").alias("net_id"), "status", "mime_type", "is_download", "page_url", F.col("action_id_at_time").alias("action_id"),
+        net.select(*ids, F.col("id").alias("net_id"), "status", "mime_type", "is_download", "page_url", F.col("action_id_at_time").alias("action_id"),
                    *(["has_full_body"] if "has_full_body" in have else [])),
-        [*by, "net_id"],
+        [*ids, "net_id"],
     )
-    fed = attribute_calls(net, states, by=by, chunk=chunk)
+    fed = attribute_calls(net, states, by=ids, chunk=chunk)
     flags = facts.groupBy(*ek).agg(
         F.max(F.coalesce("is_download", F.lit(False))).alias("is_download"),
         (F.max(F.coalesce("has_full_body", F.lit(False))) if "has_full_body" in have else F.lit(False)).alias("has_full_body"),
@@ -349,32 +353,32 @@ def api_catalog(net: DataFrame, states: DataFrame, actions: DataFrame, *, by: Se
         .groupBy(*ek, "query_key").agg(F.count(F.lit(1)).alias("n_calls"))
         .withColumn("is_paging", is_paging_param("query_key"))
     )
-    state_route = states.select(*by, F.col("id").alias("state_id"), route_or_path("route", "pathname").alias("__state_route"))
-    action_route = actions.select(*by, F.col("id").alias("action_id"), F.nullif(F.col("route"), F.lit("")).alias("__action_route"))
+    state_route = states.select(*ids, F.col("id").alias("state_id"), route_or_path("route", "pathname").alias("__state_route"))
+    action_route = actions.select(*ids, F.col("id").alias("action_id"), F.nullif(F.col("route"), F.lit("")).alias("__action_route"))
     placed = (
-        facts.join(fed, [*by, "net_id"], "left")
-        .join(state_route, [*by, "state_id"], "left")
-        .join(action_route, [*by, "action_id"], "left")
+        facts.join(fed, [*ids, "net_id"], "left")
+        .join(state_route, [*ids, "state_id"], "left")
+        .join(action_route, [*ids, "action_id"], "left")
         .withColumn("route", F.coalesce("__state_route", "__action_route", path_of("page_url")))
     )
 
-    def pairs(column: str) -> DataFrame:
-        return placed.filter(F.coalesce(F.col(column), F.lit("")) != "").groupBy(*ek, column).agg(F.min("seq").alias("first_seq"))
+    def pairs(column: str, keys: Sequence[str]) -> DataFrame:
+        return placed.filter(F.coalesce(F.col(column), F.lit("")) != "").groupBy(*keys, column).agg(F.min("seq").alias("first_seq"))
 
     parent = (
         endpoints.join(common_mime(facts, by=ek), ek, "left")
         .join(flags, ek, "left")
-        .join(write_hints(endpoints, call_map, net, by=by), ek, "left")
+        .join(write_hints(endpoints, call_map, net, by=by, session=session), ek, "left")
         .withColumn("mime_type", F.coalesce("mime_type", F.lit("")))
     )
     return {
         "endpoints": parent,
         "endpoint_params": params,
         "endpoint_statuses": facts.filter(F.col("status").isNotNull()).groupBy(*ek, "status").agg(F.count(F.lit(1)).alias("n_calls")),
-        "endpoint_calls": call_map.select(*ek, "net_id", "seq"),
-        "endpoint_states": pairs("state_id"),
-        "endpoint_actions": pairs("action_id"),
-        "endpoint_routes": pairs("route"),
+        "endpoint_calls": call_map.select(*ik, "net_id", "seq"),
+        "endpoint_states": pairs("state_id", ik),
+        "endpoint_actions": pairs("action_id", ik),
+        "endpoint_routes": pairs("route", ek),
     }
 
 
@@ -383,9 +387,12 @@ def body_paging_params(request_nodes: DataFrame, *, by: Sequence[str]) -> DataFr
     return request_nodes.filter((F.col("parent") == "$") & F.col("key").isNotNull() & is_paging_param("key")).select(*by, F.col("key").alias("query_key")).distinct()
 
 
-def structured_endpoint_counts(net: DataFrame, *, by: Sequence[str] = (), limit: int = 40) -> DataFrame:
-    """Method and path of calls that returned JSON or XML with a body, most frequent first."""
+def structured_endpoint_counts(net: DataFrame, *, by: Sequence[str] = (), limit: int | None = None) -> DataFrame:
+    """Method and path of calls that returned JSON or XML with a body; the ``limit`` most frequent of each site if asked."""
     kept = net.filter(text("mime_type").rlike("(?i)json|xml") & (text("response_body") != ""))
     path = F.coalesce(F.nullif(path_of("url"), F.lit("")), F.col("url"))
     counted = kept.groupBy(*by, F.concat_ws(" ", F.col("method"), path).alias("endpoint")).agg(F.count(F.lit(1)).alias("n_calls"))
-    return counted.orderBy(F.col("n_calls").desc(), "endpoint").limit(limit)
+    if limit is None:
+        return counted
+    order = Window.partitionBy(*by).orderBy(F.col("n_calls").desc(), "endpoint")
+    return counted.withColumn("__n", F.row_number().over(order)).filter(F.col("__n") <= limit).drop("__n")

@@ -236,18 +236,19 @@ def consume_hints(rows: DataFrame, hints: DataFrame, *, by=("session", "tab_id")
                   hint_id: str = "hint_id", hint_ts: str = "at", hint_cols=("hint_id",), hint_tie: Sequence[str] = ("hint_id",),
                   before=timedelta(milliseconds=15000), after=timedelta(milliseconds=1000), chunk=None) -> DataFrame:
     """Latest hint before each row; the first row to reach a hint uses it up."""
+    keys = list(by)
     found = asof_join(
         rows, hints, by=by, left_ts=row_ts, right_ts=hint_ts, right_cols=list(hint_cols), right_tie=list(hint_tie),
         tolerance=before, slack=after, out="__hint", chunk=chunk,
     )
     owner = (
         found.filter(F.col("__hint").isNotNull())
-        .groupBy(F.col(f"__hint.{hint_id}").alias("__hint_id"))
+        .groupBy(*keys, F.col(f"__hint.{hint_id}").alias("__hint_id"))
         .agg(F.min(F.struct(F.col(row_ts).alias("at"), F.col(row_id).alias("id"))).alias("__owner"))
-        .select(F.col("__owner.id").alias(row_id), F.lit(True).alias("__owns"))
+        .select(*keys, F.col("__owner.id").alias(row_id), F.lit(True).alias("__owns"))
     )
     return (
-        found.join(owner, row_id, "left")
+        found.join(owner, [*keys, row_id], "left")
         .withColumn("hint", F.when(F.col("__owns"), F.col("__hint")))
         .drop("__hint", "__owns")
     )
@@ -307,16 +308,17 @@ def href_to_route(items: DataFrame, routes: DataFrame, *, by: Sequence[str] = ()
 
 
 def menu_item_of_action(actions: DataFrame, menu: DataFrame, *, by: Sequence[str] = ("origin",)) -> DataFrame:
-    """``(action_id, menu_id)``: by menu path; by selector only where the path names no known item."""
+    """``(by…, session, action_id, menu_id)``: by menu path; by selector only where the path names no known item."""
     from ..functions.urls import menu_id
 
+    ids_of = list(dict.fromkeys([*by, "session"]))
     keyed = actions.withColumns({"__mid": menu_id(F.col("menu_path")), "__sel": F.col("selectors.primary")})
     ids = menu.select(*by, F.col("menu_id").alias("__mid")).distinct()
-    by_path = keyed.filter(F.col("__mid") != "").join(ids, [*by, "__mid"]).select(*by, F.col("id").alias("action_id"), F.col("__mid").alias("menu_id"))
+    by_path = keyed.filter(F.col("__mid") != "").join(ids, [*by, "__mid"]).select(*ids_of, F.col("id").alias("action_id"), F.col("__mid").alias("menu_id"))
     rest = keyed.join(ids, [*by, "__mid"], "left_anti").filter(F.coalesce("__sel", F.lit("")) != "")
     by_selector = rest.join(
         menu.filter(F.coalesce("selector", F.lit("")) != "").select(*by, F.col("selector").alias("__sel"), "menu_id"), [*by, "__sel"]
-    ).select(*by, F.col("id").alias("action_id"), "menu_id")
+    ).select(*ids_of, F.col("id").alias("action_id"), "menu_id")
     return by_path.unionByName(by_selector)
 
 

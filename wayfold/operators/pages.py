@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import patterns as P
-from ..functions.exprs import norm, squeeze, text
+from ..functions.exprs import at_most, first_of, norm, shortened, squeeze, text
 from ..functions.html import html_nodes
 from ..functions.names import classify_id, is_danger, looks_random
 from ..functions.redaction import is_credential, redact_value, scrub_expr
@@ -23,9 +23,12 @@ from ..session import cut_lineage
 
 DOC = ("page_id",)
 
-# ---- fixed values: roles, classes and caps of page parts ---------------------
-CAPS = {"headings": 40, "steps": 40, "buttons": 60, "errors": 20, "notices": 10, "text": 120, "menu": 300, "nav_text": 80, "breadcrumbs": 12, "tables": 20,
-        "headers": 40, "repeats": 20, "slots": 12, "pagination": 5, "downloads": 40, "options": 60, "view_options": 40}
+#: Limits of display per page part; None keeps all. A caller with a use for one sets it.
+CAPS: dict[str, int | None] = dict.fromkeys((
+    "headings", "steps", "buttons", "errors", "notices", "text", "menu", "nav_text", "breadcrumbs", "tables", "headers", "repeats", "slots", "pagination", "downloads", "options", "view_options",
+))
+
+# ---- fixed values: roles and classes of page parts ---------------------------
 _SEMANTIC_TAGS = ("nav", "mat-sidenav", "mat-nav-list")
 _REGION_CLASS = r"(^|\s)(navbar|sidebar|sidenav|p-menubar|p-panelmenu|p-megamenu|dropdown-menu|mat-menu-panel|mat-mdc-menu-panel|p-menu|p-tieredmenu|p-slidemenu|p-contextmenu)(\s|$)"
 _REGION_ROLE = ("navigation", "menubar", "tree", "menu")
@@ -69,11 +72,11 @@ def _within(nodes: DataFrame, outer: DataFrame, doc: Sequence[str], out: str) ->
     return up.join(outer.select(*doc, F.col("idx").alias(out)), [*doc, out]).groupBy(*doc, "idx").agg(F.max(out).alias(out))
 
 
-def _first_distinct(rows: DataFrame, value: str, doc: Sequence[str], cap: int) -> DataFrame:
-    """Distinct values of a page in order of first appearance, at most ``cap``."""
+def _first_distinct(rows: DataFrame, value: str, doc: Sequence[str], cap: int | None) -> DataFrame:
+    """Distinct values of a page in order of first appearance, ``cap`` of them if asked."""
     first = rows.filter(F.col(value) != "").groupBy(*doc, value).agg(F.min("idx").alias("idx"))
     order = Window.partitionBy(*doc).orderBy("idx")
-    return first.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= cap)
+    return first.withColumn("n", F.row_number().over(order)).filter(at_most(F.col("n"), cap))
 
 
 # -------------------------------------------------------------- page level
@@ -82,7 +85,7 @@ def _first_distinct(rows: DataFrame, value: str, doc: Sequence[str], cap: int) -
 def page_outline(nodes: DataFrame, *, doc: Sequence[str] = DOC, packs=("generic",)) -> DataFrame:
     """``(doc…, n, heading)``: headings in order of first appearance."""
     wanted = F.col("tag").isin("h1", "h2", "h3", "h4", "legend") | ((F.col("tag") != "#text") & (attr("class").contains("title") | attr("class").contains("heading")))
-    rows = nodes.filter(wanted).select(*doc, "idx", scrub_expr(F.substring(squeeze("text"), 1, CAPS["text"]), packs).alias("heading"))
+    rows = nodes.filter(wanted).select(*doc, "idx", scrub_expr(shortened(squeeze("text"), CAPS["text"]), packs).alias("heading"))
     return _first_distinct(rows, "heading", doc, CAPS["headings"]).select(*doc, "n", "heading")
 
 
@@ -94,7 +97,7 @@ def page_title(nodes: DataFrame, *, doc: Sequence[str] = DOC) -> DataFrame:
 
 
 def _named_parts(nodes: DataFrame, cond: Column, cap: str, doc: Sequence[str], packs) -> DataFrame:
-    rows = nodes.filter((F.col("tag") != "#text") & cond).select(*doc, "idx", scrub_expr(F.substring(squeeze("text"), 1, CAPS["text"]), packs).alias("text"))
+    rows = nodes.filter((F.col("tag") != "#text") & cond).select(*doc, "idx", scrub_expr(shortened(squeeze("text"), CAPS["text"]), packs).alias("text"))
     return _first_distinct(rows, "text", doc, CAPS[cap]).select(*doc, "n", "text")
 
 
@@ -115,9 +118,9 @@ def page_steps(nodes: DataFrame, *, doc: Sequence[str] = DOC, packs=("generic",)
     n = nodes.join(inside, [*doc, "idx"], "left")
     step = (attr("role") == "tab") | attr("class").contains("step") | attr("class").contains("wizard") | (F.col("list").isNotNull() & ((F.col("tag") == "li") | (F.col("parent") == F.col("list"))))
     active = attr("class").rlike(r"(^|\s)(active|current|selected|mat-tab-label-active|is-active)(\s|$)") | (attr("aria-selected") == "true") | has_attr("aria-current")
-    rows = n.filter((F.col("tag") != "#text") & step).select(*doc, "idx", scrub_expr(F.substring(squeeze("text"), 1, 80), packs).alias("text"), active.alias("active"))
+    rows = n.filter((F.col("tag") != "#text") & step).select(*doc, "idx", scrub_expr(shortened(squeeze("text"), CAPS["text"]), packs).alias("text"), active.alias("active"))
     first = rows.filter(F.col("text") != "").groupBy(*doc, "text").agg(F.min("idx").alias("idx"), F.min_by("active", "idx").alias("active"))
-    return first.withColumn("n", F.row_number().over(Window.partitionBy(*doc).orderBy("idx"))).filter(F.col("n") <= CAPS["steps"]).select(*doc, "n", "text", "active")
+    return first.withColumn("n", F.row_number().over(Window.partitionBy(*doc).orderBy("idx"))).filter(at_most(F.col("n"), CAPS["steps"])).select(*doc, "n", "text", "active")
 
 
 def auth_hint(nodes: DataFrame, *, url: str | None = None, doc: Sequence[str] = DOC) -> DataFrame:
@@ -193,7 +196,7 @@ def accessible_name(nodes: DataFrame, *, doc: Sequence[str] = DOC, limit: int =
     caption = F.when((F.col("tag") == "input") & kind.isin("submit", "button", "reset"), attr("value")).when((F.col("tag") == "input") & (kind == "image"), attr("alt"))
     own = F.when(F.col("tag") == "img", attr("alt")).otherwise(text("text"))
     pick = F.coalesce(*[F.nullif(squeeze(c), F.lit("")) for c in (text("__by"), attr("aria-label"), text(caption), own, attr("title"), text("__alt"))], F.lit(""))
-    return n.select(*doc, "idx", F.substring(pick, 1, limit).alias("name"))
+    return n.select(*doc, "idx", shortened(pick, limit).alias("name"))
 
 
 def nav_items(nodes: DataFrame, *, doc: Sequence[str] = DOC, url: str | None = None, packs=("generic",)) -> DataFrame:
@@ -212,7 +215,7 @@ def nav_items(nodes: DataFrame, *, doc: Sequence[str] = DOC, url: str | None = N
     items = el.filter(is_item & ~attr("role").isin("tab", "combobox", "option"))
     in_region = _within(items, regions, doc, "region").join(regions.select(*doc, F.col("idx").alias("region"), "__loose"), [*doc, "region"])
     out_of = _within(items, banned, doc, "__b").select(*doc, "idx")
-    names = accessible_name(items, doc=doc, limit=CAPS["nav_text"]).withColumn("text", F.substring(scrub_expr("name", packs), 1, CAPS["nav_text"])).drop("name")
+    names = accessible_name(items, doc=doc, limit=CAPS["nav_text"]).withColumn("text", shortened(scrub_expr("name", packs), CAPS["nav_text"])).drop("name")
     expander = has_attr("aria-expanded") | has_attr("aria-haspopup") | has_attr("data-toggle") | has_attr("data-bs-toggle")
     loose_ok = ((F.col("tag") == "a") & has_attr("href")) | (F.col("tag") == "summary") | attr("role").isin(*_ITEM_ROLES[1:]) | expander
     kept = items.drop("text").join(in_region, [*doc, "idx"]).join(out_of, [*doc, "idx"], "left_anti").filter(~F.col("__loose") | loose_ok).join(names, [*doc, "idx"]).filter(F.col("text") != "")
@@ -239,7 +242,7 @@ def nav_items(nodes: DataFrame, *, doc: Sequence[str] = DOC, url: str | None = N
     )
     first = found.groupBy(*doc, "path", F.coalesce("href", F.lit("")).alias("__h")).agg(F.min_by(F.struct("idx", "text", "href", "has_children", "current", "id"), "idx").alias("f"))
     ranked = first.select(*doc, "path", "f.*").withColumn("n", F.row_number().over(Window.partitionBy(*doc).orderBy("idx")))
-    return ranked.filter(F.col("n") <= CAPS["menu"]).withColumn("depth", F.size("path") - 1)
+    return ranked.filter(at_most(F.col("n"), CAPS["menu"])).withColumn("depth", F.size("path") - 1)
 
 
 def breadcrumbs(nodes: DataFrame, *, doc: Sequence[str] = DOC) -> DataFrame:
@@ -254,7 +257,7 @@ def breadcrumbs(nodes: DataFrame, *, doc: Sequence[str] = DOC) -> DataFrame:
     w = Window.partitionBy(*doc).orderBy("idx")
     t = rows.join(nested, [*doc, "idx"], "left_anti").select(*doc, "idx", squeeze("text").alias("text")).filter(F.col("text") != "")
     kept = t.withColumn("__p", F.lag("text").over(w)).filter(~F.col("text").eqNullSafe(F.col("__p"))).withColumn("n", F.row_number().over(w))
-    return kept.filter(F.col("n") <= CAPS["breadcrumbs"]).select(*doc, "n", "text")
+    return kept.filter(at_most(F.col("n"), CAPS["breadcrumbs"])).select(*doc, "n", "text")
 
 
 def view_groups(nodes: DataFrame, *, doc: Sequence[str] = DOC) -> DataFrame:
@@ -296,7 +299,7 @@ def view_groups(nodes: DataFrame, *, doc: Sequence[str] = DOC) -> DataFrame:
     sizes = rows.groupBy(*doc, "group_idx", "__base").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= 2)
     named = unique_names(sizes, base="__base", order=["group_idx"], by=list(doc), out="__u", chunk=5000).withColumn("name", F.when(F.col("__u") == F.col("__base"), F.col("__u")).otherwise(F.regexp_replace("__u", r"_([0-9]+)\z", "#$1")))
     w = Window.partitionBy(*doc, "group_idx").orderBy("option_idx")
-    return rows.join(named.select(*doc, "group_idx", "name"), [*doc, "group_idx"]).withColumn("__n", F.row_number().over(w)).filter(F.col("__n") <= CAPS["view_options"]).drop("__base", "__n")
+    return rows.join(named.select(*doc, "group_idx", "name"), [*doc, "group_idx"]).withColumn("__n", F.row_number().over(w)).filter(at_most(F.col("__n"), CAPS["view_options"])).drop("__base", "__n")
 
 
 # ------------------------------------------------------------------- lists
@@ -315,9 +318,9 @@ def tables(nodes: DataFrame, *, doc: Sequence[str] = DOC, packs=("generic",)) ->
     data = cells.groupBy(*doc, F.col("parent").alias("idx")).agg(F.array_sort(F.collect_list(F.struct("sib", redact_value(squeeze("text")).alias("v")))).alias("c"))
     filled = rows.join(data, [*doc, "idx"])
     body = filled.groupBy(*doc, "table").agg(F.count(F.lit(1)).alias("n_rows"), F.min_by("c", "idx").alias("__first"))
-    top = heads.groupBy(*doc, "table").agg(F.array_sort(F.collect_list(F.struct("idx", scrub_expr(F.substring(squeeze("text"), 1, 80), packs).alias("v")))).alias("__h"))
+    top = heads.groupBy(*doc, "table").agg(F.array_sort(F.collect_list(F.struct("idx", scrub_expr(shortened(squeeze("text"), CAPS["text"]), packs).alias("v")))).alias("__h"))
     out = t.select(*doc, F.col("idx").alias("table")).join(top, [*doc, "table"], "left").join(body, [*doc, "table"], "left").filter(F.col("__h").isNotNull() | F.col("n_rows").isNotNull())
-    vals = lambda c: F.slice(F.filter(F.transform(F.coalesce(c, F.array().cast("array<struct<idx:int,v:string>>")), lambda x: x["v"]), lambda v: v != ""), 1, CAPS["headers"])
+    vals = lambda c: first_of(F.filter(F.transform(F.coalesce(c, F.array().cast("array<struct<idx:int,v:string>>")), lambda x: x["v"]), lambda v: v != ""), CAPS["headers"])
     return out.select(*doc, F.col("table").alias("idx"), vals(F.col("__h")).alias("headers"), F.coalesce("n_rows", F.lit(0)).alias("n_rows"),
                       F.transform(F.coalesce("__first", F.array().cast("array<struct<sib:int,v:string>>")), lambda x: x["v"]).alias("first_row"))
 
@@ -326,7 +329,7 @@ def repeats(nodes: DataFrame, *, doc: Sequence[str] = DOC) -> DataFrame:
     """``(doc…, idx, signature, n_items)``: containers of three or more children of one kind.
 
     A kind is the tag and up to three steady classes; the largest kind counts,
-    lists inside an item of another list are left out, twenty largest stay.
+    lists inside an item of another list are left out.
     """
     el = nodes.filter((F.col("tag") != "#text") & ~F.col("tag").isin("script", "style", "template", "link", "br", "hr"))
     skip = nodes.filter(F.col("tag").isin("table", "thead", "tbody", "tfoot", "tr", "select", "datalist", "optgroup", "head", "script", "style", "svg", "nav") | attr("role").isin("tablist", "listbox", "menu", "menubar", "radiogroup"))
@@ -340,7 +343,7 @@ def repeats(nodes: DataFrame, *, doc: Sequence[str] = DOC) -> DataFrame:
     nested = free.select(*doc, "idx", F.explode("path").alias("__up")).join(free.select(*doc, F.col("idx").alias("__up")), [*doc, "__up"], "left_semi").select(*doc, "idx").distinct()
     top = free.join(nested, [*doc, "idx"], "left_anti")
     w = Window.partitionBy(*doc).orderBy(F.col("n_items").desc(), "idx")
-    return top.withColumn("__n", F.row_number().over(w)).filter(F.col("__n") <= CAPS["repeats"]).select(*doc, "idx", "signature", "n_items", "first_item")
+    return top.withColumn("__n", F.row_number().over(w)).filter(at_most(F.col("__n"), CAPS["repeats"])).select(*doc, "idx", "signature", "n_items", "first_item")
 
 
 def repeat_slots(nodes: DataFrame, found: DataFrame, *, doc: Sequence[str] = DOC) -> DataFrame:
@@ -354,7 +357,7 @@ def repeat_slots(nodes: DataFrame, found: DataFrame, *, doc: Sequence[str] = DOC
     inside = inside.join(linked, [*doc, "idx"], "left_anti")
     rows = inside.withColumn("kind", kind).filter(F.col("kind").isNotNull()).select(*doc, "container", "idx", "kind", sample.alias("sample"), (link & (has_attr("download") | attr("href").rlike(_DOC_EXT))).alias("download"))
     rank = F.when(F.col("kind") == "link", 0).when(F.col("kind") == "image", 1).otherwise(2)
-    return rows.withColumn("n", F.row_number().over(Window.partitionBy(*doc, "container").orderBy(rank, "idx"))).filter(F.col("n") <= CAPS["slots"])
+    return rows.withColumn("n", F.row_number().over(Window.partitionBy(*doc, "container").orderBy(rank, "idx"))).filter(at_most(F.col("n"), CAPS["slots"]))
 
 
 def pagination(nodes: DataFrame, *, doc: Sequence[str] = DOC) -> DataFrame:
@@ -381,7 +384,7 @@ def pagination(nodes: DataFrame, *, doc: Sequence[str] = DOC) -> DataFrame:
         some((F.col("tag") == "button") | (attr("role") == "button")).alias("button"), F.min_by(F.substring(squeeze("text"), 1, 40), F.when(here, F.col("i"))).alias("current"),
         F.min_by(F.substring(squeeze("text"), 1, 40), F.when(shown, F.col("i"))).alias("indicator"))
     style = F.when(F.col("numbers") >= 2, "numbered").when(F.col("has_next") | F.col("has_prev"), "next-prev").when(F.col("button"), "load-more").otherwise("unknown")
-    ranked = g.withColumn("__n", F.row_number().over(Window.partitionBy(*doc).orderBy("idx"))).filter(F.col("__n") <= CAPS["pagination"])
+    ranked = g.withColumn("__n", F.row_number().over(Window.partitionBy(*doc).orderBy("idx"))).filter(at_most(F.col("__n"), CAPS["pagination"]))
     return ranked.select(*doc, "idx", style.alias("style"), "has_next", "has_prev", F.col("indicator").isNotNull().alias("has_indicator"), F.coalesce("current", "indicator").alias("current"))
 
 
@@ -392,7 +395,7 @@ def download_links(nodes: DataFrame, *, doc: Sequence[str] = DOC) -> DataFrame:
     rows = nodes.filter((F.col("tag") == "a") & (has_attr("download") | (ext != ""))).select(
         *doc, "idx", F.coalesce(F.nullif(ext, F.lit("")), F.nullif(F.substring_index(attr("download"), ".", -1), F.lit(""))).alias("extension"),
         F.when(href.rlike(r"(?i)^(javascript:|#|\z)"), "script").otherwise("direct").alias("kind"), has_attr("download").alias("download_attr"))
-    return rows.withColumn("n", F.row_number().over(Window.partitionBy(*doc).orderBy("idx"))).filter(F.col("n") <= CAPS["downloads"])
+    return rows.withColumn("n", F.row_number().over(Window.partitionBy(*doc).orderBy("idx"))).filter(at_most(F.col("n"), CAPS["downloads"]))
 
 
 # ---------------------------------------------------------------- controls
@@ -424,7 +427,7 @@ def resolve_labels(controls_: DataFrame, nodes: DataFrame, *, doc: Sequence[str]
     )
     options = [("for", F.when(F.col("__id") != "", F.col("__for"))), ("wrap", F.col("__wrap")), ("aria-labelledby", F.col("__by")), ("aria-label", squeeze(attr("aria-label"))),
                ("container", F.col("__cont")), ("sibling", F.when(F.length("__sib") < 60, F.col("__sib"))), ("placeholder", squeeze(attr("placeholder")))]
-    pick = F.coalesce(*[F.when(text(v) != "", F.struct(F.substring(v, 1, CAPS["text"]).alias("label"), F.lit(s).alias("label_source"))) for s, v in options], F.struct(F.lit("").alias("label"), F.lit("none").alias("label_source")))
+    pick = F.coalesce(*[F.when(text(v) != "", F.struct(shortened(v, CAPS["text"]).alias("label"), F.lit(s).alias("label_source"))) for s, v in options], F.struct(F.lit("").alias("label"), F.lit("none").alias("label_source")))
     return j.select(*doc, "idx", pick.alias("p")).select(*doc, "idx", "p.*")
 
 
@@ -478,7 +481,7 @@ def controls(nodes: DataFrame, *, doc: Sequence[str] = DOC, packs=("generic",))
     key = F.coalesce(*[some(attr(a)) for a in P.TEST_ID_ATTRIBUTES], F.when(F.col("__fw") == "angular", binding), F.when(classify_id(attr("id")).isNull(), attr("id")), some(attr("name")), binding, some(F.col("label")), some(attr("aria-label")), F.concat("type", F.lit("@"), F.col("__n").cast("string")))
     secret = is_credential(attr("type"), attr("id"), attr("name"), attr("formcontrolname"), attr("ng-reflect-name"), attr("autocomplete"), attr("v-model"), F.col("label"))
     number = lambda a: F.try_to_number(some(F.regexp_extract(attr(a), "^([0-9]+)", 1)), F.lit("999999999")).cast("int")
-    listed = F.transform(F.slice("__o", 1, CAPS["options"]), lambda o: F.struct(scrub_expr(o["v"], packs).alias("v"), scrub_expr(o["t"], packs).alias("t")))
+    listed = F.transform(first_of(F.col("__o"), CAPS["options"]), lambda o: F.struct(scrub_expr(o["v"], packs).alias("v"), scrub_expr(o["t"], packs).alias("t")))
     held = F.when(F.col("tag") == "input", attr("value")).otherwise(text("text"))
     return j.select(
         *doc, "idx", "tag", "type", some(attr("role")).alias("role"), key.alias("key"), attr("id").alias("id"), attr("name").alias("name"), F.coalesce(binding, F.lit("")).alias("binding"),
@@ -494,12 +497,12 @@ def buttons(nodes: DataFrame, *, doc: Sequence[str] = DOC, words: Sequence[str]
     kind = F.lower(attr("type"))
     rows = el.filter((F.col("tag") == "button") | ((F.col("tag") == "input") & kind.isin("submit", "button", "reset")) | ((F.col("tag") == "a") & attr("class").rlike(r"(^|\s)btn(\s|$)")) | (attr("role") == "button"))
     in_form = _within(rows, el.filter(F.col("tag") == "form"), doc, "form")
-    shown = F.substring(F.coalesce(*[F.nullif(squeeze(c), F.lit("")) for c in (text("text"), attr("value"), attr("aria-label"), attr("title"))], F.lit("")), 1, 60)
+    shown = F.coalesce(*[F.nullif(squeeze(c), F.lit("")) for c in (text("text"), attr("value"), attr("aria-label"), attr("title"))], F.lit(""))
     typed = F.coalesce(F.nullif(kind, F.lit("")), F.when(F.col("tag") == "button", "submit").when(F.col("tag") == "a", "link").otherwise("button"))
     submits = (typed == "submit") & F.col("tag").isin("input", "button") & F.col("form").isNotNull()
     out = rows.join(in_form, [*doc, "idx"], "left").withColumn("__t", scrub_expr(shown, packs)).filter(F.col("__t") != "").select(
         *doc, "idx", F.col("__t").alias("text"), typed.alias("type"), (has_attr("disabled") | (attr("aria-disabled") == "true")).alias("disabled"), is_danger("__t", submits, words).alias("danger"))
-    return out.withColumn("n", F.row_number().over(Window.partitionBy(*doc).orderBy("idx"))).filter(F.col("n") <= CAPS["buttons"])
+    return out.withColumn("n", F.row_number().over(Window.partitionBy(*doc).orderBy("idx"))).filter(at_most(F.col("n"), CAPS["buttons"]))
 
 
 def selector_candidates(nodes: DataFrame, targets: DataFrame, *, doc: Sequence[str] = DOC) -> DataFrame:

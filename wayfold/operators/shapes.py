@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import shapes as S
 from ..functions.names import format_of
-from ..functions.exprs import strip
+from ..functions.exprs import at_most, first_of, strip
 from ..session import cut_lineage
 
 
@@ -23,10 +23,10 @@ def shape_visits(
     *,
     body: str = "response_body",
     owner: Sequence[str] = ("id",),
-    depth: int = S.SHAPE_DEPTH,
-    keys: int = S.SHAPE_KEYS,
-    sample: int = S.SHAPE_ARRAY_SAMPLE,
-    nodes: int = S.SHAPE_NODES,
+    depth: int | None = None,
+    keys: int | None = None,
+    sample: int | None = None,
+    nodes: int | None = None,
 ) -> DataFrame:
     """Every value of every body: ``(owner…, path, parent, key, type, len, text)``."""
     visit = S.shape_visits()
@@ -186,14 +186,15 @@ def merge_shapes(nodes: DataFrame, *, by: Sequence[str]) -> DataFrame:
     return out.withColumn("optional", F.col("optional") | (F.col("key").isNotNull() & F.col("__optional"))).drop("__optional")
 
 
-def list_paths(nodes: DataFrame, *, by: Sequence[str], limit: int = 20, depth: int = 10) -> DataFrame:
+def list_paths(nodes: DataFrame, *, by: Sequence[str], limit: int | None = None, depth: int | None = None) -> DataFrame:
     """Arrays that look like row data: items are objects and there was more than one."""
     items = nodes.filter((F.col("type") == "object") & F.col("path").endswith("[]")).select(*by, F.col("parent").alias("path"))
-    arrays = nodes.filter((F.col("type") == "array") & (F.col("len") > 1) & (F.size("above") <= depth + 1))
+    arrays = nodes.filter((F.col("type") == "array") & (F.col("len") > 1) & at_most(F.size("above") - 1, depth))
     found = arrays.join(items, [*by, "path"], "left_semi").select(*by, "path", "len")
-    # Twenty per shape: aggregate the twenty smallest instead of sorting a group.
-    top = found.groupBy(*by).agg(F.slice(F.array_sort(F.collect_list(F.struct(F.length("path").alias("l"), "path", "len"))), 1, limit).alias("t"))
-    return top.select(*by, F.explode("t").alias("t")).select(*by, "t.path", "t.len")
+    if limit is None:
+        return found
+    shortest = Window.partitionBy(*by).orderBy(F.length("path"), "path")
+    return found.withColumn("__n", F.row_number().over(shortest)).filter(F.col("__n") <= limit).drop("__n")
 
 
 def shape_at(nodes: DataFrame, path: str) -> DataFrame:
@@ -201,8 +202,8 @@ def shape_at(nodes: DataFrame, path: str) -> DataFrame:
     return nodes.filter((F.col("path") == path) | F.col("path").startswith(f"{path}.") | F.col("path").startswith(f"{path}["))
 
 
-def row_fields(nodes: DataFrame, *, by: Sequence[str], limit: int = 30) -> DataFrame:
-    """``key?  type, nullable`` lines for the items of every list, at most ``limit`` each."""
+def row_fields(nodes: DataFrame, *, by: Sequence[str], limit: int | None = None) -> DataFrame:
+    """``key?  type, nullable`` lines for the items of every list, ``limit`` each if asked."""
     word = (
         F.when((F.col("type") == "string") & F.col("values").isNotNull(), F.concat(F.lit("one of "), F.array_join(F.transform("values", lambda v: F.concat(F.lit('"'), v, F.lit('"'))), ", ")))
         .when((F.col("type") == "string") & (F.col("format") != "text"), F.concat(F.lit("string ("), F.col("format"), F.lit(")")))
@@ -216,20 +217,20 @@ def row_fields(nodes: DataFrame, *, by: Sequence[str], limit: int = 30) -> DataF
     listed = fields.groupBy(*by, F.col("parent").alias("item_path")).agg(
         F.array_sort(F.collect_list(F.struct("key", line.alias("line")))).alias("f")
     )
-    shown = F.array_join(F.transform(F.slice("f", 1, limit), lambda x: x["line"]), "; ")
-    more = F.when(F.size("f") > limit, F.format_string("; … %d more", F.size("f") - limit)).otherwise("")
+    shown = F.array_join(F.transform(first_of(F.col("f"), limit), lambda x: x["line"]), "; ")
+    more = F.lit("") if limit is None else F.when(F.size("f") > limit, F.format_string("; … %d more", F.size("f") - limit)).otherwise("")
     return listed.select(*by, "item_path", F.size("f").alias("n_fields"), F.concat(shown, more).alias("fields"))
 
 
-def leaf_paths(nodes: DataFrame, *, owner: Sequence[str], root: str = "$", depth: int = 5) -> DataFrame:
-    """Distinct leaf paths of each owner, value types left out."""
+def leaf_paths(nodes: DataFrame, *, owner: Sequence[str], root: str = "$", depth: int | None = None) -> DataFrame:
+    """Distinct leaf paths of each owner, value types left out; down to ``depth`` if asked."""
     level = F.when(F.col("path") == "$", 0).otherwise(F.size("above"))
-    shown = nodes.filter((F.col("type") != "truncated") & (level <= depth))
+    shown = nodes.filter((F.col("type") != "truncated") & at_most(level, depth))
     inner = nodes.filter(F.col("type") != "truncated").select(*owner, F.col("parent").alias("path")).distinct().withColumn("__has", F.lit(True))
     tagged = shown.join(inner, [*owner, "path"], "left").withColumn("__level", level)
-    open_ = F.coalesce("__has", F.lit(False)) & F.col("type").isin("object", "array") & (F.col("__level") < depth)
+    open_ = F.coalesce("__has", F.lit(False)) & F.col("type").isin("object", "array") & at_most(F.col("__level") + 1, depth)
     name = (
-        F.when((F.col("type") == "object") & F.col("__has").isNull() & (F.col("__level") < depth), F.concat("path", F.lit("{}")))
+        F.when((F.col("type") == "object") & F.col("__has").isNull() & at_most(F.col("__level") + 1, depth), F.concat("path", F.lit("{}")))
         .when(F.col("type").isin("object", "array"), F.concat_ws(":", "path", "type"))
         .otherwise(F.col("path"))
     )

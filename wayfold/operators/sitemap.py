@@ -30,19 +30,19 @@ def _flag(c: str) -> Column:
 def states_by_page(states: DataFrame, *, by: Sequence[str] = SITE) -> DataFrame:
     """The little of each state that page tables need."""
     return states.select(
-        *by, F.col("id").alias("state_id"), "seq", route_or_path("route", "pathname").alias("route"), text(F.col("view.key")).alias("view_key"),
+        *dict.fromkeys([*by, "session"]), F.col("id").alias("state_id"), "seq", route_or_path("route", "pathname").alias("route"), text(F.col("view.key")).alias("view_key"),
         text("title").alias("title"), F.coalesce("headings", F.array().cast("array<string>")).alias("headings"),
         F.coalesce(F.col("auth.logged_in"), F.lit(False)).alias("logged_in"),
     )
 
 
 def site_pages(slim: DataFrame, *, by: Sequence[str] = SITE) -> DataFrame:
-    """One row per route: id, first title, first five headings, counts, logged-in flag."""
-    seen = F.struct("seq", "state_id")
+    """One row per route: id, first title, first headings, counts, logged-in flag."""
+    seen = F.struct("seq", "session", "state_id")
     pages = slim.groupBy(*by, "route").agg(
         F.min("seq").alias("first_seq"),
         F.coalesce(F.min_by("title", F.when(F.col("title") != "", seen)), F.lit("")).alias("title"),
-        F.coalesce(F.slice(F.min_by("headings", F.when(F.size("headings") > 0, seen)), 1, 5), F.array().cast("array<string>")).alias("headings"),
+        F.coalesce(F.min_by("headings", F.when(F.size("headings") > 0, seen)), F.array().cast("array<string>")).alias("headings"),
         F.max("logged_in").alias("logged_in"),
         F.count(F.lit(1)).alias("n_states"),
         F.count_distinct("view_key").alias("n_views"),
@@ -124,7 +124,7 @@ def menu_visits(menu: DataFrame, actions: DataFrame, outcomes: DataFrame, states
     route_of = states.select("session", F.col("id").alias("to_id"), route_or_path("route", "pathname").alias("to_route"))
     from_of = states.select("session", F.col("id").alias("from_id"), route_or_path("route", "pathname").alias("from_route"))
     led = (
-        clicks.join(actions.select(*by, "session", F.col("id").alias("action_id"), F.col("route").alias("__at")), [*by, "action_id"])
+        clicks.join(actions.select(*by, "session", F.col("id").alias("action_id"), F.col("route").alias("__at")), [*by, "session", "action_id"])
         .join(outcomes, ["session", "action_id"])
         .join(route_of, ["session", "to_id"])
         .join(from_of, ["session", "from_id"], "left")
@@ -202,8 +202,9 @@ def list_status(states: DataFrame, placed: DataFrame, outcomes: DataFrame, downl
 
 def page_endpoints(slim: DataFrame, fed: DataFrame, call_map: DataFrame, *, by: Sequence[str] = SITE) -> DataFrame:
     """``(by…, route, endpoint_id)``: endpoints called on a page's states."""
-    placed = fed.filter(F.col("state_id").isNotNull()).join(slim.select(*by, "state_id", "route"), [*by, "state_id"])
-    return placed.join(call_map.select(*by, "net_id", "endpoint_id"), [*by, "net_id"]).select(*by, "route", "endpoint_id").distinct()
+    ids = list(dict.fromkeys([*by, "session"]))
+    placed = fed.filter(F.col("state_id").isNotNull()).join(slim.select(*ids, "state_id", "route"), [*ids, "state_id"])
+    return placed.join(call_map.select(*ids, "net_id", "endpoint_id"), [*ids, "net_id"]).select(*by, "route", "endpoint_id").distinct()
 
 
 def list_feeds(states: DataFrame, fed: DataFrame, call_map: DataFrame, row_lengths: DataFrame, *, by: Sequence[str] = SITE) -> DataFrame:
@@ -211,19 +212,20 @@ def list_feeds(states: DataFrame, fed: DataFrame, call_map: DataFrame, row_lengt
 
     The endpoint whose response array is as long as the list has rows (two or
     more) on the same state; else every list-like endpoint of the page.
-    ``row_lengths`` holds ``(by…, net_id, len)``.
+    ``row_lengths`` holds ``(by…, session, net_id, len)``.
     """
+    ids = list(dict.fromkeys([*by, "session"]))
     at = route_or_path("route", "pathname").alias("route")
-    one = lambda kind, col, size: states.select(*by, F.col("id").alias("state_id"), at, F.explode(f"lists.{col}").alias("p")).select(
-        *by, "state_id", "route", F.lit(kind).alias("kind"), F.col("p.container_selector").alias("selector"), F.col(f"p.{size}").alias("len"))
+    one = lambda kind, col, size: states.select(*ids, F.col("id").alias("state_id"), at, F.explode(f"lists.{col}").alias("p")).select(
+        *ids, "state_id", "route", F.lit(kind).alias("kind"), F.col("p.container_selector").alias("selector"), F.col(f"p.{size}").alias("len"))
     lists = one("table", "tables", "row_count").unionByName(one("repeat", "repeats", "item_count")).filter(text("selector") != "").distinct()
     sized = (
-        fed.filter(F.col("state_id").isNotNull()).join(row_lengths, [*by, "net_id"]).join(call_map.select(*by, "net_id", "endpoint_id"), [*by, "net_id"])
-        .select(*by, "state_id", F.col("len").cast("bigint").alias("len"), "endpoint_id").distinct()
+        fed.filter(F.col("state_id").isNotNull()).join(row_lengths, [*ids, "net_id"]).join(call_map.select(*ids, "net_id", "endpoint_id"), [*ids, "net_id"])
+        .select(*ids, "state_id", F.col("len").cast("bigint").alias("len"), "endpoint_id").distinct()
     )
-    exact = lists.filter(F.col("len") >= 2).join(sized, [*by, "state_id", "len"]).select(*by, "route", "kind", "selector", "endpoint_id").distinct()
-    routes = states.select(*by, F.col("id").alias("state_id"), at)
-    listlike = sized.join(routes, [*by, "state_id"]).select(*by, "route", "endpoint_id").distinct()
+    exact = lists.filter(F.col("len") >= 2).join(sized, [*ids, "state_id", "len"]).select(*by, "route", "kind", "selector", "endpoint_id").distinct()
+    routes = states.select(*ids, F.col("id").alias("state_id"), at)
+    listlike = sized.join(routes, [*ids, "state_id"]).select(*by, "route", "endpoint_id").distinct()
     rest = lists.select(*by, "route", "kind", "selector").distinct().join(exact, [*by, "route", "kind", "selector"], "left_anti")
     return exact.unionByName(rest.join(listlike, [*by, "route"]))
 

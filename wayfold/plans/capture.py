@@ -23,7 +23,11 @@ from ..session import cut_lineage
 
 
 def derive(tables: dict[str, DataFrame], *, chunk=None, fold_variance: bool = True) -> dict[str, DataFrame]:
-    """Derived tables of a capture, all keyed by origin."""
+    """Derived tables of a capture, keyed by origin.
+
+    Ids are unique within a session alone: every join on one carries the session,
+    and so do the tables that list ids.
+    """
     states, net, actions = tables["states"], tables["net"], tables["actions"]
     downloads, timeline = tables["downloads"], tables["timeline"]
     by = ["origin"]
@@ -36,20 +40,21 @@ def derive(tables: dict[str, DataFrame], *, chunk=None, fold_variance: bool = Tr
     out |= {"transitions": edges, "action_states": claims, "dependencies": deps, "outcomes": outcomes}
 
     calls = net.withColumn("origin", origin_of("page_url"))
-    visits = S.shape_visits(calls, body="response_body", owner=["origin", "id"])
-    nodes = cut_lineage(S.shape_nodes(cut_lineage(visits), owner=["origin", "id"]))
-    leaves = S.leaf_paths(nodes, owner=["origin", "id"])
-    evidence = leaves.groupBy("origin", "id").agg(F.array_sort(F.collect_set("leaf")).alias("response_paths"))
-    calls = cut_lineage(calls.join(evidence, ["origin", "id"], "left"))
+    call = ["origin", "session", "id"]
+    visits = S.shape_visits(calls, body="response_body", owner=call)
+    nodes = cut_lineage(S.shape_nodes(cut_lineage(visits), owner=call))
+    leaves = S.leaf_paths(nodes, owner=call)
+    evidence = leaves.groupBy(*call).agg(F.array_sort(F.collect_set("leaf")).alias("response_paths"))
+    calls = cut_lineage(calls.join(evidence, call, "left"))
     catalog = E.api_catalog(calls, states, actions, by=by, base=F.col("origin"), fold_variance=fold_variance, chunk=chunk)
     catalog = {k: cut_lineage(v) for k, v in catalog.items()}
     out |= catalog
-    status = calls.select("origin", F.col("id"), E.response_split("status").alias("kind"))
-    shaped = nodes.join(status, ["origin", "id"]).join(catalog["endpoint_calls"].select("origin", F.col("net_id").alias("id"), "endpoint_id"), ["origin", "id"])
+    status = calls.select(*call, E.response_split("status").alias("kind"))
+    shaped = nodes.join(status, call).join(catalog["endpoint_calls"].select("origin", "session", F.col("net_id").alias("id"), "endpoint_id"), call)
     out["endpoint_shapes"] = cut_lineage(S.merge_shapes(cut_lineage(shaped), by=["origin", "endpoint_id", "kind"]))
     out["endpoint_lists"] = S.list_paths(out["endpoint_shapes"], by=["origin", "endpoint_id", "kind"])
 
-    fed = E.attribute_calls(calls, states, by=by, chunk=chunk)
+    fed = E.attribute_calls(calls, states, by=["origin", "session"], chunk=chunk)
     fed = cut_lineage(fed)
     slim = M.states_by_page(states)
     pages = cut_lineage(M.site_pages(slim))
@@ -57,7 +62,7 @@ def derive(tables: dict[str, DataFrame], *, chunk=None, fold_variance: bool = Tr
     merged_menu = cut_lineage(M.merge_menu(M.menu_sightings(states)))
     menu, clicks, leads = (cut_lineage(t) for t in M.menu_visits(merged_menu, actions, outcomes, states, pages))
     call_map = catalog["endpoint_calls"]
-    lengths = cut_lineage(S.list_paths(nodes, by=["origin", "id"]).select("origin", F.col("id").alias("net_id"), "len"))
+    lengths = cut_lineage(S.list_paths(nodes, by=call).select("origin", "session", F.col("id").alias("net_id"), "len"))
     options = cut_lineage(M.view_options(states, placed))
     lists = cut_lineage(M.list_status(states, placed, outcomes, downloads))
     page_dl = cut_lineage(M.page_downloads(downloads, states, actions, pages))
