@@ -114,15 +114,38 @@ def test_download_patches_in_any_order(spark):
     assert len(r) == 1 and (r[0].state, r[0].mime, r[0].extension, r[0].size_bytes) == ("complete", "application/pdf", "pdf", 900)
 
 
-def test_late_rows_go_aside(spark, tmp_path):
-    src = str(tmp_path / "late")
-    for i, t in enumerate((100.0, 50.0, 101.0)):
-        spark.createDataFrame([(t,)], "s double").withColumn("ts", F.timestamp_seconds("s")).coalesce(1).write.mode("append").json(f"{src}/{i}")
-    good, late = [], []
-    s = spark.readStream.schema("s double, ts timestamp").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").json(src)
-    q = L.route_late(s, ts="ts", delay=timedelta(seconds=10), on_time=lambda d, e: good.extend(r.s for r in d.collect()), late=lambda d, e: late.extend(r.s for r in d.collect())).option("checkpointLocation", str(tmp_path / "lck")).trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    assert late in ([50.0], []) and sorted(good + late) == [50.0, 100.0, 101.0]
+def test_late_rows_go_aside_also_after_a_restart(spark, tmp_path):
+    src, good, late = str(tmp_path / "late"), [], []
+    for times in ((100.0, 101.0), (50.0, 95.0, 120.0), (105.0, 111.0)):
+        spark.createDataFrame([("d", t) for t in times], "session string, s double").withColumn("ts", F.timestamp_seconds("s")).coalesce(1).write.mode("append").json(src)
+        s = spark.readStream.schema("session string, s double, ts timestamp").json(src)
+        q = L.route_late(s, ts="ts", delay=timedelta(seconds=10), on_time=lambda d, e: good.extend(r.s for r in d.collect()), late=lambda d, e: late.extend(r.s for r in d.collect())).option("checkpointLocation", str(tmp_path / "lck")).trigger(availableNow=True).start()
+        q.awaitTermination(120)
+    assert sorted(late) == [50.0, 105.0] and sorted(good) == [95.0, 100.0, 101.0, 111.0, 120.0]
+
+
+def test_rows_within_the_delay_change_nothing(spark, tmp_path):
+    import random
+
+    rng = random.Random(4)
+    rows = [(f"d{rng.randint(0, 2)}", t * 37, f"r{t}", rng.choice(("mark", "row", "row"))) for t in range(120)]
+    src = str(tmp_path / "shuffled")
+    arrival = sorted(rows, key=lambda r: r[1] + rng.randint(0, 900))
+    make = lambda part: spark.createDataFrame([(d, t + BASE, i, k) for d, t, i, k in part], "session string, ts_ms long, id string, kind string").withColumn("ts", F.timestamp_millis("ts_ms"))
+    for at in range(0, len(arrival), 20):
+        make(arrival[at : at + 20]).coalesce(1).write.mode("append").json(src)
+    for i in (1, 2, 3):
+        make([(d, 10**8 * i, "end", "row") for d in ("d0", "d1", "d2")]).coalesce(1).write.mode("append").json(src)
+    s = spark.readStream.schema("session string, ts_ms long, id string, kind string, ts timestamp").option("maxFilesPerTrigger", 1).json(src)
+    q = L.stream_attribution(s, by=["session"], delay=timedelta(seconds=1)).writeStream.format("memory").queryName("shuffled").outputMode("append").option("checkpointLocation", str(tmp_path / "sck")).trigger(availableNow=True).start()
+    q.awaitTermination(180)
+    want, last = [], {}
+    for d, t, i, k in sorted(rows, key=lambda r: r[1]):
+        if k == "mark":
+            last[d] = (t, i)
+        else:
+            want.append((d, i, last[d][1] if d in last and t - last[d][0] <= M.ACTION_WINDOW else None))
+    assert sorted((r[0], r[2], r[3]) for r in spark.table("shuffled").collect() if r[2] != "end") == sorted(want, key=lambda r: (r[0], r[1]))
 
 
 @pytest.mark.parametrize("gap", ["900 milliseconds"])

@@ -64,28 +64,51 @@ def scan(df: DataFrame, make: Callable, *, by: Sequence[str], order: Sequence[st
     return slim.mapInPandas(run, schema)
 
 
-def stream(df: DataFrame, make: Callable, *, by: Sequence[str], event_time: str, delay: timedelta) -> DataFrame:
-    """The same machines on a stream: state per key, open rows closed by the watermark."""
+#: A document silent for so long in event time is forgotten with its state.
+IDLE = timedelta(days=1)
+
+
+def _ms(span: timedelta) -> int:
+    return max(0, int(span.total_seconds() * 1000))
+
+
+def stream(df: DataFrame, make: Callable, *, by: Sequence[str], event_time: str, delay: timedelta, idle: timedelta = IDLE) -> DataFrame:
+    """The same machines on a stream: state per key, open rows closed by the watermark.
+
+    Rows wait in the key's state until the watermark has passed them and are then
+    fed in order of time, marks before rows of the same moment, so rows that come
+    late but within ``delay`` change nothing. The state of a key goes when nothing
+    waits, nothing is open and ``idle`` has passed.
+    """
     sample = make()
     schema, keys, inputs = _out_schema(df, by, sample), list(by), list(sample.inputs)
     names = [f.name for f in schema]
-    timed = df.withWatermark(event_time, f"{max(0, int(delay.total_seconds() * 1000))} milliseconds")
+    timed = df.withWatermark(event_time, f"{_ms(delay)} milliseconds")
+    kind = inputs.index("kind") if "kind" in inputs else None
+    at = inputs.index("ts_ms")
 
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        machine = make()
+        machine, kept = make(), {"held": [], "last": 0}
         if state.exists:
-            machine.state = json.loads(state.get[0])
-        rows = []
-        if state.hasTimedOut:
+            kept = json.loads(state.get[0])
+            machine.state = kept["machine"]
+        edge, held, rows = state.getCurrentWatermarkMs(), kept["held"], []
+        for batch in batches:
+            held += [[v.item() if hasattr(v, "item") else v for v in r] for r in batch[inputs].itertuples(index=False, name=None)]
+        held.sort(key=lambda r: (r[at], kind is not None and r[kind] == "row"))
+        n = sum(r[at] < edge for r in held)
+        for values in held[:n]:
+            rows += list(machine.feed(dict(zip(inputs, values, strict=True))))
+        last, held = max([kept["last"], *(r[at] for r in held)]), held[n:]
+        if (due := machine.due()) is not None and due < edge:
             rows += list(machine.close())
+            due = machine.due()
+        if not held and due is None and last + _ms(idle) < edge:
+            state.remove()
         else:
-            fresh = pd.concat(list(batches)).sort_values("ts_ms", kind="stable")
-            for values in fresh[inputs].itertuples(index=False, name=None):
-                rows += list(machine.feed(dict(zip(inputs, values, strict=True))))
-        state.update((json.dumps(machine.state),))
-        due = machine.due()
-        if due is not None:
-            state.setTimeoutTimestamp(max(int(due), state.getCurrentWatermarkMs() + 1))
+            wake = min([last + _ms(idle), *(r[at] for r in held[:1]), *([int(due)] if due is not None else [])])
+            state.update((json.dumps({"machine": machine.state, "held": held, "last": last}),))
+            state.setTimeoutTimestamp(max(wake, edge) + 1)
         if rows:
             yield pd.DataFrame([(*key, *r) for r in rows], columns=names)
 

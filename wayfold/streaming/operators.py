@@ -7,6 +7,8 @@ from datetime import timedelta
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming.state import GroupStateTimeout
 
 from ..operators.joins import asof_join
 from . import machines as M
@@ -110,24 +112,38 @@ def blocked_frames(attempts: DataFrame, allowed: DataFrame) -> DataFrame:
     return attempts.join(allowed.select(F.col("origin").alias("frame_origin")), "frame_origin", "left_anti").select("session", "tab_id", "frame_origin").dropDuplicates()
 
 
-def route_late(stream_df: DataFrame, *, ts: str, delay: timedelta, on_time: Callable, late: Callable):
-    """``foreachBatch`` body: rows older than the newest seen minus ``delay`` go to ``late``.
+def late_rows(stream_df: DataFrame, *, ts: str, delay: timedelta, by: Sequence[str]) -> DataFrame:
+    """Every row with ``late``: older than the newest seen of its key minus ``delay``.
 
-    The newest time seen is one number, kept between batches.
+    The newest time is kept in the stream's own state, so it survives a restart. Rows
+    of one batch are held against what earlier batches brought.
     """
-    newest = {"ms": None}
+    columns, schema = list(stream_df.columns), T.StructType([*stream_df.schema.fields, T.StructField("late", T.BooleanType())])
+    ms = int(delay.total_seconds() * 1000)
+
+    def step(key, batches, state):
+        import pandas as pd
+
+        newest = state.get[0] if state.exists else None
+        top = newest
+        for batch in batches:
+            at = pd.to_datetime(batch[ts], utc=True).astype("datetime64[ms, UTC]").astype("int64")
+            yield batch[columns].assign(late=False if newest is None else at < newest - ms)
+            top = int(at.max()) if top is None else max(top, int(at.max()))
+        if top is not None:
+            state.update((top,))
+
+    return stream_df.groupBy(*by).applyInPandasWithState(step, schema, "newest long", "append", GroupStateTimeout.NoTimeout)
+
+
+def route_late(stream_df: DataFrame, *, ts: str, delay: timedelta, on_time: Callable, late: Callable, by: Sequence[str] = ("session",)):
+    """``foreachBatch`` body: late rows (see :func:`late_rows`) go to ``late``, all others to ``on_time``."""
 
     def each(batch: DataFrame, epoch: int) -> None:
-        edge = newest["ms"]
-        cut = F.lit(False) if edge is None else F.unix_millis(ts) < F.lit(edge - int(delay.total_seconds() * 1000))
-        kept = batch.withColumn("__late", cut)
-        late(kept.filter("__late").drop("__late"), epoch)
-        on_time(kept.filter(~F.col("__late")).drop("__late"), epoch)
-        top = batch.agg(F.max(F.unix_millis(ts))).first()[0]
-        if top is not None:
-            newest["ms"] = top if edge is None else max(edge, top)
+        late(batch.filter("late").drop("late"), epoch)
+        on_time(batch.filter("NOT late").drop("late"), epoch)
 
-    return stream_df.writeStream.foreachBatch(each)
+    return late_rows(stream_df, ts=ts, delay=delay, by=by).writeStream.foreachBatch(each)
 
 
 def live_coverage(changes: DataFrame, report: Callable[[], DataFrame], sink: Callable[[DataFrame, int], None], *, every: str = "5 seconds"):
