@@ -19,8 +19,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def text_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table whose text is worked on row by row."""
-    return spread(table(spark, sf_dir, name))
+    """A table whose text is worked on row by row; one of fewer files than cores is dealt to all of them."""
+    df, cores = table(spark, sf_dir, name), spark.sparkContext.defaultParallelism
+    return spread(df, cores if len(df.inputFiles()) < cores else None)
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -78,12 +78,9 @@ def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager=eager)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Rows over all cores before costly per-row work, only where the input is too coarse.
+def spread(df: DataFrame, parts: int | None = None) -> DataFrame:
+    """Rows dealt anew before costly per-row work, where the caller knows that the input is too coarse.
 
-    A small file with one row group lands in one task. Inputs that already have
-    more pieces than cores, as any large table has, are returned as they are, so
-    nothing is shuffled at scale.
+    Without ``parts`` nothing is moved: a large table has pieces enough.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() <= cores else df
+    return df if parts is None else df.repartition(parts)
