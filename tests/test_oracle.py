@@ -11,7 +11,7 @@ import pytest
 import __spark_entry__ as entry
 
 SF = "/root/testdata/sf0.001"
-QUICK = ("url_parse", "page_ids", "scrub_tokens", "display_text", "asof_click_to_purchase", "dedupe_states", "edges_without_pause", "retain_latest", "page_outline", "enum_columns", "merged_controls", "gap_bursts", "pause_gate")
+QUICK = ("url_parse", "page_ids", "scrub_tokens", "display_text", "asof_click_to_purchase", "dedupe_states", "edges_without_pause", "retain_latest", "page_outline", "enum_columns", "merged_controls", "gap_bursts", "pause_gate", "built_files", "built_trails", "built_pagers")
 
 
 @pytest.fixture(scope="module")

@@ -22,10 +22,10 @@ def nodes_of(spark, sf, write=False):
     return G.page_nodes(text_table(spark, sf, "pages"), keep=["url"], write=write)
 
 
-def crawl_states(spark, sf):
+def crawl_states(spark, sf, pages=None):
     """Pages as states of one crawl: title, headings, route and menu of each."""
-    pages = table(spark, sf, "pages")
-    nodes = nodes_of(spark, sf, write=True)
+    pages = text_table(spark, sf, "pages") if pages is None else pages
+    nodes = G.page_nodes(pages, keep=["url"], write=True)
     menus = G.nav_items(nodes, url="url").groupBy("page_id").agg(
         F.array_sort(F.collect_list(F.struct("n", "text", "path", "href", "has_children", "current"))).alias("m"))
     nav = F.struct(F.transform("m", lambda i: F.struct(
@@ -115,8 +115,8 @@ def menu_merge(spark, sf):
     return menu.select("origin", "menu_id", "text", "href", "depth", F.col("n_states").alias("n_pages"))
 
 
-def _visited(spark, sf):
-    states = crawl_states(spark, sf)
+def _visited(spark, sf, built=None):
+    states = crawl_states(spark, sf, built)
     pages = cut_lineage(M.site_pages(M.states_by_page(states)))
     merged = cut_lineage(M.merge_menu(M.menu_sightings(states)))
     menu, _, leads = M.menu_visits(merged, spark.createDataFrame([], ACTIONS), spark.createDataFrame([], _OUTCOMES), states, pages)
@@ -153,7 +153,7 @@ def coverage_totals(spark, sf):
 
 
 def coverage_hints(spark, sf):
-    """The first thirty findings of every site."""
+    """How many findings every site has."""
     _, _, menu, _ = _visited(spark, sf)
     gaps = spark.createDataFrame([], "origin string, route string, first_seq bigint, class string, place string, sentence string")
     return V.coverage_hints(V.menu_covered(menu), gaps).groupBy("origin").agg(F.count(F.lit(1)).alias("n_hints"))
@@ -194,7 +194,7 @@ _TAGS = ["a", "li", "nav", "h1", "title", "article"]
 
 ORACLE = {
     "link_counts": "SELECT * FROM (" + " UNION ALL ".join(f"SELECT page_id, '{t}' AS tag, len(regexp_extract_all(html, '<{t}[ >]')) AS n FROM pages" for t in _TAGS) + ") WHERE n > 0",
-    "page_outline": f"SELECT page_id, 1 AS n, left({_TXT('regexp_extract(html, ' + chr(39) + '(?s)<h1>(.*?)</h1>' + chr(39) + ', 1)')}, 120) AS heading FROM pages",
+    "page_outline": f"SELECT page_id, 1 AS n, {_TXT('regexp_extract(html, ' + chr(39) + '(?s)<h1>(.*?)</h1>' + chr(39) + ', 1)')} AS heading FROM pages",
     "page_titles": f"SELECT page_id, {_TXT('regexp_extract(html, ' + chr(39) + '(?s)<title>(.*?)</title>' + chr(39) + ', 1)')} AS title, regexp_extract(html, '<html lang=\"([^\"]*)\"', 1) AS lang FROM pages",
     "nav_items": f"WITH {_NAV} SELECT page_id, text, href, text AS path FROM nv WHERE text <> ''",
     "page_controls": "SELECT page_id, 0 AS n_parts FROM pages",
@@ -205,5 +205,5 @@ SELECT origin, 'pg_' || lpad(CAST(row_number() OVER (PARTITION BY origin ORDER B
     "unvisited_menu": f"WITH {_NAV} SELECT origin, menu_id, text FROM un",
     "coverage_totals": f"""WITH {_NAV}, t AS (SELECT origin, count(*) AS pages FROM rt GROUP BY 1), c AS (SELECT origin, count(*) AS items FROM mn WHERE NOT regexp_matches(href, '(?i)(^|[/?#_-])(logout|signout|sign-out|log-out)([/?#_-]|$)') GROUP BY 1), u AS (SELECT origin, count(*) AS missed FROM un GROUP BY 1)
 SELECT t.origin, coalesce(items, 0) AS menu_items, coalesce(items, 0) - coalesce(missed, 0) AS menu_visited, pages, 0 AS view_options, 0 AS view_options_visited, 0 AS lists, 0 AS lists_paged, 0 AS downloads FROM t LEFT JOIN c USING (origin) LEFT JOIN u USING (origin)""",
-    "coverage_hints": f"WITH {_NAV} SELECT origin, least(30, count(*)) AS n_hints FROM un GROUP BY 1",
+    "coverage_hints": f"WITH {_NAV} SELECT origin, count(*) AS n_hints FROM un GROUP BY 1",
 }

@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import prepare
-from . import event_queries, page_queries, shape_queries, text_queries, url_queries
+from . import built_queries, event_queries, page_queries, shape_queries, text_queries, url_queries
 
-MODULES = (url_queries, text_queries, event_queries, page_queries, shape_queries)
+MODULES = (url_queries, text_queries, event_queries, page_queries, built_queries, shape_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
