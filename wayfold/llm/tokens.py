@@ -6,9 +6,9 @@ another, are the ids of the text. Chunks repeat far more than texts: a worker ke
 the ids of those it has seen and gives only new ones to the tokenizer.
 
 Chunks are found and looked up for a whole batch at once: up to 15 bytes and the
-length make an exact key of 128 bits, and a two-way table of such keys leads to the
-ids. Longer chunks and those that the table has no room for take a dictionary. The
-store is emptied when it is full, which changes no result.
+length make an exact key of 128 bits, and a four-way table of such keys leads to the
+ids. Longer chunks take a dictionary. Chunks that lost their place are encoded
+again, and the store is emptied when it is full, which changes no result.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ STORE, LETTERS = 1_000_000, 24_000_000
 #: Slots of the table.
 SLOT_BITS = 21
 #: Bytes of texts worked on together, about.
-TOGETHER = 1 << 22
+TOGETHER = 1 << 20
 
 _START, _SPACE, _LINE = 0xFF, 0x20, 0x0A
 _KEY = 16
@@ -59,7 +59,7 @@ class ChunkStore:
     def empty(self) -> None:
         self.at: dict[bytes, int] = {}
         self.flat = np.empty(1 << 16, self.dtype)
-        self.used = self.letters = 0
+        self.used = self.letters = self.count = 0
         self.starts = np.zeros(1 << 12, np.int64)
         self.sizes = np.zeros(1 << 12, np.int64)
         self.slot_keys = np.zeros((1 << SLOT_BITS, 2), np.uint64)
@@ -84,21 +84,23 @@ class ChunkStore:
     def _learn(self, chunks: list[bytes]) -> np.ndarray:
         """Places of chunks that the table did not have."""
         new = [c for c in dict.fromkeys(chunks) if c not in self.at]
+        placed = dict(zip(new, range(self.count, self.count + len(new))))
         if new:
             ids, sizes = self.encode_new([c.lstrip(b"\xff").decode(errors="replace") for c in new])
-            total, have = len(ids), len(self.at)
+            total, end = len(ids), self.count + len(new)
             while self.used + total > len(self.flat):
                 self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
-            while have + len(new) > len(self.starts):
+            while end > len(self.starts):
                 self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
                 self.sizes = np.concatenate([self.sizes, np.zeros_like(self.sizes)])
             self.flat[self.used : self.used + total] = ids
-            self.starts[have : have + len(new)] = self.used + np.cumsum(sizes) - sizes
-            self.sizes[have : have + len(new)] = sizes
-            self.at.update(zip(new, range(have, have + len(new))))
-            self.used += total
-            self.letters += sum(map(len, new))
-        return np.array([self.at[c] for c in chunks], np.int32)
+            self.starts[self.count : end] = self.used + np.cumsum(sizes) - sizes
+            self.sizes[self.count : end] = sizes
+            self.used, self.count = self.used + total, end
+            long = {c: i for c, i in placed.items() if len(c) >= _KEY}
+            self.at.update(long)
+            self.letters += sum(map(len, long))
+        return np.array([placed[c] if c in placed else self.at[c] for c in chunks], np.int32)
 
     def _places(self, data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """The place of each chunk in the store."""
@@ -113,7 +115,7 @@ class ChunkStore:
         first = (mixed >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
         short = sizes < _KEY
         place = np.full(len(begins), -1, np.int32)
-        for slot in (first, first ^ 1):
+        for slot in (first, first ^ 1, first ^ 2, first ^ 3):
             open_ = np.flatnonzero((place < 0) & short)
             s = slot[open_]
             hit = (self.slot_keys[s] == key[open_]).all(axis=1)
@@ -124,7 +126,8 @@ class ChunkStore:
             place[miss] = self._learn([buffer[a:b] for a, b in zip(begins[miss].tolist(), ends[miss].tolist())])
             kept = miss[short[miss]]
             s = first[kept]
-            s = np.where(self.slot_places[s] < 0, s, s ^ 1)  # the second one, full or not, when the first is taken
+            for step in (1, 3, 1):  # the next of the four while this one is taken; the last, full or not
+                s = np.where(self.slot_places[s] < 0, s, s ^ step)
             s, one = np.unique(s, return_index=True)  # two new chunks may want one slot: one has it
             self.slot_keys[s], self.slot_places[s] = key[kept[one]], place[kept[one]]
         return place
@@ -138,7 +141,7 @@ class ChunkStore:
         total = int(ends[-1]) if len(ends) else 0
         ids = self.flat[np.repeat(self.starts[place] - ends + sizes, sizes) + np.arange(total)]
         counts = np.add.reduceat(sizes, np.searchsorted(at, begins)) if len(begins) else np.zeros(0, np.int64)
-        if len(self.at) > STORE or self.letters > LETTERS:
+        if self.count > STORE or self.letters > LETTERS:
             self.empty()
         return ids, counts
 
