@@ -56,3 +56,17 @@ def test_hints_of_equal_ids_stay_in_their_session(spark):
     rows = spark.createDataFrame([("s", 1, "d1", 5.0), ("t", 1, "d1", 6.0)], "session string, tab_id long, id string, s double").withColumn("at", F.timestamp_seconds("s"))
     hints = spark.createDataFrame([("s", 1, "h1", 4.0), ("t", 1, "h1", 4.0)], "session string, tab_id long, hint_id string, s double").withColumn("at", F.timestamp_seconds("s"))
     assert [r.h for r in J.consume_hints(rows, hints).select(F.col("hint.hint_id").alias("h")).collect()] == ["h1", "h1"]
+
+
+def test_the_rest_of_the_plan(once_and_twice):
+    _, one, two = once_and_twice
+    asked = {r.kind for r in one["endpoint_shapes"].select("kind").distinct().collect()}
+    assert {"request", "response"} <= asked
+    man = one["manifest"].filter("n_states > 0").first()
+    again = two["manifest"].filter("n_states > 0").first()
+    assert (again.n_states, again.n_net, again.n_actions) == (2 * man.n_states, 2 * man.n_net, 2 * man.n_actions)
+    recipes = {r.route: r for r in one["page_recipes"].collect()}
+    assert recipes["/portal/#/returns"].reachable and "step(s)" in recipes["/portal/#/returns"].summary
+    assert one["locators"].filter("key = 'category'").count() >= 1 and one["menu_order"].count() == one["site_pages"].count()
+    assert one["reference_data"].filter("key = 'pin'").count() == 0 and one["clean_calls"].count() == 10
+    assert one["alternate_keys"].count() > 0

@@ -194,11 +194,11 @@ def reference_data(merged: DataFrame, *, by: Sequence[str] = ("origin",), limit:
     )
 
 
-def locator_candidates(selectors: Column) -> Column:
-    """Ranked locators: role and name first, then selectors; redacted ones are left out."""
+def locator_candidates(selectors: Column, role: Column | None = None, name: Column | None = None) -> Column:
+    """Ranked locators: role and name first where they are known, then selectors; redacted ones are left out."""
     js = lambda c: F.to_json(F.array(c))
     quoted = lambda c: F.substring(js(c), F.lit(2), F.length(js(c)) - 2)
-    name, role = F.trim(text(selectors["name"])), text(selectors["role"])
+    name, role = (F.trim(text(F.lit("") if c is None else c)) for c in (name, role))
     by_role = F.when((role != "") & (name != "") & ~name.rlike(P.PLACEHOLDER),
                      F.concat(F.lit("page.getByRole("), quoted(role), F.lit(", { name: "), quoted(name), F.lit(", exact: true })")))
     hosts = F.array_join(F.transform(F.coalesce(selectors["shadow_path"], F.array().cast("array<string>")), lambda h: F.concat(F.lit(".locator("), quoted(h), F.lit(")"))), "")

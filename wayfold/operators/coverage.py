@@ -88,7 +88,7 @@ def offers_download(states: DataFrame, actions: DataFrame, *, by: Sequence[str]
 
 def page_coverage(pages: DataFrame, gaps: DataFrame, states: DataFrame, downloads: DataFrame, *, by: Sequence[str] = SITE) -> DataFrame:
     """One row per page: calls seen, downloads taken, number of gaps, complete or not."""
-    calls = states.select(*by, route_or_path("route", "pathname").alias("route"), F.explode("net_refs").alias("n")).distinct().groupBy(*by, "route").agg(F.count(F.lit(1)).alias("api_calls"))
+    calls = states.select(*by, "session", route_or_path("route", "pathname").alias("route"), F.explode("net_refs").alias("n")).distinct().groupBy(*by, "route").agg(F.count(F.lit(1)).alias("api_calls"))
     taken = downloads.groupBy(*by, "route").agg(F.count(F.lit(1)).alias("downloads"))
     missing = gaps.groupBy(*by, "route").agg(F.count(F.lit(1)).alias("n_missing"))
     return (

@@ -15,6 +15,9 @@ from ..functions.urls import origin_of
 from ..operators import controls as C
 from ..operators import coverage as V
 from ..operators import endpoints as E
+from ..operators import joins as J
+from ..operators import records as Q
+from ..operators import redact as X
 from ..operators import routes as R
 from ..operators import shapes as S
 from ..operators import sitemap as M
@@ -41,16 +44,26 @@ def derive(tables: dict[str, DataFrame], *, chunk=None, fold_variance: bool = Tr
 
     calls = net.withColumn("origin", origin_of("page_url"))
     call = ["origin", "session", "id"]
+    sent = cut_lineage(S.shape_nodes(cut_lineage(S.shape_visits(calls, body="request_body", owner=call)), owner=call))
     visits = S.shape_visits(calls, body="response_body", owner=call)
     nodes = cut_lineage(S.shape_nodes(cut_lineage(visits), owner=call))
     leaves = S.leaf_paths(nodes, owner=call)
     evidence = leaves.groupBy(*call).agg(F.array_sort(F.collect_set("leaf")).alias("response_paths"))
-    calls = cut_lineage(calls.join(evidence, call, "left"))
+    sent_paths = S.leaf_paths(sent, owner=call).groupBy(*call).agg(F.array_sort(F.collect_set("leaf")).alias("request_paths"))
+    calls = cut_lineage(calls.join(evidence, call, "left").join(sent_paths, call, "left"))
     catalog = E.api_catalog(calls, states, actions, by=by, base=F.col("origin"), fold_variance=fold_variance, chunk=chunk)
     catalog = {k: cut_lineage(v) for k, v in catalog.items()}
     out |= catalog
     status = calls.select(*call, E.response_split("status").alias("kind"))
-    shaped = nodes.join(status, call).join(catalog["endpoint_calls"].select("origin", "session", F.col("net_id").alias("id"), "endpoint_id"), call)
+    of_call = catalog["endpoint_calls"].select("origin", "session", F.col("net_id").alias("id"), "endpoint_id")
+    shaped = cut_lineage(nodes.join(status, call).join(of_call, call))
+    # an endpoint that only failed has its error as its response
+    answered = shaped.filter("kind = 'response'").select("origin", "endpoint_id").distinct()
+    failed = shaped.join(answered, ["origin", "endpoint_id"], "left_anti").withColumn("kind", F.lit("response"))
+    asked = sent.join(of_call, call).withColumn("kind", F.lit("request"))
+    shaped = shaped.unionByName(failed).unionByName(asked, allowMissingColumns=True)
+    out["body_paging"] = E.body_paging_params(asked, by=["origin", "endpoint_id"])
+    out["clean_calls"] = X.scrub_net(calls)
     out["endpoint_shapes"] = cut_lineage(S.merge_shapes(cut_lineage(shaped), by=["origin", "endpoint_id", "kind"]))
     out["endpoint_lists"] = S.list_paths(out["endpoint_shapes"], by=["origin", "endpoint_id", "kind"])
 
@@ -73,7 +86,11 @@ def derive(tables: dict[str, DataFrame], *, chunk=None, fold_variance: bool = Tr
         "list_feeds": M.list_feeds(states, fed, call_map, lengths), "page_downloads": page_dl, "page_labels": labels,
     }
 
-    hops, refused = (cut_lineage(t) for t in R.click_graph(edges, actions, claims))
+    graph = edges
+    if "tabs" in tables:  # tabs: session, tab_id, opener_tab_id, at, opener_state_id
+        out["new_tab_edges"] = cut_lineage(T.new_tab_edges(states, tables["tabs"], actions, timeline, chunk=chunk))
+        graph = edges.unionByName(out["new_tab_edges"], allowMissingColumns=True)
+    hops, refused = (cut_lineage(t) for t in R.click_graph(graph, actions, claims))
     entry = R.entry_nodes(states)
     reached = R.shortest_paths(hops, entry)
     openers = cut_lineage(R.branch_openers(reached, actions, claims, edges))
@@ -86,6 +103,8 @@ def derive(tables: dict[str, DataFrame], *, chunk=None, fold_variance: bool = Tr
         "unvisited_menu": V.unvisited_menu(covered), "page_gaps": gaps, "page_coverage": V.page_coverage(pages, gaps, states, page_dl),
         "coverage_totals": V.coverage_totals(covered, pages, options, lists, downloads), "coverage_hints": V.coverage_hints(covered, gaps),
     }
+    out["page_recipes"] = V.recipe_rows(R.best_recipes(recipes), pages, labels, out["page_coverage"], out["page_endpoints"], lists, options)
+    out["menu_order"] = M.pages_in_menu_order(pages, leads, menu)
 
     controls = C.controls_of(states)
     effective = cut_lineage(C.effective_controls(controls, C.varying_ids(controls)))
@@ -97,6 +116,11 @@ def derive(tables: dict[str, DataFrame], *, chunk=None, fold_variance: bool = Tr
         "controls": merged, "control_states": sightings, "control_links": C.link_dependencies(by_origin, sightings), "lists": C.merge_lists(states),
         "selectors": C.selectors_file(merged), "attention": V.attention_list(states, merged), "inventory": V.page_inventory(states),
         "summary": V.summary_counts(states, merged, C.merge_lists(states), edges, catalog["endpoints"]),
+        "alternate_keys": C.alternate_keys(effective, merged), "reference_data": C.reference_data(merged),
+        "locators": merged.select("origin", "key", F.explode(C.locator_candidates(F.col("selectors"), F.lit("textbox"), F.when(F.col("type") == "text", F.col("label")))).alias("locator")),
+        "manifest": Q.manifest(states.select("origin"), {"states": states, "net": calls, "actions": actions, "downloads": downloads}).join(Q.site_framework(states), "origin", "left"),
         "reached_by": T.reached_by(states, edges), "narrative": T.flow_narrative(states, edges, actions, timeline),
     }
+    if "raw_url" in downloads.columns:
+        out["download_calls"] = J.download_to_call(downloads, net, chunk=chunk)
     return out
