@@ -73,10 +73,9 @@ def test_cutting_stock_meets_demand_and_bound():
     demand = rng.integers(1, 400, len(sizes))
     used = packing.whole_patterns(sizes, demand, 2048)
     assert (sum(t * p for p, t in used) == demand).all() and all(p @ sizes <= 2048 for p, _ in used)
-    n = sum(t for _, t in used)
-    assert n >= sizes @ demand / 2048 and n <= 1.03 * (sizes @ demand / 2048) + 2
     patterns, x, bound = packing.cutting_stock(sizes, demand.astype(float), 2048)
-    assert np.allclose(patterns.T @ x, demand) and bound <= x.sum() + 1e-9
+    assert np.allclose(patterns.T @ x, demand) and sizes @ demand / 2048 <= bound <= x.sum() + 1e-9 and x.sum() <= 1.002 * bound
+    assert bound <= sum(t for _, t in used) <= 1.01 * bound + 2
 
 
 def test_knapsack_against_brute_force():
@@ -278,7 +277,7 @@ def test_cover_tree_against_brute_force(spark, monkeypatch):
             p, q = find(a), find(b)
             root[max(p, q)] = min(p, q)
     got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in cover_tree.near_duplicates(df).collect()}
-    assert got == {i: (links[i], find(i), find(i) == i) for i in root} and len(pairs) > 300
+    assert got == {i: (links[i], find(i), find(i) == i) for i in root} and len(pairs) > 200
     assert cover_tree.near_duplicates(df.limit(0)).count() == 0
     twice = cover_tree.near_duplicates(vectors(spark, [rows[0], rows[0], (None, rows[0][1], 0)])).collect()
     assert sorted((str(r.vec_id), r.n_links, r.component_id) for r in twice) == [("0", 2, 0), ("0", 2, 0), ("None", 2, 0)]

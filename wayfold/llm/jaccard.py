@@ -183,7 +183,7 @@ def candidate_links(classes: DataFrame, threshold: float = THRESHOLD) -> DataFra
             rep, side = rows.column("rep").to_numpy(), rows.column("side").to_numpy(zero_copy_only=False)
             order = np.argsort(rep, kind="stable")
             v, rep, side = v[order], rep[order], side[order]
-            mixed = bool(side.any()) and rows.column("i")[0].as_py() != rows.column("j")[0].as_py()
+            mixed = rows.column("i")[0].as_py() != rows.column("j")[0].as_py()
             left, right = [], []
             for at in range(0, len(rep), 64):
                 a, b = np.meshgrid(np.arange(at, min(at + 64, len(rep))), np.arange(len(rep)), indexing="ij")
@@ -217,7 +217,7 @@ def verified(sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
             rep, side, copies = rep[order], side[order], copies[order]
             data = [np.frombuffer(x.as_buffer(), "<u8") for x in rows.column("shingles").take(pa.array(order))]
             n = np.array([len(d) for d in data])
-            mixed = bool(side.any()) and rows.column("i")[0].as_py() != rows.column("j")[0].as_py()
+            mixed = rows.column("i")[0].as_py() != rows.column("j")[0].as_py()
             # columns: shingles that two or more of the sets hold
             values, where, seen = np.unique(np.concatenate(data), return_inverse=True, return_counts=True)
             column = np.cumsum(seen > 1) - 1
