@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import text_bytes
 
 #: Training documents of each class, about.
-SAMPLE = 4000
+SAMPLE = 2000
 #: Hashed features; a feature counts when this many training documents have it.
 BUCKETS = 1 << 20
 SEEN_IN = 4
@@ -95,7 +95,11 @@ class Model:
     def sentences(self, text: str) -> np.ndarray:
         """Log odds of each sentence that has words."""
         words, number = sentence_parts(text)
-        return np.bincount(number, self._look_up(words)) + self.bias if words else np.zeros(0)
+        if not words:
+            return np.zeros(0)
+        w = self._look_up(words)
+        w[1:] *= (w[1:] != w[:-1]) | (number[1:] != number[:-1])  # a word said again and again counts once
+        return np.bincount(number, w) + self.bias
 
     def score(self, text: str) -> float:
         if self.share is not None:
@@ -106,14 +110,15 @@ class Model:
 def fit(label: np.ndarray, weight: np.ndarray, doc: np.ndarray, sentence: np.ndarray, feature: np.ndarray) -> Model:
     """Weights from (document, sentence, feature) triples; sentences are numbered over all documents, in document order."""
     pairs = np.unique(feature.astype(np.int64) * len(label) + doc)
-    kept, seen = np.unique(pairs // len(label), return_counts=True)
-    kept = kept[seen >= SEEN_IN]
-    at = np.minimum(np.searchsorted(kept, feature), max(len(kept) - 1, 0))
-    ok = kept[at] == feature if len(kept) else np.zeros(len(feature), bool)
-    at, where = at[ok], sentence[ok]
+    seen = np.bincount(pairs // len(label), minlength=BUCKETS)
+    del pairs
+    kept = np.flatnonzero(seen >= SEEN_IN)
+    ok = seen[feature] >= SEEN_IN
+    at, where = np.searchsorted(kept, feature[ok]), sentence[ok].astype(np.int64)
     n_sentences = int(sentence.max()) + 1
     of = np.zeros(n_sentences, np.int64)
     of[sentence] = doc
+    del feature, sentence, doc, ok, seen
     w, b = np.zeros(len(kept) + 1), -5.0
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     weight = weight / weight.sum()
@@ -150,8 +155,12 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int
             rows = []
             for text in text_bytes(batch.column(1)):
                 words, number = sentence_parts(text)
-                unique = sorted({(int(s), f) for s, w in zip(number, words) for f in features(w)})
-                rows.append(np.array(unique, "<i4").reshape(-1, 2).tobytes())
+                fresh = [i for i, w in enumerate(words) if not i or w != words[i - 1] or number[i] != number[i - 1]]
+                found, number = [features(words[i]) for i in fresh], number[fresh]
+                pairs = np.empty((sum(map(len, found)), 2), "<i4")
+                pairs[:, 0] = np.repeat(number, [len(f) for f in found])
+                pairs[:, 1] = [f for each in found for f in each]
+                rows.append(pairs.tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(2), pa.array(rows, pa.binary())], names=["y", "pairs"])
 
     got = [(r["y"], np.frombuffer(r["pairs"], "<i4").reshape(-1, 2)) for r in texts.mapInArrow(parts, "y int, pairs binary").toLocalIterator()]
@@ -159,11 +168,12 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int
     y = np.array([g[0] for g in got])
     if len(set(y.tolist())) < 2:
         return Model({}, 0.0, counts.get(1, 0) / sum(counts.values()))
-    doc = np.repeat(np.arange(len(got)), [len(g[1]) for g in got])
+    doc = np.repeat(np.arange(len(got), dtype=np.int32), [len(g[1]) for g in got])
     sizes = np.array([int(g[1][:, 0].max()) + 1 for g in got])
-    first = np.cumsum(sizes) - sizes
-    triples = np.concatenate([g[1] for g in got])
-    return fit(y, np.where(y == 1, 1 / shares[1], 1 / shares[0]), doc, first[doc] + triples[:, 0], triples[:, 1])
+    first = (np.cumsum(sizes) - sizes).astype(np.int32)
+    pairs = np.concatenate([g[1] for g in got])
+    got.clear()
+    return fit(y, np.where(y == 1, 1 / shares[1], 1 / shares[0]), doc, first[doc] + pairs[:, 0], pairs[:, 1].copy())
 
 
 def score(text: Column, model: Model) -> Column:
