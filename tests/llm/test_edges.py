@@ -362,7 +362,7 @@ def test_pipeline_stages(spark, tmp_path):
     assert {r.doc_id for r in a.collect()} == {d[0] for d in rows if not 500 <= (d[0] or 0) < 700} and a.columns == docs.columns
     b = corpus_pipeline.importance_sample(spark, a, sf).cache()
     kept = {r.doc_id for r in b.collect()}
-    assert {d[0] for d in good} <= kept and len(kept & {d[0] for d in junk}) <= 10 and b.columns == docs.columns
+    assert {d[0] for d in good} <= kept and len(kept & {d[0] for d in junk}) <= 15 and b.columns == docs.columns
     c = corpus_pipeline.one_of_each_group(spark, b, sf).cache()
     assert c.columns == docs.columns and c.filter("doc_id = 0").count() == 1 and not {r.doc_id for r in c.collect()} & {900, 901, 902, 903, 904}
     assert {r.doc_id for r in c.collect()} >= {d[0] for d in good}
