@@ -87,9 +87,13 @@ def credential_controls(spark, sf):
 
 
 def scrub_bodies(spark, sf):
-    """JSON bodies made of whole order rows, walked by key and pattern."""
+    """JSON bodies of customers, every other one cut before its end, read by key and pattern."""
     c = table(spark, sf, "customer")
-    return c.select("c_custkey", Y.scrub_json(F.to_json(F.struct(F.col("c_name").alias("customerName"), F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("segmentName")))).alias("body"))
+    key = F.col("c_custkey")
+    body = F.to_json(F.struct(
+        F.col("c_name").alias("customerName"), key.alias("id"), F.concat(F.lit("write to user"), key.cast("string"), F.lit("@ex.org in "), F.col("c_mktsegment")).alias("remark"),
+        (key + 1700000000).alias("createdOn"), F.concat(F.lit("statement "), key.cast("string"), F.lit(".PDF")).alias("attachment"), F.struct(F.col("c_mktsegment").alias("line")).alias("address")))
+    return c.select("c_custkey", Y.scrub_json(F.when(key % 2 == 1, F.substring(body, F.lit(1), F.length(body) - 1)).otherwise(body)).alias("body"))
 
 
 def learned_values(spark, sf):
@@ -140,7 +144,7 @@ ORACLE = {
     "placeholder_report": f"SELECT lang, CAST(sum(CASE WHEN regexp_matches({_sql_tokens('text')}, '<[A-Z][A-Z0-9_]*>') THEN 1 ELSE 0 END) AS BIGINT) AS n_docs FROM documents GROUP BY 1",
     "leak_audit": _AUDIT("raw", "documents", "text") + " UNION ALL " + _AUDIT("clean", "documents", _sql_tokens("text")),
     "danger_words_ascii": "SELECT role, CAST(sum(CASE WHEN regexp_matches(' ' || regexp_replace(lower(text), '[^a-z]+', ' ', 'g') || ' ', ' (the|and) ') THEN 1 ELSE 0 END) AS BIGINT) AS n_hits FROM conversations GROUP BY 1",
-    "scrub_bodies": """SELECT c_custkey, '{"customerName":"<NAME>","id":' || c_custkey || ',"segmentName":"<NAME>"}' AS body FROM customer""",
+    "scrub_bodies": """SELECT c_custkey, '{"customerName":"<NAME>","id":' || c_custkey || ',"remark":"write to <EMAIL> in ' || c_mktsegment || '","createdOn":' || (c_custkey + 1700000000) || ',"attachment":"<FILE>.pdf","address":{"line":"' || CASE WHEN c_custkey % 2 = 1 THEN c_mktsegment || '"}' ELSE '<ADDRESS>"}}' END AS body FROM customer""",
     "credential_controls": "SELECT label, label NOT IN ('pinCode', 'address') AS credential, count(*) AS n FROM (SELECT unnest(['userPin', 'pinCode', 'Enter the OTP ', 'address']) AS label FROM customer) GROUP BY ALL",
     # 1 500 names a nation at sf 0.1: each is learned, none is left in a note
     "learned_values": "SELECT c_custkey, 'order for <NAME>.' AS note FROM customer",
