@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import pyrules as Y
 from ..operators import coverage as V
 from ..operators import pages as G
 from ..schemas import TABLES
@@ -61,6 +62,12 @@ def built_controls(spark, sf):
     return c.select("page_id", "key", "label", "label_source", "type", F.col("required").cast("int").alias("required"), "max_length", "value", F.col("n_options").cast("int").alias("n_options"), F.col("redacted_entirely").cast("int").alias("secret"))
 
 
+def built_clean_pages(spark, sf):
+    """Forms as they may be kept: no comments, no scripts, values as lengths, secrets as such, mails as tokens."""
+    p = part_forms(spark, sf).select("page_id", F.concat(F.lit("<!-- made by a tool --><script>var a = 1;</script><p title=\"ask me@ex.org\">Mail me@ex.org</p>"), "html").alias("html"))
+    return p.select("page_id", Y.sanitise_html("html").alias("html"))
+
+
 def built_trails(spark, sf):
     return G.breadcrumbs(G.page_nodes(supplier_pages(spark, sf), write=True)).select("page_id", F.col("n").cast("int").alias("n"), "text")
 
@@ -114,7 +121,7 @@ def built_findings(spark, sf):
     return V.coverage_hints(V.menu_covered(menu), gaps).select("origin", "class", "sentence")
 
 
-QUERIES = {f.__name__: f for f in (built_tables, built_controls, built_trails, built_tabs, built_files, built_buttons, built_pagers, built_errors, built_steps, built_leads, built_unvisited, built_coverage, built_findings)}
+QUERIES = {f.__name__: f for f in (built_tables, built_controls, built_clean_pages, built_trails, built_tabs, built_files, built_buttons, built_pagers, built_errors, built_steps, built_leads, built_unvisited, built_coverage, built_findings)}
 
 _CHARS = lambda c: f"'<' || length(CAST({c} AS VARCHAR)) || ' chars>'"
 _SITE = "'https://n' || c_nationkey || '.example.com' AS origin"
@@ -124,6 +131,9 @@ ORACLE = {
 UNION ALL SELECT p_partkey, 'brand', 'Brand', 'aria-label', 'select', 0, NULL, '<' || (length(p_brand) * 1 + 5) || ' chars>', 2, 0 FROM part
 UNION ALL SELECT p_partkey, 'note', 'Remark', 'container', 'textarea', 0, NULL, {_CHARS('p_name')}, NULL, 0 FROM part
 UNION ALL SELECT p_partkey, 'pin', 'Your PIN', 'aria-label', 'password', 0, NULL, NULL, NULL, 1 FROM part""",
+    "built_clean_pages": """SELECT p_partkey AS page_id, '<script></script><p title="ask &lt;EMAIL&gt;">Mail &lt;EMAIL&gt;</p><form><label for="size">Size</label><input id="size" type="number" required="" maxlength="4" value="&lt;' || length(p_size::VARCHAR)
+|| ' chars&gt;"><p><select name="brand" aria-label="Brand"><option value="' || p_brand || '">' || p_brand || '</option><option value="none">none</option></select></p><div class="form-group"><label>Remark</label><textarea name="note">&lt;' || length(p_name)
+|| ' chars&gt;</textarea></div><p><input type="password" name="pin" aria-label="Your PIN" value="&lt;redacted&gt;"></p></form>' AS html FROM part""",
     "built_trails": "SELECT s_suppkey AS page_id, unnest([1, 2, 3])::INT AS n, unnest(['Home', 'Suppliers', s_name]) AS text FROM supplier",
     "built_tabs": "SELECT s_suppkey AS page_id, 'tabs' AS kind, unnest(['Open ' || s_nationkey, 'Closed']) AS text, unnest([1, 0]) AS active, 0 AS disabled FROM supplier",
     "built_files": "SELECT s_suppkey AS page_id, 'pdf' AS extension, 'direct' AS kind, 1 AS n FROM supplier",
