@@ -19,6 +19,23 @@ SITE = ("origin",)
 # ---- fixed values: order of hint classes and how many are shown --------------
 HINT_CLASSES = ("menu", "view", "paging", "open", "download")
 
+# ---- fixed values: sentences of findings and titles of the attention list ----
+SENTENCES = {
+    "menu": 'Menu item "%s" was seen but never opened.',
+    "view": 'On "%s", the %s "%s"%s was never %s.',
+    "paging": 'The list on "%s" has more pages but "next page" was never clicked.',
+    "open": 'No item was opened from the list on "%s".',
+    "open_many": 'No item was opened from any of the %d lists on "%s".',
+    "download": 'No download was recorded on "%s" although the page has download links.',
+}
+SECTIONS = {
+    "fragile": "Fragile selectors", "weak_label": "Weak label sources", "not_unique": "Non-unique primary selectors", "same_id": "Duplicate ids on a page",
+    "once": "Controls seen only once", "collides": "Key collisions across pages", "id_varies": "Ids that changed between captures",
+    "widget": "Widget-backed controls (do not type into these)", "unknown": "Entry mode unknown", "secret": "Redacted controls — human-only, never automate",
+    "danger": "Buttons the automation must never activate", "frames": "Embedded frames that were not recorded (blind spots)",
+    "throttled": "States captured while DOM triggers were throttled",
+}
+
 
 def _plain(c: Column | str) -> Column:
     """Safe between double quotes in a sentence."""
@@ -69,14 +86,14 @@ def page_gaps(pages: DataFrame, labels: DataFrame, options: DataFrame, lists: Da
     verb = F.when(F.col("kind") == "tabs", "opened").otherwise("selected")
     of = F.when(F.col("glabel") != "", F.concat(F.lit(' of "'), _plain("glabel"), F.lit('"'))).otherwise("")
     skipped = options.withColumnsRenamed({"label": "glabel"}).filter(~F.col("visited") & F.col("enabled")).join(named, [*by, "route"])
-    views = skipped.select(*keep, F.lit("view").alias("class"), F.col("first").cast("string").alias("place"), F.concat(
-        F.lit('On "'), "__name", F.lit('", the '), what, F.lit(' "'), F.coalesce(F.nullif(_plain("text"), F.lit("")), _plain("selector")), F.lit('"'), of, F.lit(" was never "), verb, F.lit(".")).alias("sentence"))
+    views = skipped.select(*keep, F.lit("view").alias("class"), F.col("first").cast("string").alias("place"), F.format_string(
+        SENTENCES["view"], F.col("__name"), what, F.coalesce(F.nullif(_plain("text"), F.lit("")), _plain("selector")), of, verb).alias("sentence"))
     per_page = lists.groupBy(*by, "route").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("has_pagination") & ~F.col("paged")).alias("unpaged"), F.max("item_opened").alias("opened")).join(named, [*by, "route"])
-    paging = per_page.filter("unpaged").select(*keep, F.lit("paging").alias("class"), F.lit("").alias("place"), F.concat(F.lit('The list on "'), "__name", F.lit('" has more pages but "next page" was never clicked.')).alias("sentence"))
-    unopened = per_page.filter(~F.col("opened")).select(*keep, F.lit("open").alias("class"), F.lit("").alias("place"), F.when(F.col("n") > 1, F.concat(
-        F.lit("No item was opened from any of the "), F.col("n").cast("string"), F.lit(' lists on "'), "__name", F.lit('".'))).otherwise(F.concat(F.lit('No item was opened from the list on "'), "__name", F.lit('".'))).alias("sentence"))
+    paging = per_page.filter("unpaged").select(*keep, F.lit("paging").alias("class"), F.lit("").alias("place"), F.format_string(SENTENCES["paging"], F.col("__name")).alias("sentence"))
+    unopened = per_page.filter(~F.col("opened")).select(*keep, F.lit("open").alias("class"), F.lit("").alias("place"), F.when(
+        F.col("n") > 1, F.format_string(SENTENCES["open_many"], F.col("n"), F.col("__name"))).otherwise(F.format_string(SENTENCES["open"], F.col("__name"))).alias("sentence"))
     untaken = offers.select(*by, "route").distinct().join(downloads.select(*by, "route").distinct(), [*by, "route"], "left_anti").join(named, [*by, "route"]).select(
-        *keep, F.lit("download").alias("class"), F.lit("").alias("place"), F.concat(F.lit('No download was recorded on "'), "__name", F.lit('" although the page has download links.')).alias("sentence"))
+        *keep, F.lit("download").alias("class"), F.lit("").alias("place"), F.format_string(SENTENCES["download"], F.col("__name")).alias("sentence"))
     return views.unionByName(paging).unionByName(unopened).unionByName(untaken).drop("__name")
 
 
@@ -119,7 +136,7 @@ def coverage_hints(covered: DataFrame, gaps: DataFrame, *, by: Sequence[str] = S
     """Findings per site, the most valuable first (``limit`` of them if asked): menu, views, paging, opening, downloads."""
     menu = covered.filter(~F.col("covered")).select(
         *by, F.lit("menu").alias("class"), F.lit(0).cast("bigint").alias("first_seq"), F.to_json("preorder").alias("place"),
-        F.concat(F.lit('Menu item "'), _plain(F.array_join("path", " > ")), F.lit('" was seen but never opened.')).alias("sentence"),
+        F.format_string(SENTENCES["menu"], _plain(F.array_join("path", " > "))).alias("sentence"),
     )
     every = menu.unionByName(gaps.select(*by, "class", "first_seq", "place", "sentence"))
     rank = F.array_position(F.array(*[F.lit(c) for c in HINT_CLASSES]), F.col("class"))
@@ -176,7 +193,7 @@ def recent_states(states: DataFrame, edges: DataFrame, *, by: Sequence[str] = ("
 def attention_list(states: DataFrame, merged: DataFrame, sightings: DataFrame | None = None, *, by: Sequence[str] = SITE) -> DataFrame:
     """``(by…, section, item)``: what a person should check before trusting the map."""
     key, primary = F.concat(F.lit("`"), cell("key"), F.lit("`")), F.concat(F.lit("`"), cell("selectors.primary"), F.lit("`"))
-    sec = lambda df, title, item: df.select(*by, F.lit(title).alias("section"), item.alias("item"))
+    sec = lambda df, kind, item: df.select(*by, F.lit(SECTIONS[kind]).alias("section"), item.alias("item"))
     spread = states.select(*by, "seq", route_or_path("route", "pathname").alias("route"), F.explode("controls").alias("c")).select(*by, "seq", "route", "c.*")
     buttons = states.select(*by, "seq", route_or_path("route", "pathname").alias("route"), F.explode("buttons").alias("b"))
     at = F.concat(F.lit("state "), F.col("seq").cast("string"), F.lit(": "))
@@ -184,21 +201,21 @@ def attention_list(states: DataFrame, merged: DataFrame, sightings: DataFrame |
     twice = ids.groupBy(*by, "seq", "route", "id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
     many = states.groupBy(*by).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > 1).select(*by)
     parts = [
-        sec(merged.filter(F.col("selectors.stability") == "fragile"), "Fragile selectors", F.concat(key, F.lit(" → "), primary)),
-        sec(merged.filter(F.col("label_source").isin(*P.WEAK_LABEL_SOURCES)), "Weak label sources",
+        sec(merged.filter(F.col("selectors.stability") == "fragile"), "fragile", F.concat(key, F.lit(" → "), primary)),
+        sec(merged.filter(F.col("label_source").isin(*P.WEAK_LABEL_SOURCES)), "weak_label",
             F.concat(key, F.lit(" — labelSource `"), "label_source", F.lit("`"), F.when(text("label") != "", F.concat(F.lit(': "'), cell("label"), F.lit('"'))).otherwise(""))),
-        sec(spread.filter(~F.coalesce("selectors.unique", F.lit(False))), "Non-unique primary selectors",
+        sec(spread.filter(~F.coalesce("selectors.unique", F.lit(False))), "not_unique",
             F.concat(at, key, F.lit(" — "), primary, F.when(F.coalesce("selectors.unique_in_form", F.lit(False)), " (unique within its form)").otherwise(""))),
-        sec(twice, "Duplicate ids on a page", F.concat(F.lit("state "), F.col("seq").cast("string"), F.lit(" ("), code("route"), F.lit("): `#"), cell("id"), F.lit("` appears "), F.col("n").cast("string"), F.lit(" times"))),
-        sec(merged.filter(F.col("n_states") == 1).join(many, list(by), "left_semi"), "Controls seen only once", F.concat(key, F.lit(" on "), "first_state_id")),
-        sec(merged.filter("collides"), "Key collisions across pages", key),
-        sec(merged.filter("id_varies"), "Ids that changed between captures", key),
-        sec(merged.filter(F.col("entry.mode") == "widget"), "Widget-backed controls (do not type into these)", F.concat(key, F.lit(" — "), F.coalesce(F.nullif(F.col("entry.widget_kind"), F.lit("")), F.lit("widget")), F.lit(": "), cell("entry.evidence"))),
-        sec(merged.filter(F.col("entry.mode") == "unknown"), "Entry mode unknown", F.concat(key, F.lit(" — "), cell("entry.evidence"))),
-        sec(spread.filter(F.coalesce("redacted_entirely", F.lit(False))), "Redacted controls — human-only, never automate", F.concat(at, key, F.lit(" — "), primary)),
-        sec(buttons.filter(F.coalesce("b.danger", F.lit(False))), "Buttons the automation must never activate", F.concat(F.lit('"'), cell("b.text"), F.lit('" — `'), cell("b.selector"), F.lit("`"))),
-        sec(states.select(*by, F.explode("blocked_frames").alias("o")), "Embedded frames that were not recorded (blind spots)", F.concat(F.lit("`"), cell("o"), F.lit("`"))),
-        sec(states.filter(F.coalesce("capture_degraded", F.lit(False))), "States captured while DOM triggers were throttled", F.concat(F.lit("state "), F.col("seq").cast("string"))),
+        sec(twice, "same_id", F.concat(F.lit("state "), F.col("seq").cast("string"), F.lit(" ("), code("route"), F.lit("): `#"), cell("id"), F.lit("` appears "), F.col("n").cast("string"), F.lit(" times"))),
+        sec(merged.filter(F.col("n_states") == 1).join(many, list(by), "left_semi"), "once", F.concat(key, F.lit(" on "), "first_state_id")),
+        sec(merged.filter("collides"), "collides", key),
+        sec(merged.filter("id_varies"), "id_varies", key),
+        sec(merged.filter(F.col("entry.mode") == "widget"), "widget", F.concat(key, F.lit(" — "), F.coalesce(F.nullif(F.col("entry.widget_kind"), F.lit("")), F.lit("widget")), F.lit(": "), cell("entry.evidence"))),
+        sec(merged.filter(F.col("entry.mode") == "unknown"), "unknown", F.concat(key, F.lit(" — "), cell("entry.evidence"))),
+        sec(spread.filter(F.coalesce("redacted_entirely", F.lit(False))), "secret", F.concat(at, key, F.lit(" — "), primary)),
+        sec(buttons.filter(F.coalesce("b.danger", F.lit(False))), "danger", F.concat(F.lit('"'), cell("b.text"), F.lit('" — `'), cell("b.selector"), F.lit("`"))),
+        sec(states.select(*by, F.explode("blocked_frames").alias("o")), "frames", F.concat(F.lit("`"), cell("o"), F.lit("`"))),
+        sec(states.filter(F.coalesce("capture_degraded", F.lit(False))), "throttled", F.concat(F.lit("state "), F.col("seq").cast("string"))),
     ]
     out = parts[0]
     for p in parts[1:]:
