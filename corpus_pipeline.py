@@ -35,16 +35,9 @@ def importance_sample(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each group, once; documents without an id stay."""
+    """The document with the least id of each group, once; of texts without a group, or of one id, none is lost."""
     prepare(spark)
-    classes = cut_lineage(jaccard.near_duplicates(docs.select("doc_id", "text")))
-    dropped = classes.filter("class_id <> doc_id").select("doc_id")
-    left = docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
-    twice = cut_lineage(docs.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select("doc_id"))
-    if not twice.count():
-        return left
-    once = left.join(twice, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
-    return left.join(twice, "doc_id", "left_anti").select(*docs.columns).unionByName(once)
+    return jaccard.one_of_each(docs)
 
 
 def private_data_marked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -243,6 +243,22 @@ def test_jaccard_edges(spark, docs, empty):
     assert jaccard.near_duplicates(empty).count() == 0
 
 
+def test_jaccard_null_and_repeated_ids(spark):
+    """No id is needed, and texts of one id are judged apart."""
+    words = lambda n: " ".join(f"w{n}x{k}" for k in range(40))
+    rows = [
+        (None, words(1), "a"), (None, words(1), "b"), (None, words(1) + " tail", "c"), (7, words(2), "d"), (7, words(3), "e"), (3, words(3) + " tail", "f"), (9, words(2) + " end", "g"),
+        (None, "", "h"), (None, None, "i"), (8, "", "j"), (8, None, "k"), (8, words(4), "l"), (8, words(4).replace(" ", "  "), "m"), (None, words(5), "n"), (20, words(5), "o"), (None, words(6), "p"),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found = sorted((r.doc_id or 0, r.class_id or 0, r.n_links) for r in jaccard.near_duplicates(df, null_ids=True).collect())
+    assert found == sorted([(0, 0, 1), (0, 0, 1), (7, 7, 1), (7, 3, 1), (3, 3, 1), (9, 7, 1), (0, 0, 0), (8, 8, 0), (8, 8, 0), (0, 20, 1), (20, 20, 1), (0, 0, 0)])
+    kept = corpus_pipeline.one_of_each_group(spark, df, "")
+    left = "".join(sorted(r.source for r in kept.collect()))
+    assert kept.columns == df.columns and len(left) == 9
+    assert [sum(x in left for x in group) for group in ("abc", "d", "e", "f", "g", "hi", "jk", "lm", "n", "o", "p")] == [1, 1, 0, 1, 0, 2, 1, 1, 0, 1, 1]
+
+
 def test_bayes_bar_falls_with_tolerance():
     strict, loose = jaccard.least_matches(miss=1e-2), jaccard.least_matches(miss=1e-9)
     assert all(a > b for a, b in zip(strict, loose)) and all(m <= 0.8 * n for m, n in zip(strict, jaccard.LOOKS))

@@ -16,8 +16,9 @@ per class and link of a spanning forest, never its pairs. A pair at the threshol
 exactly is missed by all bands with chance (1 - t^ROWS)^BANDS, 3e-6 at 0.8.
 
 Null or empty text and text of white space has no shingle and links with nothing.
-Rows with a null id are left out. Rows of one id are one document with the shingles
-of all. Empty table: no rows. Extra columns are not used.
+A document is an id, null or not, with one shingle set: rows of one id with different
+sets are documents of their own, and their texts are never joined. Inside, documents go
+by a row number. Empty table: no rows. Extra columns are not used.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
@@ -114,8 +115,19 @@ def least_matches(looks: tuple[int, ...] = LOOKS, threshold: float = THRESHOLD,
     return out
 
 
+def text_marks(text: str = "text") -> list[Column]:
+    """128 bits of a text as two columns; null counts as empty."""
+    whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    return [F.xxhash64(whole).alias("text_1"), F.xxhash64(F.lit(1), whole).alias("text_2")]
+
+
+def same_text(a: DataFrame, b: DataFrame) -> Column:
+    """Rows with one id, null or not, and one text."""
+    return a["doc_id"].eqNullSafe(b["doc_id"]) & (a["text_1"] == b["text_1"]) & (a["text_2"] == b["text_2"])
+
+
 def signatures(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """doc_id, n (shingles), set_1, set_2 (128 bits of the set), minhash (binary)."""
+    """doc_id, text_1, text_2, n (shingles), set_1, set_2 (128 bits of the set), minhash (binary) from doc_id, text, text_1, text_2."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words)
@@ -124,13 +136,13 @@ def signatures(docs: DataFrame, words: int = WORDS) -> DataFrame:
             marks = [_set_mark(s) for s in sets]
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([m[0] for m in marks], pa.int64()), pa.array([m[1] for m in marks], pa.int64()),
+                    batch.column(0), *batch.columns[2:], pa.array([len(s) for s in sets], pa.int64()), pa.array([m[0] for m in marks], pa.int64()), pa.array([m[1] for m in marks], pa.int64()),
                     pa.array([minhash(s).tobytes() if len(s) else None for s in sets], pa.binary()),
                 ],
-                names=["doc_id", "n", "set_1", "set_2", "minhash"],
+                names=["doc_id", "text_1", "text_2", "n", "set_1", "set_2", "minhash"],
             )
 
-    return docs.mapInArrow(run, "doc_id long, n long, set_1 long, set_2 long, minhash binary")
+    return docs.mapInArrow(run, "doc_id long, text_1 long, text_2 long, n long, set_1 long, set_2 long, minhash binary")
 
 
 def _set_mark(s: np.ndarray) -> tuple[int, int]:
@@ -249,24 +261,24 @@ def verified(sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return cells.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(verify, "a long, b long, links long")
 
 
-def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD) -> DataFrame:
-    """One row per id: doc_id, class_id (least id that links reach), n_links (other documents linked directly)."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id IS NOT NULL")
-    signed = cut_lineage(signatures(texts, words))
-    repeated = signed.groupBy("doc_id").agg(F.count("*").alias("rows"), F.countDistinct("set_1", "set_2").alias("sets")).filter("rows > 1")
-    if repeated.count():
-        # rows of one id are one document: their texts, one under the other, in a fixed order
-        joined = texts.join(repeated.select("doc_id"), "doc_id", "left_semi").groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_set(F.coalesce("text", F.lit("")))), "\n").alias("text"))
-        texts = texts.join(repeated.select("doc_id"), "doc_id", "left_anti").unionByName(joined)
-        signed = cut_lineage(signatures(texts, words))
-    known = signed.filter("n > 0")
-    classes = known.groupBy("set_1", "set_2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
-    member = cut_lineage(known.select("doc_id", "set_1", "set_2", "n").join(classes, ["set_1", "set_2", "n"]).select("doc_id", "rep", "copies"))
-    reps = member.filter("doc_id = rep").select("rep", "copies")
-    groups = connected_components(candidate_links(reps.join(signed.select(F.col("doc_id").alias("rep"), "minhash"), "rep"), threshold), "a", "b")
+def grouped(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
+    """Rows with their signatures and a row number, and one row per document: doc_id, row (its first), keeper (row of the group's document with the least id), class_id, n_links."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *text_marks())
+    # the numbers are fixed by being written
+    signed = cut_lineage(signatures(texts, words).withColumn("row", F.monotonically_increasing_id()))
+    known = signed.filter("n > 0").groupBy("doc_id", "set_1", "set_2", "n").agg(F.min("row").alias("row"), F.count("*").alias("rows"))
+    # a class goes by its document with the least id; a null id comes last
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
+    classes = known.groupBy("set_1", "set_2", "n").agg(F.min_by("row", order).alias("rep"), F.min("doc_id").alias("least"), F.count("*").alias("copies"))
+    member = cut_lineage(known.join(classes, ["set_1", "set_2", "n"]).select("doc_id", "row", "rows", "rep", "least", "copies"))
+    reps = member.filter("row = rep").select("rep", "rows", "least", "copies")
+    groups = connected_components(candidate_links(reps.join(signed.select(F.col("row").alias("rep"), "minhash"), "rep"), threshold), "a", "b")
     groups = cut_lineage(groups.select(F.col("node").alias("rep"), F.col("component").alias("grp")))
     sizes = groups.groupBy("grp").agg(F.count("*").alias("size"))
-    wanted = groups.join(sizes, "grp").join(reps, "rep")
+    wanted = groups.join(sizes, "grp").join(reps, "rep").join(signed.select(F.col("row").alias("rep"), "doc_id", "text_1", "text_2"), "rep")
+    of_text = texts.join(wanted, same_text(texts, wanted)).select("text", "rep", "grp", "size", "copies")
+    if wanted.filter("rows > 1").limit(1).count():
+        of_text = of_text.groupBy("rep", "grp", "size", "copies").agg(F.min("text").alias("text")).select(*of_text.columns)
 
     def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words)
@@ -274,11 +286,37 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: float = THRE
             sets = [shingler.shingles(t).astype("<u8").tobytes() for t in text_bytes(batch.column(0))]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(sets, pa.binary())], names=["rep", "grp", "size", "copies", "shingles"])
 
-    sets = texts.withColumnRenamed("doc_id", "rep").join(wanted, "rep").select("text", "rep", "grp", "size", "copies").mapInArrow(shingle, "rep long, grp long, size long, copies long, shingles binary")
-    found = cut_lineage(verified(sets, threshold))
+    found = cut_lineage(verified(of_text.mapInArrow(shingle, "rep long, grp long, size long, copies long, shingles binary"), threshold))
     links = found.filter("b IS NULL").groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
-    roots = connected_components(found.filter("b IS NOT NULL"), "a", "b").select(F.col("node").alias("rep"), "component")
-    of_rep = links.join(roots, "rep", "full")
+    roots = cut_lineage(connected_components(found.filter("b IS NOT NULL"), "a", "b").select(F.col("node").alias("rep"), "component"))
+    first = F.min(F.struct(F.col("least").isNull(), "least", F.col("rep").alias("keeper"))).alias("first")
+    named = roots.join(reps, "rep").groupBy("component").agg(first).select("component", F.col("first.least").alias("class_id"), F.col("first.keeper").alias("keeper"))
+    of_rep = links.join(roots.join(named, "component"), "rep", "full")
     of_doc = member.join(of_rep, "rep", "left").select(
-        "doc_id", F.coalesce("component", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    return of_doc.unionByName(signed.filter("n = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links")))
+        "doc_id", "row", F.coalesce("keeper", "rep").alias("keeper"), F.coalesce("class_id", "least").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    bare = signed.filter("n = 0").groupBy("doc_id").agg(F.min("row").alias("row"))
+    return signed, of_doc.unionByName(bare.select("doc_id", "row", F.col("row").alias("keeper"), F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links")))
+
+
+def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, null_ids: bool = False) -> DataFrame:
+    """One row per document: doc_id, class_id (least id that links reach, null if all are null), n_links (other documents linked directly).
+
+    Documents without an id are judged and counted like all others; their own rows are returned with ``null_ids``.
+    """
+    found = grouped(docs, words, threshold)[1].select("doc_id", "class_id", "n_links")
+    return found if null_ids else found.filter("doc_id IS NOT NULL")
+
+
+def one_of_each(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD) -> DataFrame:
+    """``docs`` with one row of each group, that of the least id; rows without a shingle stay, once per id, and all of those without an id."""
+    signed, found = grouped(docs.select("doc_id", "text"), words, threshold)
+    kept = signed.join(cut_lineage(found.filter("row = keeper").select("row")), "row", "left_semi").select("doc_id", "text_1", "text_2")
+    free = signed.filter("n = 0 AND doc_id IS NULL").select("doc_id", "text_1", "text_2")
+    stay = cut_lineage(kept.unionByName(free).distinct())
+    marked = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole"), F.col("doc_id").cast("long").alias("doc_id"), *text_marks())
+    left = marked.join(stay, same_text(marked, stay), "left_semi")
+    twice = cut_lineage(signed.filter("n > 0 OR doc_id IS NOT NULL").groupBy("doc_id", "text_1", "text_2").count().filter("count > 1").drop("count"))
+    if twice.limit(1).count():
+        once = left.join(twice, same_text(left, twice), "left_semi").dropDuplicates(["doc_id", "text_1", "text_2"])
+        left = left.join(twice, same_text(left, twice), "left_anti").unionByName(once)
+    return left.select("whole.*")
