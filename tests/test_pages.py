@@ -78,6 +78,14 @@ def test_structural_redaction(spark, nodes):
     assert "<!-- note -->" not in clean and 'var a' not in clean and 'value="&lt;4 chars&gt;"' in clean and 'value="&lt;redacted&gt;"' in clean
 
 
+def test_long_labelled_values_are_replaced(spark):
+    long = "Asha Rao of " + "Long Lane " * 40
+    page = f"<div><span>Full name</span><span>{long}</span></div><span class='user-name'>{long}</span><p>{long}</p>"
+    nodes = G.page_nodes(spark.createDataFrame([(1, page)], "page_id long, html string")).cache()
+    assert [r.replacement for r in X.scrub_labelled(nodes, doc=["page_id"]).orderBy("idx").collect()] == [None, "<NAME>", "<NAME>", None]
+    assert X.scrub_labelled(nodes, doc=["page_id"], value_max=200, hint_text_max=200).filter("replacement IS NOT NULL").count() == 0
+
+
 def test_learned_values_leave_other_text(spark):
     bodies = spark.createDataFrame([("s", 1, '{"fullName":"Asha Rao","file":"a b.pdf"}')], "session string, seq long, b string")
     learned = X.learned_values(bodies, "b")

@@ -45,6 +45,14 @@ def test_menu_memory_shows_what_is_gone():
     assert out == [("s1", "a", True), ("s1", "b", True), ("s2", "b", True), ("s2", "a", False)]
 
 
+def test_machines_keep_all_rows():
+    seen = [{"ts_ms": 1, "state_id": "s1", "item": f"i{k}"} for k in range(1500)] + [{"ts_ms": 2, "state_id": "s2", "item": "x"}]
+    assert [sum(o[0] == s for o in run(M.MenuMemory(), seen)) for s in ("s1", "s2")] == [1500, 1501]
+    assert [sum(o[0] == s for o in run(M.MenuMemory(1000, 300), seen)) for s in ("s1", "s2")] == [1500, 300]
+    fast = [{"ts_ms": k, "trigger": f"t{k}", "route": "/"} for k in range(100)]
+    assert [len(o[5].split(",")) for m in (M.Bursts(), M.Bursts(named=60)) for o in run(m, fast)] == [100, 60]
+
+
 EVENTS = [("d1", t, "dom-change" if t % 1500 else "click:x", "/" if t < 9000 else "/b") for t in (*range(0, 6000, 500), 9000, 9100, 20000)] + [("d2", 5, "load", "/"), ("d2", 4000, "manual", "/")]
 
 

@@ -15,7 +15,6 @@ from .ordered import previous_row
 
 # ---- fixed values: what may be learned ---------------------------------------
 LEARN_MIN = 4
-VALUE_MAX, HINT_TEXT_MAX = 200, 200
 
 
 def learnable(value: Column) -> Column:
@@ -64,9 +63,11 @@ def scrub_learned(df: DataFrame, column: str, learned: DataFrame, *, doc: Sequen
     return joined.withColumn(column, scrub_expr(folded, packs)).select(*df.columns)
 
 
-def scrub_labelled(nodes: DataFrame, *, doc: Sequence[str], packs=("generic",)) -> DataFrame:
+def scrub_labelled(nodes: DataFrame, *, doc: Sequence[str], packs=("generic",), value_max: int | None = None, hint_text_max: int | None = None) -> DataFrame:
     """Text nodes with values after a label, or in an element named for a person, replaced.
 
+    Values and elements of any length, or of so many characters at most if asked.
+
     Returns the text nodes with ``scrubbed`` and ``replacement`` (NULL where the
     structure gave nothing away). A header cell never labels what follows.
     """
@@ -77,8 +78,8 @@ def scrub_labelled(nodes: DataFrame, *, doc: Sequence[str], packs=("generic",))
     armed = said.join(in_header, [*doc, "idx"], "left").withColumn("__arms", F.when(F.col("__head").isNull(), F.col("__label")))
     # A page is one document and bounded by its own size; chunking by position keeps even that small.
     after = previous_row(armed, by=doc, order=["idx"], payload=["__arms"], out="__prev", chunk=5000)
-    value = F.when(F.col("__label").isNull() & (F.length("__t") <= VALUE_MAX) & ~F.col("__t").startswith("<"), F.col("__prev.__arms"))
-    hints = nodes.filter((F.col("tag") != "#text") & (F.col("text_len") <= HINT_TEXT_MAX)).withColumn("__hint", hint_rule(F.col("attrs")["id"], F.col("attrs")["class"], packs)).filter(F.col("__hint").isNotNull())
+    value = F.when(F.col("__label").isNull() & (F.lit(True) if value_max is None else F.length("__t") <= value_max) & ~F.col("__t").startswith("<"), F.col("__prev.__arms"))
+    hints = nodes.filter((F.col("tag") != "#text") & (F.lit(True) if hint_text_max is None else F.col("text_len") <= hint_text_max)).withColumn("__hint", hint_rule(F.col("attrs")["id"], F.col("attrs")["class"], packs)).filter(F.col("__hint").isNotNull())
     hinted = texts.select(*doc, "idx", F.explode("path").alias("__up")).join(hints.select(*doc, F.col("idx").alias("__up"), "__hint"), [*doc, "__up"]).groupBy(*doc, "idx").agg(F.max_by("__hint", "__up").alias("__hint"))
     out = texts.join(after.select(*doc, "idx", value.alias("__value")), [*doc, "idx"], "left").join(hinted, [*doc, "idx"], "left")
     replacement = F.coalesce("__hint", "__value")

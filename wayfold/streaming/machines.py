@@ -10,7 +10,7 @@ from __future__ import annotations
 # ---- fixed values: timings in milliseconds -----------------------------------
 DEBOUNCE, CEILING, STATE_GAP = 900, 3000, 2000
 BREAKER_RECORDS, BREAKER_WINDOW, BREAKER_COOLDOWN = 500, 1000, 10000
-BURST_TRIGGERS, HINT_TTL, MENU_MEMORY, MENU_SHOWN = 60, 15000, 1000, 300
+HINT_TTL = 15000
 ACTION_WINDOW = 5000
 
 
@@ -20,13 +20,14 @@ class Bursts:
     The first trigger that is not ``dom-change`` names the burst and lends it
     its time. With ``state_gap`` a burst that would close too soon after the
     last one waits, and what arrives meanwhile joins it; ``manual`` never waits.
+    All triggers are named, or the first ``named`` if asked.
     """
 
     inputs = ("ts_ms", "trigger", "route")
     schema = "started_ms bigint, fired_ms bigint, trigger string, trigger_ms bigint, n_events bigint, triggers string"
 
-    def __init__(self, gap=DEBOUNCE, ceiling=CEILING, state_gap=0):
-        self.gap, self.ceiling, self.state_gap = gap, ceiling, state_gap
+    def __init__(self, gap=DEBOUNCE, ceiling=CEILING, state_gap=0, named=None):
+        self.gap, self.ceiling, self.state_gap, self.named = gap, ceiling, state_gap, named
         self.state = {"open": None, "stored": None}
 
     def due(self):
@@ -61,7 +62,7 @@ class Bursts:
         o["last"], o["n"] = ts, o["n"] + 1
         if o["said"] and o["said"][-1][0] == trigger:
             o["said"][-1][1] += 1
-        elif len(o["said"]) < BURST_TRIGGERS:
+        elif self.named is None or len(o["said"]) < self.named:
             o["said"].append([trigger, 1])
 
 
@@ -175,14 +176,14 @@ class LastSeen:
 class MenuMemory:
     """Menu items of a state, and those seen earlier in its document as no longer visible.
 
-    One event per item sighting, states in order; the memory keeps the most
-    recently seen items and shows so many per state.
+    One event per item sighting, states in order; the memory keeps all items, or the
+    most recently seen if asked, and shows all or so many per state.
     """
 
     inputs = ("ts_ms", "state_id", "item")
     schema = "state_id string, item string, visible boolean"
 
-    def __init__(self, memory=MENU_MEMORY, shown=MENU_SHOWN):
+    def __init__(self, memory=None, shown=None):
         self.memory, self.shown = memory, shown
         self.state = {"seen": [], "now": None, "items": []}
 
@@ -194,10 +195,14 @@ class MenuMemory:
         if s["now"] is None:
             return
         here = list(dict.fromkeys(s["items"]))
-        gone = [i for i in reversed(s["seen"]) if i not in set(here)][: max(0, self.shown - len(here))]
+        now = set(here)
+        before = [i for i in s["seen"] if i not in now]
+        gone = before[::-1] if self.shown is None else before[::-1][: max(0, self.shown - len(here))]
         yield from ((s["now"], i, True) for i in here)
         yield from ((s["now"], i, False) for i in gone)
-        s["seen"] = ([i for i in s["seen"] if i not in set(here)] + here)[-self.memory :]
+        s["seen"] = before + here
+        if self.memory is not None:
+            s["seen"] = s["seen"][max(0, len(s["seen"]) - self.memory) :]
         s["now"], s["items"] = None, []
 
     def feed(self, e):

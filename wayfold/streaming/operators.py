@@ -76,8 +76,8 @@ def stream_hints(df: DataFrame, *, by: Sequence[str] = ("session", "tab_id"), ev
     return stream(df, lambda: M.LastSeen(window, True), by=by, event_time=event_time, delay=delay)
 
 
-def overlay_memory(sightings: DataFrame, *, by: Sequence[str] = DOCUMENT, memory: int = M.MENU_MEMORY, shown: int = M.MENU_SHOWN, order: Sequence[str] = ("ts_ms", "state_id", "pos")) -> DataFrame:
-    """Menu items per state, with the ones seen earlier in the document as not visible."""
+def overlay_memory(sightings: DataFrame, *, by: Sequence[str] = DOCUMENT, memory: int | None = None, shown: int | None = None, order: Sequence[str] = ("ts_ms", "state_id", "pos")) -> DataFrame:
+    """Menu items per state, with the ones seen earlier in the document as not visible; no more than ``memory`` and ``shown`` if asked."""
     return scan(sightings, lambda: M.MenuMemory(memory, shown), by=by, order=order)
 
 
