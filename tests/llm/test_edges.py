@@ -350,6 +350,14 @@ def test_pii_edges(spark, docs, empty):
     assert pii.find(empty).count() == 0 and pii.digest(pii.find(docs)).filter("doc_id = 2").first().base_sha256 == hashlib.sha256(b"").hexdigest()
 
 
+def test_pii_grouped_ibans(spark):
+    gb, at, de = "GB82 WEST 1234 5698 7654 32", "AT61 1904 3002 3457 3201", "DE89 3704 0044 0532 0130 00"
+    texts = [f"to {gb}.", f"{at} {de} now", f"{at} SENT BY MAIL", f"AB12 CDEF {gb}", gb.replace("82", "83"), f"{at} GB82WEST12345698765432", gb.replace(" ", "  ")]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    clean = [r.text for r in pii.redact(df).orderBy("doc_id").collect()]
+    assert clean == ["to [IBAN].", "[IBAN] [IBAN] now", "[IBAN] SENT BY MAIL", "AB12 CDEF [IBAN]", texts[4], "[IBAN] [IBAN]", texts[6]]
+
+
 def test_warc(spark, tmp_path):
     pages = spark.createDataFrame([(1, "http://a.example/x", "<title>T</title><p>Hi &amp; <b>you</b><script>no()</script></p>"), (2, "http://a.example/y", None), (3, None, ""), (3, None, "")], "page_id long, url string, html string")
     made = warc.derivatives(warc.responses_of_pages(pages), ("page_id",))
