@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage, prepare
-from . import cover_tree, huffman, jaccard, merkle, packing, pii, piece_bpe, resample, segments, toxicity, warc
+from . import cover_tree, hard_negatives, huffman, jaccard, merkle, packing, pii, piece_bpe, resample, segments, toxicity, warc, winnow
 from .common import table
 
 
@@ -67,10 +67,18 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find(table(spark, sf_dir, "documents")))
 
 
+def op11_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnow.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans")
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.documents_manifest(table(spark, sf_dir, "documents"))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mined_embeddings(table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -84,9 +92,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
         return run
 
-    every = (op1_packing, op2_importance_resampling, op3_huffman_ids, op4_toxicity, op5_warc_derivatives, op6_ngram_jaccard, op7_piece_bpe, op8_cover_tree, op9_segment_search, op10_pii, op12_merkle_manifest, pipeline)
+    every = (op1_packing, op2_importance_resampling, op3_huffman_ids, op4_toxicity, op5_warc_derivatives, op6_ngram_jaccard, op7_piece_bpe, op8_cover_tree, op9_segment_search, op10_pii, op11_winnowing, op12_merkle_manifest, op13_hard_negatives, pipeline)
     return {q.__name__: ready(q) for q in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_warc_derivatives": warc.ORACLE_SQL, "op8_cover_tree": cover_tree.ORACLE_SQL, "op9_segment_search": segments.ORACLE_SQL, "op10_pii": pii.ORACLE_SQL, "op12_merkle_manifest": merkle.ORACLE_SQL}
+    return {"op5_warc_derivatives": warc.ORACLE_SQL, "op8_cover_tree": cover_tree.ORACLE_SQL, "op9_segment_search": segments.ORACLE_SQL, "op10_pii": pii.ORACLE_SQL, "op11_winnowing": winnow.ORACLE_SQL, "op12_merkle_manifest": merkle.ORACLE_SQL, "op13_hard_negatives": hard_negatives.ORACLE_SQL}
