@@ -35,28 +35,35 @@ LIMIT = 18
 STRIDE = 128
 #: Symbols a block holds before the next document starts a new one, about.
 BLOCK = 1 << 18
-#: Symbols of a file, about.
-FILE = 1 << 22
+#: Symbols of a file at most, about; a table of fewer still gives every core a file, down to ``SMALL`` symbols.
+FILE, SMALL = 1 << 26, 1 << 22
 
 _BLOCKS = "file int, block int, first_token long, doc_ids array<long>, n_tokens array<long>, n_symbols long, offsets binary, payload binary"
 
 
 def token_rows(docs: DataFrame, path: str, end_id: int) -> DataFrame:
-    """doc_id, n_tokens, ids_crc32, ids (32-bit numbers when the vocabulary needs them, else 16-bit)."""
+    """doc_id, n_tokens, ids_crc32, ids (32-bit numbers when the vocabulary needs them, else 16-bit), counts.
+
+    The last row of a task holds nothing but ``counts``: how often each id occurred in it, as 64-bit numbers.
+    """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(path, False)
+        counts = np.zeros(1 << 16, np.int64)
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary()]
+        names = ["doc_id", "n_tokens", "ids_crc32", "ids", "width", "counts"]
         for batch in batches:
             rows = [np.append(ids, coder.dtype(end_id)) for ids in coder.ids_of(utf8(batch.column(1)))]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0), pa.array([len(r) for r in rows], pa.int64()), pa.array([zlib.crc32(r.astype("<u4").tobytes()) for r in rows], pa.int64()),
-                    pa.array([r.tobytes() for r in rows], pa.binary()), pa.array([r.itemsize for r in rows], pa.int32()),
-                ],
-                names=["doc_id", "n_tokens", "ids_crc32", "ids", "width"],
-            )
+            if rows:
+                got = np.bincount(np.concatenate(rows), minlength=len(counts))
+                got[: len(counts)] += counts
+                counts = got
+            columns = [batch.column(0), [len(r) for r in rows], [zlib.crc32(r.astype("<u4").tobytes()) for r in rows], [r.tobytes() for r in rows], [r.itemsize for r in rows], [None] * len(rows)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
+        yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip([None] * 5 + [counts.astype("<i8").tobytes()], kinds)], names=names)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(encode, "doc_id long, n_tokens long, ids_crc32 long, ids binary, width int")
+    fields = "doc_id long, n_tokens long, ids_crc32 long, ids binary, width int, counts binary"
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(encode, fields)
 
 
 def _numbers(ids: bytes, width: int) -> np.ndarray:
@@ -64,20 +71,16 @@ def _numbers(ids: bytes, width: int) -> np.ndarray:
 
 
 def id_counts(tokens: DataFrame) -> DataFrame:
-    """(id, n) over all documents; each task sends a row per id at most."""
+    """(id, n) over all documents, from the counts that the encoding tasks left."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << 16, np.int64)
         for batch in batches:
-            for ids, width in zip(batch.column(0), batch.column(1)):
-                got = np.bincount(_numbers(ids.as_buffer(), width.as_py()))
-                if len(got) > len(total):
-                    total = np.concatenate([total, np.zeros(len(got) - len(total), np.int64)])
-                total[: len(got)] += got
-        seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen])], names=["id", "n"])
+            for counts in batch.column(0):
+                total = np.frombuffer(counts.as_buffer(), "<i8")
+                seen = np.flatnonzero(total)
+                yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen])], names=["id", "n"])
 
-    return tokens.select("ids", "width").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    return tokens.filter("counts is not null").select("counts").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def code_lengths(counts: np.ndarray, limit: int = LIMIT) -> np.ndarray:
@@ -109,12 +112,12 @@ def code_lengths(counts: np.ndarray, limit: int = LIMIT) -> np.ndarray:
 
 
 def canonical(ids: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    """Codes in order of length, then id."""
-    codes, code, was = np.zeros(len(ids), np.int64), 0, 0
-    for i in np.lexsort((ids, bits)):
-        code <<= int(bits[i]) - was
-        codes[i], was = code, int(bits[i])
-        code += 1
+    """Codes in order of length, then id: each begins where the code space of those before ends."""
+    order = np.lexsort((ids, bits))
+    limit = int(bits.max(initial=1))
+    spans = np.int64(1) << (limit - bits[order])
+    codes = np.empty(len(ids), np.int64)
+    codes[order] = (np.cumsum(spans) - spans) >> (limit - bits[order])
     return codes
 
 
@@ -124,21 +127,22 @@ class Code:
     def __init__(self, ids: np.ndarray, bits: np.ndarray):
         self.limit = int(bits.max(initial=1))
         codes, top = canonical(ids, bits), int(ids.max(initial=0)) + 1
-        self.bits, self.codes = np.zeros(top, np.int64), np.zeros(top, np.uint64)
-        self.bits[ids], self.codes[ids] = bits, codes.astype(np.uint64)
+        #: code and bits of a symbol, and symbol and bits of what a code begins with; bits in the lowest five places
+        self.of_symbol, self.at_window = np.zeros(top, np.uint32), np.zeros(1 << self.limit, np.uint32)
+        self.of_symbol[ids] = codes << 5 | bits
         order = np.lexsort((ids, bits))
         spans = 1 << (self.limit - bits[order])
-        self.symbol = np.zeros(1 << self.limit, np.int32)
-        self.symbol[: spans.sum()] = np.repeat(ids[order], spans)
+        self.at_window[: spans.sum()] = np.repeat((ids << 5 | bits)[order], spans)
 
     def pack(self, symbols: np.ndarray) -> tuple[bytes, np.ndarray]:
         """Bits of the symbols, first one highest, and the bit offset of every ``STRIDE``-th."""
-        bits = self.bits[symbols]
+        both = self.of_symbol[symbols]
+        bits = (both & 31).astype(np.int64)
         ends = np.cumsum(bits)
         at = ends - bits
         words = np.zeros(int(ends[-1] if len(ends) else 0) // 64 + 2, np.uint64)
         word, room = at >> 6, 64 - (at & 63) - bits
-        code = self.codes[symbols]
+        code = (both >> 5).astype(np.uint64)
         inside = room >= 0
         head = np.where(inside, code << np.maximum(room, 0).astype(np.uint64), code >> np.maximum(-room, 0).astype(np.uint64))
         # codes that share a word do not overlap, so their sum is their union
@@ -152,7 +156,7 @@ class Code:
     def unpack(self, payload: bytes, offsets: np.ndarray, n: int) -> np.ndarray:
         """All symbols; every noted offset is a lane, and all lanes take one step at a time."""
         words = np.frombuffer(payload, ">u8").astype(np.uint64)
-        out = np.zeros((len(offsets), STRIDE), np.int32)
+        out = np.zeros((STRIDE, len(offsets)), np.uint32)
         at, shift = offsets.astype(np.int64), np.uint64(64 - self.limit)
         last = n - (len(offsets) - 1) * STRIDE
         for step in range(STRIDE if len(offsets) > 1 else last):
@@ -160,10 +164,10 @@ class Code:
                 at = at[:-1]
             word, skip = at >> 6, (at & 63).astype(np.uint64)
             window = (words[word] << skip) | ((words[word + 1] >> np.uint64(1)) >> (np.uint64(63) - skip))
-            got = self.symbol[window >> shift]
-            out[: len(at), step] = got
-            at = at + self.bits[got]
-        return out.reshape(-1)[:n]
+            got = self.at_window[window >> shift]
+            out[step, : len(at)] = got >> 5
+            at = at + (got & 31)
+        return out.T.reshape(-1)[:n]
 
 
 def write(docs: DataFrame, path: str, folder: str, end_id: int = 0, files: int | None = None) -> None:
@@ -204,8 +208,9 @@ def write(docs: DataFrame, path: str, folder: str, end_id: int = 0, files: int |
             yield flush()
 
     order = ["doc_id", "n_tokens", "ids_crc32"]
-    parts = files or max(1, -(-sum(count.values()) // FILE))
-    sorted_ = tokens.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("doc_id", "ids", "width")
+    total = sum(count.values())
+    parts = files or max(1, -(-total // FILE), min(-(-total // SMALL), spark.sparkContext.defaultParallelism))
+    sorted_ = tokens.filter("counts is null").repartitionByRange(parts, *order).sortWithinPartitions(*order).select("doc_id", "ids", "width")
     sorted_.mapInArrow(blocks, _BLOCKS).write.parquet(f"{folder}/blocks")
 
 
