@@ -3,7 +3,8 @@
 A sentence's chance is a logistic function of the weights of its words and of their
 first letters; a document's chance is the noisy-or of its sentences. The
 weights are fitted to document labels by gradient steps on that likelihood, so the
-sentences that made a document toxic carry the weight, and ``locate`` names them.
+sentences that made a document toxic carry the weight, and ``locate`` names them. A step
+is a job over the written sample: tasks sum the slopes, the driver holds only weights.
 
 Labels are learned from a bounded sample of the training rows, ``SAMPLE`` a class;
 every text is scored whole. A word's weight is looked up once per worker.
@@ -11,8 +12,9 @@ every text is scored whole. A word's weight is looked up once per worker.
 Null or empty text has no sentence and scores 0, also where no model could be
 fitted (no labelled text of one of the two classes): then every text scores the
 toxic share of the labelled rows. Null ids are scored, held out from nothing and
-never learned from; repeated labels of a document count as their greatest. Repeated
-rows are scored each. Empty table: no rows. Extra columns stay.
+never learned from; repeated labels of a document count as their greatest, and of its
+repeated texts the least is learned from. Repeated rows are scored each. Texts of any
+length are scored whole. Empty table: no rows. Extra columns stay.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_bytes
+from .common import text_bytes, written
 
 #: Training documents of each class, about.
 SAMPLE = 2000
@@ -40,6 +42,8 @@ STEPS, RATE, DECAY = 80, 0.2, 0.05
 HEADS = (4, 5, 6)
 #: Words whose weights a worker keeps at a time, and their letters.
 WORDS_KEPT, LETTERS_KEPT = 500_000, 20_000_000
+#: Features of the sample worked on together, about.
+TOGETHER = 1 << 19
 
 _PARTS = re.compile(r"[^\W\d_]+|[.!?\n]")
 _STOPS = frozenset(".!?\n")
@@ -107,28 +111,104 @@ class Model:
         return float(-np.expm1(-np.logaddexp(0, self.sentences(text)).sum()))
 
 
-def fit(label: np.ndarray, weight: np.ndarray, doc: np.ndarray, sentence: np.ndarray, feature: np.ndarray) -> Model:
-    """Weights from (document, sentence, feature) triples; sentences are numbered over all documents, in document order."""
-    pairs = np.unique(feature.astype(np.int64) * len(label) + doc)
-    seen = np.bincount(pairs // len(label), minlength=BUCKETS)
-    del pairs
-    kept = np.flatnonzero(seen >= SEEN_IN)
-    ok = seen[feature] >= SEEN_IN
-    at, where = np.searchsorted(kept, feature[ok]), sentence[ok].astype(np.int64)
-    n_sentences = int(sentence.max()) + 1
-    of = np.zeros(n_sentences, np.int64)
+def sample_rows(docs: DataFrame, taken: DataFrame) -> DataFrame:
+    """Blocks of sampled documents: labels, and for each feature of a sentence the document, the sentence and the feature.
+
+    ``taken``: doc_id, y, weight. One text counts for an id, the least of those that share it.
+    """
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(taken), "doc_id")
+    texts = texts.groupBy("doc_id", "y", "weight").agg(F.min("text").alias("text")).select("text", "y", "weight")
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        y: list[int] = []
+        weight: list[float] = []
+        held: list[np.ndarray] = []
+        sentences = size = 0
+
+        def flush() -> pa.RecordBatch:
+            nonlocal sentences, size
+            triples = np.concatenate(held)
+            row = [np.array(y, "<i4"), np.array(weight, "<f8"), *(triples[:, c] for c in range(3))]
+            for kept in (y, weight, held):
+                kept.clear()
+            sentences = size = 0
+            return pa.RecordBatch.from_arrays([pa.array([v.tobytes()], pa.binary()) for v in row], names=["y", "weight", "doc", "sentence", "feature"])
+
+        for batch in batches:
+            for text, label, w in zip(text_bytes(batch.column(0)), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                words, number = sentence_parts(text)
+                if not words:
+                    continue
+                fresh = [i for i, t in enumerate(words) if not i or t != words[i - 1] or number[i] != number[i - 1]]
+                found = [features(words[i]) for i in fresh]
+                triples = np.empty((sum(map(len, found)), 3), "<i4")
+                triples[:, 0] = len(y)
+                triples[:, 1] = sentences + np.repeat(number[fresh], [len(f) for f in found])
+                triples[:, 2] = [f for each in found for f in each]
+                y.append(label)
+                weight.append(w)
+                held.append(triples)
+                sentences, size = sentences + int(number[-1]) + 1, size + len(triples)
+                if size >= TOGETHER:
+                    yield flush()
+        if held:
+            yield flush()
+
+    return texts.mapInArrow(parts, "y binary, weight binary, doc binary, sentence binary, feature binary")
+
+
+def _numbers(row: dict, name: str) -> np.ndarray:
+    return np.frombuffer(row[name], "<f8" if name == "weight" else "<i4")
+
+
+def kept_features(blocks: DataFrame) -> np.ndarray:
+    """Features that enough documents have, ascending; at most ``BUCKETS``."""
+
+    def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                pairs = np.unique(_numbers(row, "feature").astype(np.int64) << 32 | _numbers(row, "doc"))
+                feature, n = np.unique(pairs >> 32, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(feature.astype(np.int32)), pa.array(n)], names=["feature", "n"])
+
+    counts = blocks.select("doc", "feature").mapInArrow(seen, "feature int, n long").groupBy("feature").agg(F.sum("n").alias("n"))
+    return np.sort(counts.filter(F.col("n") >= SEEN_IN).select("feature").toArrow().column(0).to_numpy())
+
+
+def block_gradient(row: dict, kept: np.ndarray, w: np.ndarray, b: float) -> np.ndarray:
+    """The slope of one block's loss by every kept weight and, last, by the bias."""
+    label, weight, doc, sentence, feature = (_numbers(row, c) for c in ("y", "weight", "doc", "sentence", "feature"))
+    place = np.searchsorted(kept, feature)
+    ok = place < len(kept)
+    ok[ok] = kept[place[ok]] == feature[ok]
+    at, where, n = place[ok], sentence[ok], int(sentence.max()) + 1
+    of = np.zeros(n, np.int64)
     of[sentence] = doc
-    del feature, sentence, doc, ok, seen
-    w, b = np.zeros(len(kept) + 1), -5.0
+    z = np.bincount(where, w[at], minlength=n) + b
+    clear = np.exp(-np.bincount(of, np.logaddexp(0, z), minlength=len(label)))
+    pull = np.where(label > 0, -clear / np.maximum(1 - clear, 1e-12), 1.0) * weight
+    g = pull[of] / (1 + np.exp(-np.clip(z, -60, 60)))
+    return np.append(np.bincount(at, g[where], minlength=len(w)), g.sum())
+
+
+def fit(blocks: DataFrame, documents: int, weight: float) -> Model:
+    """Weights from blocks of sampled documents. A step's slopes are summed in tasks; the driver holds weights alone."""
+    kept = kept_features(blocks)
+    w, b = np.zeros(len(kept)), -5.0
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
-    weight = weight / weight.sum()
     for step in range(1, STEPS + 1):
-        z = np.bincount(where, w[at], minlength=n_sentences) + b
-        total = np.bincount(of, np.logaddexp(0, z), minlength=len(label))
-        clear = np.exp(-total)
-        pull = np.where(label > 0, -clear / np.maximum(1 - clear, 1e-12), 1.0) * weight
-        g = pull[of] / (1 + np.exp(-np.clip(z, -60, 60)))
-        grad = np.append(np.bincount(at, g[where], minlength=len(w)) + DECAY * w / len(label), g.sum())
+
+        def slopes(batches: Iterator[pa.RecordBatch], w: np.ndarray = w, b: float = b) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(len(w) + 1)
+            for batch in batches:
+                for row in batch.to_pylist():
+                    total += block_gradient(row, kept, w, b)
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["slopes"])
+
+        # a row a task, and few tasks, for the sample is bounded
+        grad = np.sum([np.frombuffer(r["slopes"]) for r in blocks.mapInArrow(slopes, "slopes binary").collect()], axis=0)
+        grad = grad / weight
+        grad[:-1] += DECAY * w / documents
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         move = RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
         w, b = w - move[:-1], b - move[-1]
@@ -146,34 +226,15 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int
         return Model({}, 0.0, 0.0)
     shares = {y: min(1.0, sample / n) for y, n in counts.items()}
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / float(1 << 20)
-    taken = own.filter((draw < F.when(F.col("y") == 1, shares.get(1, 0.0)).otherwise(shares.get(0, 0.0))))
-    # about 2 x sample rows of 12 bytes, whatever the size of the tables
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(taken), "doc_id")
-
-    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for text in text_bytes(batch.column(1)):
-                words, number = sentence_parts(text)
-                fresh = [i for i, w in enumerate(words) if not i or w != words[i - 1] or number[i] != number[i - 1]]
-                found, number = [features(words[i]) for i in fresh], number[fresh]
-                pairs = np.empty((sum(map(len, found)), 2), "<i4")
-                pairs[:, 0] = np.repeat(number, [len(f) for f in found])
-                pairs[:, 1] = [f for each in found for f in each]
-                rows.append(pairs.tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(2), pa.array(rows, pa.binary())], names=["y", "pairs"])
-
-    got = [(r["y"], np.frombuffer(r["pairs"], "<i4").reshape(-1, 2)) for r in texts.mapInArrow(parts, "y int, pairs binary").toLocalIterator()]
-    got = [g for g in got if len(g[1])]
-    y = np.array([g[0] for g in got])
+    share = F.when(F.col("y") == 1, shares.get(1, 0.0)).otherwise(shares.get(0, 0.0))
+    # about 2 x sample rows of 20 bytes, whatever the size of the tables
+    taken = own.filter(draw < share).withColumn("weight", 1 / share)
+    blocks = written(sample_rows(docs, taken), "toxicity-sample")
+    found = blocks.select("y", "weight").toArrow().to_pylist()  # 12 bytes a sampled document
+    y, weight = (np.concatenate([_numbers(r, c) for r in found] or [np.empty(0)]) for c in ("y", "weight"))
     if len(set(y.tolist())) < 2:
         return Model({}, 0.0, counts.get(1, 0) / sum(counts.values()))
-    doc = np.repeat(np.arange(len(got), dtype=np.int32), [len(g[1]) for g in got])
-    sizes = np.array([int(g[1][:, 0].max()) + 1 for g in got])
-    first = (np.cumsum(sizes) - sizes).astype(np.int32)
-    pairs = np.concatenate([g[1] for g in got])
-    got.clear()
-    return fit(y, np.where(y == 1, 1 / shares[1], 1 / shares[0]), doc, first[doc] + pairs[:, 0], pairs[:, 1].copy())
+    return fit(blocks, len(y), float(weight.sum()))
 
 
 def score(text: Column, model: Model) -> Column:
