@@ -35,8 +35,8 @@ LIMIT = 18
 STRIDE = 128
 #: Symbols a block holds before the next document starts a new one, about.
 BLOCK = 1 << 18
-#: Symbols of a file at most, about; a table of fewer still gives every core a file, down to ``SMALL`` symbols.
-FILE, SMALL = 1 << 26, 1 << 22
+#: Symbols of a file, about.
+FILE = 1 << 22
 
 _BLOCKS = "file int, block int, first_token long, doc_ids array<long>, n_tokens array<long>, n_symbols long, offsets binary, payload binary"
 
@@ -208,8 +208,7 @@ def write(docs: DataFrame, path: str, folder: str, end_id: int = 0, files: int |
             yield flush()
 
     order = ["doc_id", "n_tokens", "ids_crc32"]
-    total = sum(count.values())
-    parts = files or max(1, -(-total // FILE), min(-(-total // SMALL), spark.sparkContext.defaultParallelism))
+    parts = files or max(1, -(-sum(count.values()) // FILE))
     sorted_ = tokens.filter("counts is null").repartitionByRange(parts, *order).sortWithinPartitions(*order).select("doc_id", "ids", "width")
     sorted_.mapInArrow(blocks, _BLOCKS).write.parquet(f"{folder}/blocks")
 
