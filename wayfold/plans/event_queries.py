@@ -269,7 +269,7 @@ CASE WHEN o.origin LIKE '%shop%' THEN (SELECT count(*) FROM ed) ELSE 0 END AS n_
 SELECT 'transitions.to', 'state', to_id FROM ed WHERE to_id NOT IN (SELECT id FROM st WHERE event_type = 'view')""",
     "blocked_frames": _W + "SELECT DISTINCT session, origin AS frame_origin FROM ac WHERE origin <> 'https://shop.example.com'",
     "common_value": "SELECT o_custkey, lower(s) AS status FROM (SELECT o_custkey, s, row_number() OVER (PARTITION BY o_custkey ORDER BY n DESC, f) AS r FROM (SELECT o_custkey, o_orderstatus AS s, count(*) AS n, min(o_orderkey) AS f FROM orders GROUP BY ALL)) WHERE r = 1",
-    "structured_endpoints": _W + "SELECT 'POST /api/' || k AS endpoint, count(*) AS n_calls FROM nt GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 40",
+    "structured_endpoints": _W + "SELECT 'POST /api/' || k AS endpoint, count(*) AS n_calls FROM nt GROUP BY 1",
     "routes_bfs": "WITH RECURSIVE " + _CAP + ", " + _EDGES + """, h AS (SELECT DISTINCT '/k/' || fk AS a, '/k/' || tk AS b FROM ed WHERE fk <> tk), s0 AS (SELECT min(a) AS node FROM h),
 r AS (SELECT node, 0 AS steps FROM s0 UNION SELECT h.b, r.steps + 1 FROM r JOIN h ON h.a = r.node WHERE r.steps < 12) SELECT node, min(steps) AS steps, min(steps) AS cost FROM r GROUP BY node""",
 }

@@ -199,6 +199,7 @@ QUERIES = {
     "bursts": bursts, "gap_bursts": gap_bursts, "volume_breaker": volume_breaker, "pause_gate": pause_gate, "download_lifecycle": download_lifecycle, "overlay_memory": overlay_memory, "har_entries": har_entries, "session_stats": session_stats,
 }
 
+_HOUR = 3_600_000
 _GAPS = "SELECT user_id, min(ts) AS s, count(*) AS n FROM (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS g FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS b FROM events)) GROUP BY user_id, g"
 _LINES = "FROM lineitem l JOIN orders o ON o.o_orderkey = l.l_orderkey"
 _SHAPE = f"""per AS (SELECT o_orderstatus, o_orderkey, count(*) AS c {_LINES} GROUP BY ALL), tot AS (SELECT o_orderstatus, count(*) AS orders, sum(c) AS lines, max(c) AS most FROM per GROUP BY 1),
@@ -226,6 +227,16 @@ CASE WHEN k = 0 THEN 'method PUT' WHEN k = 1 THEN 'path word "update"' WHEN k =
     "merged_controls": f"WITH {_CTL} SELECT CASE WHEN n > 1 THEN '/cart::' || key ELSE key END AS key, label, label_source, required, stability, n_states, CAST(n > 1 AS INTEGER) AS collides FROM mg JOIN nv USING (key)",
     "control_collisions": f"WITH {_CTL} SELECT '/cart::' || key AS key, n - 1 AS n_colliding FROM mg JOIN nv USING (key) WHERE n > 1",
     "session_bursts": f"SELECT user_id, epoch_us(s) AS started_us, n AS n_events FROM ({_GAPS})",
+    "bursts": f"""WITH RECURSIVE e AS (SELECT user_id, event_type, epoch_us(ts) // 1000 AS t, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000, event_id) AS i FROM events),
+r AS (SELECT user_id, i, t, t AS s, event_type AS kind FROM e WHERE i = 1
+UNION ALL SELECT e.user_id, e.i, e.t, CASE WHEN e.t >= least(r.t + {6 * _HOUR}, r.s + {24 * _HOUR}) THEN e.t ELSE r.s END, e.event_type FROM r JOIN e ON e.user_id = r.user_id AND e.i = r.i + 1),
+b AS (SELECT *, count(*) FILTER (new) OVER (PARTITION BY user_id ORDER BY i) AS part FROM (SELECT *, i = 1 OR t >= least(lag(t) OVER w + {6 * _HOUR}, lag(s) OVER w + {24 * _HOUR}) AS new FROM r WINDOW w AS (PARTITION BY user_id ORDER BY i)))
+SELECT user_id, min(s) AS started_ms, greatest(least(max(t) + {6 * _HOUR}, min(s) + {24 * _HOUR}), max(t)) AS fired_ms, min_by(kind, i) AS "trigger", count(*) AS n_events FROM b GROUP BY user_id, part""",
+    "volume_breaker": f"""WITH RECURSIVE e AS (SELECT user_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k, epoch_us(ts) // 1000 AS t, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000, event_id) AS i FROM events),
+r AS (SELECT user_id, i, t AS s, k AS n, CASE WHEN k > 150 THEN t + {24 * _HOUR} END AS stop, k > 150 AS cut FROM e WHERE i = 1
+UNION ALL SELECT user_id, i, s, n, CASE WHEN trips THEN t + {24 * _HOUR} ELSE stop END, trips OR coalesce(t < stop, FALSE) FROM (SELECT *, n > 150 AND (stop IS NULL OR t >= stop) AS trips FROM
+(SELECT e.user_id, e.i, e.t, CASE WHEN e.t - r.s > {24 * _HOUR} THEN e.t ELSE r.s END AS s, CASE WHEN e.t - r.s > {24 * _HOUR} THEN 0 ELSE r.n END + e.k AS n, r.stop FROM r JOIN e ON e.user_id = r.user_id AND e.i = r.i + 1)))
+SELECT user_id, count(*) FILTER (NOT cut) AS n_kept, count(*) AS n FROM r GROUP BY user_id""",
     "gap_bursts": f"SELECT user_id, epoch_us(s) // 1000 AS started_ms, n AS n_events FROM ({_GAPS})",
     "pause_gate": "SELECT 'act_' || c.event_id AS id FROM (SELECT * FROM events WHERE event_type = 'click') c ASOF LEFT JOIN (SELECT * FROM events WHERE event_type IN ('error', 'signup')) m ON c.user_id = m.user_id AND c.ts >= m.ts WHERE m.event_type IS DISTINCT FROM 'error'",
     "download_lifecycle": "SELECT l_orderkey AS id, CASE WHEN bool_or(l_linestatus = 'F') THEN 'complete' ELSE 'in_progress' END AS state, -1 AS size_bytes, epoch_us(max(l_shipdate)) AS updated_us FROM lineitem GROUP BY 1",

@@ -10,12 +10,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupStateTimeout
 
+from ..operators.chains import span_before
 from ..operators.joins import asof_join
+from ..operators.ordered import carry_last, previous_row, running_sum
 from . import machines as M
 from .keyed import scan, split_at_gaps, stream
 
 DOCUMENT = ("session", "tab_id", "frame_id")
 LATENESS = {"tabs": timedelta(milliseconds=250), "downloads": timedelta(milliseconds=1000), "hints": timedelta(milliseconds=1000), "dependencies": timedelta(milliseconds=50)}
+#: States and items that meet in one task of ``overlay_memory``, about.
+RUNS, ITEMS = 256, 1000
 
 
 def millis(df: DataFrame, ts: str) -> DataFrame:
@@ -23,9 +27,24 @@ def millis(df: DataFrame, ts: str) -> DataFrame:
 
 
 def bursts(df: DataFrame, *, by: Sequence[str] = DOCUMENT, gap: int = M.DEBOUNCE, ceiling: int = M.CEILING, state_gap: int = 0, tie: Sequence[str] = (), chunk=None) -> DataFrame:
-    """Batch bursts over ``ts_ms, trigger, route``; pieces between long gaps run apart."""
-    parts = split_at_gaps(df, by=by, ts_ms="ts_ms", gap=gap + 2 * state_gap, tie=tie, chunk=chunk)
-    return scan(parts, lambda: M.Bursts(gap, ceiling, state_gap), by=[*by, "part"], order=["ts_ms", *tie]).drop("part")
+    """Batch bursts over ``ts_ms, trigger, route``; every burst runs apart, so a document need not be quiet to be split.
+
+    Where bursts begin follows from where the ceiling was last counted from: a chain of
+    spans that quiet gaps and changes of route begin anew. With ``state_gap`` a burst also waits for the one before,
+    and only pieces between long gaps run apart. Rows without a time are left out.
+    """
+    df, order = df.filter("ts_ms is not null"), ["ts_ms", *tie]
+    if state_gap:
+        parts = split_at_gaps(df, by=by, ts_ms="ts_ms", gap=gap + 2 * state_gap, tie=tie, chunk=chunk)
+    else:
+        width = 900_000 if chunk is None else chunk
+        seen = previous_row(df, by=by, order=order, payload=["ts_ms", "route"], out="__p", chunk=width)
+        quiet = F.col("__p").isNull() | (F.col("ts_ms") - F.col("__p.ts_ms") >= gap)
+        moved = ~F.col("__p.route").eqNullSafe(F.col("route"))
+        held = span_before(seen.withColumn("__quiet", quiet), by=by, order=order, span=ceiling, forced=quiet | moved, out="__since", chunk=width)
+        new = F.col("__quiet") | F.col("__since").isNull() | (F.col("ts_ms") >= F.col("__since") + ceiling)
+        parts = running_sum(held, by=by, order=order, value=F.when(new, 1).otherwise(0), out="part", chunk=width)
+    return scan(parts, lambda: M.Bursts(gap, ceiling, state_gap), by=[*by, "part"], order=order).drop("part")
 
 
 def stream_bursts(df: DataFrame, *, by: Sequence[str] = DOCUMENT, event_time: str = "ts", gap: int = M.DEBOUNCE, ceiling: int = M.CEILING, state_gap: int = 0, delay: timedelta = LATENESS["tabs"]) -> DataFrame:
@@ -38,8 +57,24 @@ def gap_sessions(df: DataFrame, *, by: Sequence[str], ts: str, gap: str, n: str
 
 
 def volume_breaker(df: DataFrame, *, by: Sequence[str] = DOCUMENT, limit: int = M.BREAKER_RECORDS, window: int = M.BREAKER_WINDOW, cooldown: int = M.BREAKER_COOLDOWN, tie: Sequence[str] = (), chunk=None) -> DataFrame:
-    parts = split_at_gaps(df, by=by, ts_ms="ts_ms", gap=window + cooldown + 1, tie=tie, chunk=chunk)
-    return scan(parts, lambda: M.VolumeBreaker(limit, window, cooldown), by=[*by, "part"], order=["ts_ms", *tie]).drop("part")
+    """Records of ``ts_ms, trigger, records`` with ``kept`` and ``degraded``, chunks of a document apart.
+
+    Counting windows are a chain of spans; so are the cool-downs, over the rows where a window holds too
+    much. Nothing here walks a whole document. Rows without a time are left out.
+    """
+    width, order = 900_000 if chunk is None else chunk, ["ts_ms", *tie]
+    rows = span_before(df.filter("ts_ms is not null"), by=by, order=order, span=window, inclusive=False, out="__since", chunk=width)
+    new = F.col("__since").isNull() | (F.col("ts_ms") > F.col("__since") + window)
+    counted = running_sum(rows, by=by, order=order, value=F.when(new, 1).otherwise(0), out="__window", chunk=width)
+    counted = running_sum(counted, by=[*by, "__window"], order=order, value=F.col("records").cast("long"), out="__n", chunk=width)
+    over = counted.filter(F.col("__n") > limit).select(*by, *order)
+    trips = span_before(over, by=by, order=order, span=cooldown, out="__since", chunk=width)
+    trips = trips.filter(F.col("__since").isNull() | (F.col("ts_ms") >= F.col("__since") + cooldown)).drop("__since").withColumn("__trip", F.col("ts_ms"))
+    # a trip row sorts before the record that it stands for, so that record is cut too
+    both = counted.select(*by, *order, "trigger").withColumns({"__trip": F.lit(None).cast("long"), "__side": F.lit(1)}).unionByName(trips.withColumns({"trigger": F.lit(None).cast("string"), "__side": F.lit(0)}))
+    last = carry_last(both, by=by, order=[*order, "__side"], value=F.col("__trip"), out="__last", chunk=width).filter("__side = 1")
+    cut = F.coalesce(F.col("ts_ms") < F.col("__last") + cooldown, F.lit(False))
+    return last.select(*by, F.col("ts_ms").cast("long").alias("ts_ms"), "trigger", (~(cut & F.coalesce(F.col("trigger") == "dom-change", F.lit(False)))).alias("kept"), cut.alias("degraded"))
 
 
 def stream_volume_breaker(df: DataFrame, *, by: Sequence[str] = DOCUMENT, event_time: str = "ts", delay: timedelta = LATENESS["tabs"]) -> DataFrame:
@@ -76,9 +111,39 @@ def stream_hints(df: DataFrame, *, by: Sequence[str] = ("session", "tab_id"), ev
     return stream(df, lambda: M.LastSeen(window, True), by=by, event_time=event_time, delay=delay)
 
 
-def overlay_memory(sightings: DataFrame, *, by: Sequence[str] = DOCUMENT, memory: int | None = None, shown: int | None = None, order: Sequence[str] = ("ts_ms", "state_id", "pos")) -> DataFrame:
-    """Menu items per state, with the ones seen earlier in the document as not visible; no more than ``memory`` and ``shown`` if asked."""
-    return scan(sightings, lambda: M.MenuMemory(memory, shown), by=by, order=order)
+def overlay_memory(
+    sightings: DataFrame, *, by: Sequence[str] = DOCUMENT, memory: int | None = None, shown: int | None = None, order: Sequence[str] = ("ts_ms", "state_id", "pos"), chunk=None
+) -> DataFrame:
+    """Menu items per state, with the ones seen earlier in the document as not visible.
+
+    States are numbered; between two sightings of an item, and after its last one, it is out of
+    sight: an interval of state numbers. Intervals are met with the states they cover, stretch of
+    states by stretch and part of the items by part, so neither a long document nor a large menu is
+    held anywhere. With ``memory`` or ``shown`` no more than so many items are remembered or shown, and a
+    document is walked in order. Sightings without an item, or a time, show no item; their states count.
+    """
+    if memory is not None or shown is not None:
+        return scan(sightings, lambda: M.MenuMemory(memory, shown), by=by, order=order)
+    width = 900_000 if chunk is None else chunk
+    rows = sightings.select(F.to_json(F.struct(*by)).alias("__doc"), *by, *dict.fromkeys([*order, "state_id", "item"])).filter(F.col(order[0]).isNotNull())
+    before = previous_row(rows, by=["__doc"], order=order, payload=["state_id"], out="__p", chunk=width)
+    new = F.col("__p").isNull() | ~F.col("__p.state_id").eqNullSafe(F.col("state_id"))
+    numbered = running_sum(before, by=["__doc"], order=order, value=F.when(new, 1).otherwise(0), out="__run", chunk=width)
+    states = numbered.groupBy("__doc", *by, "__run").agg(F.first("state_id").alias("state_id"))
+    seen = numbered.filter("item is not null").groupBy("__doc", *by, "__run", "item").agg(F.first("state_id").alias("state_id"))
+    visible = seen.select(*by, "state_id", "item", F.lit(True).alias("visible"))
+    # the sighting before each one; then the stretch after the last of all
+    earlier = previous_row(seen.select("__doc", "item", "__run"), by=["__doc", "item"], order=["__run"], payload=["__run"], out="__p", chunk=1000)
+    between = earlier.filter(F.col("__p").isNotNull()).select("__doc", "item", (F.col("__p.__run") + 1).alias("__from"), (F.col("__run") - 1).alias("__to"))
+    ends = states.groupBy("__doc").agg(F.max("__run").alias("__to"))
+    after = seen.groupBy("__doc", "item").agg((F.max("__run") + 1).alias("__from")).join(ends, "__doc").select("__doc", "item", "__from", "__to")
+    gone = between.unionByName(after).filter("__from <= __to")
+    parts = seen.groupBy("__doc", "item").agg(F.lit(1).alias("n")).groupBy("__doc").agg(F.ceil(F.sum("n") / F.lit(ITEMS)).cast("int").alias("__parts"))
+    stretch = lambda c: F.floor(F.col(c) / F.lit(RUNS))
+    cells = gone.join(parts, "__doc").select("*", F.pmod(F.xxhash64("item"), "__parts").cast("int").alias("__part"), F.explode(F.sequence(stretch("__from"), stretch("__to"))).alias("__cell")).drop("__parts")
+    held = states.join(parts, "__doc").select(*states.columns, F.explode(F.sequence(F.lit(0), F.col("__parts") - 1)).alias("__part"), stretch("__run").alias("__cell"))
+    met = held.join(cells, ["__doc", "__part", "__cell"]).filter("__run between __from and __to")
+    return visible.unionByName(met.select(*by, "state_id", "item", F.lit(False).alias("visible")))
 
 
 def download_lifecycle(events: DataFrame, *, by: Sequence[str] = ("id",), ts: str = "at", stale: timedelta = timedelta(seconds=60)) -> DataFrame:
