@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions.exprs import squeeze, text
+from ..functions.manypatterns import Values, replaced
 from ..functions.pyrules import learn_from_json, scrub_json
 from ..functions.redaction import hint_rule, label_rule, scrub_expr
 from .ordered import previous_row
@@ -16,6 +20,10 @@ from .ordered import previous_row
 # ---- fixed values: what may be learned ---------------------------------------
 LEARN_MIN = 4
 
+#: Values of one automaton, and texts that run through it in one pile, about.
+VALUES, TEXTS = 20_000, 5_000
+_SPANS = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32()), ("v", pa.string()), ("r", pa.string())]))
+
 
 def learnable(value: Column) -> Column:
     """Values worth removing elsewhere: four characters, a letter, not a code word, not a placeholder."""
@@ -41,26 +49,69 @@ def latest_learned(found: DataFrame, *, doc: Sequence[str], order: str, keep: in
     return first.select(*doc, "v.value", "v.replacement")
 
 
+def occurrences(texts: DataFrame, learned: DataFrame, *, doc: Sequence[str]) -> DataFrame:
+    """``(doc…, __h, spans)`` for ``texts`` (doc…, __h, __t) that hold learned values of their document.
+
+    Values of a document are dealt into parts of ``VALUES``, each one automaton; its texts are dealt
+    into piles of ``TEXTS``, and every pile runs once through each part. So neither the values nor the texts
+    of a document have to fit one task.
+    """
+    keys = list(doc)
+    parts = learned.groupBy(*keys).agg(F.ceil(F.count("*") / F.lit(VALUES)).cast("int").alias("__parts"))
+    piles = texts.groupBy(*keys).agg(F.ceil(F.count("*") / F.lit(TEXTS)).cast("int").alias("__piles"))
+    sizes = parts.join(piles, keys)
+    values = learned.join(sizes, keys).withColumn("__part", F.pmod(F.xxhash64("value"), "__parts").cast("int")).withColumn("__pile", F.explode(F.sequence(F.lit(0), F.col("__piles") - 1)))
+    asked = texts.join(sizes, keys).withColumn("__pile", F.pmod(F.xxhash64("__h"), "__piles").cast("int")).withColumn("__part", F.explode(F.sequence(F.lit(0), F.col("__parts") - 1)))
+    run = F.to_json(F.struct(*keys, "__part", "__pile")).alias("__run")
+    none = F.lit(None).cast("string")
+    both = values.select(*keys, run, F.lit(0).alias("__side"), none.alias("__h"), F.col("value").alias("__t"), "replacement").unionByName(
+        asked.select(*keys, run, F.lit(1).alias("__side"), "__h", "__t", none.alias("replacement"))
+    )
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, known, values = None, [], None
+        for batch in batches:
+            rows = batch.select(["__run", "__side", "__h", "__t", "replacement"]).to_pydict()
+            found, which = [], []
+            for i, (name, side, text_, replacement) in enumerate(zip(rows["__run"], rows["__side"], rows["__t"], rows["replacement"], strict=True)):
+                if name != at:
+                    at, known, values = name, [], None
+                if side == 0:
+                    known.append((text_, replacement))
+                    continue
+                if values is None:
+                    values = Values(known)
+                spans = values.find(text_)
+                if spans:
+                    found.append([{"s": s, "e": e, "v": v, "r": r} for s, e, v, r in spans])
+                    which.append(i)
+            if which:
+                mine = batch.take(pa.array(which))
+                columns = [mine.column(mine.schema.get_field_index(c)) for c in [*keys, "__h"]]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(found, _SPANS)], names=[*keys, "__h", "spans"])
+
+    fields = T.StructType([*(texts.schema[c] for c in keys), T.StructField("__h", T.StringType()), T.StructField("spans", T.ArrayType(T.StructType([T.StructField("s", T.IntegerType()), T.StructField("e", T.IntegerType()), T.StructField("v", T.StringType()), T.StructField("r", T.StringType())])))])
+    hits = both.repartition("__run").sortWithinPartitions("__run", "__side").mapInArrow(look, fields)
+    return hits.groupBy(*keys, "__h").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+
+
 def scrub_learned(df: DataFrame, column: str, learned: DataFrame, *, doc: Sequence[str] = ("session",), packs=("generic",)) -> DataFrame:
     """Learned values removed everywhere in their document, longest first, then the pattern rules.
 
-    A document may have any number of values. Distinct texts are joined to those
-    values alone whose first letters they hold, so the list that is folded over a text
-    is one of values found in it. Keys are (document, letters); no list per
-    document is made.
+    A document may have any number of values and texts of any length: all values are
+    looked for in one pass over each distinct text, in time linear in the text. Case and
+    the width of white space do not matter.
     """
-    quoted = lambda v: F.replace(F.regexp_replace(v, r"([.*+?^${}()|\[\]\\])", r"\\$1"), F.lit(" "), F.lit(r"\s+"))
-    shown = df.filter(F.length(column) >= LEARN_MIN).select(*doc, F.md5(column).alias("__h"), F.lower(squeeze(column)).alias("__t")).dropDuplicates([*doc, "__h"])
-    heads = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("__t") - LEARN_MIN + 1), lambda i: F.substring("__t", i, LEARN_MIN)))
-    at = shown.filter(F.length("__t") >= LEARN_MIN).join(learned.select(*doc).distinct(), list(doc), "left_semi").select(*doc, "__h", "__t", F.explode(heads).alias("__head"))
-    known = learned.select(*doc, "value", "replacement", F.lower(squeeze("value")).alias("__v")).withColumn("__head", F.substring("__v", 1, LEARN_MIN))
-    held = at.join(known, [*doc, "__head"]).filter(F.contains("__t", F.col("__v")))
-    lists = held.groupBy(*doc, "__h").agg(
-        F.array_sort(F.collect_list(F.struct((-F.length("value")).alias("n"), F.concat(F.lit("(?iu)"), quoted(F.col("value"))).alias("p"), "replacement"))).alias("__learned")
-    )
+    shown = df.filter(F.length(column) >= LEARN_MIN).select(*doc, F.md5(column).alias("__h"), F.col(column).alias("__t")).dropDuplicates([*doc, "__h"])
+    known = learned.select(*doc, "value", "replacement").filter(F.col("value").isNotNull() & F.col("replacement").isNotNull()).distinct()
+    lists = occurrences(shown.join(known.select(*doc).distinct(), list(doc), "left_semi"), known, doc=doc)
     joined = df.withColumn("__h", F.md5(column)).join(lists, [*doc, "__h"], "left")
-    folded = F.aggregate(F.coalesce("__learned", F.array().cast(lists.schema["__learned"].dataType)), F.col(column), lambda t, r: F.regexp_replace(t, r["p"], r["replacement"]))
-    return joined.withColumn(column, scrub_expr(folded, packs)).select(*df.columns)
+
+    @F.pandas_udf("string")
+    def written(texts: pd.Series, spans: pd.Series) -> pd.Series:
+        return pd.Series([t if s is None else replaced(t, [(x["s"], x["e"], x["v"], x["r"]) for x in s]) for t, s in zip(texts, spans)], dtype="object")
+
+    return joined.withColumn(column, scrub_expr(F.when(F.col("spans").isNull(), F.col(column)).otherwise(written(F.col(column), F.col("spans"))), packs)).select(*df.columns)
 
 
 def scrub_labelled(nodes: DataFrame, *, doc: Sequence[str], packs=("generic",), value_max: int | None = None, hint_text_max: int | None = None) -> DataFrame:
