@@ -71,28 +71,45 @@ def shortest_paths(hops: DataFrame, entry: DataFrame, *, by: Sequence[str] = SIT
     ``hops`` has ``from_node, to_node, seen`` and ``step`` (with ``cost``);
     ``entry`` one ``node`` per site. Within a level the lower total cost wins,
     then the more often seen. Each level is one join, one anti join and one
-    aggregation, written to the checkpoint folder before the next.
+    aggregation; its rows are written once, with the node they came from and the last step alone.
+    Paths are put together from these pointers at the end.
     """
-    kind = hops.schema["step"].dataType.simpleString() if payload else None
-    empty = F.array().cast(f"array<{kind}>") if payload else F.array().cast("array<string>")
-    start = entry.select(*by, "node", F.lit(0).alias("steps"), F.lit(0).cast("bigint").alias("cost"), F.lit(0).cast("bigint").alias("seen"), empty.alias("path"))
-    out_edges = cut_lineage(hops.withColumnRenamed("seen", "__seen"))
-    frontier = reached = cut_lineage(start)
-    while max_depth is None or max_depth > 0:
-        step = F.col("step") if payload else F.col("to_node")
-        hop_cost = F.col("step.cost") if payload else F.col("hop_cost")
-        found = frontier.join(out_edges.withColumnRenamed("from_node", "node"), [*by, "node"]).select(
+    kind = hops.schema["step"].dataType if payload else hops.schema["to_node"].dataType
+    frontier = cut_lineage(entry.select(
+        *by, "node", F.lit(0).alias("steps"), F.lit(0).cast("bigint").alias("cost"), F.lit(0).cast("bigint").alias("seen"),
+        F.lit(None).cast(entry.schema["node"].dataType).alias("via"), F.lit(None).cast(kind).alias("step"),
+    ))
+    out_edges = cut_lineage(hops.withColumnRenamed("seen", "__seen").withColumn("__step", F.col("step") if payload else F.col("to_node")).withColumnRenamed("from_node", "node"))
+    hop_cost = F.col("__step.cost") if payload else F.col("hop_cost")
+    reached, levels = frontier, 0
+    while max_depth is None or levels < max_depth:
+        found = frontier.drop("step", "via").join(out_edges, [*by, "node"]).select(
             *by, F.col("to_node").alias("node"), (F.col("steps") + 1).alias("steps"), (F.col("cost") + hop_cost).cast("bigint").alias("cost"),
-            (F.col("seen") + F.col("__seen")).cast("bigint").alias("seen"), F.concat("path", F.array(step)).alias("path"), F.col("node").alias("__via"),
+            (F.col("seen") + F.col("__seen")).cast("bigint").alias("seen"), F.col("node").alias("via"), F.col("__step").alias("step"),
         )
         fresh = found.join(reached.select(*by, "node"), [*by, "node"], "left_anti")
-        level = fresh.groupBy(*by, "node").agg(F.min_by(F.struct("steps", "cost", "seen", "path"), F.struct("cost", -F.col("seen"), "__via")).alias("b")).select(*by, "node", "b.*")
+        level = fresh.groupBy(*by, "node").agg(F.min_by(F.struct("steps", "cost", "seen", "via", "step"), F.struct("cost", -F.col("seen"), "via")).alias("b")).select(*by, "node", "b.*")
         frontier = cut_lineage(level)
         if frontier.limit(1).count() == 0:
-            return reached
-        reached = cut_lineage(reached.unionByName(frontier))
-        max_depth = None if max_depth is None else max_depth - 1
-    return reached
+            break
+        reached, levels = reached.unionByName(frontier), levels + 1
+    return unrolled(reached, levels, by=by)
+
+
+def unrolled(reached: DataFrame, depth: int, *, by: Sequence[str]) -> DataFrame:
+    """``reached`` (by…, node, via, step, others) with the ``path`` of steps from the entry in place of the pointer.
+
+    Pointers jump: each round joins a node's stretch of path to that of the node it points
+    at, so stretches double and log2 of ``depth`` rounds do.
+    """
+    path = F.when(F.col("via").isNull(), F.array().cast(f"array<{reached.schema['step'].dataType.simpleString()}>")).otherwise(F.array("step"))
+    rows = reached.withColumn("path", path).drop("step")
+    done, open_ = rows.filter("via is null"), rows.filter("via is not null")
+    for _ in range(depth.bit_length()):
+        ahead = done.unionByName(open_).select(*by, F.col("node").alias("via"), F.col("via").alias("__via"), F.col("path").alias("__path"))
+        jumped = cut_lineage(open_.join(ahead, [*by, "via"]).withColumn("path", F.concat("__path", "path")).withColumn("via", F.col("__via")).select(*rows.columns))
+        done, open_ = done.unionByName(jumped.filter("via is null")), jumped.filter("via is not null")
+    return done.drop("via")
 
 
 def branch_openers(reached: DataFrame, actions: DataFrame, claims: DataFrame, edges: DataFrame, *, by: Sequence[str] = SITE) -> DataFrame:
