@@ -127,3 +127,20 @@ def test_long_cells_and_fields_keep_their_length(spark):
     assert G.tables(nodes).first().first_row == ["<5000 chars>"]
     assert [r.value for r in G.controls(nodes).collect()] == ["<3000 chars>"]
     assert sorted(len(r.heading) for r in G.page_outline(nodes).collect()) == [400, 401]
+
+
+def test_widgets_are_met_by_their_whole_label(spark):
+    """Two labels that share their first forty letters are told apart by a whole trigger; a cut one meets both."""
+    from wayfold.operators.controls import promote_widgets
+
+    long = "choose the office that handles this case"
+    entry = "struct('unknown' as mode, '' as evidence, '' as widget_kind, '' as mask) as entry"
+    merged = spark.createDataFrame([("o", "k1", f"{long} first"), ("o", "k2", f"{long} second"), ("o", "k3", long[:40] + " third")], "origin string, key string, label string").selectExpr("*", entry)
+    seen = spark.createDataFrame([("o", f"k{i}", "s1", "a") for i in (1, 2, 3)] , "origin string, key string, state_id string, session string")
+
+    def widgets(trigger):
+        edges = spark.createDataFrame([("o", "a", "s1", "s2", trigger, ["x"])], "origin string, session string, from_id string, to_id string, trigger string, fields_added array<string>")
+        return sorted(r.key for r in promote_widgets(merged, edges, seen).collect() if r.entry.mode == "widget")
+
+    assert widgets(f"click:{long} second") == ["k2"]
+    assert widgets(f"click:{long[:40]}") == ["k1", "k2", "k3"]

@@ -17,6 +17,10 @@ _STABLE_ATTRIBUTE = r"^\[(data-testid|data-test|data-cy|data-qa|data-test-id|dat
 _LIKELY_ATTRIBUTE = r"^\[(formcontrolname|name)=|aria-label="
 
 
+#: Characters of a label that a recorded click is named by (fixed value of the log format).
+CLICK_LABEL = 40
+
+
 def _ids(df: DataFrame, by: Sequence[str]) -> list[str]:
     """What makes an id unique: the keys, and the session where there is one."""
     return list(dict.fromkeys([*by, *(c for c in ("session",) if c in df.columns)]))
@@ -134,13 +138,16 @@ def collisions(merged: DataFrame, *, by: Sequence[str] = ("origin",)) -> DataFra
 
 
 def promote_widgets(merged: DataFrame, edges: DataFrame, sightings: DataFrame, *, by: Sequence[str] = ("origin",)) -> DataFrame:
-    """Marks a control as a widget when clicking it made new controls appear."""
+    """Marks a control as a widget when clicking it made new controls appear.
+
+    A trigger names what was clicked whole, or by its first ``CLICK_LABEL`` characters where the log cut it there.
+    """
     ids = _ids(sightings, by)
     clicks = edges.filter(F.col("trigger").startswith("click:") & (F.size("fields_added") > 0)).select(
         *ids, F.col("from_id").alias("state_id"), norm(F.substring(F.col("trigger"), F.lit(7), F.length("trigger"))).alias("__clicked"),
         F.size("fields_added").alias("__n"), F.col("to_id").alias("__to"),
     )
-    spoken = merged.select(*by, "key", F.explode(F.array_distinct(F.array(F.substring(norm("label"), 1, 40), F.substring(norm("key"), 1, 40)))).alias("__clicked"))
+    spoken = merged.select(*by, "key", F.explode(F.array_distinct(F.array(*(x for c in ("label", "key") for x in (norm(c), F.substring(norm(c), 1, CLICK_LABEL)))))).alias("__clicked"))
     hits = (
         sightings.select(*ids, "key", "state_id").distinct().join(spoken, [*by, "key"]).join(clicks, [*ids, "state_id", "__clicked"])
         .groupBy(*by, "key").agg(F.min_by(F.concat(F.lit("click opened "), F.col("__n").cast("string"), F.lit(" new control(s) in "), "__to"), F.col("__to")).alias("__why"))

@@ -185,8 +185,8 @@ def custom_elements(nodes: DataFrame, *, doc: Sequence[str] = DOC) -> DataFrame:
 # -------------------------------------------------------------- navigation
 
 
-def accessible_name(nodes: DataFrame, *, doc: Sequence[str] = DOC, limit: int = 120) -> DataFrame:
-    """``(doc…, idx, name)``: labelled-by text, aria-label, caption, own text, title, alt."""
+def accessible_name(nodes: DataFrame, *, doc: Sequence[str] = DOC, limit: int | None = None) -> DataFrame:
+    """``(doc…, idx, name)``: labelled-by text, aria-label, caption, own text, title, alt; whole, or ``limit`` characters if asked."""
     by_id = nodes.filter(attr("id") != "").groupBy(*doc, attr("id").alias("ref")).agg(F.min_by("text", "idx").alias("__said"))
     refs = nodes.filter(attr("aria-labelledby") != "").select(*doc, "idx", F.posexplode(F.split(F.trim(attr("aria-labelledby")), r"\s+")).alias("pos", "ref"))
     named = refs.join(by_id, [*doc, "ref"]).groupBy(*doc, "idx").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "__said"))), lambda x: x["__said"]), " ").alias("__by"))
