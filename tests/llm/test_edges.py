@@ -134,6 +134,37 @@ def test_piece_bpe_on_odd_strings(seed):
         assert ids.tolist() == [1, *sp.encode(text), 2] and model.decode(ids) == sp.decode(ids.tolist())
 
 
+@pytest.mark.parametrize("long", [4, None])
+def test_piece_bpe_on_long_words(long):
+    """Long runs and long words without spaces, also with every word taken as a long one."""
+    import random
+
+    import sentencepiece
+
+    sp, model, rng = sentencepiece.SentencePieceProcessor(model_file=PIECE), piece_bpe.PieceModel(PIECE), random.Random(11)
+    model.long = long or model.long
+    bits = ["a", "b", "the", "ing", " ", "=", "-", "é", "aaaa", "<", "#", "##", "__", "er", "\t", "(", "))", "\r", "//"]
+    for _ in range(600):
+        few = rng.sample(bits, rng.choice([2, 3, 5, len(bits)]))
+        text = "".join(rng.choice(few) * rng.choice([1, 1, 2, rng.randint(1, 200)]) for _ in range(rng.randint(1, 60)))
+        assert model.encode([text.encode()])[0].tolist() == [1, *sp.encode(text), 2]
+
+
+def test_piece_bpe_is_linear_in_runs():
+    import random
+    import time
+
+    import sentencepiece
+
+    sp, model, rng = sentencepiece.SentencePieceProcessor(model_file=PIECE), piece_bpe.model_of(PIECE), random.Random(12)
+    n = 1_000_000
+    texts = [" " * n, "<" * n, "#" * n, "ab" * (n // 2), "".join(rng.choices("abcdefgh", k=n)), "".join(rng.choice(" <#=") * rng.randint(1, 3000) for _ in range(700))]
+    begun = time.perf_counter()
+    got = [model.encode([t.encode()])[0].tolist() for t in texts]
+    assert time.perf_counter() - begun < 60  # about 4 here; a round a merge takes hours
+    assert got == [[1, *sp.encode(t), 2] for t in texts]
+
+
 def test_toxicity(spark, docs, empty):
     rows = [(i, ("you are a moron. " if i % 5 == 0 else "a quiet day. ") + f"words number {i % 7}\nand more of them", "en", "a", 1) for i in range(400)]
     labels = spark.createDataFrame([(i, 1, int(i % 5 == 0)) for i in range(300)] + [(7, 1, 0), (None, 1, 1), (9, None, None)], "doc_id long, quality int, toxic int")

@@ -4,10 +4,16 @@ Texts are cut into words (a run of spaces and what follows; no piece reaches ove
 that place), and words where no piece holds the two neighbouring characters. The
 words a worker has not seen become one flat array of symbols. In a round, every
 word finds the least rank among its pairs by a segmented minimum and merges the
-leftmost pair of that rank; all further pairs of the rank merge with it where no
-pair made by the merge could come before them. Symbols are compacted and
-words without pairs are set aside, until none is left. Characters outside the
-vocabulary fall back to bytes.
+pairs of that rank from the left, all at once, up to the first that gives a pair to be merged
+before the rest. Symbols are compacted and words without pairs are set aside, until
+none is left. Characters outside the vocabulary fall back to bytes.
+
+In a long word the minimum is that of the pairs near by: a merge and all that follows
+from it before a pair of higher rank stay within one piece's length, so pairs farther apart than
+twice that cannot meet, in whatever order they go. Stretches without pairs leave
+the array as they settle. Where each merge in a run of one symbol sets off another at once, as
+with spaces in models that give all runs of them one rank, the run is put down block by block.
+So a very long text without spaces, or one long run, takes a number of rounds that hardly grows.
 
 Null or empty text: the begin and end ids, decoded to the empty text. Null ids,
 ties and repeated rows: every row is encoded for itself. Empty table: no rows.
@@ -75,6 +81,10 @@ class PieceModel(ChunkStore):
                 if x < n:
                     soonest[x] = min(soonest[x], self.rank[i])
         self.safe = soonest > self.rank
+        # what happens at one place changes nothing more than a piece away; two such places never meet
+        self.reach = 2 * max(map(len, of)) + 4
+        self.long = 4 * self.reach
+        self.blocks = {c: b for c in set(self.char[[ord(p) for p in of if len(p) == 1]].tolist()) if (b := self._block(c, found))}
         # bytes of the pieces, for decoding
         text = [b"" if k[0] else " ⁇ ".encode() if k[1] else bytes([int(p[3:5], 16)]) if k[2] else p.replace(SPACE, " ").encode() for p, k in zip(pieces, kinds)]
         self.text_size = np.array([len(t) for t in text], np.int64)
@@ -97,6 +107,47 @@ class PieceModel(ChunkStore):
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where(self.keys[at] == key, self.merged[at], self.n).astype(np.int32)
 
+    def _block(self, c: int, found: dict[tuple[int, int], int]) -> tuple[int, int] | None:
+        """(piece, length): what a long run of the symbol ``c`` becomes, one block after another, where its merges set off others at once."""
+        rank = lambda a, b: self.rank[found.get((a, b), self.n)]
+        first, limit = found.get((c, c)), rank(c, c)
+        if first is None or min(rank(first, c), rank(first, first)) > limit:
+            return None
+        size, row, seen = 4 * self.reach, [c] * (4 * self.reach), {}
+        while min(ranks := [rank(a, b) for a, b in zip(row, row[1:])], default=_NONE) <= limit:
+            at = ranks.index(min(ranks))
+            row[at : at + 2] = [found[row[at], row[at + 1]]]
+            # equal pieces and an untouched rest
+            made = next((i for i, x in enumerate(row) if x == c), len(row))
+            if len(set(row[:made])) == 1 and set(row[made:]) == {c}:
+                seen[row[0], made] = size - len(row) + made
+        # the second and third block begin and end as the first did, so all do
+        piece = row[0]
+        lengths = [seen.get((piece, i), 0) for i in (1, 2, 3)]
+        return (piece, lengths[0]) if lengths[0] and lengths == [lengths[0] * i for i in (1, 2, 3)] else None
+
+    def _until_earlier(self, hit: np.ndarray, sym: np.ndarray, to: np.ndarray, group: np.ndarray, blocked: np.ndarray) -> np.ndarray:
+        """The merges of ``hit`` that one after another, from the left, would make, until one gives a pair that goes before the rest."""
+        made, held = to[hit], blocked[hit]
+        ask = np.flatnonzero(~self.safe[made])
+        at, piece = hit[ask], made[ask]
+        rank = self.rank[piece]
+        before, after, two = np.maximum(at - 1, 0), np.minimum(at + 2, len(sym) - 1), np.maximum(at - 2, 0)
+        # what stands on the left then: the piece of the merge before, or the symbol as it is
+        joined = np.zeros(len(sym), bool)
+        joined[hit] = True
+        left = np.where((at > 1) & joined[two] & (group[two] == group[at]), to[two], sym[before])
+        early = (at > 0) & (group[before] == group[at]) & (self.rank[self._pairs(left, piece)] <= rank)
+        early |= (at + 2 < len(sym)) & (group[after] == group[at]) & (self.rank[self._pairs(piece, sym[after])] <= rank)
+        if not early.any() and not held.any():
+            return hit
+        # merges out of each other's reach do not wait for each other
+        chain = np.cumsum(np.concatenate([[True], (group[hit[1:]] != group[hit[:-1]]) | (np.diff(hit) > self.reach)])) - 1
+        last = np.full(chain[-1] + 1, len(sym))
+        np.minimum.at(last, chain[ask[early]], at[early])
+        np.minimum.at(last, chain[held], hit[held] - 1)
+        return hit[hit <= last[chain]]
+
     def encode_new(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
         whole = [w.replace(" ", SPACE) for w in new]
         sizes = np.fromiter(map(len, whole), np.int64, len(whole))
@@ -108,6 +159,20 @@ class PieceModel(ChunkStore):
         key = points[:-1] * 0x110000 + points[1:]
         at = np.minimum(np.searchsorted(self.near, key), len(self.near) - 1)
         cut = np.concatenate([[True], (word[1:] != word[:-1]) | (self.near[at] != key)])
+        for c, (piece, length) in self.blocks.items():
+            begin = np.flatnonzero(cut & (sym == c))
+            stop = np.append(np.flatnonzero(cut | (sym != c)), len(sym))
+            size = stop[np.searchsorted(stop, begin, side="right")] - begin
+            count = (size - 2 * self.reach) // length
+            begin, count = begin[count > 0], count[count > 0]
+            if len(begin):
+                inside = np.zeros(len(sym) + 1, np.int64)
+                inside[begin], inside[begin + count * length] = 1, -1
+                inside = np.cumsum(inside[:-1]) > 0
+                head = np.repeat(begin - length * (np.cumsum(count) - count), count) + length * np.arange(count.sum())
+                sym = sym.copy()
+                sym[head], inside[head] = piece, False
+                sym, cut, place = sym[~inside], cut[~inside], place[~inside]
         group = np.cumsum(cut)
         to = np.full(len(sym), self.n, np.int32)
         joined = np.flatnonzero(~cut[1:])
@@ -116,26 +181,32 @@ class PieceModel(ChunkStore):
         while len(sym):
             starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
             rank = self.rank[to]
-            least = np.minimum.reduceat(rank, starts)
             lengths = np.diff(np.append(starts, len(sym)))
-            open_ = np.repeat(least < _NONE, lengths)
+            least = np.repeat(np.minimum.reduceat(rank, starts), lengths)
+            far = np.flatnonzero(np.repeat(lengths > self.long, lengths))
+            if len(far):
+                least[far] = _least_near(rank[far], self.reach)
+            open_ = least < _NONE
             done.append((place[~open_], sym[~open_]))
             if not open_.any():
                 break
-            best = rank == np.repeat(least, lengths)
-            best &= open_
-            # leftmost only, unless the merge is safe; then each second pair of a run of overlapping ones
+            best = open_ & (rank == least)
+            blocked = np.zeros(len(sym), bool)
+            if len(far):  # a pair of the same rank on the left that has to wait holds up those after it
+                blocked[far] = _least_near(np.where(best[far], _NONE, rank[far]), self.reach, left=True) <= rank[far]
+            # each second pair of a run of overlapping ones, counted from its left end
             index = np.arange(len(sym))
-            first = np.minimum.reduceat(np.where(best, index, len(sym)), starts)
-            leftmost = np.repeat(first, lengths) == index
             run = best & np.concatenate([[False], best[:-1]])
             run[starts] = False
             if run.any():
                 begin = np.maximum.accumulate(np.where(run, 0, index))
                 best &= (index - begin) % 2 == 0
-            hit = np.flatnonzero(best & (self.safe[to] | leftmost))
+            hit = self._until_earlier(np.flatnonzero(best), sym, to, group, blocked)
             sym = sym.copy()
             sym[hit] = to[hit]
+            # what is settled goes; its neighbours are apart from then on
+            apart = np.concatenate([[True], (group[1:] != group[:-1]) | ~open_[:-1]])
+            group = np.cumsum(apart)
             stay = open_.copy()
             stay[hit + 1] = False
             changed = np.zeros(len(sym), bool)
@@ -180,6 +251,17 @@ class PieceModel(ChunkStore):
         return raw.decode(errors="replace")
 
 
+def _least_near(rank: np.ndarray, reach: int, left: bool = False) -> np.ndarray:
+    """The least of the values within ``reach`` places of each, or of those up to it."""
+    width, power = (1 if left else 2) * reach + 1, 1
+    edge = np.full(reach, _NONE, rank.dtype)
+    least = np.concatenate([edge, rank] if left else [edge, rank, edge])
+    while 2 * power <= width:
+        least, power = np.minimum(least[:-power], least[power:]), 2 * power
+    rest = width - power
+    return np.minimum(least[: len(rank)], least[rest : rest + len(rank)])
+
+
 _made: dict[str, PieceModel] = {}
 
 
