@@ -359,6 +359,22 @@ def test_segments_against_brute_force(spark, monkeypatch):
     assert segments.top_k(v.limit(0), v).count() == 0
 
 
+def test_segments_of_repeated_ids(spark, monkeypatch):
+    """Every row of an id asks for itself and is a candidate of the others."""
+    monkeypatch.setattr(segments, "QUERIES", 2)
+    monkeypatch.setattr(segments, "CANDIDATES", 16)
+    rng = np.random.default_rng(16)
+    rows = [(i // 2, rng.normal(0, 0.2, 6).astype("float32").tolist(), 0) for i in range(60)] + [(0, [0.5] * 6, 0), (0, [0.5] * 6, 0)]
+    whole = [(i, np.floor(1024 * np.array(v, "float64")).astype(int)) for i, v, _ in rows]
+    want = []
+    for at, (q, v) in enumerate(whole):
+        if q % 10 == 0:
+            best = sorted((-int(v @ w), c) for other, (c, w) in enumerate(whole) if other != at)[:10]
+            want += [(q, n + 1, c, -s) for n, (s, c) in enumerate(best)]
+    v = segments.whole_vectors(vectors(spark, rows))
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in segments.top_k(v.filter("vec_id % 10 = 0"), v).collect()) == sorted(want)
+
+
 def test_segment_bounds_hold():
     rng = np.random.default_rng(8)
     a, b = rng.normal(size=(40, 64)) * 100, rng.normal(size=(50, 64)) * 100

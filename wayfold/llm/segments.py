@@ -12,9 +12,11 @@ block of candidates, with the k-th best scores over one block as a first bar, an
 each meeting sends k rows per query at most.
 
 Vectors that are null, empty, or hold null or non-finite components take no part,
-nor do null ids. A query's candidates are all rows with another id and as many components; rows
-that repeat an id are candidates each, ties go to the smaller id. Scores are exact
-up to 2^53; larger ones follow double precision. Empty table: no rows. Extra columns are not used.
+nor do null ids. A query's candidates are all rows but its own with as many components. Rows
+that repeat an id are queries and candidates each, so such an id has one ranking per row; they are
+told apart by a number given when the vectors are written. Ties go to the smaller id, then to
+either row of the id. Scores are exact up to 2^53; larger ones follow double precision.
+Empty table: no rows. Extra columns are not used.
 """
 
 from __future__ import annotations
@@ -49,18 +51,18 @@ def statistics(v: np.ndarray, segments: int) -> np.ndarray:
     return np.concatenate([mean, spread], axis=1) * np.sqrt(np.concatenate([sizes, sizes]))
 
 
-def best(queries: np.ndarray, query_ids: np.ndarray, bar: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, id, score): the k best rows of each query that reach its bar; ties to the smaller id."""
+def best(queries: np.ndarray, query_keys: np.ndarray, bar: np.ndarray, rows: np.ndarray, ids: np.ndarray, keys: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, id, score): the k best rows of each query, but for the row of its own key, that reach its bar; ties to the smaller id."""
     stats_q = [statistics(queries, n) for n in LEVELS]
     order = np.argsort(-np.sqrt((rows**2).sum(axis=1)), kind="stable")  # long vectors raise the bar soonest
-    rows, ids = rows[order], ids[order]
+    rows, ids, keys = rows[order], ids[order], keys[order]
     stats_x = [statistics(rows, n) for n in LEVELS]
     bar = bar.copy()
     found: list[tuple[np.ndarray, ...]] = []
     top = np.empty((len(queries), 0))
     for at in range(0, len(rows), CHUNK):
         part = slice(at, at + CHUNK)
-        alive = ids[None, part] != query_ids[:, None]
+        alive = keys[None, part] != query_keys[:, None]
         for q, x in zip(stats_q, stats_x):
             bound = q @ x[part].T
             alive &= bound + 1e-9 * np.abs(bound) + 1e-3 >= bar[:, None]
@@ -95,55 +97,55 @@ def best(queries: np.ndarray, query_ids: np.ndarray, bar: np.ndarray, rows: np.n
 
 
 def whole_vectors(vectors: DataFrame) -> DataFrame:
-    """vec_id, dim, v (whole numbers as doubles) of the rows that take part."""
+    """row (a number of its own), vec_id, dim, v (whole numbers as doubles) of the rows that take part, written once."""
     e = F.col("embedding").cast("array<double>")
     fine = F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     v = F.transform(e, lambda x: F.floor(x * SCALE).cast("double"))
-    return vectors.filter(F.col("vec_id").isNotNull() & F.coalesce(fine & (F.size(e) > 0), F.lit(False))).select(F.col("vec_id").cast("long").alias("vec_id"), F.size(e).alias("dim"), v.alias("v"))
+    used = vectors.filter(F.col("vec_id").isNotNull() & F.coalesce(fine & (F.size(e) > 0), F.lit(False)))
+    return cut_lineage(used.select(F.monotonically_increasing_id().alias("row"), F.col("vec_id").cast("long").alias("vec_id"), F.size(e).alias("dim"), v.alias("v")))
 
 
 def top_k(queries: DataFrame, candidates: DataFrame, k: int = K) -> DataFrame:
-    """query_id, rank, vec_id, score for queries and candidates of (vec_id, dim, v)."""
-    queries, candidates = cut_lineage(queries), cut_lineage(candidates)
+    """query_id, rank, vec_id, score for queries and candidates of (row, vec_id, dim, v), both out of one table of ``whole_vectors``."""
     sizes = {r["dim"]: r["count"] for r in queries.groupBy("dim").count().collect()}  # a row per vector length
     rows = {r["dim"]: r["count"] for r in candidates.groupBy("dim").count().collect()}
     spark = queries.sparkSession
     parts = [(d, -(-n // QUERIES), -(-rows.get(d, 0) // CANDIDATES)) for d, n in sizes.items()]
     small = F.broadcast(spark.createDataFrame(parts, "dim int, qs int, cs int"))
-    q = queries.join(small, "dim").filter("cs > 0").withColumn("q", F.pmod(F.xxhash64("vec_id"), "qs").cast("int"))
-    c = candidates.join(small, "dim").withColumn("c", F.pmod(F.xxhash64("vec_id", F.lit(5)), "cs").cast("int"))
+    q = queries.join(small, "dim").filter("cs > 0").withColumn("q", F.pmod(F.xxhash64("row"), "qs").cast("int"))
+    c = candidates.join(small, "dim").withColumn("c", F.pmod(F.xxhash64("row", F.lit(5)), "cs").cast("int"))
 
     def met(q: DataFrame, c: DataFrame) -> DataFrame:
         """Rows of both sides, keyed by (dim, q, c)."""
-        left = q.withColumn("c", F.explode(F.sequence(F.lit(0), F.col("cs") - 1)) if "c" not in q.columns else F.col("c")).select("dim", "q", "c", F.lit(True).alias("asks"), "vec_id", "v", "bar")
-        right = c.withColumn("q", F.explode(F.sequence(F.lit(0), F.col("qs") - 1))).select("dim", "q", "c", F.lit(False).alias("asks"), "vec_id", "v", F.lit(0.0).alias("bar"))
+        left = q.withColumn("c", F.explode(F.sequence(F.lit(0), F.col("cs") - 1)) if "c" not in q.columns else F.col("c")).select("dim", "q", "c", F.lit(True).alias("asks"), "row", "vec_id", "v", "bar")
+        right = c.withColumn("q", F.explode(F.sequence(F.lit(0), F.col("qs") - 1))).select("dim", "q", "c", F.lit(False).alias("asks"), "row", "vec_id", "v", F.lit(0.0).alias("bar"))
         return left.unionByName(right)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from .common import runs
 
         for cell in runs(batches, ["dim", "q", "c"]):
-            asks, ids, bar = (cell.column(x).to_numpy(zero_copy_only=False) for x in ("asks", "vec_id", "bar"))
+            asks, row, ids, bar = (cell.column(x).to_numpy(zero_copy_only=False) for x in ("asks", "row", "vec_id", "bar"))
             v = _matrix(cell.column("v"))
             asks = asks.astype(bool)
-            i, found, score = best(v[asks], ids[asks], bar[asks], v[~asks], ids[~asks], k) if asks.any() and not asks.all() else (np.empty(0, int), np.empty(0, int), np.empty(0))
+            i, found, score = best(v[asks], row[asks], bar[asks], v[~asks], ids[~asks], row[~asks], k) if asks.any() and not asks.all() else (np.empty(0, int), np.empty(0, int), np.empty(0))
             if len(i):
-                yield pa.RecordBatch.from_arrays([pa.array(ids[asks][i]), pa.array(found.astype(np.int64)), pa.array(score)], names=["query_id", "vec_id", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(row[asks][i]), pa.array(ids[asks][i]), pa.array(found.astype(np.int64)), pa.array(score)], names=["row", "query_id", "vec_id", "score"])
 
     def run(q: DataFrame, c: DataFrame) -> DataFrame:
         keys = ["dim", "q", "c"]
-        return met(q, c).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(search, "query_id long, vec_id long, score double")
+        return met(q, c).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(search, "row long, query_id long, vec_id long, score double")
 
     # a first bar: the k-th best score in the queries' first block of candidates
     first = run(q.withColumn("c", F.lit(0)).withColumn("bar", F.lit(float("-inf"))), c.filter("c = 0"))
-    bars = first.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("least")).select(F.col("query_id").alias("vec_id"), F.when(F.col("n") >= k, F.col("least")).alias("least"))
-    q = q.join(bars, "vec_id", "left").withColumn("bar", F.coalesce("least", F.lit(float("-inf"))))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    bars = first.groupBy("row").agg(F.count("*").alias("n"), F.min("score").alias("least")).select("row", F.when(F.col("n") >= k, F.col("least")).alias("least"))
+    q = q.join(bars, "row", "left").withColumn("bar", F.coalesce("least", F.lit(float("-inf"))))
+    order = Window.partitionBy("row").orderBy(F.desc("score"), "vec_id")
     return run(q, c).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", F.col("score").cast("long").alias("score"))
 
 
 #: The query in DuckDB.
-ORACLE_SQL = f"""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor({SCALE} * x::DOUBLE)) AS e FROM embeddings
+ORACLE_SQL = f"""WITH v AS MATERIALIZED (SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: floor({SCALE} * x::DOUBLE)) AS e FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-s AS (SELECT q.vec_id AS query_id, c.vec_id, cast(list_inner_product(q.e, c.e) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id AND len(q.e) = len(c.e))
-SELECT query_id, cast(rank AS INTEGER) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= {K}"""
+s AS (SELECT q.row, q.vec_id AS query_id, c.vec_id, cast(list_inner_product(q.e, c.e) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.row <> c.row AND len(q.e) = len(c.e))
+SELECT query_id, cast(rank AS INTEGER) AS rank, vec_id, score FROM (SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY row ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= {K}"""
