@@ -330,6 +330,13 @@ def test_cover_tree_against_brute_force(spark, monkeypatch):
     assert sorted((str(r.vec_id), r.n_links, r.component_id) for r in twice) == [("0", 2, 0), ("0", 2, 0), ("None", 2, 0)]
 
 
+def test_cover_tree_takes_labels_of_text(spark):
+    rows = [(1, [1.0, 0.0], "cat"), (2, [1.0, 0.01], "cat"), (3, [1.0, 0.0], "dog"), (4, [1.0, 0.0], "cat"), (5, [1.0, 0.0], None)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label string")
+    got = sorted(tuple(r) for r in cover_tree.near_duplicates(df).collect())
+    assert got == [(1, 2, 1, True), (2, 2, 1, False), (3, 0, 3, True), (4, 2, 1, False), (5, 0, 5, True)]
+
+
 def test_cover_tree_nests_and_halves():
     v = cover_tree._unit(np.random.default_rng(4).normal(size=(200, 5)))
     tree = cover_tree.Tree(v)

@@ -14,7 +14,8 @@ unless pairs are asked for.
 
 Vectors that are null, zero, or hold null or non-finite components link with
 nothing, nor do those without a label; each is a component of its own. Vectors of
-different lengths do not link. Repeated rows are vectors of their own and link with
+different lengths do not link. Labels of any type that can be written as text are compared as
+they are. Repeated rows are vectors of their own and link with
 each other. Rows with a null id: n_links as any other, and the component's id if a
 linked row has one. Empty table: no rows. Extra columns are not used.
 """
@@ -136,7 +137,7 @@ def blocks(classes: DataFrame, block: int = BLOCK) -> DataFrame:
                 nearest[mine] = (v @ centres[k].T).argmax(axis=1)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(nearest)], names=["cls", "label", "dim", "copies", "embedding", "centre"])
 
-    near = cut_lineage(classes.select("cls", "label", "dim", "copies", "embedding").mapInArrow(assign, "cls long, label long, dim int, copies long, embedding array<double>, centre int"))
+    near = cut_lineage(classes.select("cls", "label", "dim", "copies", "embedding").mapInArrow(assign, "cls long, label string, dim int, copies long, embedding array<double>, centre int"))
     parts = near.groupBy("label", "dim", "centre").agg(F.ceil(F.count("*") / block).alias("parts"))
     return near.join(parts, ["label", "dim", "centre"]).withColumn("blk", F.xxhash64("label", "dim", "centre", F.pmod(F.xxhash64("cls", F.lit(3)), "parts"))).drop("parts", "centre")
 
@@ -155,7 +156,7 @@ def linked(classes: DataFrame, cosine: float = COSINE, pairs: bool = False) -> D
                 [rows.column("blk")[:1].combine_chunks(), rows.column("label")[:1].combine_chunks(), rows.column("dim")[:1].combine_chunks(), pa.array([unit[0].tolist()]), pa.array([far])],
                 names=["blk", "label", "dim", "root", "radius"])
 
-    roots = cut_lineage(dealt.repartition("blk").sortWithinPartitions("blk").mapInArrow(root, "blk long, label long, dim int, root array<double>, radius double"))
+    roots = cut_lineage(dealt.repartition("blk").sortWithinPartitions("blk").mapInArrow(root, "blk long, label string, dim int, root array<double>, radius double"))
     one, two = roots.toDF("i", "label", "dim", "r1", "d1"), roots.toDF("j", "label", "dim", "r2", "d2")
     dot = F.aggregate(F.zip_with("r1", "r2", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     cells = one.join(two, ["label", "dim"]).filter("i <= j").filter(F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * dot)) <= F.col("d1") + F.col("d2") + reach + 1e-6).select("i", "j")
@@ -194,30 +195,30 @@ def linked(classes: DataFrame, cosine: float = COSINE, pairs: bool = False) -> D
 
 
 def vector_classes(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rows, classes): usable rows with ``cls``, and their classes of equal vectors of a label.
+    """(rows, classes): rows with the two halves of their key, null where they take no part, and the written classes of equal vectors of a label.
 
-    ``cls`` is a hash of 64 bits of label and vector; equal hashes of unlike vectors,
-    which no real table has, would count as copies.
+    The key is two hashes of 64 bits of the label and the vector, read forwards and backwards; among
+    10^10 vectors two unlike ones share both with chance 1e-19. ``cls`` numbers the classes.
     """
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<double>").alias("embedding"))
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), F.col("embedding").cast("array<double>").alias("embedding"))
     rows = rows.withColumn("embedding", F.transform("embedding", lambda x: F.when(x == 0, F.lit(0.0)).otherwise(x)))  # one zero
-    rows = rows.withColumn("cls", F.when(F.col("label").isNotNull() & _usable(), F.xxhash64("label", F.size("embedding"), "embedding")))
-    classes = rows.filter("cls IS NOT NULL").groupBy("cls").agg(
+    used = F.col("label").isNotNull() & _usable()
+    rows = rows.withColumn("h1", F.when(used, F.xxhash64("label", F.size("embedding"), "embedding"))).withColumn("h2", F.when(used, F.xxhash64(F.lit(1), F.reverse("embedding"), "label")))
+    classes = rows.filter("h1 IS NOT NULL").groupBy("h1", "h2").agg(
         F.first("label").alias("label"), F.first(F.size("embedding")).alias("dim"), F.count("*").alias("copies"), F.min("vec_id").alias("least"), F.first("embedding").alias("embedding"))
-    return rows, classes
+    return rows, cut_lineage(classes.withColumn("cls", F.monotonically_increasing_id()))
 
 
 def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept."""
     rows, classes = vector_classes(vectors)
-    classes = cut_lineage(classes)
     found = cut_lineage(linked(classes, cosine))
     links = found.filter("b IS NULL").groupBy(F.col("a").alias("cls")).agg(F.sum("links").alias("links"))
     roots = connected_components(found.filter("b IS NOT NULL"), "a", "b").select(F.col("node").alias("cls"), "component")
-    own = classes.select("cls", "copies", "least").join(links, "cls", "left").join(roots, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+    own = classes.select("cls", "h1", "h2", "copies", "least").join(links, "cls", "left").join(roots, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     least = own.groupBy("component").agg(F.min("least").alias("component_id"))
-    of = own.join(least, "component").select("cls", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
-    out = rows.select("vec_id", "cls").join(of, "cls", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.when(F.col("cls").isNull(), F.col("vec_id")).otherwise(F.col("component_id")).alias("component_id"))
+    of = own.join(least, "component").select("h1", "h2", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
+    out = rows.select("vec_id", "h1", "h2").join(of, ["h1", "h2"], "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.when(F.col("h1").isNull(), F.col("vec_id")).otherwise(F.col("component_id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
 
