@@ -1,5 +1,9 @@
 """Case tables for the column functions; each row is one rule."""
 
+import json
+import random
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -8,6 +12,7 @@ from wayfold.functions import names as N
 from wayfold.functions import packs as K
 from wayfold.functions import pyrules as Y
 from wayfold.functions import redaction as R
+from wayfold.functions import shapes as S
 from wayfold.functions import urls as U
 
 
@@ -92,6 +97,48 @@ def test_headers(spark):
     assert r.c[1].value == "attachment; filename=<redacted>.pdf"
 
 
+def test_cut_bodies_with_long_keys_and_numbers(spark):
+    long = "x" * 200 + "_mobile"
+    cases(spark, Y.scrub_json("v"), {
+        f'{{"{long}":"98450 12345","tr': f'{{"{long}":"<PHONE>","tr',
+        '{"dob":' + "9" * 30 + ',"tr': '{"dob":"<DATE>","tr',
+    })
+    # escaped quotes without end are read once
+    begun = time.perf_counter()
+    Y.Scrubber(("generic",)).body('{"a":"' + r"\"" * 200_000)
+    assert time.perf_counter() - begun < 20
+
+
+def test_deep_json_equals_the_parser():
+    rng = random.Random(3)
+
+    def value(depth):
+        if not depth or rng.random() < 0.3:
+            return rng.choice([None, True, 1.5, -3, 'a"b', "é\\", ""])
+        if rng.random() < 0.5:
+            return [value(depth - 1) for _ in range(rng.randint(0, 3))]
+        return {rng.choice('abc"') * rng.randint(0, 2): value(depth - 1) for _ in range(rng.randint(0, 3))}
+
+    def read(parser, text):
+        try:
+            return repr(parser(text))
+        except ValueError:
+            return None
+
+    for _ in range(3000):
+        text = json.dumps(value(4), indent=rng.choice([None, 2]))
+        if rng.random() < 0.3:
+            at = rng.randrange(len(text) + 1)
+            text = text[:at] + rng.choice(["", ",", "}", "]", '"', ":"]) + text[at + 1 :]
+        assert read(json.loads, text) == read(S.parse_deep, text)
+    deep = "[" * 200_000 + "7" + "]" * 200_000
+    with pytest.raises(RecursionError):
+        json.loads(deep)
+    rows = list(S.ShapeVisits().eval(deep, 1000, None, None, None))
+    assert len(rows) == 1001 and rows[999][3] == "array" and rows[1000][3] == "truncated"
+    assert [r[3] for r in S.ShapeVisits().eval(deep[197_000:203_001], None, None, None, None)][-1] == "number"
+
+
 def test_json_bodies(spark):
     cases(spark, Y.scrub_json("v"), {
         '{"dueDate":1790000000000}': '{"dueDate":1790000000000}', '{"mobile":1790000000000}': '{"mobile":"<PHONE>"}', '{"contactFirstName":"A B","nameOfAssessee":"C"}': '{"contactFirstName":"<NAME>","nameOfAssessee":"<NAME>"}',

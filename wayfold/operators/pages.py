@@ -7,6 +7,7 @@ no step pairs all elements of a page.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -431,29 +432,72 @@ def resolve_labels(controls_: DataFrame, nodes: DataFrame, *, doc: Sequence[str]
     return j.select(*doc, "idx", pick.alias("p")).select(*doc, "idx", "p.*")
 
 
+# ---- fixed values: how a control is filled; the first row whose test holds answers, the last one any other control.
+# Test, mode, evidence, widget ("guess": by what the control says of itself), whether an input mask is kept.
+ENTRY_MODES = (
+    ("file", "widget", "file input (setInputFiles)", None, False),
+    ("select", "typed", "native select (selectOption)", None, False),
+    ("check", "typed", "native checkable (check/click)", None, False),
+    ("moment", "typed", "native date/time input", "datepicker", False),
+    ("combobox", "widget", "role=combobox", "combobox", False),
+    ("listbox", "widget", "role=listbox", "listbox", False),
+    ("check role", "widget", "role={role} (click)", None, False),
+    ("popup", "widget", "aria-haspopup / aria-expanded / aria-controls present", "popup", True),
+    ("read only", "widget", "readonly but enabled; expects a widget to set it", "guess", True),
+    ("icon", "widget", "adjacent icon control ({icon})", "guess", True),
+    ("mask", "typed", "input mask present", "mask", True),
+    ("locked", "unknown", "readonly and disabled at capture time", None, False),
+    ("text", "typed", "plain {kind}", "date", False),
+    ("other", "unknown", "unfamiliar {tag}", None, False),
+)
+
+
 def entry_mode(icon: Column) -> Column:
     """How a control is filled: typed, through a widget, or unknown. ``icon`` names a neighbouring icon control."""
-    tag, kind, role = F.col("tag"), F.col("type"), attr("role")
-    about = F.concat_ws(" ", attr("id"), attr("class"), attr("name"), attr("placeholder"), attr("autocomplete"))
-    ph = attr("placeholder")
+    tag, kind, role, popup, ph = F.col("tag"), F.col("type"), attr("role"), attr("aria-haspopup"), attr("placeholder")
+    about = F.concat_ws(" ", attr("id"), attr("class"), attr("name"), ph, attr("autocomplete"))
+    nothing = F.lit(None).cast("string")
     mask = F.coalesce(*[F.nullif(attr(a), F.lit("")) for a in ("data-mask", "mask", "data-inputmask")], F.when(ph.rlike(r"^[_#9X0-9/\-.:() A-Z]{3,}\z") & ph.rlike("[_#9X]"), ph))
-    guess = F.when(about.rlike(_DATE_HINT), "datepicker").when(about.rlike(_SEARCH_HINT), "autocomplete")
-    s = lambda mode, evidence, widget=None, m=None: F.struct(F.lit(mode).alias("mode"), (evidence if isinstance(evidence, Column) else F.lit(evidence)).alias("evidence"), (widget if isinstance(widget, Column) else F.lit(widget).cast("string")).alias("widget_kind"), (m if m is not None else F.lit(None).cast("string")).alias("mask"))
-    popup = attr("aria-haspopup")
-    popupish = ((popup != "") & (popup != "false")) | has_attr("aria-expanded") | has_attr("aria-controls") | (has_attr("aria-autocomplete") & (attr("aria-autocomplete") != "none"))
-    readonly, disabled = has_attr("readonly") | (attr("aria-readonly") == "true"), has_attr("disabled") | (attr("aria-disabled") == "true")
-    auto = (attr("aria-autocomplete") != "") & (attr("aria-autocomplete") != "none")
-    return (
-        F.when(kind == "file", s("widget", "file input (setInputFiles)")).when(tag == "select", s("typed", "native select (selectOption)"))
-        .when(kind.isin("checkbox", "radio") & (tag == "input"), s("typed", "native checkable (check/click)")).when(kind.isin("date", "datetime-local", "time", "month", "week"), s("typed", "native date/time input", "datepicker"))
-        .when(role == "combobox", s("widget", "role=combobox", F.when(auto, "autocomplete").otherwise("listbox"))).when(role == "listbox", s("widget", "role=listbox", "listbox"))
-        .when(role.isin("checkbox", "radio", "switch"), s("widget", F.concat(F.lit("role="), role, F.lit(" (click)"))))
-        .when(popupish, s("widget", "aria-haspopup / aria-expanded / aria-controls present", F.when(has_attr("aria-autocomplete"), "autocomplete").when(popup.isin("listbox", "menu"), "listbox").otherwise(guess), mask))
-        .when(readonly & ~disabled, s("widget", "readonly but enabled; expects a widget to set it", guess, mask)).when(icon.isNotNull(), s("widget", F.concat(F.lit("adjacent icon control ("), icon, F.lit(")")), guess, mask))
-        .when(mask.isNotNull(), s("typed", "input mask present", "mask", mask)).when(readonly & disabled, s("unknown", "readonly and disabled at capture time"))
-        .when(tag.isin("input", "textarea") | (kind == "contenteditable"), s("typed", F.concat(F.lit("plain "), kind), F.when(about.rlike(_DATE_HINT), "datepicker")))
-        .otherwise(s("unknown", F.concat(F.lit("unfamiliar "), tag)))
-    )
+    completes = (attr("aria-autocomplete") != "") & (attr("aria-autocomplete") != "none")
+    opens = (popup != "") & (popup != "false")
+    fixed = has_attr("readonly") | (attr("aria-readonly") == "true")
+    off = has_attr("disabled") | (attr("aria-disabled") == "true")
+    date = F.when(about.rlike(_DATE_HINT), "datepicker")
+    guess = date.when(about.rlike(_SEARCH_HINT), "autocomplete")
+    tests = {
+        "file": kind == "file",
+        "select": tag == "select",
+        "check": kind.isin("checkbox", "radio") & (tag == "input"),
+        "moment": kind.isin("date", "datetime-local", "time", "month", "week"),
+        "combobox": role == "combobox",
+        "listbox": role == "listbox",
+        "check role": role.isin("checkbox", "radio", "switch"),
+        "popup": opens | has_attr("aria-expanded") | has_attr("aria-controls") | (has_attr("aria-autocomplete") & (attr("aria-autocomplete") != "none")),
+        "read only": fixed & ~off,
+        "icon": icon.isNotNull(),
+        "mask": mask.isNotNull(),
+        "locked": fixed & off,
+        "text": tag.isin("input", "textarea") | (kind == "contenteditable"),
+        "other": F.lit(True),
+    }
+    widgets = {
+        "guess": guess,
+        "date": date,
+        "combobox": F.when(completes, "autocomplete").otherwise("listbox"),
+        "popup": F.when(has_attr("aria-autocomplete"), "autocomplete").when(popup.isin("listbox", "menu"), "listbox").otherwise(guess),
+    }
+    named = {"icon": icon, "role": role, "kind": kind, "tag": tag}
+
+    def told(evidence: str) -> Column:
+        """The evidence, with what stands in braces put in."""
+        parts = re.split(r"[{}]", evidence)
+        return F.concat(*[named[x] if at % 2 else F.lit(x) for at, x in enumerate(parts)])
+
+    rows = F.array(*[
+        F.when(tests[test], F.struct(F.lit(mode).alias("mode"), told(evidence).alias("evidence"), widgets.get(widget, F.lit(widget).cast("string")).alias("widget_kind"), (mask if masked else nothing).alias("mask")))
+        for test, mode, evidence, widget, masked in ENTRY_MODES
+    ])
+    return F.get(F.filter(rows, lambda x: x.isNotNull()), F.lit(0))
 
 
 def controls(nodes: DataFrame, *, doc: Sequence[str] = DOC, packs=("generic",)) -> DataFrame:
