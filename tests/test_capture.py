@@ -94,12 +94,47 @@ def test_fold_by_shape(spark):
     assert {r.path for r in endpoints.collect()} == {"/api/users", "/api/orders", "/files/{id}.pdf", "/api/{id}"}
 
 
-def test_clusters_in_rounds_equal_clusters_in_a_task(spark):
+def first_come(kinds):
+    """Clusters by reading the kinds of a bucket one after the other."""
+    founders, home = [], {}
+    for _, kind, evidence, like, _ in sorted(kinds, key=lambda k: (k[4], k[1])):
+        for name, other, other_like in founders:
+            if evidence is None or other is None:
+                same = like and other_like
+            else:
+                both, one = set(evidence) & set(other), set(evidence) | set(other)
+                same = not one or len(both) / len(one) >= 0.7
+            if same:
+                home[kind] = name
+                break
+        else:
+            founders.append((kind, evidence, like))
+            home[kind] = kind
+    return home
+
+
+@pytest.mark.parametrize("batch", [4, 4096])
+def test_clusters_against_one_pass_in_order(spark, batch):
     rng = random.Random(3)
-    kinds = [("b", f"k{i}", sorted(rng.sample("abcdefgh", rng.randint(1, 5))) if rng.random() < 0.8 else None, rng.random() < 0.5, i) for i in range(40)]
-    df = spark.createDataFrame([k for k in kinds if k[2] is not None or k[3]], "bucket string, kind string, evidence array<string>, like boolean, seen long")
-    task = df.groupBy("bucket").applyInPandas(E._cluster_in_task, "bucket string, kind string, cluster string")
-    assert rows(task, "kind", "cluster") == rows(E._cluster_by_rounds(df), "kind", "cluster")
+    kinds = []
+    for bucket, n in (("a", 60), ("b", 25), ("c", 1)):
+        for i in range(n):
+            evidence = sorted(rng.sample("abcdefgh", rng.randint(0, 8))) if rng.random() < 0.8 else None
+            if evidence is not None or i % 2:
+                kinds.append((bucket, f"k{i}", evidence, bool(i % 2), rng.randint(0, 20)))
+    df = spark.createDataFrame(kinds, "bucket string, kind string, evidence array<string>, like boolean, seen long")
+    want = sorted((b, k, c) for b in "abc" for k, c in first_come([k for k in kinds if k[0] == b]).items())
+    assert rows(E.first_come_clusters(df, batch=batch), "bucket", "kind", "cluster") == want
+    assert E.first_come_clusters(df.limit(0), batch=batch).count() == 0
+
+
+def test_a_bucket_of_many_kinds(spark):
+    """Thirty thousand kinds, three alike each time, in a few rounds."""
+    n = F.floor(F.col("id") / 3).cast("string")
+    fields = F.transform(F.sequence(F.lit(0), F.lit(6)), lambda i: F.concat_ws(".", n, i.cast("string")))
+    kinds = spark.range(30_000).select(F.lit("b").alias("bucket"), F.col("id").cast("string").alias("kind"), F.concat(fields, F.array(F.concat(F.lit("own."), F.col("id").cast("string")))).alias("evidence"), F.lit(False).alias("like"), F.col("id").alias("seen"))
+    found = E.first_come_clusters(kinds, batch=8192)
+    assert found.filter("cast(cluster as long) = kind - kind % 3").count() == found.count() == 30_000
 
 
 @pytest.mark.parametrize("direction,strict,slack,tolerance", [("backward", False, 0, None), ("backward", True, 0, 40), ("forward", False, 0, 25), ("backward", False, 7, 30)])

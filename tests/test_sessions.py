@@ -47,8 +47,8 @@ def test_counts_double(once_and_twice):
 
 def test_kinds_first_seen_together_stay_apart(spark):
     kinds = spark.createDataFrame([("b", "k1", ["a"], False, 1), ("b", "k2", ["z"], False, 1), ("b", "k3", ["a"], False, 1)], "bucket string, kind string, evidence array<string>, like boolean, seen long")
-    for found in (kinds.groupBy("bucket").applyInPandas(E._cluster_in_task, "bucket string, kind string, cluster string"), E._cluster_by_rounds(kinds)):
-        of = {r.kind: r.cluster for r in found.collect()}
+    for batch in (1, 2, 100):
+        of = {r.kind: r.cluster for r in E.first_come_clusters(kinds, batch=batch).collect()}
         assert of["k1"] == of["k3"] != of["k2"]
 
 

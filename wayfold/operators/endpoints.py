@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,12 +21,13 @@ from ..functions.urls import (
 )
 from ..session import cut_lineage
 from .joins import next_state
+from .ordered import dense_number
 from .records import assign_ids
 
 # ---- fixed values: when two templates are one endpoint ----------------------
 SHAPE_MATCH = 0.7
-#: Buckets with more distinct kinds of evidence than this are clustered by rounds of joins.
-KINDS_PER_TASK = 2000
+#: Distinct kinds of evidence that a task settles at once.
+KINDS_PER_TASK = 4096
 
 
 def parsed_calls(net: DataFrame, *, by: Sequence[str] = (), base: Column | None = None, url: str = "url", seq: str = "seq",
@@ -79,69 +81,81 @@ def _masked(segs: Column, pos: Column) -> Column:
     return F.array_join(F.transform(segs, lambda s, i: F.when(i == pos, "\u0000").otherwise(s)), "/")
 
 
-def _same_kind(a_ev: Column, a_like: Column, b_ev: Column, b_like: Column) -> Column:
-    common = F.size(F.array_intersect(a_ev, b_ev))
-    union = F.size(a_ev) + F.size(b_ev) - common
-    overlap = F.when(union == 0, 1.0).otherwise(common / union)
-    return F.when(a_ev.isNotNull() & b_ev.isNotNull(), overlap >= SHAPE_MATCH).otherwise(a_like & b_like)
-
-
-def _cluster_in_task(pdf: pd.DataFrame) -> pd.DataFrame:
-    """First-come clusters of one bucket's kinds; the founder's evidence decides."""
-    founders: list[tuple[frozenset | None, bool, str]] = []
-    labels = []
-    pdf = pdf.sort_values(["seen", "kind"])
-    for evidence, like, kind in pdf[["evidence", "like", "kind"]].itertuples(index=False):
-        mine = None if evidence is None else frozenset(evidence)
-        home = None
-        for other, other_like, label in founders:
-            if mine is not None and other is not None:
-                same = not (mine or other) or len(mine & other) / len(mine | other) >= SHAPE_MATCH
-            else:
-                same = like and other_like
-            if same:
-                home = label
-                break
-        if home is None:
-            home = kind
-            founders.append((mine, like, home))
-        labels.append(home)
-    return pdf.assign(cluster=labels)[["bucket", "kind", "cluster"]]
-
-
-def _cluster_by_rounds(kinds: DataFrame) -> DataFrame:
-    """The same clusters for buckets too large for one task.
-
-    Each round the earliest kind left in a bucket founds a cluster and every
-    kind left that matches it joins; that is the first-come order, worked out
-    with one join per round.
+class _Kinds:
+    """Kinds of evidence by the paths they hold, to say which of them are like a given one."""
+
+    def __init__(self, kinds: pd.DataFrame):
+        self.size = np.array([-1 if e is None else len(e) for e in kinds["evidence"]], np.int64)
+        self.like = kinds["like"].to_numpy(bool)
+        owner = pd.Series(np.repeat(np.arange(len(kinds)), np.maximum(self.size, 0)))
+        paths = np.array([p for e in kinds["evidence"] if e is not None for p in e], object)
+        self.holders = {p: o.to_numpy() for p, o in owner.groupby(paths)} if len(paths) else {}
+
+    def alike(self, evidence, like: bool) -> np.ndarray:
+        if evidence is None:
+            return self.like & like
+        met = [self.holders[p] for p in evidence if p in self.holders]
+        common = np.bincount(np.concatenate(met), minlength=len(self.size)) if met else np.zeros(len(self.size), np.int64)
+        union = self.size + len(evidence) - common
+        overlap = np.divide(common, union, out=np.ones(len(common)), where=union > 0)
+        return np.where(self.size >= 0, overlap >= SHAPE_MATCH, self.like & like)
+
+
+def _found_clusters(batch: pd.DataFrame) -> pd.DataFrame:
+    """The next kinds of a bucket in order: each joins the first founder it is like, or founds a cluster."""
+    batch = batch.sort_values("rank").reset_index(drop=True)
+    kinds, founder = _Kinds(batch), np.zeros(len(batch), bool)
+    home = np.arange(len(batch))
+    for i, (evidence, like) in enumerate(zip(batch["evidence"], batch["like"])):
+        hits = np.flatnonzero(kinds.alike(evidence, like) & founder)
+        founder[i] = not len(hits)
+        home[i] = hits[0] if len(hits) else i
+    return batch.assign(cluster=batch["kind"].to_numpy()[home])[["bucket", "kind", "cluster", "evidence", "like", "rank"]]
+
+
+def _join_clusters(later: pd.DataFrame, founders: pd.DataFrame) -> pd.DataFrame:
+    """Later kinds that are like one of the new founders, each with the first of them."""
+    founders = founders.sort_values("rank").reset_index(drop=True)
+    kinds, names = _Kinds(founders), founders["kind"].to_numpy()
+    hits = [np.flatnonzero(kinds.alike(e, like))[:1] for e, like in zip(later["evidence"], later["like"])]
+    home = [names[h[0]] if len(h) else None for h in hits]
+    return later.assign(cluster=home)[["bucket", "kind", "cluster"]].dropna()
+
+
+def first_come_clusters(kinds: DataFrame, *, batch: int = KINDS_PER_TASK) -> DataFrame:
+    """``(bucket, kind, cluster)``: every kind with the kind that founded its cluster.
+
+    ``kinds``: bucket, kind (once a bucket), evidence (distinct paths or NULL), like, seen. In
+    order of (seen, kind) a kind joins the first founder it is like, else it founds a cluster.
+    Kinds are like each other when their evidence overlaps by ``SHAPE_MATCH``, two empty ones
+    too; where one has none, both must be marked ``like``.
+
+    A round settles the next ``batch`` kinds of all buckets, a task a bucket, and then meets
+    the founders among them with all later kinds, ``batch`` of these a task. So a task holds two
+    batches whatever a bucket holds, and the fullest bucket needs a round per batch at
+    most; kinds that joined a founder are no longer counted. Empty table: no rows.
     """
-    done, left = None, cut_lineage(kinds)
+    ranked = dense_number(kinds.select("bucket", "kind", "evidence", "like", "seen"), by=["bucket"], order=["seen", "kind"], out="rank", chunk=100_000)
+    left, done = cut_lineage(ranked.select("bucket", "kind", "evidence", "like", "rank")), None
     while True:
-        founder = left.groupBy("bucket").agg(F.min_by(F.struct("evidence", "like", "seen", "kind"), F.struct("seen", "kind")).alias("f"))
-        met = cut_lineage(
-            left.join(founder, "bucket").withColumn(
-                "same", (F.col("kind") == F.col("f.kind")) | _same_kind(F.col("evidence"), F.col("like"), F.col("f.evidence"), F.col("f.like"))
-            )
+        low = left.groupBy("bucket").agg(F.min("rank").alias("__low"))
+        marked = left.join(low, "bucket").withColumn("__now", F.col("rank") < F.col("__low") + batch).drop("__low")
+        schema = "bucket string, kind string, cluster string, evidence array<string>, like boolean, rank long"
+        settled = cut_lineage(marked.filter("__now").drop("__now").groupBy("bucket").applyInPandas(_found_clusters, schema))
+        done = settled.select("bucket", "kind", "cluster") if done is None else done.unionByName(settled.select("bucket", "kind", "cluster"))
+        later = marked.filter("NOT __now").drop("__now").withColumn("__part", F.floor(F.col("rank") / batch))
+        if later.limit(1).count() == 0:
+            return done
+        founders = settled.filter("kind = cluster").drop("cluster").join(later.select("bucket", F.col("__part").alias("part")).distinct(), "bucket")
+        joined = cut_lineage(
+            later.groupBy("bucket", "__part").cogroup(founders.groupBy("bucket", "part")).applyInPandas(_join_clusters, "bucket string, kind string, cluster string")
         )
-        part = met.filter("same").select("bucket", "kind", F.col("f.kind").alias("cluster"))
-        done = part if done is None else done.unionByName(part)
-        left = met.filter(~F.col("same")).select(*kinds.columns)
+        done = done.unionByName(joined)
+        left = cut_lineage(later.drop("__part").join(joined.select("bucket", "kind"), ["bucket", "kind"], "left_anti"))
         if left.limit(1).count() == 0:
             return done
 
 
-def _clusters(kinds: DataFrame) -> DataFrame:
-    sizes = kinds.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
-    sized = kinds.join(sizes, "bucket")
-    schema = "bucket string, kind string, cluster string"
-    small = sized.filter(F.col("n") <= KINDS_PER_TASK).drop("n").groupBy("bucket").applyInPandas(_cluster_in_task, schema)
-    large = sized.filter(F.col("n") > KINDS_PER_TASK).drop("n")
-    if large.limit(1).count() == 0:
-        return small
-    return small.unionByName(_cluster_by_rounds(large))
-
-
 def _fold_position(templates: DataFrame, keys: Sequence[str], pos: int, with_evidence: bool) -> DataFrame:
     """One position folded: values of one kind become ``{id}`` or ``{id}.ext``."""
     here = F.get(F.col("segs"), F.lit(pos))
@@ -164,7 +178,7 @@ def _fold_position(templates: DataFrame, keys: Sequence[str], pos: int, with_evi
         kind = F.concat_ws(":", F.col("like").cast("string"), F.coalesce(F.sha2(F.array_join("evidence", "\n"), 256), F.lit("-")))
         values = cut_lineage(values.withColumn("kind", kind).select("bucket", "value", "like", "kind", "evidence", "seen"))
         kinds = values.groupBy("bucket", "kind").agg(F.first("evidence").alias("evidence"), F.first("like").alias("like"), F.min("seen").alias("seen"))
-        member = values.join(_clusters(kinds), ["bucket", "kind"]).select("bucket", "value", "cluster")
+        member = values.join(first_come_clusters(kinds), ["bucket", "kind"]).select("bucket", "value", "cluster")
     else:
         member = marked.filter(F.col("bucket").isNotNull() & F.col("like")).select("bucket", "value").distinct().withColumn("cluster", F.lit("0"))
     shared = member.groupBy("bucket", "cluster").agg(

@@ -9,6 +9,7 @@ from ..functions import redaction as R
 from ..functions import urls as U
 from ..operators import endpoints as E
 from ..operators import records as Q
+from ..session import cut_lineage
 from .tables import table
 
 _URL = r"'^([a-z][a-z0-9+.-]*)://([^/?#]*)([^?#]*)(?:\?([^#]*))?'"
@@ -74,6 +75,16 @@ def segment_variance(spark, sf):
     return folded.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n_templates"))
 
 
+def evidence_clusters(spark, sf):
+    """Orders as calls to one address per priority: which of them answer alike, by the sizes of their lines."""
+    lines = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_sort(F.collect_set(F.floor(F.col("l_quantity") / 8).cast("string"))).alias("evidence"))
+    calls = table(spark, sf, "orders").join(lines, "o_orderkey", "left").withColumn("like", F.col("o_orderkey") % 2 == 0).filter(F.col("evidence").isNotNull() | F.col("like"))
+    kind = F.concat_ws(":", F.col("like").cast("string"), F.coalesce(F.array_join("evidence", ","), F.lit("-")))
+    kinds = calls.groupBy(F.col("o_orderpriority").alias("bucket"), kind.alias("kind"), "evidence", "like").agg(F.min("o_orderkey").alias("seen"), F.count(F.lit(1)).alias("n_calls"))
+    kinds = cut_lineage(kinds.filter(F.col("bucket").isNotNull()))
+    return E.first_come_clusters(kinds).join(kinds, ["bucket", "kind"]).groupBy("bucket", "cluster").agg(F.count(F.lit(1)).alias("n_kinds"), F.sum("n_calls").alias("n_calls"))
+
+
 def endpoint_params(spark, sf):
     _, call_map = E.group_endpoints(_calls(spark, sf), fold_variance=False)
     spread = call_map.select("endpoint_id", F.explode("query_keys").alias("query_key")).groupBy("endpoint_id", "query_key").agg(F.count(F.lit(1)).alias("n_calls"))
@@ -149,7 +160,7 @@ def unique_names(spark, sf):
 
 
 QUERIES = {
-    "url_parse": url_parse, "origins": origins, "url_templates": url_templates, "segment_variance": segment_variance, "endpoint_params": endpoint_params, "query_keys": query_keys,
+    "url_parse": url_parse, "origins": origins, "url_templates": url_templates, "segment_variance": segment_variance, "evidence_clusters": evidence_clusters, "endpoint_params": endpoint_params, "query_keys": query_keys,
     "routes_of_pages": routes_of_pages, "scrubbed_urls": scrubbed_urls, "static_assets": static_assets, "links_of_pages": links_of_pages, "call_names": call_names,
     "value_formats": value_formats, "redacted_values": redacted_values, "element_ids": element_ids, "packs_of_origins": packs_of_origins, "display_text": display_text, "page_ids": page_ids, "unique_names": unique_names,
 }
@@ -166,6 +177,17 @@ k AS (SELECT host, path, count(DISTINCT k) AS n_query_keys FROM (SELECT host, pa
 SELECT 'api_' || CASE WHEN row_number() OVER (ORDER BY f) < 1000 THEN lpad(CAST(row_number() OVER (ORDER BY f) AS VARCHAR), 3, '0') ELSE CAST(row_number() OVER (ORDER BY f) AS VARCHAR) END AS endpoint_id,
 'GET' AS method, scheme, host, path, n_pages, coalesce(n_query_keys, 0) AS n_query_keys FROM eps LEFT JOIN k USING (host, path)""",
     "segment_variance": _FOLDED + "SELECT host, path, count(*) AS n_templates FROM (SELECT DISTINCT host, a || '/' || b AS raw, '/' || a || '/' || b2 AS path FROM folded) GROUP BY ALL",
+    # one step per kind in order of first call; a step looks for the first founder that is like it
+    "evidence_clusters": """WITH RECURSIVE lines AS (SELECT l_orderkey, list_sort(list_distinct(list(CAST(CAST(floor(l_quantity / 8) AS BIGINT) AS VARCHAR)) FILTER (l_quantity IS NOT NULL))) AS e FROM lineitem GROUP BY 1),
+calls AS (SELECT o_orderpriority AS bucket, o_orderkey, e, o_orderkey % 2 = 0 AS lk FROM orders LEFT JOIN lines ON l_orderkey = o_orderkey WHERE o_orderpriority IS NOT NULL AND (e IS NOT NULL OR o_orderkey % 2 = 0)),
+kinds AS (SELECT bucket, e, lk, CASE WHEN lk THEN 'true:' ELSE 'false:' END || coalesce(array_to_string(e, ','), '-') AS kind, min(o_orderkey) AS seen, count(*) AS n FROM calls GROUP BY bucket, e, lk),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY seen, kind) AS r FROM kinds),
+walk AS (SELECT bucket, r, kind, kind AS cluster, n, [{'e': e, 'lk': lk, 'kind': kind}] AS founders FROM ranked WHERE r = 1 UNION ALL
+SELECT bucket, r, kind, coalesce(hit, kind), n, CASE WHEN hit IS NULL THEN list_append(founders, {'e': e, 'lk': lk, 'kind': kind}) ELSE founders END FROM (
+SELECT k.bucket, k.r, k.kind, k.n, k.e, k.lk, w.founders, (list_filter(w.founders, lambda f: CASE WHEN f.e IS NULL OR k.e IS NULL THEN f.lk AND k.lk
+WHEN len(list_distinct(list_concat(f.e, k.e))) = 0 THEN true ELSE len(list_intersect(f.e, k.e)) / len(list_distinct(list_concat(f.e, k.e))) >= 0.7 END)[1]).kind AS hit
+FROM walk w JOIN ranked k ON k.bucket = w.bucket AND k.r = w.r + 1))
+SELECT bucket, cluster, count(*) AS n_kinds, CAST(sum(n) AS BIGINT) AS n_calls FROM walk GROUP BY ALL""",
     "endpoint_params": f"""WITH calls AS (SELECT page_id, {_HOST} AS host, array_to_string({_TEMPLATED}, '/') AS path, {_KEYS} AS keys FROM pages),
 eps AS (SELECT host, path, min(page_id) AS f FROM calls GROUP BY ALL), ids AS (SELECT host, path, row_number() OVER (ORDER BY f) AS r FROM eps)
 SELECT 'api_' || CASE WHEN r < 1000 THEN lpad(CAST(r AS VARCHAR), 3, '0') ELSE CAST(r AS VARCHAR) END AS endpoint_id, query_key, count(*) AS n_calls, CAST(query_key = 'page' AS INTEGER) AS is_paging
