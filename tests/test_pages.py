@@ -129,6 +129,33 @@ def test_long_cells_and_fields_keep_their_length(spark):
     assert sorted(len(r.heading) for r in G.page_outline(nodes).collect()) == [400, 401]
 
 
+def test_texts_that_are_read_are_whole(spark):
+    """Elements of any tag that an operator reads share their first letters and differ after them."""
+    long = "word " * 400
+    page = (
+        f"<div class='page'><nav><div role='menuitem'>{long}one</div><div role='menuitem'>{long}two</div></nav>"
+        f"<ul role='tablist'><div>{long}first tab</div><div>{long}second tab</div></ul><ol class='breadcrumb'><span>{long}here</span></ol>"
+        f"<div id='l'>{long}name</div><div id='b' aria-labelledby='l'>x</div><section id='p'><p>{long}</p>end</section></div>"
+    )
+    nodes = G.page_nodes(spark.createDataFrame([(1, page), (2, "")], "page_id long, html string")).cache()
+    assert [r.text[-3:] for r in G.nav_items(nodes).orderBy("n").collect()] == ["one", "two"]
+    assert [r.text[-9:] for r in G.page_steps(nodes).orderBy("n").collect()] == ["first tab", "econd tab", "word here"]
+    assert [r.text[-9:] for r in G.breadcrumbs(nodes).collect()] == ["word here"]
+    ids = nodes.select("page_id", "idx", G.attr("id").alias("id"))
+    names = {r.id: r.name for r in G.accessible_name(nodes).join(ids, ["page_id", "idx"]).collect() if r.id}
+    assert names == {"l": long + "name", "b": long + "name", "p": long + "end"}
+    # what only holds the page says nothing itself, and its length is exact
+    outer = nodes.filter("tag = 'div' AND depth = 0").first()
+    assert outer.text is None and outer.text_len == len(G.with_whole_text(nodes.filter("tag = 'div' AND depth = 0"), nodes).first().text)
+
+
+def test_deep_nesting_repeats_no_text():
+    from wayfold.functions.html import HtmlNodes
+
+    rows = list(HtmlNodes().eval("<span>" * 3000 + "word " * 2000 + "</span>" * 3000))
+    assert len(rows) == 3001 and {r[5] for r in rows[:-1]} == {9999} and sum(len(r[4] or "") for r in rows) == 10_000
+
+
 def test_widgets_are_met_by_their_whole_label(spark):
     """Two labels that share their first forty letters are told apart by a whole trigger; a cut one meets both."""
     from wayfold.operators.controls import promote_widgets

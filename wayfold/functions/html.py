@@ -23,11 +23,33 @@ NODE_SCHEMA = (
     "idx int, parent int, tag string, attrs map<string,string>, text string, text_len int, path array<int>, depth int, sib int, n_kids int"
 )
 
-#: Elements that hold a page rather than say something: unless a class or role says otherwise,
-#: they carry the beginning of what is in them, so that memory stays linear in the page.
-HOLDERS = frozenset("html head body main article section aside div nav header footer form fieldset ul ol dl table thead tbody tfoot tr".split())
-SAYS = re.compile(r"title|heading|error|invalid|danger|alert|info|note|step|wizard|button|option|tab\b", re.I)
-HOLDER_TEXT = 1000
+#: A text up to this length stands on every element; a longer one on those that are read as a whole,
+#: and is NULL on all others, which only hold a page. ``text_len`` is exact on all.
+SHORT_TEXT = 1000
+READ_TAGS = frozenset("title h1 h2 h3 h4 legend label mat-label mat-error a button summary option select textarea li td th mat-chip mat-chip-option mat-button-toggle".split())
+READ_ROLES = frozenset(
+    "alert tab option radio button menuitem menuitemradio menuitemcheckbox treeitem link cell gridcell rowheader columnheader"
+    " combobox listbox textbox spinbutton slider checkbox switch searchbox".split()
+)
+READ_ATTRS = ("aria-current", "aria-selected", "mat-menu-item", "mat-list-item", "aria-labelledby")
+READ_CLASS = re.compile(
+    r"title|heading|error|invalid|danger|alert|info|note|step|wizard|label|active|activated|selected|current|checked|highlight"
+    r"|(?:^|\s)(?:dropdown-item|nav-link|p-menuitem-link|btn|chip|pill)(?:\s|$)", re.I)
+TRAIL_CLASS = re.compile(r"nav-tabs|breadcrumb")
+
+
+def _trail(row: dict) -> bool:
+    """Trails and tab lists: their children and the spans in them are read."""
+    a = row["attrs"]
+    return bool(TRAIL_CLASS.search(a.get("class", ""))) or a.get("role") == "tablist" or "BreadcrumbList" in a.get("itemtype", "") or "breadcrumb" in a.get("aria-label", "").lower()
+
+
+def _read_whole(row: dict, named: set[str]) -> bool:
+    """Does an operator read the text of this element, however long it is?"""
+    a = row["attrs"]
+    return (
+        row["tag"] in READ_TAGS or a.get("role") in READ_ROLES or a.get("id") in named or a.get("contenteditable") == "true" or any(k in a for k in READ_ATTRS) or bool(READ_CLASS.search(a.get("class", "")))
+    )
 
 
 class _Walk(HTMLParser):
@@ -88,17 +110,34 @@ class HtmlNodes:
         walk = _Walk()
         walk.feed(html)
         walk.close()
-        heard = [[] for _ in walk.rows]
-        for row in walk.rows:
+        rows = walk.rows
+        # The words of a page once; an element is the stretch between the first and last of its texts.
+        words, before, last = [], [0], list(range(len(rows)))
+        for row in rows:
             if row["own"] is not None:
-                for up in row["path"]:
-                    heard[up].append(row["own"])
-        for row in walk.rows:
+                words.append(" ".join(row["own"].split()))
+            before.append(len(words))
+        for row in reversed(rows):
+            if row["parent"] is not None:
+                last[row["parent"]] = max(last[row["parent"]], last[row["idx"]])
+        starts = [0]
+        for w in words:
+            starts.append(starts[-1] + len(w) + 1)
+        said = " ".join(words)
+        named = {ref for row in rows for ref in row["attrs"].get("aria-labelledby", "").split()}
+        in_trail: list[bool] = []
+        for row in rows:
+            up = row["parent"]
+            in_trail.append(up is not None and (in_trail[up] or _trail(rows[up])))
             own = row["own"]
-            text = own if own is not None else re.sub(r"\s+", " ", " ".join(heard[row["idx"]])).strip()
-            holds = row["tag"] in HOLDERS and not SAYS.search(f"{row['attrs'].get('class', '')} {row['attrs'].get('role', '')}")
-            shown = text[:HOLDER_TEXT] if holds else text
-            yield row["idx"], row["parent"], row["tag"], row["attrs"], shown, len(text), row["path"], len(row["path"]), row["sib"], row["kids"]
+            if own is not None:
+                text, size = own, len(own)
+            else:
+                a, z = starts[before[row["idx"]]], starts[before[last[row["idx"]] + 1]] - 1
+                size = max(0, z - a)
+                text = said[a:z] if size <= SHORT_TEXT or _read_whole(row, named) or (in_trail[-1] and (row["tag"] == "span" or _trail(rows[up]))) else None
+                text = "" if not size else text
+            yield row["idx"], up, row["tag"], row["attrs"], text, size, row["path"], len(row["path"]), row["sib"], row["kids"]
 
 
 def html_nodes():

@@ -73,6 +73,15 @@ def _within(nodes: DataFrame, outer: DataFrame, doc: Sequence[str], out: str) ->
     return up.join(outer.select(*doc, F.col("idx").alias(out)), [*doc, out]).groupBy(*doc, "idx").agg(F.max(out).alias(out))
 
 
+def with_whole_text(rows: DataFrame, nodes: DataFrame, *, doc: Sequence[str] = DOC) -> DataFrame:
+    """``rows`` of ``nodes`` with the text of elements that carry none because it is long and they only hold a page."""
+    silent = rows.filter(F.col("text").isNull()).select(*doc, "idx")
+    spoken = nodes.filter(F.col("tag") == "#text").select(*doc, F.col("idx").alias("__i"), squeeze("text").alias("__t"), F.explode("path").alias("idx"))
+    whole = spoken.join(silent, [*doc, "idx"], "left_semi").groupBy(*doc, "idx").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__i", "__t"))), lambda x: x["__t"]), " ").alias("__whole"))
+    return rows.join(whole, [*doc, "idx"], "left").withColumn("text", F.coalesce("text", "__whole")).drop("__whole")
+
+
 def _first_distinct(rows: DataFrame, value: str, doc: Sequence[str], cap: int | None) -> DataFrame:
     """Distinct values of a page in order of first appearance, ``cap`` of them if asked."""
     first = rows.filter(F.col(value) != "").groupBy(*doc, value).agg(F.min("idx").alias("idx"))
@@ -188,6 +197,11 @@ def custom_elements(nodes: DataFrame, *, doc: Sequence[str] = DOC) -> DataFrame:
 
 def accessible_name(nodes: DataFrame, *, doc: Sequence[str] = DOC, limit: int | None = None) -> DataFrame:
     """``(doc…, idx, name)``: labelled-by text, aria-label, caption, own text, title, alt; whole, or ``limit`` characters if asked."""
+    return _names(with_whole_text(nodes, nodes, doc=doc), doc, limit)
+
+
+def _names(nodes: DataFrame, doc: Sequence[str], limit: int | None) -> DataFrame:
+    """Accessible names of elements that carry their text."""
     by_id = nodes.filter(attr("id") != "").groupBy(*doc, attr("id").alias("ref")).agg(F.min_by("text", "idx").alias("__said"))
     refs = nodes.filter(attr("aria-labelledby") != "").select(*doc, "idx", F.posexplode(F.split(F.trim(attr("aria-labelledby")), r"\s+")).alias("pos", "ref"))
     named = refs.join(by_id, [*doc, "ref"]).groupBy(*doc, "idx").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "__said"))), lambda x: x["__said"]), " ").alias("__by"))
@@ -216,7 +230,7 @@ def nav_items(nodes: DataFrame, *, doc: Sequence[str] = DOC, url: str | None = N
     items = el.filter(is_item & ~attr("role").isin("tab", "combobox", "option"))
     in_region = _within(items, regions, doc, "region").join(regions.select(*doc, F.col("idx").alias("region"), "__loose"), [*doc, "region"])
     out_of = _within(items, banned, doc, "__b").select(*doc, "idx")
-    names = accessible_name(items, doc=doc, limit=CAPS["nav_text"]).withColumn("text", shortened(scrub_expr("name", packs), CAPS["nav_text"])).drop("name")
+    names = _names(items, doc, CAPS["nav_text"]).withColumn("text", shortened(scrub_expr("name", packs), CAPS["nav_text"])).drop("name")
     expander = has_attr("aria-expanded") | has_attr("aria-haspopup") | has_attr("data-toggle") | has_attr("data-bs-toggle")
     loose_ok = ((F.col("tag") == "a") & has_attr("href")) | (F.col("tag") == "summary") | attr("role").isin(*_ITEM_ROLES[1:]) | expander
     kept = items.drop("text").join(in_region, [*doc, "idx"]).join(out_of, [*doc, "idx"], "left_anti").filter(~F.col("__loose") | loose_ok).join(names, [*doc, "idx"]).filter(F.col("text") != "")
