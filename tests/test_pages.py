@@ -149,6 +149,27 @@ def test_texts_that_are_read_are_whole(spark):
     assert outer.text is None and outer.text_len == len(G.with_whole_text(nodes.filter("tag = 'div' AND depth = 0"), nodes).first().text)
 
 
+def test_menus_owned_by_id(spark):
+    """Panels in each other's hands, a label from afar, tabs that own nothing, and two pages that use the same ids."""
+    pages = [
+        (1, "<nav><button aria-controls='a b'>A</button></nav><div id='a'><a href='/x'>X</a><button aria-controls='c'>C</button></div><div id='c'><a href='/z'>Z</a></div><div id='b'><a href='/y'>Y</a></div>"),
+        # the first to name an id owns it; what is inside a panel cannot own it
+        (2, "<nav><a href='/h'>H</a><a aria-controls='a'>First</a><a aria-controls='a'>Second</a></nav><div id='a'><a href='/x'>X</a><a aria-controls='a'>Close</a></div>"),
+        # two panels that own each other hang on nothing, nor does one that a tab or nobody in a menu opens
+        (3, "<nav><a href='/h'>H</a><a role='tab' aria-controls='t'>T</a></nav><div id='p'><a aria-controls='q'>Q</a></div><div id='q'><a aria-controls='p'>P</a></div><div id='t'><a href='/t'>in t</a></div><b aria-controls='o'>O</b><div id='o'><a href='/o'>in o</a></div>"),
+        # the same pair in a menu keeps its own names; the path ends
+        (4, "<nav><div id='p'><a aria-controls='q'>Q</a></div></nav><nav><div id='q'><a aria-controls='p'>P</a></div></nav>"),
+        (5, "<nav><span id='s'>Settings</span></nav><ul role='menu' aria-labelledby='s'><li><a href='/u'>Users</a></li></ul>"),
+        (6, None), (7, ""),
+    ]
+    nodes = G.page_nodes(spark.createDataFrame(pages, "page_id long, html string")).cache()
+    found = {}
+    for r in G.nav_items(nodes).orderBy("page_id", "n").collect():
+        found.setdefault(r.page_id, []).append(" > ".join(r.path))
+    assert found == {
+        1: ["A", "A > X", "A > C", "A > C > Z", "A > Y"], 2: ["H", "First", "Second", "First > X", "First > Close"], 3: ["H"], 4: ["P > Q", "Q > P"], 5: ["Settings > Users"]}
+
+
 def test_deep_nesting_repeats_no_text():
     from wayfold.functions.html import HtmlNodes
 

@@ -31,7 +31,7 @@ READ_ROLES = frozenset(
     "alert tab option radio button menuitem menuitemradio menuitemcheckbox treeitem link cell gridcell rowheader columnheader"
     " combobox listbox textbox spinbutton slider checkbox switch searchbox".split()
 )
-READ_ATTRS = ("aria-current", "aria-selected", "mat-menu-item", "mat-list-item", "aria-labelledby")
+READ_ATTRS = ("aria-current", "aria-selected", "mat-menu-item", "mat-list-item", "aria-labelledby", "aria-controls", "aria-owns")
 READ_CLASS = re.compile(
     r"title|heading|error|invalid|danger|alert|info|note|step|wizard|label|active|activated|selected|current|checked|highlight"
     r"|(?:^|\s)(?:dropdown-item|nav-link|p-menuitem-link|btn|chip|pill)(?:\s|$)", re.I)

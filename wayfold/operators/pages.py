@@ -40,6 +40,7 @@ _NOT_MENU_CLASS = r"(?i)nav-tabs|pagina|pager|paging|breadcrumb"
 _NOT_MENU_ROLE = ("tablist", "listbox", "table", "grid", "treegrid")
 _CONTENT_TAGS = ("article", "dialog", "form", "table", "li", "section", "main")
 _SUBMENU_TAGS = ("ul", "ol", "menu")
+_NO_OWNER_TAGS, _NO_OWNER_ROLES = ("input", "select", "textarea"), ("tab", "combobox")
 _ACTIVE_CLASS = r"(?:^|[\s_-])(?:active|activated|selected|current|checked|highlight)(?:\s|$)"
 _DISABLED_CLASS = r"(?:^|[\s_-])disabled(?:\s|$)"
 _DOC_EXT = r"(?i)\.(pdf|docx?|xlsx?|csv|pptx?|zip|txt|json|xml|rtf|odt|ods)(?:[?#]|\z)"
@@ -214,9 +215,56 @@ def _names(nodes: DataFrame, doc: Sequence[str], limit: int | None) -> DataFrame
     return n.select(*doc, "idx", shortened(pick, limit).alias("name"))
 
 
+def _submenu() -> Column:
+    return F.col("tag").isin(*_SUBMENU_TAGS) | attr("role").isin("menu", "group") | attr("class").rlike(r"submenu|sub-menu|(^|\s)(dropdown-menu|collapse)(\s|$)")
+
+
+def owned_panels(el: DataFrame, *, doc: Sequence[str] = DOC) -> DataFrame:
+    """``(doc…, panel, owner, up)``: what an element elsewhere opens, by ids, and the panel that this element is in.
+
+    The first element that names an id in ``aria-controls`` or ``aria-owns`` owns it; a submenu that
+    none names is owned by the first element of its ``aria-labelledby``. Nothing owns what it is inside of.
+    """
+    ids = el.filter(attr("id") != "").groupBy(*doc, attr("id").alias("__ref")).agg(F.min("idx").alias("panel"))
+    says = el.filter(~F.col("tag").isin(*_NO_OWNER_TAGS) & ~attr("role").isin(*_NO_OWNER_ROLES)).select(
+        *doc, F.col("idx").alias("owner"), F.explode(F.split(F.concat_ws(" ", attr("aria-controls"), attr("aria-owns")), r"\s+")).alias("__ref"))
+    named = says.filter(F.col("__ref") != "").groupBy(*doc, "__ref").agg(F.min("owner").alias("owner")).join(ids, [*doc, "__ref"]).select(*doc, "panel", "owner")
+    labelled = el.filter(_submenu() & (attr("aria-labelledby") != "")).select(*doc, F.col("idx").alias("panel"), F.get(F.split(F.trim(attr("aria-labelledby")), r"\s+"), F.lit(0)).alias("__ref"))
+    by_label = labelled.join(ids.withColumnRenamed("panel", "owner"), [*doc, "__ref"]).select(*doc, "panel", "owner").join(named.select(*doc, "panel"), [*doc, "panel"], "left_anti")
+    place = el.select(*doc, F.col("idx").alias("owner"), F.col("path").alias("__path"))
+    pairs = cut_lineage(named.unionByName(by_label).join(place, [*doc, "owner"]).filter((F.col("panel") != F.col("owner")) & ~F.array_contains("__path", F.col("panel"))))
+    up = pairs.select(*doc, "owner", F.explode("__path").alias("up")).join(pairs.select(*doc, F.col("panel").alias("up")).distinct(), [*doc, "up"]).groupBy(*doc, "owner").agg(F.max("up").alias("up"))
+    known = pairs.drop("__path").join(up, [*doc, "owner"], "left")
+    return cut_lineage(known.select(*[F.col(c).alias(c) for c in known.columns]))
+
+
+def _attached(panels: DataFrame, inside: DataFrame, doc: Sequence[str]) -> DataFrame:
+    """Panels whose owner is ``inside`` (``(doc…, owner)``) or in a panel that is attached, to a fix point."""
+    seen = fresh = cut_lineage(panels.join(inside, [*doc, "owner"], "left_semi").select(*doc, "panel"))
+    while fresh.limit(1).count():
+        below = panels.join(fresh.select(*doc, F.col("panel").alias("up")), [*doc, "up"], "left_semi").select(*doc, "panel")
+        fresh = cut_lineage(below.join(seen, [*doc, "panel"], "left_anti"))
+        seen = cut_lineage(seen.unionByName(fresh))
+    return seen
+
+
+def _chains(levels: DataFrame, doc: Sequence[str]) -> DataFrame:
+    """``(doc…, panel, chain)``: names above what is in a panel, from ``(doc…, panel, up, names)``; panels that own each other keep their own names."""
+    whole = cut_lineage(levels.filter(F.col("up").isNull()).select(*doc, "panel", F.col("names").alias("chain")))
+    left, fresh = cut_lineage(levels.filter(F.col("up").isNotNull())), whole
+    while fresh.limit(1).count():
+        above = fresh.select(*doc, F.col("panel").alias("up"), "chain")
+        fresh = cut_lineage(left.join(above, [*doc, "up"]).select(*doc, "panel", F.concat("chain", "names").alias("chain")))
+        left = cut_lineage(left.join(fresh, [*doc, "panel"], "left_anti"))
+        whole = cut_lineage(whole.unionByName(fresh))
+    return whole.unionByName(left.select(*doc, "panel", F.col("names").alias("chain")))
+
+
 def nav_items(nodes: DataFrame, *, doc: Sequence[str] = DOC, url: str | None = None, packs=("generic",)) -> DataFrame:
     """Items of navigation regions: text, menu path, target, children, current.
 
+    A panel that an element elsewhere owns by id belongs to where its owner is: its items
+    count if the owner's do, and their path goes on from the owner's.
     ``url`` names a column carried on the nodes and is what links resolve on.
     """
     el = nodes.filter(F.col("tag") != "#text")
@@ -230,6 +278,16 @@ def nav_items(nodes: DataFrame, *, doc: Sequence[str] = DOC, url: str | None = N
     items = el.filter(is_item & ~attr("role").isin("tab", "combobox", "option"))
     in_region = _within(items, regions, doc, "region").join(regions.select(*doc, F.col("idx").alias("region"), "__loose"), [*doc, "region"])
     out_of = _within(items, banned, doc, "__b").select(*doc, "idx")
+    panels = owned_panels(el, doc=doc)
+    owned = panels.limit(1).count() > 0
+    if owned:
+        owners = el.join(panels.select(*doc, F.col("owner").alias("idx")), [*doc, "idx"], "left_semi")
+        attached = _attached(panels, _within(owners, regions, doc, "__r").select(*doc, F.col("idx").alias("owner")), doc)
+        at = _within(items, panels.select(*doc, F.col("panel").alias("idx")), doc, "panel")
+        # columns of their own, as this table meets others that come of the same nodes
+        home = cut_lineage(at.select(*[F.col(c).alias(c) for c in at.columns]))
+        more = home.join(attached, [*doc, "panel"], "left_semi").join(in_region, [*doc, "idx"], "left_anti")
+        in_region = in_region.unionByName(more.select(*doc, "idx", F.col("panel").alias("region"), F.lit(False).alias("__loose")))
     names = _names(items, doc, CAPS["nav_text"]).withColumn("text", shortened(scrub_expr("name", packs), CAPS["nav_text"])).drop("name")
     expander = has_attr("aria-expanded") | has_attr("aria-haspopup") | has_attr("data-toggle") | has_attr("data-bs-toggle")
     loose_ok = ((F.col("tag") == "a") & has_attr("href")) | (F.col("tag") == "summary") | attr("role").isin(*_ITEM_ROLES[1:]) | expander
@@ -238,17 +296,29 @@ def nav_items(nodes: DataFrame, *, doc: Sequence[str] = DOC, url: str | None = N
     repeats = kept.select(*doc, "text", F.explode("path").alias("idx")).distinct()
     # The items of a page are few; writing them once keeps the path joins below short.
     kept = cut_lineage(kept.join(repeats, [*doc, "idx", "text"], "left_anti"))
-    sub = el.filter(F.col("tag").isin(*_SUBMENU_TAGS) | attr("role").isin("menu", "group") | attr("class").rlike(r"submenu|sub-menu|(^|\s)(dropdown-menu|collapse)(\s|$)")).select(*doc, F.col("idx").alias("sub"), F.col("parent").alias("wrap"), "sib")
+    sub = el.filter(_submenu()).select(*doc, F.col("idx").alias("sub"), F.col("parent").alias("wrap"), "sib")
+    if owned:
+        sub = sub.join(panels.select(*doc, F.col("panel").alias("sub")), [*doc, "sub"], "left_anti")
     wrap = el.filter(F.col("tag").isin("li", "details") | attr("class").rlike(r"(^|\s)(dropdown|dropup|btn-group|nav-item)(\s|$)")).select(*doc, F.col("idx").alias("wrap"))
     levels = sub.join(wrap, [*doc, "wrap"])
     heads = kept.select(*doc, F.col("parent").alias("wrap"), F.col("idx").alias("head"), "text", F.col("sib").alias("__hs"))
     label = levels.join(heads, [*doc, "wrap"]).filter(F.col("__hs") < F.col("sib")).groupBy(*doc, "sub").agg(F.max_by(F.struct("text", "head"), "__hs").alias("h"))
     own = nodes.filter(F.col("tag") == "#text").select(*doc, F.col("parent").alias("wrap"), "idx", squeeze("text").alias("t")).groupBy(*doc, "wrap").agg(F.min_by("t", "idx").alias("__own"))
     titled = levels.join(label, [*doc, "sub"], "left").join(own, [*doc, "wrap"], "left").select(*doc, "sub", F.coalesce(F.col("h.text"), "__own").alias("__name"), F.col("h.head").alias("head")).filter(F.col("__name").isNotNull())
-    above = kept.select(*doc, "idx", F.explode("path").alias("sub")).join(titled.select(*doc, "sub", "__name"), [*doc, "sub"]).groupBy(*doc, "idx").agg(F.array_sort(F.collect_list(F.struct("sub", "__name"))).alias("__up"))
+    names_above = lambda rows: rows.select(*doc, "idx", F.explode("path").alias("sub")).join(titled.select(*doc, "sub", "__name"), [*doc, "sub"]).groupBy(*doc, "idx").agg(F.array_sort(F.collect_list(F.struct("sub", "__name"))).alias("__up"))
     opens = titled.filter(F.col("head").isNotNull()).select(*doc, F.col("head").alias("idx"), F.lit(True).alias("__opens")).distinct()
-    j = kept.join(above, [*doc, "idx"], "left").join(opens, [*doc, "idx"], "left")
-    path = F.concat(F.transform(F.coalesce("__up", F.array().cast("array<struct<sub:int,__name:string>>")), lambda x: x["__name"]), F.array("text"))
+    if owned:
+        opens = opens.unionByName(panels.select(*doc, F.col("owner").alias("idx"), F.lit(True).alias("__opens"))).distinct()
+    j = kept.join(names_above(kept), [*doc, "idx"], "left").join(opens, [*doc, "idx"], "left")
+    below = lambda panel: F.transform(F.filter(F.coalesce("__up", F.array().cast("array<struct<sub:int,__name:string>>")), lambda x: F.col(panel).isNull() | (x["sub"] > F.col(panel))), lambda x: x["__name"])
+    if owned:
+        said = _names(owners, doc, CAPS["nav_text"]).select(*doc, F.col("idx").alias("owner"), shortened(scrub_expr("name", packs), CAPS["nav_text"]).alias("__said"))
+        of_owner = panels.join(said, [*doc, "owner"], "left").join(names_above(owners).withColumnRenamed("idx", "owner"), [*doc, "owner"], "left")
+        chains = _chains(of_owner.select(*doc, "panel", "up", F.concat(below("up"), F.filter(F.array("__said"), lambda x: x != "")).alias("names")), doc)
+        j = j.join(home, [*doc, "idx"], "left").join(chains, [*doc, "panel"], "left")
+        path = F.concat(F.coalesce("chain", F.array().cast("array<string>")), below("panel"), F.array("text"))
+    else:
+        path = F.concat(F.transform(F.coalesce("__up", F.array().cast("array<struct<sub:int,__name:string>>")), lambda x: x["__name"]), F.array("text"))
     target = clean_href(F.col("attrs")["href"], F.col(url) if url else F.lit("http://localhost/"), packs)
     found = j.select(
         *doc, "idx", "text", path.alias("path"), F.when((F.col("tag") == "a") & has_attr("href"), target).alias("href"),

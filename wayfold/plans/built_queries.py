@@ -52,6 +52,18 @@ def customer_site(spark, sf):
         "</a></li></ul></nav><h1>", "$c_name", "</h1></body></html>").alias("html"))
 
 
+def supplier_menus(spark, sf):
+    """A page per supplier whose menus lie apart from what opens them, one of them inside another."""
+    return table(spark, sf, "supplier").select(F.col("s_suppkey").alias("page_id"), _html(
+        '<nav><a href="/">Home</a><button aria-controls="m', "$s_suppkey", '">Stock of ', "$s_name", '</button></nav><main><a href="/other">Other</a></main><div id="m', "$s_suppkey",
+        '"><a href="/s/', "$s_suppkey", '">List</a><ul><li><button aria-owns="deep">More</button></li></ul></div><div><div id="deep"><ul><li>Nation<ul><li><a href="/n/', "$s_nationkey", '">Nation ', "$s_nationkey", "</a></li></ul></li></ul></div></div>").alias("html"))
+
+
+def built_menus(spark, sf):
+    m = G.nav_items(G.page_nodes(supplier_menus(spark, sf), write=True), packs=None)
+    return m.select("page_id", F.array_join("path", " > ").alias("path"), "href", F.col("has_children").cast("int").alias("has_children"))
+
+
 def built_tables(spark, sf):
     t = G.tables(G.page_nodes(order_books(spark, sf), write=True))
     return t.select("page_id", F.array_join("headers", "|").alias("headers"), F.col("n_rows").cast("bigint").alias("n_rows"), F.array_join("first_row", "|").alias("first_row"))
@@ -121,7 +133,7 @@ def built_findings(spark, sf):
     return V.coverage_hints(V.menu_covered(menu), gaps).select("origin", "class", "sentence")
 
 
-QUERIES = {f.__name__: f for f in (built_tables, built_controls, built_clean_pages, built_trails, built_tabs, built_files, built_buttons, built_pagers, built_errors, built_steps, built_leads, built_unvisited, built_coverage, built_findings)}
+QUERIES = {f.__name__: f for f in (built_tables, built_controls, built_clean_pages, built_trails, built_tabs, built_files, built_buttons, built_pagers, built_errors, built_steps, built_menus, built_leads, built_unvisited, built_coverage, built_findings)}
 
 _CHARS = lambda c: f"'<' || length(CAST({c} AS VARCHAR)) || ' chars>'"
 _SITE = "'https://n' || c_nationkey || '.example.com' AS origin"
@@ -141,6 +153,8 @@ UNION ALL SELECT p_partkey, 'pin', 'Your PIN', 'aria-label', 'password', 0, NULL
     "built_pagers": "SELECT s_suppkey AS page_id, 'numbered' AS style, 1 AS has_next, 0 AS has_prev, CAST(s_suppkey AS VARCHAR) AS current FROM supplier",
     "built_errors": "SELECT s_suppkey AS page_id, 'No answer from ' || s_name AS text FROM supplier",
     "built_steps": "SELECT s_suppkey AS page_id, unnest([1, 2, 3, 4, 5])::INT AS n, unnest(['Home', 'Suppliers', s_name, 'Open ' || s_nationkey, 'Closed']) AS text, unnest([0, 0, 0, 1, 0]) AS active FROM supplier",
+    "built_menus": """SELECT s_suppkey AS page_id, unnest(['Home', 'Stock of ' || s_name, 'Stock of ' || s_name || ' > List', 'Stock of ' || s_name || ' > More', 'Stock of ' || s_name || ' > More > Nation > Nation ' || s_nationkey]) AS path,
+unnest(['/', NULL, '/s/' || s_suppkey, NULL, '/n/' || s_nationkey]) AS href, unnest([0, 1, 0, 1, 0]) AS has_children FROM supplier""",
     "built_leads": f"SELECT {_SITE}, lower(c_name) AS menu_id, '/c/' || c_custkey AS route FROM customer",
     "built_unvisited": f"SELECT {_SITE}, 'orders of ' || lower(c_name) AS menu_id, 'Orders of ' || c_name AS text FROM customer",
     "built_coverage": f"SELECT {_SITE}, 2 * count(*) AS menu_items, count(*) AS menu_visited, count(*) AS pages FROM customer GROUP BY c_nationkey",
