@@ -56,7 +56,7 @@ def page_nodes(pages: DataFrame, *, html: str = "html", doc: Sequence[str] = DOC
     parsed once however many extractors read it.
     """
     slim = pages.select(*doc, *keep, F.col(html).alias("__html"))
-    nodes = slim.lateralJoin(html_nodes()(F.col("__html").outer())).drop("__html")
+    nodes = html_nodes(slim, "__html")
     return cut_lineage(nodes) if write else nodes
 
 

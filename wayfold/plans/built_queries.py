@@ -13,7 +13,7 @@ from ..operators import coverage as V
 from ..operators import pages as G
 from ..schemas import TABLES
 from .page_queries import _visited
-from .tables import table
+from .tables import dealt_table
 
 
 def _html(*parts):
@@ -22,14 +22,14 @@ def _html(*parts):
 
 def order_books(spark, sf):
     """A page per customer with a table of the orders, in order of their keys."""
-    o = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("page_id")).agg(F.array_sort(F.collect_list(F.struct("o_orderkey", "o_orderstatus", "o_orderpriority"))).alias("r"))
+    o = dealt_table(spark, sf, "orders", "o_custkey").groupBy(F.col("o_custkey").alias("page_id")).agg(F.array_sort(F.collect_list(F.struct("o_orderkey", "o_orderstatus", "o_orderpriority"))).alias("r"))
     rows = F.array_join(F.transform("r", lambda x: F.concat(F.lit("<tr><td>"), x["o_orderkey"].cast("string"), F.lit("</td><td>"), x["o_orderstatus"], F.lit("</td><td>"), x["o_orderpriority"], F.lit("</td></tr>"))), "")
     return o.select("page_id", F.concat(F.lit("<h1>Orders</h1><table><tr><th>Order</th><th>Status</th><th>Priority</th></tr>"), rows, F.lit("</table>")).alias("html"))
 
 
 def part_forms(spark, sf):
     """A page per part with a form: a number, a list, a text and a secret."""
-    return table(spark, sf, "part").select(F.col("p_partkey").alias("page_id"), _html(
+    return dealt_table(spark, sf, "part").select(F.col("p_partkey").alias("page_id"), _html(
         '<form><label for="size">Size</label><input id="size" type="number" required maxlength="4" value="', "$p_size", '"><p><select name="brand" aria-label="Brand"><option value="', "$p_brand",
         '">', "$p_brand", '</option><option value="none">none</option></select></p><div class="form-group"><label>Remark</label><textarea name="note">', "$p_name",
         '</textarea></div><p><input type="password" name="pin" aria-label="Your PIN" value="1234"></p></form>').alias("html"))
@@ -37,7 +37,7 @@ def part_forms(spark, sf):
 
 def supplier_pages(spark, sf):
     """A page per supplier with a trail, tabs, a pager, files, buttons and an error."""
-    return table(spark, sf, "supplier").select(F.col("s_suppkey").alias("page_id"), _html(
+    return dealt_table(spark, sf, "supplier").select(F.col("s_suppkey").alias("page_id"), _html(
         '<ol class="breadcrumb"><li>Home</li><li>Suppliers</li><li>', "$s_name", '</li></ol><ul role="tablist"><li role="tab" aria-selected="true">Open ', "$s_nationkey",
         '</li><li role="tab">Closed</li></ul><a href="/files/', "$s_suppkey", '.pdf">File</a><a href="/page/', "$s_suppkey", '">No file</a><div class="error-text">No answer from ', "$s_name",
         '</div><button>Save</button><button>Delete ', "$s_suppkey", '</button><nav class="pages"><a href="?p=1" aria-current="page">', F.col("s_suppkey").cast("string"),
@@ -46,7 +46,7 @@ def supplier_pages(spark, sf):
 
 def customer_site(spark, sf):
     """A site per nation, a page per customer; its menu names the page itself and one that nobody opened."""
-    c = table(spark, sf, "customer")
+    c = dealt_table(spark, sf, "customer")
     return c.select(F.col("c_custkey").alias("page_id"), _html("https://n", "$c_nationkey", ".example.com/c/", "$c_custkey").alias("url"), _html(
         "<html><head><title>", "$c_name", '</title></head><body><nav><ul><li><a href="/c/', "$c_custkey", '">', "$c_name", '</a></li><li><a href="/c/', "$c_custkey", '/orders">Orders of ', "$c_name",
         "</a></li></ul></nav><h1>", "$c_name", "</h1></body></html>").alias("html"))
@@ -54,7 +54,7 @@ def customer_site(spark, sf):
 
 def supplier_menus(spark, sf):
     """A page per supplier whose menus lie apart from what opens them, one of them inside another."""
-    return table(spark, sf, "supplier").select(F.col("s_suppkey").alias("page_id"), _html(
+    return dealt_table(spark, sf, "supplier").select(F.col("s_suppkey").alias("page_id"), _html(
         '<nav><a href="/">Home</a><button aria-controls="m', "$s_suppkey", '">Stock of ', "$s_name", '</button></nav><main><a href="/other">Other</a></main><div id="m', "$s_suppkey",
         '"><a href="/s/', "$s_suppkey", '">List</a><ul><li><button aria-owns="deep">More</button></li></ul></div><div><div id="deep"><ul><li>Nation<ul><li><a href="/n/', "$s_nationkey", '">Nation ', "$s_nationkey", "</a></li></ul></li></ul></div></div>").alias("html"))
 

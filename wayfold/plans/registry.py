@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import prepare
+from ..session import measured_broadcasts, prepare
 from . import built_queries, event_queries, page_queries, shape_queries, text_queries, url_queries
 
 MODULES = (url_queries, text_queries, event_queries, page_queries, built_queries, shape_queries)
@@ -15,7 +15,7 @@ MODULES = (url_queries, text_queries, event_queries, page_queries, built_queries
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def ready(query):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return query(prepare(spark), sf_dir)
+            return query(measured_broadcasts(prepare(spark)), sf_dir)
 
         return run
 

@@ -24,6 +24,21 @@ def text_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spread(df, cores if len(df.inputFiles()) < cores else None)
 
 
+#: Rows that one task works on in Python.
+TASK_ROWS = 50_000
+
+
+def dealt_table(spark: SparkSession, sf_dir: str, name: str, *by: str) -> DataFrame:
+    """A table of short rows that each become a page or a body, dealt by its number of rows.
+
+    A file of few bytes holds rows for hours of work, and one group of rows in it is one task. Rows
+    that are alike in ``by`` come together.
+    """
+    df = table(spark, sf_dir, name)
+    parts = max(spark.sparkContext.defaultParallelism, -(-df.count() // TASK_ROWS))
+    return df.repartition(parts, *by)
+
+
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events with a real timestamp; the file holds times without a zone, read as UTC."""
     return table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))

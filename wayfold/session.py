@@ -36,6 +36,19 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def measured_broadcasts(spark: SparkSession) -> SparkSession:
+    """Joins broadcast only a side whose size a finished stage has measured.
+
+    Before that Spark goes by the size of files, and knows nothing of how many rows a page or a body
+    becomes: sides of millions of rows were sent through the driver.
+    """
+    at, measured = "spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"
+    if spark.conf.get(measured, None) is None:
+        spark.conf.set(measured, spark.conf.get(at))
+    spark.conf.set(at, "-1")
+    return spark
+
+
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "wayfold") -> SparkSession:
     """A session for tests and the bench; clusters bring their own."""
     builder = (
