@@ -21,12 +21,36 @@ def test_no_side_is_broadcast_by_the_size_of_a_file(spark, capsys):
 
 
 def test_nodes_keep_other_columns_and_leave_out_empty_pages(spark, monkeypatch):
-    from wayfold.functions import html
+    from wayfold.functions import columns
 
-    monkeypatch.setattr(html, "BATCH_ROWS", 3)
+    monkeypatch.setattr(columns, "BATCH_ROWS", 3)
     pages = spark.createDataFrame([(1, ["a"], "<p id=x>One</p><br>"), (2, None, None), (3, [], ""), (4, None, "<i>Two</i>")], "page_id long, tags array<string>, html string").coalesce(1)
     got = [tuple(r) for r in G.page_nodes(pages, keep=["tags"]).select("page_id", "tags", "idx", "parent", "tag", "attrs", "text", "path").orderBy("page_id", "idx").collect()]
     assert got == [
         (1, ["a"], 0, None, "p", {"id": "x"}, "One", []), (1, ["a"], 1, 0, "#text", {}, "One", [0]), (1, ["a"], 2, None, "br", {}, "", []),
         (4, None, 0, None, "i", {}, "Two", []), (4, None, 1, 0, "#text", {}, "Two", [0]),
     ]
+
+
+def test_nodes_of_one_body_are_those_of_its_values(spark):
+    from wayfold.operators import shapes as S
+
+    bodies = [
+        '{"a":[{"s":"on","n":1},{"s":"off","n":null},{"s":"on"},{"s":"on","x":"  "},{"s":"on","x":""}],"b":{"c d":"' + "z" * 50 + '"}}', '{"a":3,"m":[1,"x",{"deep":[{"e":1}]}]}',
+        '[["12","12","34","12","5"],["2024-01-01","2025-01-01"]]', '{"v":["true","false","true","true","true"],"k":["123456","1","2","3","4"],"t":["a","b","c","d","e","f","g","h","i"]}',
+        "no body", None, "[1", "{}", "[null,null]", '{"q":["x","x","x","x","x",""]}', '[{"u":{"w":1}},{"u":{}},{"u":{"w":null}},{"u":[]}]',
+    ]
+    df = spark.createDataFrame([(i, i % 3, b) for i, b in enumerate(bodies)] + [(99, 1, '{"a":"on"}'), (99, 1, '{"a":"off"}'), (98, 2, '{"a":1}'), (98, 2, '{"a":null,"b":2}')], "id int, part int, response_body string")
+    by = ["id", "part"]
+    want = S.shape_nodes(S.shape_visits(df, owner=by), owner=by)
+    got = S.body_shapes(df, owner=by)
+    assert sorted(map(str, got.select(*want.columns).collect())) == sorted(map(str, want.collect())) and got.count() == 36
+
+
+def test_equal_values_leave_a_task_once(spark):
+    from wayfold.operators import shapes as S
+
+    df = spark.range(500).selectExpr("'k' as kind", "array(1) as other", """concat('{"a":', id, ',"b":"', id % 3, '"}') as response_body""").coalesce(1)
+    visits = S.shape_visits(df, owner=["kind"]).collect()
+    assert {(r.path, r.text): r.n for r in visits} == {("$", None): 500, ("$.a", None): 500, ("$.b", "0"): 167, ("$.b", "1"): 167, ("$.b", "2"): 166}
+    assert S.shape_visits(df.limit(10), owner=["other"]).count() == 30

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import shapes as S
+from ..functions.columns import unfold
 from ..functions.names import format_of
 from ..functions.exprs import at_most, first_of, strip
 from ..session import cut_lineage
@@ -28,11 +29,45 @@ def shape_visits(
     sample: int | None = None,
     nodes: int | None = None,
 ) -> DataFrame:
-    """Every value of every body: ``(owner…, path, parent, key, type, len, text)``."""
-    visit = S.shape_visits()
+    """Every value of every body: ``(owner…, path, parent, key, type, len, text, n)``; equal ones next to each other as one row with their number."""
+    read = S.ShapeVisits().eval
     slim = df.select(*owner, F.col(body).alias("__body"))
-    table = visit(F.col("__body").outer(), F.lit(depth), F.lit(keys), F.lit(sample), F.lit(nodes))
-    return slim.lateralJoin(table).drop("__body")
+    return unfold(slim, "__body", lambda text: read(text, depth, keys, sample, nodes), S.VISIT_SCHEMA, count=True)
+
+
+def body_shapes(df: DataFrame, *, body: str = "response_body", owner: Sequence[str] = ("id",)) -> DataFrame:
+    """``shape_nodes`` of ``shape_visits``, where nearly every body has an owner of its own.
+
+    The nodes of such a body are known where it is read: nothing of it is written or sent. Bodies
+    that share an owner go the way of all values.
+    """
+    slim = df.select(*owner, F.col(body).alias("__body"))
+    names = {c: f"__o_{i}" for i, c in enumerate(owner)}
+    shared = cut_lineage(slim.groupBy(*owner).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > 1).select(*[F.col(c).alias(a) for c, a in names.items()]))
+    if not shared.limit(1).count():
+        return _nodes_of_lone(slim, owner)
+    same = F.lit(True)
+    for c, a in names.items():
+        same = same & F.col(c).eqNullSafe(F.col(a))
+    rest = shape_visits(slim.join(shared, same, "left_semi"), body="__body", owner=owner)
+    return _nodes_of_lone(slim.join(shared, same, "left_anti"), owner).unionByName(shape_nodes(rest, owner=owner))
+
+
+def _nodes_of_lone(slim: DataFrame, owner: Sequence[str]) -> DataFrame:
+    read = S.ShapeVisits().eval
+    n = unfold(slim, "__body", lambda text: S.node_rows(read(text, None, None, None, None)), S.NODE_SCHEMA)
+    formats = F.transform(F.filter("__texts", lambda t: strip(t) != ""), lambda t: format_of(t))
+    lo, hi = F.array_min(formats), F.array_max(formats)
+    n = n.withColumns({
+        "format": F.when(F.col("type") == "string", F.when(lo == hi, lo).when(lo.isNotNull(), F.lit("text"))),
+        "__values": F.when(F.col("__strings") >= S.ENUM_MIN_SEEN, F.array_sort(F.filter("__texts", lambda t: t != ""))),
+    })
+    n = n.withColumn("longest", F.array_max(F.transform("__values", lambda t: F.length(t))))
+    enum = (F.col("type") == "string") & F.size("__values").between(1, S.ENUM_MAX_DISTINCT) & (F.col("longest") <= S.ENUM_VALUE_CHARS) & _enum_like()
+    return n.select(
+        *owner, "path", "parent", "key", "type", "nullable", "len", F.when(F.col("type") == "string", F.coalesce("format", F.lit("text"))).alias("format"),
+        F.when(enum, F.col("__values")).alias("values"), "n", "n_objects", _ancestors(F.col("path")).alias("above"), "optional",
+    )
 
 
 def _enum_like() -> Column:
@@ -89,7 +124,7 @@ def shape_nodes(visits: DataFrame, *, owner: Sequence[str] = ("id",)) -> DataFra
     # so a position with endless values never builds an endless set.
     pre = cut_lineage(
         v.groupBy(*owner, "path", "parent", "key", "type", "format", "__choice").agg(
-            F.count(F.lit(1)).alias("n"), F.max("len").alias("len"),
+            F.sum("n").alias("n"), F.max("len").alias("len"),
             F.max(F.when((F.col("type") == "string") & (F.length("text") > S.ENUM_VALUE_CHARS), 1).otherwise(0)).alias("__long"),
         )
     )
@@ -148,8 +183,13 @@ def merge_shapes(nodes: DataFrame, *, by: Sequence[str]) -> DataFrame:
     different types make it mixed, and enum values survive only while every
     body had some and there are few in all.
     """
-    nodes = cut_lineage(nodes)
-    n_texts = F.sum(F.when(F.col("type") == "string", 1).otherwise(0))
+    # Equal nodes are counted first: bodies of one kind come to few rows, before anything is written or sent.
+    nodes = cut_lineage(
+        nodes.groupBy(*by, "path", "parent", "key", "type", "nullable", "format", "values", F.coalesce("optional", F.lit(False)).alias("optional")).agg(
+            F.count(F.lit(1)).alias("__bodies"), F.sum("n").alias("n"), F.sum("n_objects").alias("n_objects"), F.max("len").alias("len"),
+        )
+    )
+    n_texts = F.sum(F.when(F.col("type") == "string", F.col("__bodies")).otherwise(0))
     merged = nodes.groupBy(*by, "path").agg(
         F.min("parent").alias("parent"),
         F.min("key").alias("key"),
@@ -159,8 +199,8 @@ def merge_shapes(nodes: DataFrame, *, by: Sequence[str]) -> DataFrame:
         _merge_format().alias("format"),
         F.sum("n").alias("n"),
         F.sum("n_objects").alias("n_objects"),
-        (n_texts == F.sum(F.when(F.col("values").isNotNull(), 1).otherwise(0))).alias("__all_enum"),
-        F.max(F.coalesce("optional", F.lit(False))).alias("__optional"),
+        (n_texts == F.sum(F.when(F.col("values").isNotNull(), F.col("__bodies")).otherwise(0))).alias("__all_enum"),
+        F.max("optional").alias("__optional"),
     )
     choices = (
         nodes.filter(F.col("values").isNotNull())

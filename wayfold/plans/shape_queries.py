@@ -17,7 +17,7 @@ from .tables import event_actions, event_calls, event_pauses, event_states, even
 
 def props_shape(spark, sf):
     """Shape of the event properties per event type."""
-    nodes = S.shape_nodes(S.shape_visits(events(spark, sf), body="props", owner=["event_type", "event_id"]), owner=["event_type", "event_id"])
+    nodes = S.body_shapes(events(spark, sf), body="props", owner=["event_type", "event_id"])
     merged = S.merge_shapes(nodes, by=["event_type"])
     return merged.select("event_type", "path", "type", F.col("nullable").cast("int").alias("nullable"), F.col("optional").cast("int").alias("optional"), F.col("n").cast("bigint").alias("n"))
 
@@ -30,8 +30,7 @@ def order_bodies(spark, sf):
 
 
 def _order_shape(spark, sf):
-    visits = S.shape_visits(order_bodies(spark, sf), body="body", owner=["o_orderstatus", "o_orderkey"])
-    return S.merge_shapes(S.shape_nodes(visits, owner=["o_orderstatus", "o_orderkey"]), by=["o_orderstatus"])
+    return S.merge_shapes(S.body_shapes(order_bodies(spark, sf), body="body", owner=["o_orderstatus", "o_orderkey"]), by=["o_orderstatus"])
 
 
 def order_shapes(spark, sf):
