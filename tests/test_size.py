@@ -20,6 +20,20 @@ def test_no_side_is_broadcast_by_the_size_of_a_file(spark, capsys):
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
 
 
+@given
+def test_forms_are_dealt_to_all_cores(spark):
+    """One file of one group of rows was one task, whatever each row costs."""
+    assert B.part_forms(spark, SF).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    assert entry.queries()["built_clean_pages"](spark, SF).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_tasks_grow_in_number_with_the_rows(spark, tmp_path):
+    from wayfold.plans import tables
+
+    spark.range(tables.TASK_ROWS * 20).selectExpr("id as c_custkey").coalesce(1).write.parquet(str(tmp_path / "customer.parquet"))
+    assert tables.dealt_table(spark, str(tmp_path), "customer").rdd.getNumPartitions() == 20
+
+
 def test_nodes_keep_other_columns_and_leave_out_empty_pages(spark, monkeypatch):
     from wayfold.functions import columns
 
