@@ -68,3 +68,8 @@ def test_equal_values_leave_a_task_once(spark):
     visits = S.shape_visits(df, owner=["kind"]).collect()
     assert {(r.path, r.text): r.n for r in visits} == {("$", None): 500, ("$.a", None): 500, ("$.b", "0"): 167, ("$.b", "1"): 167, ("$.b", "2"): 166}
     assert S.shape_visits(df.limit(10), owner=["other"]).count() == 30
+
+
+@given
+def test_bodies_are_dealt_to_all_cores(spark):
+    assert entry.queries()["scrub_bodies"](spark, SF).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism

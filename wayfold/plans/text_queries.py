@@ -9,7 +9,7 @@ from ..functions import packs as K
 from ..functions import pyrules as Y
 from ..functions import redaction as R
 from ..operators import redact as X
-from .tables import table, text_table
+from .tables import dealt_table, table, text_table
 
 #: The first five generic rules use no look-around, so SQL can say them too.
 TOKEN_RULES = 5
@@ -88,7 +88,7 @@ def credential_controls(spark, sf):
 
 def scrub_bodies(spark, sf):
     """JSON bodies of customers, every other one cut before its end, read by key and pattern."""
-    c = table(spark, sf, "customer")
+    c = dealt_table(spark, sf, "customer")
     key = F.col("c_custkey")
     body = F.to_json(F.struct(
         F.col("c_name").alias("customerName"), key.alias("id"), F.concat(F.lit("write to user"), key.cast("string"), F.lit("@ex.org in "), F.col("c_mktsegment")).alias("remark"),
