@@ -121,6 +121,23 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
+#: Rows of short chunks that leave a task at once.
+TOGETHER = 10_000
+
+
+def _some(runs: Iterator[pa.Table]) -> Iterator[list[pa.Table]]:
+    """Chunks in order, short ones together: a chunk of few rows is not worth a batch of its own."""
+    held, size = [], 0
+    for run in runs:
+        held.append(run)
+        size += run.num_rows
+        if size >= TOGETHER:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 def span_before(
     df: DataFrame, *, by: Sequence[str], order: Sequence[str], span: int, inclusive: bool = True, forced: Column | None = None, out: str = "since", chunk=None
 ) -> DataFrame:
@@ -140,12 +157,12 @@ def span_before(
     base = base.withColumn("__run", F.to_json(F.struct(*by, "__chunk")))
 
     def tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for run in _runs(batches):
-            at, to = chunk_function(run.column("__t").to_numpy(), run.column("__force").to_numpy(zero_copy_only=False), span, inclusive)
-            lists = pa.table({"at": pa.array([at], pa.list_(pa.int64())), "to": pa.array([to], pa.list_(pa.int64()))})
-            for c in reversed([*by, "__chunk"]):
-                lists = lists.add_column(0, c, run.column(c).slice(0, 1))
-            yield from lists.to_batches()
+        for runs in _some(_runs(batches)):
+            found = [chunk_function(r.column("__t").to_numpy(), r.column("__force").to_numpy(zero_copy_only=False), span, inclusive) for r in runs]
+            heads = pa.concat_tables([r.select([*by, "__chunk"]).slice(0, 1) for r in runs])
+            for c, lists in zip(("at", "to"), zip(*found, strict=True), strict=True):
+                heads = heads.append_column(c, pa.array(lists, pa.list_(pa.int64())))
+            yield from heads.combine_chunks().to_batches()
 
     slim = base.select(*by, "__chunk", "__t", "__force", "__run", *order[1:])
     keys = [base.schema[c].simpleString().replace(":", " ", 1) for c in by]
@@ -156,10 +173,13 @@ def span_before(
     fields = joined.schema.add(out, "long")
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for run in _runs(batches):
-            entry = run.column("__entry")[0].as_py()
-            since, known = openings(run.column("__t").to_numpy(), run.column("__force").to_numpy(zero_copy_only=False), span, inclusive, entry)
-            yield from run.append_column(out, pa.array(since, mask=~known)).combine_chunks().to_batches()
+        for runs in _some(_runs(batches)):
+            made = []
+            for run in runs:
+                entry = run.column("__entry")[0].as_py()
+                since, known = openings(run.column("__t").to_numpy(), run.column("__force").to_numpy(zero_copy_only=False), span, inclusive, entry)
+                made.append(run.append_column(out, pa.array(since, mask=~known)))
+            yield from pa.concat_tables(made).combine_chunks().to_batches()
 
     dealt = joined.repartition("__run").sortWithinPartitions("__run", "__t", *order[1:])
     return dealt.mapInArrow(walk, fields).select(*df.columns, out)

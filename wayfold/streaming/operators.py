@@ -13,6 +13,7 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 from ..operators.chains import span_before
 from ..operators.joins import asof_join
 from ..operators.ordered import carry_last, previous_row, running_sum
+from ..session import cut_lineage
 from . import machines as M
 from .keyed import scan, split_at_gaps, stream
 
@@ -67,6 +68,7 @@ def volume_breaker(df: DataFrame, *, by: Sequence[str] = DOCUMENT, limit: int =
     new = F.col("__since").isNull() | (F.col("ts_ms") > F.col("__since") + window)
     counted = running_sum(rows, by=by, order=order, value=F.when(new, 1).otherwise(0), out="__window", chunk=width)
     counted = running_sum(counted, by=[*by, "__window"], order=order, value=F.col("records").cast("long"), out="__n", chunk=width)
+    counted = cut_lineage(counted.drop("__since", "__window"))  # read by the trips and by what they cut
     over = counted.filter(F.col("__n") > limit).select(*by, *order)
     trips = span_before(over, by=by, order=order, span=cooldown, out="__since", chunk=width)
     trips = trips.filter(F.col("__since").isNull() | (F.col("ts_ms") >= F.col("__since") + cooldown)).drop("__since").withColumn("__trip", F.col("ts_ms"))
