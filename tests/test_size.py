@@ -62,6 +62,18 @@ def test_nodes_of_one_body_are_those_of_its_values(spark):
     assert sorted(map(str, got.select(*want.columns).collect())) == sorted(map(str, want.collect())) and got.count() == 36
 
 
+def test_equal_nodes_of_bodies_leave_a_task_once(spark):
+    from wayfold.operators import shapes as S
+
+    one = lambda i: f'{{"a":{i},"b":"{i % 3}","c":[{"1," * (i % 2)}2]}}' if i % 5 else '{"a":null}'
+    df = spark.createDataFrame([(i, "k", one(i)) for i in range(500)] + [(501, "k", '{"a":"x"}'), (501, "k", '{"a":"y"}')], "id int, kind string, response_body string").coalesce(1)
+    counted = S.body_shapes(df, owner=["kind", "id"], by=["kind"])
+    assert counted.count() < 40 and counted.filter("path = '$'").agg(F.sum("bodies")).first()[0] == 501
+    want = S.merge_shapes(S.shape_nodes(S.shape_visits(df, owner=["kind", "id"]), owner=["kind", "id"]), by=["kind"])
+    got = S.merge_shapes(counted, by=["kind"], bodies="bodies")
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.select(*got.columns).collect()))
+
+
 def test_equal_values_leave_a_task_once(spark):
     from wayfold.operators import shapes as S
 

@@ -17,13 +17,13 @@ ARROW = {
 }
 
 
-def unfold(df: DataFrame, column: str, rows_of: Callable[[str | None], Iterator[tuple]], ddl: str, *, count: bool = False) -> DataFrame:
+def unfold(df: DataFrame, column: str, rows_of: Callable[[str | None], Iterator[tuple]], ddl: str, *, count: str | None = None) -> DataFrame:
     """The rows that ``rows_of`` makes of ``column``, beside the other columns of ``df``.
 
-    ``count`` writes equal rows that a task holds at one time once, with their number as ``n``.
+    ``count`` writes equal rows that a task holds at one time once, with their number in a column of that name.
     """
     others = [c for c in df.columns if c != column]
-    shape = StructType.fromDDL(ddl + (", n bigint" if count else ""))
+    shape = StructType.fromDDL(ddl + (f", {count} bigint" if count else ""))
     types = [(f.name, ARROW[f.dataType.simpleString()]) for f in shape]
 
     def batch(rows: pa.RecordBatch, at: list[int], found: list[tuple]) -> pa.RecordBatch:

@@ -32,30 +32,34 @@ def shape_visits(
     """Every value of every body: ``(owner…, path, parent, key, type, len, text, n)``; equal ones next to each other as one row with their number."""
     read = S.ShapeVisits().eval
     slim = df.select(*owner, F.col(body).alias("__body"))
-    return unfold(slim, "__body", lambda text: read(text, depth, keys, sample, nodes), S.VISIT_SCHEMA, count=True)
+    return unfold(slim, "__body", lambda text: read(text, depth, keys, sample, nodes), S.VISIT_SCHEMA, count="n")
 
 
-def body_shapes(df: DataFrame, *, body: str = "response_body", owner: Sequence[str] = ("id",)) -> DataFrame:
+def body_shapes(df: DataFrame, *, body: str = "response_body", owner: Sequence[str] = ("id",), by: Sequence[str] | None = None) -> DataFrame:
     """``shape_nodes`` of ``shape_visits``, where nearly every body has an owner of its own.
 
     The nodes of such a body are known where it is read: nothing of it is written or sent. Bodies
-    that share an owner go the way of all values.
+    that share an owner go the way of all values. With ``by``, some of the owner's columns, nodes carry
+    these alone, and equal ones that a task holds at one time are one row with their number as ``bodies``.
     """
     slim = df.select(*owner, F.col(body).alias("__body"))
     names = {c: f"__o_{i}" for i, c in enumerate(owner)}
     shared = cut_lineage(slim.groupBy(*owner).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > 1).select(*[F.col(c).alias(a) for c, a in names.items()]))
     if not shared.limit(1).count():
-        return _nodes_of_lone(slim, owner)
+        return _nodes_of_lone(slim, owner, by)
     same = F.lit(True)
     for c, a in names.items():
         same = same & F.col(c).eqNullSafe(F.col(a))
     rest = shape_visits(slim.join(shared, same, "left_semi"), body="__body", owner=owner)
-    return _nodes_of_lone(slim.join(shared, same, "left_anti"), owner).unionByName(shape_nodes(rest, owner=owner))
+    others = shape_nodes(rest, owner=owner)
+    if by is not None:
+        others = others.drop(*[c for c in owner if c not in by]).withColumn("bodies", F.lit(1).cast("bigint"))
+    return _nodes_of_lone(slim.join(shared, same, "left_anti"), owner, by).unionByName(others)
 
 
-def _nodes_of_lone(slim: DataFrame, owner: Sequence[str]) -> DataFrame:
-    read = S.ShapeVisits().eval
-    n = unfold(slim, "__body", lambda text: S.node_rows(read(text, None, None, None, None)), S.NODE_SCHEMA)
+def _nodes_of_lone(slim: DataFrame, owner: Sequence[str], by: Sequence[str] | None) -> DataFrame:
+    read, kept = S.ShapeVisits().eval, owner if by is None else by
+    n = unfold(slim.select(*kept, "__body"), "__body", lambda text: S.node_rows(read(text, None, None, None, None)), S.NODE_SCHEMA, count=None if by is None else "bodies")
     formats = F.transform(F.filter("__texts", lambda t: strip(t) != ""), lambda t: format_of(t))
     lo, hi = F.array_min(formats), F.array_max(formats)
     n = n.withColumns({
@@ -65,8 +69,8 @@ def _nodes_of_lone(slim: DataFrame, owner: Sequence[str]) -> DataFrame:
     n = n.withColumn("longest", F.array_max(F.transform("__values", lambda t: F.length(t))))
     enum = (F.col("type") == "string") & F.size("__values").between(1, S.ENUM_MAX_DISTINCT) & (F.col("longest") <= S.ENUM_VALUE_CHARS) & _enum_like()
     return n.select(
-        *owner, "path", "parent", "key", "type", "nullable", "len", F.when(F.col("type") == "string", F.coalesce("format", F.lit("text"))).alias("format"),
-        F.when(enum, F.col("__values")).alias("values"), "n", "n_objects", _ancestors(F.col("path")).alias("above"), "optional",
+        *kept, "path", "parent", "key", "type", "nullable", "len", F.when(F.col("type") == "string", F.coalesce("format", F.lit("text"))).alias("format"),
+        F.when(enum, F.col("__values")).alias("values"), "n", "n_objects", _ancestors(F.col("path")).alias("above"), "optional", *([] if by is None else ["bodies"]),
     )
 
 
@@ -176,17 +180,18 @@ def _with_optional(nodes: DataFrame, owner: Sequence[str]) -> DataFrame:
     )
 
 
-def merge_shapes(nodes: DataFrame, *, by: Sequence[str]) -> DataFrame:
-    """Union of shapes per group, from per-body nodes.
+def merge_shapes(nodes: DataFrame, *, by: Sequence[str], bodies: str | None = None) -> DataFrame:
+    """Union of shapes per group, from per-body nodes; ``bodies`` names a column with the number of bodies that a row stands for.
 
     Keys missing on one side become optional, null makes a position nullable,
     different types make it mixed, and enum values survive only while every
     body had some and there are few in all.
     """
     # Equal nodes are counted first: bodies of one kind come to few rows, before anything is written or sent.
+    times = F.lit(1) if bodies is None else F.col(bodies)
     nodes = cut_lineage(
         nodes.groupBy(*by, "path", "parent", "key", "type", "nullable", "format", "values", F.coalesce("optional", F.lit(False)).alias("optional")).agg(
-            F.count(F.lit(1)).alias("__bodies"), F.sum("n").alias("n"), F.sum("n_objects").alias("n_objects"), F.max("len").alias("len"),
+            F.sum(times).alias("__bodies"), F.sum(times * F.col("n")).alias("n"), F.sum(times * F.col("n_objects")).alias("n_objects"), F.max("len").alias("len"),
         )
     )
     n_texts = F.sum(F.when(F.col("type") == "string", F.col("__bodies")).otherwise(0))

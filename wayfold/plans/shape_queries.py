@@ -17,8 +17,8 @@ from .tables import event_actions, event_calls, event_pauses, event_states, even
 
 def props_shape(spark, sf):
     """Shape of the event properties per event type."""
-    nodes = S.body_shapes(events(spark, sf), body="props", owner=["event_type", "event_id"])
-    merged = S.merge_shapes(nodes, by=["event_type"])
+    nodes = S.body_shapes(events(spark, sf), body="props", owner=["event_type", "event_id"], by=["event_type"])
+    merged = S.merge_shapes(nodes, by=["event_type"], bodies="bodies")
     return merged.select("event_type", "path", "type", F.col("nullable").cast("int").alias("nullable"), F.col("optional").cast("int").alias("optional"), F.col("n").cast("bigint").alias("n"))
 
 
@@ -30,7 +30,8 @@ def order_bodies(spark, sf):
 
 
 def _order_shape(spark, sf):
-    return S.merge_shapes(S.body_shapes(order_bodies(spark, sf), body="body", owner=["o_orderstatus", "o_orderkey"]), by=["o_orderstatus"])
+    by = ["o_orderstatus"]
+    return S.merge_shapes(S.body_shapes(order_bodies(spark, sf), body="body", owner=[*by, "o_orderkey"], by=by), by=by, bodies="bodies")
 
 
 def order_shapes(spark, sf):
