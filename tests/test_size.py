@@ -83,6 +83,30 @@ def test_equal_values_leave_a_task_once(spark):
     assert S.shape_visits(df.limit(10), owner=["other"]).count() == 30
 
 
+def test_plain_pages_are_read_as_the_parser_reads_them(monkeypatch):
+    import random
+
+    from wayfold.functions import html as H
+
+    bits = ["<p>", "</p>", "<table>", "<tr>", "<td>", "</td>", "</table>", "<title>", "</title>", "<br>", "x y", " \n", "<li>", '<a href="/x" Class="b">', "</a>", "<script>", "</script>", "&amp;", "<", "a>b", "<i a='1'>",
+            "<b hidden>", "</B>", "<!-- c -->", '<a  b="1">', '<a b="1" b="2">', "<textarea>", "</textarea>", '<div role="tablist" class="nav-tabs">', "<x-y>", "</p >", '<a b="x>y">', "\0", "<plaintext>"]
+    rnd = random.Random(3)
+    odd = ["".join(rnd.choice(bits) for _ in range(rnd.randint(1, 9))) for _ in range(3000)]
+    quick = [list(H.HtmlNodes().eval(p)) for p in odd]
+    assert sum(H.plain_parts(p) is not None for p in odd) > 300
+    with monkeypatch.context() as m:
+        m.setattr(H, "plain_parts", lambda html: None)
+        assert quick == [list(H.HtmlNodes().eval(p)) for p in odd]
+    monkeypatch.setattr(H._Walk, "feed", lambda self, html: 1 / 0)  # plain pages do not come to the parser
+    assert [r[2] for r in H.HtmlNodes().eval('<p id="a">One<br>two</p>')] == ["p", "#text", "br", "#text"]
+
+
+def test_cells_are_found_in_rows_of_tables_alone(spark):
+    pages = spark.createDataFrame([(1, "<table><tr><td>a<table><tr><td>b</td></tr></table></td><td>cc</td></tr></table><div role=row><p role=cell>no</p></div>")], "page_id long, html string")
+    found = G.tables(G.page_nodes(pages, write=True))
+    assert [(r.idx, r.n_rows, r.first_row) for r in found.orderBy("idx").collect()] == [(0, 1, ["<3 chars>", "<2 chars>"]), (4, 1, ["<1 chars>"])]
+
+
 @given
 def test_bodies_are_dealt_to_all_cores(spark):
     assert entry.queries()["scrub_bodies"](spark, SF).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism

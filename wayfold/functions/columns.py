@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,9 +27,15 @@ def unfold(df: DataFrame, column: str, rows_of: Callable[[str | None], Iterator[
     shape = StructType.fromDDL(ddl + (f", {count} bigint" if count else ""))
     types = [(f.name, ARROW[f.dataType.simpleString()]) for f in shape]
 
+    def made_of(values: tuple, kind: pa.DataType) -> pa.Array:
+        if not pa.types.is_map(kind) or None in values:
+            return pa.array([v and list(v.items()) for v in values] if pa.types.is_map(kind) else values, kind)
+        keys = [k for v in values if v for k in v]
+        return pa.MapArray.from_arrays(pa.array(list(accumulate(map(len, values), initial=0)), pa.int32()), pa.array(keys, kind.key_type), pa.array([x for v in values if v for x in v.values()], kind.item_type))
+
     def batch(rows: pa.RecordBatch, at: list[int], found: list[tuple]) -> pa.RecordBatch:
         fixed = [rows.column(c).take(pa.array(at, pa.int64())) for c in others]
-        made = [pa.array([list(v.items()) for v in values] if pa.types.is_map(t) else values, t) for values, (_, t) in zip(zip(*found, strict=True), types, strict=True)]
+        made = [made_of(values, t) for values, (_, t) in zip(zip(*found, strict=True), types, strict=True)]
         return pa.RecordBatch.from_arrays(fixed + made, others + [n for n, _ in types])
 
     def plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

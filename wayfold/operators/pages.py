@@ -395,11 +395,12 @@ def tables(nodes: DataFrame, *, doc: Sequence[str] = DOC, packs=("generic",)) ->
     el = nodes.filter(F.col("tag") != "#text")
     native = F.col("tag") == "table"
     t = el.filter(native | attr("role").isin("table", "grid", "treegrid"))
-    parts = el.filter(F.col("tag").isin("tr", "th", "td") | attr("role").isin("row", "columnheader", "cell", "gridcell", "rowheader"))
+    # What lies in a row of a table lies in the table, so cells need not be placed.
+    parts = el.filter(F.col("tag").isin("tr", "th") | attr("role").isin("row", "columnheader"))
     home = parts.join(_within(parts, t, doc, "table"), [*doc, "idx"])
     heads = home.filter((F.col("tag") == "th") | (attr("role") == "columnheader"))
     rows = home.filter((F.col("tag") == "tr") | (attr("role") == "row"))
-    cells = home.filter((F.col("tag") == "td") | attr("role").isin("cell", "gridcell", "rowheader"))
+    cells = el.filter((F.col("tag") == "td") | attr("role").isin("cell", "gridcell", "rowheader"))
     data = cells.groupBy(*doc, F.col("parent").alias("idx")).agg(F.array_sort(F.collect_list(F.struct("sib", redact_value(squeeze("text")).alias("v")))).alias("c"))
     filled = rows.join(data, [*doc, "idx"])
     body = filled.groupBy(*doc, "table").agg(F.count(F.lit(1)).alias("n_rows"), F.min_by("c", "idx").alias("__first"))
