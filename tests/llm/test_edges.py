@@ -460,3 +460,33 @@ def test_names_are_registered():
     names = list(entry.queries())
     assert all(sum(n.startswith(f"op{k}_") for n in names) == 1 for k in range(1, 11)) and "pipeline" in names
     assert json.dumps(sorted(entry.oracle_sql()))
+
+
+def test_chunks_are_known_by_their_bytes_in_little_memory():
+    import tracemalloc
+
+    import numpy as np
+
+    from wayfold.llm.tokens import ChunkStore
+
+    class Letters(ChunkStore):
+        def cuts(self, data, begins):
+            return np.flatnonzero((data == 0x20) | (data == 0xFF))
+
+        def encode_new(self, new):
+            ids = [list(c.encode()) for c in new]
+            return np.array([i for c in ids for i in c], self.dtype), np.array([len(c) for c in ids])
+
+    store = Letters(np.uint16)
+    texts = [" ".join("abcdefgh"[k % 8] * (k * n % 300 if n == 7 else k % 19) for k in range(1, 400)).encode() for n in range(1, 9)] + [b"a" * n for n in range(1, 20)]
+    for _ in range(2):  # learned, then looked up
+        assert [bytes(x.astype("u1")) for x in store.ids_of(texts)] == texts
+    data = np.frombuffer(b"\xff" + b" ".join([b"some", b"words", b"here"] * 20_000), np.uint8).copy()
+    at = store.cuts(data, np.zeros(1, int))
+    ends = np.append(at[1:], len(data))
+    store._places(data, at, ends)
+    tracemalloc.start()
+    store._places(data, at, ends)
+    peak = tracemalloc.get_traced_memory()[1] / len(at)
+    tracemalloc.stop()
+    assert peak < 150, peak

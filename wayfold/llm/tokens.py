@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import os
 import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +29,8 @@ TOGETHER = 1 << 20
 
 _START, _SPACE, _LINE = 0xFF, 0x20, 0x0A
 _KEY = 16
+#: What keeps the first n bytes of eight.
+_FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 #: White space of more than one byte.
 _WIDE_SPACE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
 _IS_SPACE = np.zeros(256, bool)
@@ -105,10 +108,12 @@ class ChunkStore:
     def _places(self, data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """The place of each chunk in the store."""
         sizes = ends - begins
-        raw = data[np.minimum(begins[:, None] + np.arange(_KEY), len(data) - 1)]
-        raw[np.arange(_KEY) >= sizes[:, None]] = 0
-        raw[:, -1] = np.minimum(sizes, 255)
-        key = raw.view("<u8").astype(np.uint64, copy=False)
+        # the eight bytes from each place on, as one number; a key is two of them without what lies behind the chunk
+        from_here = np.ndarray(len(data) + 8, "<u8", np.concatenate([data, np.zeros(_KEY, np.uint8)]), strides=(1,))
+        key = np.empty((len(begins), 2), np.uint64)
+        key[:, 0] = from_here[begins] & _FIRST[np.minimum(sizes, 8)]
+        key[:, 1] = from_here[np.minimum(begins + 8, len(data))] & _FIRST[np.clip(sizes - 8, 0, 7)]
+        key[:, 1] |= np.minimum(sizes, 255).astype(np.uint64) << np.uint64(56)
         mixed = key[:, 0] * np.uint64(0x9E3779B97F4A7C15) ^ key[:, 1] * np.uint64(0xC2B2AE3D27D4EB4F)
         mixed ^= mixed >> np.uint64(32)
         mixed *= np.uint64(0xD6E8FEB86659FD93)
@@ -213,7 +218,7 @@ class ChunkEncoder(ChunkStore):
         odd = iter(self.tokenizer.encode_batch_fast([c for c, m in zip(new, match) if not m], add_special_tokens=False))
         got = [self._plain(*m.groups()) if m else next(odd).ids for m in match]
         sizes = np.fromiter(map(len, got), np.int64, len(got))
-        return np.fromiter((i for g in got for i in g), self.dtype, int(sizes.sum())), sizes
+        return np.fromiter(chain.from_iterable(got), self.dtype, int(sizes.sum())), sizes
 
 
 _made: dict[tuple[str, bool], ChunkEncoder] = {}
