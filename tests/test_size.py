@@ -74,6 +74,24 @@ def test_equal_nodes_of_bodies_leave_a_task_once(spark):
     assert sorted(map(str, got.collect())) == sorted(map(str, want.select(*got.columns).collect()))
 
 
+def test_bodies_that_differ_in_numbers_are_read_once(monkeypatch):
+    import random
+
+    from wayfold.functions import shapes as W
+
+    bits = ["{", "}", "[", "]", ":", ",", '"a"', '"x,1,"', '":1,y"', '"q\\":1,"', "1", "-1.5", "01", "1e5", "NaN", " ", '"k":1', '"k": 2', '"\\":3', '"é":4', "1.", "9" * 25, "9" * 5000, '"o":{', "true", '"":5']
+    rnd = random.Random(5)
+    odd = ["{" + "".join(rnd.choice(bits) for _ in range(rnd.randint(1, 7))) + "}" * rnd.randint(1, 2) for _ in range(20_000)]
+    read, held = W.ShapeVisits().eval, W.BodyNodes()
+    monkeypatch.setattr(W.BodyNodes, "BODIES", 500)
+    want = [tuple(W.node_rows(read(b, None, None, None, None))) for b in odd]
+    assert sum(map(bool, want)) > 300 and [held.eval(b) for b in odd] == want and len(held.bodies) <= 500
+    reads = []
+    monkeypatch.setattr(held, "read", lambda *a: reads.append(a) or read(*a))
+    rows = [held.eval(f'{{"key":{i},"price":{i / 7},"note":"at {i % 3}"}}') for i in range(300)]
+    assert len(reads) == 3 and rows[0] is rows[3] and rows[0] != rows[1]
+
+
 def test_equal_values_leave_a_task_once(spark):
     from wayfold.operators import shapes as S
 

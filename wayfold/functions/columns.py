@@ -57,21 +57,38 @@ def unfold(df: DataFrame, column: str, rows_of: Callable[[str | None], Iterator[
             owners = list(zip(*[rows.column(c).to_pylist() for c in others], strict=True)) if others else [()] * rows.num_rows
             first: dict[tuple, int] = {}
             seen: dict[tuple, int] = {}
-            size = 0
+            same: dict[tuple[int, int], list] = {}  # a value's rows that are the very object of another value's are counted as a whole
+            size = held = 0
+
+            def flush() -> pa.RecordBatch:
+                for at, made, n in same.values():
+                    for row in made:
+                        seen[at, row] = seen.get((at, row), 0) + n
+                return batch(rows, [k[0] for k in seen], [(*k[1], n) for k, n in seen.items()])
+
             for i, value in enumerate(rows.column(column)):
                 text = value.as_py()
                 try:
                     at = first.setdefault(owners[i], i)
                 except TypeError:  # lists and the like are not compared here; Spark does it later
                     at = i
-                for row in rows_of(text):
-                    key = (at, row)
-                    seen[key] = seen.get(key, 0) + 1
+                made = rows_of(text)
+                if isinstance(made, tuple):
+                    known = same.get((at, id(made)))
+                    if known:
+                        known[2] += 1
+                    elif made:
+                        same[at, id(made)] = [at, made, 1]  # holds it, so that the number stays its own
+                        held += len(made)
+                else:
+                    for row in made:
+                        key = (at, row)
+                        seen[key] = seen.get(key, 0) + 1
                 size += len(text or "")
-                if seen and (len(seen) >= BATCH_ROWS or size >= BATCH_CHARS):
-                    yield batch(rows, [k[0] for k in seen], [(*k[1], n) for k, n in seen.items()])
-                    seen, size = {}, 0
-            if seen:
-                yield batch(rows, [k[0] for k in seen], [(*k[1], n) for k, n in seen.items()])
+                if (seen or same) and (len(seen) + held >= BATCH_ROWS or size >= BATCH_CHARS):
+                    yield flush()
+                    seen, same, size, held = {}, {}, 0, 0
+            if seen or same:
+                yield flush()
 
     return df.mapInArrow(counted if count else plain, StructType([df.schema[c] for c in others] + shape.fields))

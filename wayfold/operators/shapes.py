@@ -58,8 +58,8 @@ def body_shapes(df: DataFrame, *, body: str = "response_body", owner: Sequence[s
 
 
 def _nodes_of_lone(slim: DataFrame, owner: Sequence[str], by: Sequence[str] | None) -> DataFrame:
-    read, kept = S.ShapeVisits().eval, owner if by is None else by
-    n = unfold(slim.select(*kept, "__body"), "__body", lambda text: S.node_rows(read(text, None, None, None, None)), S.NODE_SCHEMA, count=None if by is None else "bodies")
+    kept = owner if by is None else by
+    n = unfold(slim.select(*kept, "__body"), "__body", S.BodyNodes().eval, S.NODE_SCHEMA, count=None if by is None else "bodies")
     formats = F.transform(F.filter("__texts", lambda t: strip(t) != ""), lambda t: format_of(t))
     lo, hi = F.array_min(formats), F.array_max(formats)
     n = n.withColumns({
