@@ -490,3 +490,21 @@ def test_chunks_are_known_by_their_bytes_in_little_memory():
     peak = tracemalloc.get_traced_memory()[1] / len(at)
     tracemalloc.stop()
     assert peak < 150, peak
+
+
+def test_words_are_learned_without_the_marks_behind_them():
+    import random
+
+    from wayfold.llm.tokens import ChunkEncoder
+
+    rnd = random.Random(4)
+    bits = ["a", "don't", "'s", "'S", "'ll", "é", "é.", "ü,", " ", "\n", "  ", "\t", ".", ",", "!!", "a.b", "l'eau", "A1", "12", "_", "-", "　", " ", "字", "́", "\0", "😀", "it's,", "s's", "\x7f", "\x85"]
+    texts = ["".join(rnd.choice(bits) for _ in range(rnd.randint(0, 9))) for _ in range(20_000)]
+    coder = ChunkEncoder(BYTE, False)
+    want = [e.ids for e in coder.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert [ids.tolist() for ids in coder.ids_of([t.encode() for t in texts])] == want
+    coder, learned = ChunkEncoder(BYTE, False), []
+    encode = coder.encode_new
+    coder.encode_new = lambda new: learned.extend(new) or encode(new)
+    coder.ids_of([b"one two one, two. one!!! two,&&& (one) two"])
+    assert sorted(learned) == sorted(["one", " one", " two", ",", ".", "!!!", ",&&&", " (one", ")"])

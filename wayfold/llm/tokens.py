@@ -1,6 +1,7 @@
 """Whole texts to token ids in Arrow batches, each distinct chunk encoded once.
 
-A text is cut before runs of white space. No vocabulary here has a token that
+A text is cut before runs of white space and, for byte-level vocabularies, before what
+is no letter after a Latin one. No vocabulary here has a token that
 reaches over such a place from the left, so the ids of the chunks, one after
 another, are the ids of the text. Chunks repeat far more than texts: a worker keeps
 the ids of those it has seen and gives only new ones to the tokenizer.
@@ -15,7 +16,6 @@ from __future__ import annotations
 
 import os
 import re
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +35,9 @@ _FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 _WIDE_SPACE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True
+_IS_LETTER, _IS_MARK = np.zeros((2, 256), bool)
+_IS_LETTER[[*range(65, 91), *range(97, 123)]] = True
+_IS_MARK[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
 #: A word of Latin letters that no normal form changes, with the white space before and a stop after it: most chunks.
 _PLAIN = re.compile(r"([ \n]?)([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)")
 
@@ -192,6 +195,7 @@ class ChunkEncoder(ChunkStore):
             data[at] = _SPACE
             return np.flatnonzero(at)
         at = ((data == _SPACE) | (data == _LINE)) & ~np.concatenate([[True], _IS_SPACE[data[:-1]]])
+        at[1:] |= _IS_MARK[data[1:]] & _IS_LETTER[data[:-1]]
         if (data >= 0x80).any():
             for wide in _WIDE_SPACE.finditer(data.tobytes()):
                 at[wide.end() : wide.end() + 1] = False
@@ -213,12 +217,38 @@ class ChunkEncoder(ChunkStore):
             ids = [t.id for t in self.tokenize((space + word).encode().decode("latin-1").translate(_LETTERS))]
         return ids + self.small[stop] if stop else ids
 
+    def _short(self, chunk: str) -> list[int] | None:
+        """A plain chunk by the vocabulary's merges alone; None for any other."""
+        if not self.word_ends and chunk.isascii():  # most of them: nothing has to be looked for
+            first = chunk[:1]
+            if first == " " and chunk[1:].isalpha():
+                return [t.id for t in self.tokenize(_LETTERS[32] + chunk[1:])]
+            if chunk.isalpha():
+                return [t.id for t in self.tokenize(chunk)]
+        plain = _PLAIN.fullmatch(chunk)
+        return plain and self._plain(*plain.groups())
+
     def encode_new(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        match = [_PLAIN.fullmatch(c) for c in new]
-        odd = iter(self.tokenizer.encode_batch_fast([c for c, m in zip(new, match) if not m], add_special_tokens=False))
-        got = [self._plain(*m.groups()) if m else next(odd).ids for m in match]
-        sizes = np.fromiter(map(len, got), np.int64, len(got))
-        return np.fromiter(chain.from_iterable(got), self.dtype, int(sizes.sum())), sizes
+        got: list[int] = []  # one list: a list a chunk would be looked through as garbage again and again
+        ends, odd = [], []
+        for i, chunk in enumerate(new):
+            ids = self._short(chunk)
+            if ids is None:
+                odd.append(i)
+            else:
+                got += ids
+            ends.append(len(got))
+        sizes = np.diff(np.array(ends, np.int64), prepend=0)
+        if not odd:
+            return np.array(got, self.dtype), sizes
+        rest = [e.ids for e in self.tokenizer.encode_batch_fast([new[i] for i in odd], add_special_tokens=False)]
+        sizes[odd] = [len(ids) for ids in rest]
+        is_odd = np.zeros(len(new), bool)
+        is_odd[odd] = True
+        of_odd = np.repeat(is_odd, sizes)
+        ids = np.empty(len(of_odd), self.dtype)
+        ids[~of_odd], ids[of_odd] = got, [i for r in rest for i in r]
+        return ids, sizes
 
 
 _made: dict[tuple[str, bool], ChunkEncoder] = {}
