@@ -182,6 +182,29 @@ def test_toxicity(spark, docs, empty):
     assert empty.select(toxicity.score(F.col("text"), model)).count() == 0
 
 
+def test_toxicity_steps_send_few_rows(spark):
+    """A step's slopes are a row a task: a sample that lies in many files must not become many rows in the driver."""
+    rows = [(i, ("you are a moron. " if i % 5 == 0 else "a quiet day. ") + f"words number {i % 7}", "en", "a", 1) for i in range(400)]
+    texts, labels = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame([(i, 1, int(i % 5 == 0)) for i in range(300)], "doc_id long, quality int, toxic int")
+    many = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.files.maxPartitionBytes": "1k", "spark.sql.files.openCostInBytes": "1k"}
+    was = {k: spark.conf.get(k) for k in many}
+    context = spark.sparkContext
+    context.setJobGroup("toxicity-steps", "")
+    try:
+        for k, v in many.items():
+            spark.conf.set(k, v)
+        model = toxicity.train(texts, labels)
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+        context.setLocalProperty("spark.jobGroup.id", None)
+    track = context.statusTracker()
+    stages = [track.getStageInfo(s) for j in track.getJobIdsForGroup("toxicity-steps") for s in track.getJobInfo(j).stageIds]
+    steps = [s.numTasks for s in stages if s and "collect" in s.name]
+    assert len(steps) >= toxicity.STEPS and sorted(steps)[toxicity.STEPS // 2] <= 8
+    assert model.score(rows[0][1]) >= 0.5 > model.score(rows[1][1])
+
+
 def test_noisy_or():
     model = toxicity.Model({toxicity.features("bad")[0]: 2.0}, -1.0)
     p = 1 / (1 + np.exp(-np.array([1.0, -1.0])))

@@ -44,6 +44,8 @@ HEADS = (4, 5, 6)
 WORDS_KEPT, LETTERS_KEPT = 500_000, 20_000_000
 #: Features of the sample worked on together, about.
 TOGETHER = 1 << 19
+#: Tasks of a gradient step, for the sample is bounded, whatever number of files it lies in. Each sends a number a weight to the driver.
+STEP_TASKS = 4
 
 _PARTS = re.compile(r"[^\W\d_]+|[.!?\n]")
 _STOPS = frozenset(".!?\n")
@@ -161,12 +163,18 @@ def _numbers(row: dict, name: str) -> np.ndarray:
     return np.frombuffer(row[name], "<f8" if name == "weight" else "<i4")
 
 
+def _block_rows(batch: pa.RecordBatch) -> Iterator[dict]:
+    """Rows of a batch, one at a time, as views of its bytes."""
+    for i in range(batch.num_rows):
+        yield {name: batch.column(c)[i].as_buffer() for c, name in enumerate(batch.schema.names)}
+
+
 def kept_features(blocks: DataFrame) -> np.ndarray:
     """Features that enough documents have, ascending; at most ``BUCKETS``."""
 
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in _block_rows(batch):
                 pairs = np.unique(_numbers(row, "feature").astype(np.int64) << 32 | _numbers(row, "doc"))
                 feature, n = np.unique(pairs >> 32, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(feature.astype(np.int32)), pa.array(n)], names=["feature", "n"])
@@ -175,16 +183,28 @@ def kept_features(blocks: DataFrame) -> np.ndarray:
     return np.sort(counts.filter(F.col("n") >= SEEN_IN).select("feature").toArrow().column(0).to_numpy())
 
 
-def block_gradient(row: dict, kept: np.ndarray, w: np.ndarray, b: float) -> np.ndarray:
+def placed(blocks: DataFrame, kept: np.ndarray) -> DataFrame:
+    """Blocks with the document of each sentence, and sentence and place in ``kept`` of each kept feature."""
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in _block_rows(batch):
+                doc, sentence, feature = (_numbers(row, c) for c in ("doc", "sentence", "feature"))
+                of = np.zeros(int(sentence.max()) + 1, "<i4")
+                of[sentence] = doc
+                place = np.searchsorted(kept, feature)
+                ok = place < len(kept)
+                ok[ok] = kept[place[ok]] == feature[ok]
+                found = [row["y"].to_pybytes(), row["weight"].to_pybytes(), of.tobytes(), sentence[ok].tobytes(), place[ok].astype("<i4").tobytes()]
+                yield pa.RecordBatch.from_arrays([pa.array([v], pa.binary()) for v in found], names=["y", "weight", "of", "sentence", "place"])
+
+    return blocks.mapInArrow(places, "y binary, weight binary, of binary, sentence binary, place binary")
+
+
+def block_gradient(row: dict, w: np.ndarray, b: float) -> np.ndarray:
     """The slope of one block's loss by every kept weight and, last, by the bias."""
-    label, weight, doc, sentence, feature = (_numbers(row, c) for c in ("y", "weight", "doc", "sentence", "feature"))
-    place = np.searchsorted(kept, feature)
-    ok = place < len(kept)
-    ok[ok] = kept[place[ok]] == feature[ok]
-    at, where, n = place[ok], sentence[ok], int(sentence.max()) + 1
-    of = np.zeros(n, np.int64)
-    of[sentence] = doc
-    z = np.bincount(where, w[at], minlength=n) + b
+    label, weight, of, where, at = (_numbers(row, c) for c in ("y", "weight", "of", "sentence", "place"))
+    z = np.bincount(where, w[at], minlength=len(of)) + b
     clear = np.exp(-np.bincount(of, np.logaddexp(0, z), minlength=len(label)))
     pull = np.where(label > 0, -clear / np.maximum(1 - clear, 1e-12), 1.0) * weight
     g = pull[of] / (1 + np.exp(-np.clip(z, -60, 60)))
@@ -194,6 +214,7 @@ def block_gradient(row: dict, kept: np.ndarray, w: np.ndarray, b: float) -> np.n
 def fit(blocks: DataFrame, documents: int, weight: float) -> Model:
     """Weights from blocks of sampled documents. A step's slopes are summed in tasks; the driver holds weights alone."""
     kept = kept_features(blocks)
+    blocks = written(placed(blocks, kept), "toxicity-places").coalesce(STEP_TASKS)
     w, b = np.zeros(len(kept)), -5.0
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     for step in range(1, STEPS + 1):
@@ -201,12 +222,14 @@ def fit(blocks: DataFrame, documents: int, weight: float) -> Model:
         def slopes(batches: Iterator[pa.RecordBatch], w: np.ndarray = w, b: float = b) -> Iterator[pa.RecordBatch]:
             total = np.zeros(len(w) + 1)
             for batch in batches:
-                for row in batch.to_pylist():
-                    total += block_gradient(row, kept, w, b)
+                for row in _block_rows(batch):
+                    total += block_gradient(row, w, b)
             yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["slopes"])
 
-        # a row a task, and few tasks, for the sample is bounded
-        grad = np.sum([np.frombuffer(r["slopes"]) for r in blocks.mapInArrow(slopes, "slopes binary").collect()], axis=0)
+        # a row a task
+        grad = np.zeros(len(w) + 1)
+        for r in blocks.mapInArrow(slopes, "slopes binary").collect():
+            grad += np.frombuffer(r["slopes"])
         grad = grad / weight
         grad[:-1] += DECAY * w / documents
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
