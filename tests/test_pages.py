@@ -192,3 +192,15 @@ def test_widgets_are_met_by_their_whole_label(spark):
 
     assert widgets(f"click:{long} second") == ["k2"]
     assert widgets(f"click:{long[:40]}") == ["k1", "k2", "k3"]
+
+
+def test_menu_rules_are_tried_once_on_what_they_can_hold_of(spark):
+    page = '<div><span>plain</span><div role="menu"><a href="/a">A</a></div><nav><ul><li>Shop<ul><li><b class="nav-link">B</b></li></ul></li></ul></nav></div><div id="x"><p>said</p></div>'
+    nodes = G.page_nodes(spark.createDataFrame([(1, page)], "page_id long, html string"))
+    marked = G._menu_nodes(nodes)
+    rows = {(r.tag, r.attrs["class"] if r.attrs and "class" in r.attrs else ""): r for r in marked.collect()}
+    assert not {"p", "span"} & {t for t, _ in rows}
+    assert rows["nav", ""]["__strong"] and rows["a", ""]["__item"] and rows["b", "nav-link"]["__item"] and rows["li", ""]["__wrap"] and rows["ul", ""]["__sub"]
+    assert rows["nav", ""].text is None and rows["a", ""].text == "A"  # what a holder repeats is not written again
+    assert "regexp" not in marked._jdf.queryExecution().optimizedPlan().toString().lower() and "rlike" not in marked._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert {tuple(r.path) for r in G.nav_items(nodes, packs=None).collect()} == {("A",), ("Shop", "B")}

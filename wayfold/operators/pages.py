@@ -260,6 +260,28 @@ def _chains(levels: DataFrame, doc: Sequence[str]) -> DataFrame:
     return whole.unionByName(left.select(*doc, "panel", F.col("names").alias("chain")))
 
 
+def _menu_nodes(nodes: DataFrame) -> DataFrame:
+    """The nodes that menus are made of, written with what the rules say of each: the rules are tried once a node, however many steps read them."""
+    role, cls = attr("role"), attr("class")
+    item = F.col("tag").isin(*_ITEM_TAGS) | role.isin(*_ITEM_ROLES) | cls.rlike(_ITEM_CLASS) | has_attr("mat-menu-item") | has_attr("mat-list-item")
+    rules = {
+        "__landmark": F.col("tag").isin("header", "aside"),
+        "__strong": F.col("tag").isin(*_SEMANTIC_TAGS) | role.isin(*_REGION_ROLE) | cls.rlike(_REGION_CLASS),
+        "__content": F.col("tag").isin(*_CONTENT_TAGS) | (role == "dialog"),
+        "__item": item & ~role.isin("tab", "combobox", "option"),
+        "__banned": F.col("tag").isin("table", "mat-paginator") | role.isin(*_NOT_MENU_ROLE) | cls.rlike(_NOT_MENU_CLASS),
+        "__sub": _submenu(),
+        "__wrap": F.col("tag").isin("li", "details") | cls.rlike(r"(^|\s)(dropdown|dropup|btn-group|nav-item)(\s|$)"),
+        "__refers": F.concat(*[attr(a) for a in ("id", "aria-controls", "aria-owns", "aria-labelledby")]) != "",
+    }
+    spoken = F.col("tag") == "#text"
+    # No rule holds of an element without attributes but by its tag. This is all that is asked first, for a filter by the rules would try them twice.
+    some = spoken | (F.size("attrs") > 0) | F.col("tag").isin("header", "aside", "li", "details", "mat-paginator", *_SEMANTIC_TAGS, *_ITEM_TAGS, *_CONTENT_TAGS, *_SUBMENU_TAGS)
+    marked = nodes.filter(some).withColumns({name: F.coalesce(~spoken & rule, F.lit(False)) for name, rule in rules.items()})
+    said = F.when(spoken | F.col("__item") | F.col("__refers"), F.col("text"))  # that of holders repeats what they hold
+    return cut_lineage(marked.withColumn("text", said).drop("__refers"))
+
+
 def nav_items(nodes: DataFrame, *, doc: Sequence[str] = DOC, url: str | None = None, packs=("generic",)) -> DataFrame:
     """Items of navigation regions: text, menu path, target, children, current.
 
@@ -267,15 +289,11 @@ def nav_items(nodes: DataFrame, *, doc: Sequence[str] = DOC, url: str | None = N
     count if the owner's do, and their path goes on from the owner's.
     ``url`` names a column carried on the nodes and is what links resolve on.
     """
+    nodes = _menu_nodes(nodes)
     el = nodes.filter(F.col("tag") != "#text")
-    landmark = F.col("tag").isin("header", "aside")
-    strong = F.col("tag").isin(*_SEMANTIC_TAGS) | attr("role").isin(*_REGION_ROLE) | attr("class").rlike(_REGION_CLASS)
-    content = el.filter(F.col("tag").isin(*_CONTENT_TAGS) | (attr("role") == "dialog"))
-    inner = _within(el.filter(landmark & ~strong), content, doc, "__content").select(*doc, "idx")
-    regions = el.filter(strong | landmark).join(inner, [*doc, "idx"], "left_anti").withColumn("__loose", ~strong)
-    is_item = F.col("tag").isin(*_ITEM_TAGS) | attr("role").isin(*_ITEM_ROLES) | attr("class").rlike(_ITEM_CLASS) | has_attr("mat-menu-item") | has_attr("mat-list-item")
-    banned = el.filter(F.col("tag").isin("table", "mat-paginator") | attr("role").isin(*_NOT_MENU_ROLE) | attr("class").rlike(_NOT_MENU_CLASS))
-    items = el.filter(is_item & ~attr("role").isin("tab", "combobox", "option"))
+    inner = _within(el.filter(F.col("__landmark") & ~F.col("__strong")), el.filter("__content"), doc, "__at").select(*doc, "idx")
+    regions = el.filter(F.col("__strong") | F.col("__landmark")).join(inner, [*doc, "idx"], "left_anti").withColumn("__loose", ~F.col("__strong"))
+    items, banned = el.filter("__item"), el.filter("__banned")
     in_region = _within(items, regions, doc, "region").join(regions.select(*doc, F.col("idx").alias("region"), "__loose"), [*doc, "region"])
     out_of = _within(items, banned, doc, "__b").select(*doc, "idx")
     panels = owned_panels(el, doc=doc)
@@ -296,10 +314,10 @@ def nav_items(nodes: DataFrame, *, doc: Sequence[str] = DOC, url: str | None = N
     repeats = kept.select(*doc, "text", F.explode("path").alias("idx")).distinct()
     # The items of a page are few; writing them once keeps the path joins below short.
     kept = cut_lineage(kept.join(repeats, [*doc, "idx", "text"], "left_anti"))
-    sub = el.filter(_submenu()).select(*doc, F.col("idx").alias("sub"), F.col("parent").alias("wrap"), "sib")
+    sub = el.filter("__sub").select(*doc, F.col("idx").alias("sub"), F.col("parent").alias("wrap"), "sib")
     if owned:
         sub = sub.join(panels.select(*doc, F.col("panel").alias("sub")), [*doc, "sub"], "left_anti")
-    wrap = el.filter(F.col("tag").isin("li", "details") | attr("class").rlike(r"(^|\s)(dropdown|dropup|btn-group|nav-item)(\s|$)")).select(*doc, F.col("idx").alias("wrap"))
+    wrap = el.filter("__wrap").select(*doc, F.col("idx").alias("wrap"))
     levels = sub.join(wrap, [*doc, "wrap"])
     heads = kept.select(*doc, F.col("parent").alias("wrap"), F.col("idx").alias("head"), "text", F.col("sib").alias("__hs"))
     label = levels.join(heads, [*doc, "wrap"]).filter(F.col("__hs") < F.col("sib")).groupBy(*doc, "sub").agg(F.max_by(F.struct("text", "head"), "__hs").alias("h"))
